@@ -149,6 +149,7 @@ STAR = replace(
     share_window_days=7,
     hype_window_days=28,
     fringe_adoption=0.19,
+    pet_appearances=2,
     supported_minority=0.18,
     core_adoption=0.50,
     consensus_adoption=0.30,

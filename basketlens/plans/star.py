@@ -1,12 +1,22 @@
-"""The engine over the star schema: one store per session, then its readings."""
+"""The engine over the star schema: one store per session, then its readings.
 
-from pyspark.sql import SparkSession
+Readings several reports share are settled once a session, as the ledger of a
+run is recorded once and then only read.
+"""
+
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import STAR, EngineConfig
+from ..operators import actors, adoption, composition, departures, hype, ledger, novelty, outcome, subjects
+from ..session import settled
 from ..sources import star
 from ..sources.store import Store, build, materialise
 
-_STORES: dict[tuple, Store] = {}
+# The earlier of the two runs the ledger is recorded over.
+EARLIER_RUN = "2001-01-28"
 
 
 def lazy_store(spark: SparkSession, sf_dir: str, cfg: EngineConfig = STAR) -> Store:
@@ -18,9 +28,206 @@ def lazy_store(spark: SparkSession, sf_dir: str, cfg: EngineConfig = STAR) -> St
     )
 
 
-def store(spark: SparkSession, sf_dir: str, cfg: EngineConfig = STAR) -> Store:
-    """The materialised store of this session, built at the first reading."""
+class StarRun:
+    """One session's readings over one data directory."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, cfg: EngineConfig = STAR):
+        self.spark, self.sf_dir, self.cfg = spark, sf_dir, cfg
+
+    def table(self, name: str) -> DataFrame:
+        return star.table(self.spark, self.sf_dir, name)
+
+    @cached_property
+    def store(self) -> Store:
+        return materialise(self.spark, lazy_store(self.spark, self.sf_dir, self.cfg))
+
+    @property
+    def baskets(self) -> DataFrame:
+        return self.store.baskets
+
+    @property
+    def items(self) -> DataFrame:
+        return self.store.items
+
+    @property
+    def snapshots(self) -> DataFrame:
+        return self.store.snapshots
+
+    @cached_property
+    def adoption(self) -> DataFrame:
+        return adoption.adoption(self.items, self.baskets, self.cfg)
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        return adoption.totals(self.baskets, self.cfg)
+
+    @cached_property
+    def hype(self) -> DataFrame:
+        return settled(hype.hype(self.items, self.baskets, self.cfg), "hype")
+
+    @cached_property
+    def fringe(self) -> DataFrame:
+        return settled(novelty.fringe_flags(self.items, self.baskets, self.cfg), "fringe")
+
+    @cached_property
+    def pets(self) -> DataFrame:
+        return settled(actors.pet_items(self.items, self.baskets, self.cfg), "pets")
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return settled(departures.candidates(self.items, self.baskets, self.cfg), "candidates")
+
+    @cached_property
+    def departures(self) -> DataFrame:
+        return settled(departures.departed(self.candidates, self.cfg), "departures")
+
+    @cached_property
+    def breakthroughs(self) -> DataFrame:
+        found = departures.breakthroughs(self.items, self.baskets, self.cfg, self.departures)
+        return settled(found, "breakthroughs")
+
+    @cached_property
+    def contrasts(self) -> DataFrame:
+        return outcome.contrasts(self.items, self.baskets, self.cfg)
+
+    @property
+    def last_day(self):
+        return self.baskets.agg(F.max("date")).scalar()
+
+    def earlier(self, frame: DataFrame) -> DataFrame:
+        return frame.where(F.col("date") <= F.lit(EARLIER_RUN).cast("date"))
+
+    @cached_property
+    def earlier_ledger(self) -> DataFrame:
+        """What an earlier run recorded of the two series detectors."""
+        items, baskets = self.earlier(self.items), self.earlier(self.baskets)
+        found = ledger.unified(
+            [hype.hype(items, baskets, self.cfg), novelty.fringe_flags(items, baskets, self.cfg)]
+        )
+        standing, _ = ledger.record(ledger.empty(self.spark), found, EARLIER_RUN)
+        return standing
+
+    @cached_property
+    def ledger(self) -> DataFrame:
+        """The ledger after a run over everything, on top of the earlier one."""
+        found = ledger.unified([self.hype, self.fringe, self.pets, self.breakthroughs])
+        standing, _ = ledger.record(self.earlier_ledger, found, self.last_day)
+        return standing
+
+    @cached_property
+    def reference(self) -> DataFrame:
+        return settled(reference_items(self.items, self.baskets, self.cfg), "reference")
+
+    @cached_property
+    def subjects(self) -> DataFrame:
+        return tracked_subjects(self.table("part"))
+
+    @cached_property
+    def pool(self) -> DataFrame:
+        return composition.item_pool(self.items)
+
+    @property
+    def dated(self) -> DataFrame:
+        """The one day an evidence batch is dated: the last snapshot's."""
+        return self.snapshots.agg(F.max("captured_on").alias("day"))
+
+    @cached_property
+    def evidence(self) -> dict[str, DataFrame]:
+        return subjects.evidence(
+            self.subjects, self.adoption, self.totals, self.pool, self.ledger, self.snapshots,
+            "without", self.dated, self.cfg,
+        )
+
+
+_RUNS: dict[tuple, StarRun] = {}
+
+
+def run(spark: SparkSession, sf_dir: str, cfg: EngineConfig = STAR) -> StarRun:
     key = (spark.sparkContext.applicationId, sf_dir, cfg)
-    if key not in _STORES:
-        _STORES[key] = materialise(spark, lazy_store(spark, sf_dir, cfg))
-    return _STORES[key]
+    if key not in _RUNS:
+        _RUNS[key] = StarRun(spark, sf_dir, cfg)
+    return _RUNS[key]
+
+
+def reference_items(items: DataFrame, baskets: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """A reference basket per actor: version 1 its first cohort basket, version 2
+    its latest. An item version 2 dropped is written down there at no copies.
+
+    First and latest are aggregates, so an actor of any size is never sorted.
+    """
+    ends = F.struct("date", "list_id")
+    picked = (
+        baskets.where("member").groupBy("actor").agg(F.min(ends).alias("one"), F.max(ends).alias("two"))
+    )
+    versions = picked.select(
+        F.col("actor").alias("owner"),
+        F.inline(
+            F.array(
+                F.struct(F.lit(1).alias("version"), F.col("one.list_id").alias("list_id")),
+                F.struct(
+                    F.lit(2).alias("version"),
+                    F.when(F.col("two.list_id") != F.col("one.list_id"), F.col("two.list_id")).alias("list_id"),
+                ),
+            )
+        ),
+    ).where("list_id IS NOT NULL")
+    held = versions.join(items.where("member").select("list_id", "item", "qty_a", "qty_b"), "list_id")
+    stand = F.struct("qty_a", "qty_b")
+    both = held.groupBy("owner", "item").agg(
+        F.max(F.when(F.col("version") == 1, stand)).alias("one"),
+        F.max(F.when(F.col("version") == 2, stand)).alias("two"),
+    )
+    moved = versions.where("version = 2").select("owner", F.lit(True).alias("moved"))
+    none = F.struct(F.lit(0).alias("qty_a"), F.lit(0).alias("qty_b"))
+    laid = (
+        both.join(moved, "owner", "left")
+        .select(
+            "owner", "item",
+            F.inline(
+                F.array(
+                    F.struct(F.lit(1).alias("version"), F.col("one").alias("at")),
+                    F.struct(
+                        F.lit(2).alias("version"),
+                        F.when(F.col("two").isNotNull(), F.col("two")).when(F.col("moved"), none).alias("at"),
+                    ),
+                )
+            ),
+        )
+        .where("at IS NOT NULL")
+        .select("owner", "version", "item", "at.qty_a", "at.qty_b")
+    )
+    copies = F.col("qty_a") + F.col("qty_b")
+    override = F.when(copies >= 3, F.lit("flex")).when(
+        (F.col("item") == cfg.divergence_item) & (F.col("qty_a") > 0), F.lit("core")
+    )
+    note = F.when(copies == 0, F.lit("cut")).when(
+        (F.col("qty_a") > 0) & (F.col("qty_b") > 0), F.lit("split over the boards")
+    )
+    return laid.withColumn("override", override).withColumn("note", note)
+
+
+def tracked_subjects(part: DataFrame) -> DataFrame:
+    """Questions drawn from the part table: each type asks about its own item and
+    the list total while the mirror stands, each brand about its item and names."""
+    none = F.lit(None).cast("string")
+    rows = F.array(
+        *[
+            F.struct(h.alias("hypothesis_id"), s.alias("subject"), c.alias("conditional_on"))
+            for h, s, c in (
+                (F.col("p_type"), F.concat(F.lit("type:"), "p_type"), F.lit(subjects.MIRROR)),
+                (F.col("p_type"), F.lit(subjects.TOTAL_SUBJECT), F.lit(subjects.MIRROR)),
+                (F.col("p_brand"), F.concat(F.lit("brand:"), "p_brand"), none),
+                (F.col("p_brand"), F.concat(F.lit("name:"), "p_name"), none),
+            )
+        ]
+    )
+    return part.select(F.inline(rows)).distinct()
+
+
+def asked_configurations(items: DataFrame, item: str) -> DataFrame:
+    """Every configuration the cohort registered an item at."""
+    return (
+        items.where(F.col("member") & (F.col("item") == item))
+        .select(F.col("item").alias("target"), F.col("qty_a").alias("target_a"), F.col("qty_b").alias("target_b"))
+        .distinct()
+    )

@@ -3,7 +3,7 @@
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", partitions: int = 8, name: str = "basketlens") -> SparkSession:
@@ -50,3 +50,15 @@ def fresh_path(spark: SparkSession, name: str) -> str | None:
     """A new path under the shared folder, never one that was written before."""
     base = shared_dir(spark)
     return f"{base}/basketlens/{spark.sparkContext.applicationId}/{name}-{uuid4().hex[:12]}" if base else None
+
+
+def settled(frame: DataFrame, name: str) -> DataFrame:
+    """A small result several later steps read, written once and served from there.
+
+    Lost executors then re-read files instead of re-running the plan above it.
+    """
+    path = fresh_path(frame.sparkSession, name)
+    if path is None:
+        return frame
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
