@@ -43,4 +43,4 @@ def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
 def detection_floor(rate: Column, with_arm: Column, without_arm: Column, power_z: float) -> Column:
     """The smallest difference in rate two arms of these sizes would have shown."""
     noise = rate * (1 - rate) * (F.try_divide(F.lit(1), with_arm) + F.try_divide(F.lit(1), without_arm))
-    return power_z * F.sqrt(F.greatest(noise, F.lit(0.0)))
+    return power_z * F.sqrt(noise)

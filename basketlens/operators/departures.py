@@ -57,22 +57,16 @@ def core_days(tally: DataFrame, sizes: DataFrame, cfg: EngineConfig) -> DataFram
         .select(*PLACE, "item")
         .distinct()
     )
-    established = sizes.where(F.col("size_before") >= cfg.departure_min_lists)
-    spine = rose.join(established.select(*PLACE, "date"), list(PLACE)).withColumn("asked", F.lit(True))
-    played = tally.where("plays > 0").join(rose, [*PLACE, "item"], "left_semi")
+    played = tally.where("plays > 0").select(*PLACE, "item", "date", "plays")
     laid = (
-        played.select(*PLACE, "item", "date", "plays")
-        .unionByName(spine, allowMissingColumns=True)
-        .groupBy(*PLACE, "item", "date")
-        .agg(F.coalesce(F.sum("plays"), F.lit(0)).alias("plays"), F.max("asked").alias("asked"))
+        rose.join(F.broadcast(sizes.select(*PLACE, "date", "size_before")), list(PLACE))
+        .join(played, [*PLACE, "item", "date"], "left")
         .withColumn("plays_before", F.coalesce(F.sum("plays").over(before_day(*PLACE, "item")), F.lit(0)))
-        .where("asked")
-    )
-    return (
-        laid.join(F.broadcast(established.select(*PLACE, "date", "size_before")), [*PLACE, "date"])
-        .where(share(F.col("plays_before"), F.col("size_before")) >= cfg.core_adoption)
-        .select(*PLACE, "item", "date")
     )
+    return laid.where(
+        (F.col("size_before") >= cfg.departure_min_lists)
+        & (share(F.col("plays_before"), F.col("size_before")) >= cfg.core_adoption)
+    ).select(*PLACE, "item", "date")
 
 
 def novel_days(tally: DataFrame, sizes: DataFrame, fringe: DataFrame, cfg: EngineConfig) -> DataFrame:

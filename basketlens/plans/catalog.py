@@ -29,8 +29,10 @@ def _text(column: str, kind) -> F.Column:
     """Nested values as text, so two engines compare them alike."""
     if isinstance(kind.elementType, StructType):
         parts = lambda row: F.concat_ws("|", *[row[f.name].cast("string") for f in kind.elementType])
-        return F.concat_ws(";", F.transform(column, parts))
-    return F.concat_ws(",", column)
+        text = F.concat_ws(";", F.transform(column, parts))
+    else:
+        text = F.concat_ws(",", column)
+    return F.when(F.col(column).isNotNull(), text)
 
 
 def tidy(frame: DataFrame) -> DataFrame:
@@ -725,7 +727,7 @@ def _(r):
 
 
 def _section(name):
-    return lambda r: summary.sections(r, SEGMENT)[name]
+    return lambda r: summary.sections(r, SEGMENT)[name]()
 
 
 for _name in ("windows", "audit", "audit_counts", "unplayed", "climbing", "near_misses", "hype", "lineage", "trend"):

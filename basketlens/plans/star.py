@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import STAR, EngineConfig
 from ..operators import actors, adoption, composition, departures, hype, ledger, novelty, outcome, subjects
-from ..session import settled
+from ..session import guarded, settled
 from ..sources import star
 from ..sources.store import Store, build, materialise
 
@@ -32,7 +32,7 @@ class StarRun:
     """One session's readings over one data directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: EngineConfig = STAR):
-        self.spark, self.sf_dir, self.cfg = spark, sf_dir, cfg
+        self.spark, self.sf_dir, self.cfg = guarded(spark), sf_dir, cfg
 
     def table(self, name: str) -> DataFrame:
         return star.table(self.spark, self.sf_dir, name)

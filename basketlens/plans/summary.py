@@ -1,5 +1,7 @@
 """Datasets of a run: the dossier of every item, and the sections of a summary."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from ..config import CHALLENGE, EngineConfig
 from ..functions.shares import tilt_shown
 from ..operators import composition, ledger, movement, reference
 from ..operators.scope import since, windows
+from ..sources import captures
 
 
 def dossier(read: DataFrame, flags: DataFrame, contrasts: DataFrame, cfg: EngineConfig) -> DataFrame:
@@ -46,7 +49,7 @@ def ratio_rows(baskets: DataFrame, cfg: EngineConfig) -> DataFrame:
     """The segment split as one row a day and stratum since the epoch start."""
     part = F.struct("segment", "share", "lists")
     return (
-        since(composition.segment_ratio(baskets), cfg.epoch_start)
+        composition.segment_ratio(since(baskets, cfg.epoch_start))
         .groupBy("date", "stratum")
         .agg(F.array_sort(F.collect_list(part)).alias("split"))
         .orderBy(F.desc("date"), "stratum")
@@ -96,31 +99,31 @@ def lineage_rows(flags: DataFrame, cfg: EngineConfig, segment: str) -> DataFrame
     )
 
 
-def sections(run, segment: str) -> dict[str, DataFrame]:
-    """Every dataset of one run's summary, by section name."""
+def sections(run, segment: str) -> dict[str, Callable[[], DataFrame]]:
+    """Every dataset of one run's summary, by section name, built when asked for."""
     cfg = run.cfg
-    newest = run.reference.join(
-        run.reference.groupBy("owner").agg(F.max("version").alias("version")), ["owner", "version"], "left_semi"
-    )
-    audit = reference.slots(newest, run.adoption, cfg)
-    lacking = reference.missing_core(newest, run.adoption, cfg)
+    newest = lambda: captures.current(run.reference)
+    audit = lambda: reference.slots(newest(), run.adoption, cfg)
+    lacking = lambda: reference.missing_core(newest(), run.adoption, cfg)
     return {
-        "windows": run_windows(run.baskets, cfg),
-        "audit": reference.playtest_queue(audit, lacking),
-        "audit_counts": audit_counts(audit, lacking),
-        "unplayed": reference.unplayed(newest, run.adoption, cfg),
-        "climbing": movement.climbing(run.adoption, run.fringe).where(
+        "windows": lambda: run_windows(run.baskets, cfg),
+        "audit": lambda: reference.playtest_queue(audit(), lacking()),
+        "audit_counts": lambda: audit_counts(audit(), lacking()),
+        "unplayed": lambda: reference.unplayed(newest(), run.adoption, cfg),
+        "climbing": lambda: movement.climbing(run.adoption, run.fringe).where(
             (F.col("segment") == segment) & (F.col("stratum") == CHALLENGE)
         ),
-        "near_misses": since(composition.near_misses(run.items, run.baskets, cfg), cfg.epoch_start),
-        "hype": hype_watchlist(run.ledger, cfg, segment),
-        "lineage": lineage_rows(run.ledger, cfg, segment),
-        "ratio": ratio_rows(run.baskets, cfg),
-        "trend": composition.share_trend(run.snapshots, cfg.share_cohort, cfg.share_window_days),
+        "near_misses": lambda: composition.near_misses(
+            since(run.items, cfg.epoch_start), since(run.baskets, cfg.epoch_start), cfg
+        ),
+        "hype": lambda: hype_watchlist(run.ledger, cfg, segment),
+        "lineage": lambda: lineage_rows(run.ledger, cfg, segment),
+        "ratio": lambda: ratio_rows(run.baskets, cfg),
+        "trend": lambda: composition.share_trend(run.snapshots, cfg.share_cohort, cfg.share_window_days),
     }
 
 
-def write_sections(datasets: dict[str, DataFrame], folder: str, run_date: str) -> None:
+def write_sections(datasets: dict[str, Callable[[], DataFrame]], folder: str, run_date: str) -> None:
     """One dataset a section under the run's own date."""
-    for name, frame in datasets.items():
-        frame.write.mode("overwrite").parquet(f"{folder}/{name}/run_date={run_date}")
+    for name, build in datasets.items():
+        build().write.mode("overwrite").parquet(f"{folder}/{name}/run_date={run_date}")

@@ -422,7 +422,7 @@ def _flags(prefix: str, kinds: tuple[str, ...]) -> str:
 _ident = """CASE kind WHEN 'hype' THEN concat_ws('~', kind, segment, item, qty_a, qty_b, raised_on) WHEN 'pet-tech' THEN concat_ws('~', kind, segment, item, qty_a, qty_b)
   WHEN 'breakthrough' THEN concat_ws('~', kind, actor, event, date) ELSE concat_ws('~', kind, segment, item) END"""
 CTES["c_flags"] = f"SELECT *, {_ident} AS id, 1 AS run FROM ({_flags('c', ('hype', 'fringe', 'pets', 'brk'))})"
-CTES["k_flags"] = f"SELECT *, {_ident} AS id, 0 AS run FROM ({_flags('k', ('hype', 'fringe'))})"
+CTES["k_flags"] = f"SELECT *, {_ident} AS id, 0 AS run FROM ({_flags('k', ('hype', 'fringe'))} UNION ALL BY NAME SELECT * FROM c_brk WHERE false)"
 CTES["c_ledger"] = f"""
 SELECT {FLAG_COLUMNS}, CASE WHEN old THEN DATE '{CUT}' ELSE (SELECT max(date) FROM c_lists) END AS first_seen FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY run DESC, list_id) AS rn, bool_or(run = 0) OVER (PARTITION BY id) AS old

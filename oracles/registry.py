@@ -114,7 +114,7 @@ ORACLES: dict[str, str] = {
     "s15_game_wins": query(f"SELECT match_id, player, count(*) AS wins FROM ({CONV_LOG}) WHERE won GROUP BY 1, 2"),
     "s15_cards_seen": query(f"SELECT DISTINCT match_id, player, card FROM ({CONV_LOG}) WHERE card IS NOT NULL"),
     "s17_weekly_sink": query(DENSE, "avg_copies"),
-    "s18_ledger_store": query(f"SELECT * REPLACE ('' AS actors) FROM (SELECT {FLAG_COLUMNS}, DATE '{CUT}' AS first_seen FROM (SELECT * FROM k_flags UNION ALL BY NAME SELECT * FROM c_flags WHERE false))", FLAG_F),
+    "s18_ledger_store": query(f"SELECT {FLAG_COLUMNS}, DATE '{CUT}' AS first_seen FROM (SELECT * FROM k_flags UNION ALL BY NAME SELECT * FROM c_flags WHERE false)", FLAG_F),
     "p1_cohort": query("SELECT list_id, cohort FROM c_lists"),
     "p2_segment": query("SELECT list_id, segment FROM c_lists WHERE member"),
     "p3_stratum": query("SELECT list_id, stratum FROM c_lists"),
@@ -217,7 +217,7 @@ ORACLES: dict[str, str] = {
     "d6_mode": query("SELECT list_id, mode FROM c_dep"),
     "d7_breakthroughs": query("SELECT * FROM c_brk"),
     "d8_follow_through": query("SELECT list_id, state, followers, adopted_item, needed FROM c_brk"),
-    "m1_ledger": query("SELECT * REPLACE (coalesce(actors, '') AS actors, coalesce(dissenters, '') AS dissenters) FROM c_ledger", FLAG_F),
+    "m1_ledger": query("SELECT * FROM c_ledger", FLAG_F),
     "m2_lineage": query("SELECT * FROM c_lineage"),
     "r1_slot_audit": query(SLOTS, SLOT_F),
     "r2_clocks": query(CLOCK),
