@@ -24,21 +24,23 @@ def held(cfg: EngineConfig) -> Column:
 
 
 def marks(items: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Per list: signature items held, copies of the divergence item, watch item.
+    """Per list: signature items held, copies of the divergence item, watch item,
+    and the typed total.
 
-    Lists holding none of the named items have no row. The filter on named items
-    runs before the shuffle, so only those rows move.
+    Lists holding nothing that counts have no row. The filter runs before the
+    shuffle, so only rows of named or typed items move.
     """
     named = sorted({*cfg.signature, cfg.watch_item, cfg.divergence_item})
     copies = held(cfg)
     has = copies > 0
     return (
-        items.where(F.col("item").isin(*named))
+        items.where(F.col("item").isin(*named) | (F.col("typed_a") > 0))
         .groupBy("list_id")
         .agg(
             F.count_if(has & F.col("item").isin(*cfg.signature)).alias("signature_held"),
             F.sum(F.when(F.col("item") == cfg.divergence_item, copies)).alias("divergence_copies"),
             F.coalesce(F.bool_or(has & (F.col("item") == cfg.watch_item)), F.lit(False)).alias("watched"),
+            F.sum("typed_a").cast("int").alias("typed_total"),
         )
     )
 
@@ -64,6 +66,7 @@ def classify(baskets: DataFrame, items: DataFrame, cfg: EngineConfig) -> DataFra
         finish_weights(baskets)
         .join(marks(items, cfg), "list_id", "left")
         .withColumn("member", member)
+        .withColumn("typed_total", F.coalesce("typed_total", F.lit(0)))
         .withColumn("near_miss", ~F.col("member") & F.coalesce("watched", F.lit(False)))
         .withColumn("cohort", F.when(F.col("member"), F.lit(cfg.cohort)))
         .withColumn("segment", F.when(F.col("member"), segment_of(F.col("divergence_copies"), cfg)))

@@ -89,7 +89,7 @@ def _(r):
 @reading("s5_item_counts")
 def _(r):
     cfg = replace(r.cfg, item_aliases=(("brand:Brand#25", "brand:Brand#24"),))
-    return stores.count_items(star.item_entries(r.spark, r.sf_dir), cfg)
+    return stores.count_items(star.item_entries(r.spark, r.sf_dir), cfg).drop("typed_a")
 
 
 @reading("s6_typed_totals")

@@ -13,21 +13,12 @@ from ..config import STAR, EngineConfig
 from ..operators import actors, adoption, composition, departures, hype, ledger, novelty, outcome, subjects
 from ..session import guarded, settled
 from ..sources import star
-from ..sources.store import Store, build, materialise
+from ..sources.store import Store, materialise
 
 # The earlier of the two runs the ledger is recorded over.
 EARLIER_RUN = "2001-01-28"
 
 
-def lazy_store(spark: SparkSession, sf_dir: str, cfg: EngineConfig = STAR) -> Store:
-    return build(
-        star.raw_baskets(spark, sf_dir),
-        star.item_entries(spark, sf_dir),
-        star.share_snapshots(spark, sf_dir, cfg),
-        cfg,
-    )
-
-
 class StarRun:
     """One session's readings over one data directory."""
 
@@ -39,7 +30,14 @@ class StarRun:
 
     @cached_property
     def store(self) -> Store:
-        return materialise(self.spark, lazy_store(self.spark, self.sf_dir, self.cfg))
+        """The store of this session, built at the first reading."""
+        return materialise(
+            self.spark,
+            star.raw_baskets(self.spark, self.sf_dir),
+            star.item_entries(self.spark, self.sf_dir),
+            star.share_snapshots(self.spark, self.sf_dir, self.cfg),
+            self.cfg,
+        )
 
     @property
     def baskets(self) -> DataFrame:

@@ -28,7 +28,8 @@ def count_items(entries: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Copies per list and canonical item name, a board each; an absent board is 0.
 
     Two printings of one item in a list are one item. The sums combine before
-    the shuffle, so a list of any size moves one row per item and task.
+    the shuffle, so a list of any size moves one row per item and task. Board-a
+    copies of the configured type ride along for the list's total.
     """
     on_a = F.col("board") == "a"
     return (
@@ -37,6 +38,7 @@ def count_items(entries: DataFrame, cfg: EngineConfig) -> DataFrame:
         .agg(
             F.coalesce(F.sum(F.when(on_a, F.col("qty"))), F.lit(0)).cast("int").alias("qty_a"),
             F.coalesce(F.sum(F.when(~on_a, F.col("qty"))), F.lit(0)).cast("int").alias("qty_b"),
+            F.coalesce(F.sum(F.when(on_a & is_typed(cfg), F.col("qty"))), F.lit(0)).cast("int").alias("typed_a"),
         )
     )
 
@@ -63,41 +65,35 @@ def typed_items(entries: DataFrame, cfg: EngineConfig) -> DataFrame:
     )
 
 
-def with_totals(baskets: DataFrame, entries: DataFrame, cfg: EngineConfig) -> DataFrame:
-    return baskets.join(typed_totals(entries, cfg), "list_id", "left").withColumn(
-        "typed_total", F.coalesce("typed_total", F.lit(0))
-    )
+def clustered(frame: DataFrame) -> DataFrame:
+    return frame.repartitionByRange("date", "list_id").sortWithinPartitions("date", "list_id")
 
 
-def build(baskets: DataFrame, entries: DataFrame, snapshots: DataFrame, cfg: EngineConfig) -> Store:
-    """The store as a lazy plan over raw lists and entries."""
-    counted = count_items(entries, cfg)
-    listed = classify(with_totals(baskets, entries, cfg), counted, cfg)
-    return Store(listed, attach(counted, listed), snapshots, cfg)
+def build(
+    baskets: DataFrame, entries: DataFrame, snapshots: DataFrame, cfg: EngineConfig, root: str | None = None
+) -> Store:
+    """The store over raw lists and entries.
 
+    Given a root each table is written there as soon as it stands, under a new
+    version directory: entries are read once however often their counts are, a
+    lost executor re-reads files, and no reader sees half a store. Without one
+    the store is a lazy plan.
+    """
 
-def _clustered(frame: DataFrame) -> DataFrame:
-    return frame.repartitionByRange("date", "list_id").sortWithinPartitions("date", "list_id")
+    def keep(frame: DataFrame, name: str, by_day: bool = False) -> DataFrame:
+        if root is None:
+            return frame
+        (clustered(frame) if by_day else frame).write.parquet(f"{root}/{name}")
+        return frame.sparkSession.read.parquet(f"{root}/{name}")
 
+    counted = keep(count_items(entries, cfg), "counted")
+    listed = keep(classify(baskets, counted, cfg), "baskets", by_day=True)
+    items = keep(attach(counted.drop("typed_a"), listed), "basket_items", by_day=True)
+    return Store(listed, items, keep(snapshots, "share_snapshots"), cfg)
 
-def materialise(spark: SparkSession, lazy: Store, name: str = "store") -> Store:
-    """Write the store to the shared folder and serve it from there.
 
-    A new version directory per build: readers of an older one are undisturbed
-    and nobody sees a half-written table. Without a shared folder the lazy plan
-    is served as it is.
-    """
-    root = fresh_path(spark, name)
-    if root is None:
-        return lazy
-    _clustered(lazy.baskets).write.parquet(f"{root}/baskets")
-    baskets = spark.read.parquet(f"{root}/baskets")
-    counted = lazy.items.select("list_id", "item", "qty_a", "qty_b")
-    _clustered(attach(counted, baskets)).write.parquet(f"{root}/basket_items")
-    lazy.snapshots.write.parquet(f"{root}/share_snapshots")
-    return Store(
-        baskets,
-        spark.read.parquet(f"{root}/basket_items"),
-        spark.read.parquet(f"{root}/share_snapshots"),
-        lazy.cfg,
-    )
+def materialise(
+    spark: SparkSession, baskets: DataFrame, entries: DataFrame, snapshots: DataFrame, cfg: EngineConfig
+) -> Store:
+    """The store written to the session's shared folder, or lazy where it names none."""
+    return build(baskets, entries, snapshots, cfg, fresh_path(spark, "store"))
