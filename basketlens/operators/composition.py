@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CHALLENGE, LEAGUE, EngineConfig
+from ..functions.frames import stacked
 from ..functions.shares import cap_effect, epoch_label, finish_label, share
 from .scope import held
 
@@ -135,7 +136,7 @@ def share_as_of(days: DataFrame, snapshots: DataFrame, cohort: str, window_days:
     asked = days.select(F.col("day")).distinct().withColumn("asked", F.lit(True))
     carried = Window.partitionBy(F.lit(cohort)).orderBy("day", "asked")
     return (
-        readings.unionByName(asked, allowMissingColumns=True)
+        stacked(readings, asked)
         .withColumn("stood", F.last("reading", ignorenulls=True).over(carried))
         .where("asked")
         .select("day", "stood.captured_on", "stood.window_days", "stood.share", "stood.deck_count")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..functions.frames import stacked
 from ..functions.shares import finished, share
 from ..session import settled
 from .actors import debuts, first_registrations
@@ -94,8 +95,9 @@ def candidates(items: DataFrame, baskets: DataFrame, cfg: EngineConfig) -> DataF
     tally = settled(item_tally(facts), "item-tally")
     core = core_days(tally, sizes, cfg)
     novel = novel_days(tally, sizes, novelty(items, baskets, cfg), cfg)
-    outlying = novel.withColumn("is_core", F.lit(False)).unionByName(
-        core.withColumn("introduced", F.lit(False)).withColumn("is_core", F.lit(True))
+    outlying = stacked(
+        novel.withColumn("is_core", F.lit(False)),
+        core.withColumn("introduced", F.lit(False)).withColumn("is_core", F.lit(True)),
     )
     held = F.struct("item", "qty_a", "qty_b")
     touched = (
@@ -170,7 +172,7 @@ def standing_intervals(intervals: DataFrame, probes: DataFrame, *keys: str) -> D
     )
     asked = probes.select(*keys, "date").distinct().withColumn("asked", F.lit(True))
     daily = (
-        steps.unionByName(asked, allowMissingColumns=True)
+        stacked(steps, asked)
         .groupBy(*keys, "date")
         .agg(F.coalesce(F.sum("step"), F.lit(0)).alias("step"), F.max("asked").alias("asked"))
     )

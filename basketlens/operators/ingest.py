@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..functions.frames import stacked
 
 INDEX_COLUMNS = ("date", "event_id", "event_class", "actor", "placement", "points")
 
@@ -41,9 +42,8 @@ def summary(added: DataFrame, withdrawn: DataFrame, ours: DataFrame) -> DataFram
         withdrawn.select(F.lit("withdrawn").alias("part"), "event_id"),
         ours.select(F.lit("cohort").alias("part"), "event_id"),
     ]
-    stacked = parts[0].unionByName(parts[1]).unionByName(parts[2])
     of = lambda name: F.col("part") == name
-    return stacked.agg(
+    return stacked(*parts).agg(
         F.count_if(of("added")).alias("added"),
         F.countDistinct(F.when(of("added"), F.col("event_id"))).alias("events"),
         F.count_if(of("cohort")).alias("cohort_added"),
@@ -71,7 +71,7 @@ def to_refresh(published: DataFrame, held: DataFrame, today, cfg: EngineConfig)
     gaps = published.where(F.col("date") < F.date_sub(end, cfg.unsettled_days)).join(
         held.select("event_id").distinct(), "event_id", "left_anti"
     )
-    return unsettled.unionByName(gaps.select(*published.columns))
+    return stacked(unsettled, gaps.select(*published.columns))
 
 
 def write_index(index: DataFrame, path: str) -> None:

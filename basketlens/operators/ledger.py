@@ -5,13 +5,12 @@ the ledger is the memory, so a flag keeps the day it was first seen and is kept
 after the store stops raising it.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.dates import first_weekend_after
+from ..functions.frames import stacked
 from ..session import fresh_path
 
 SLOT = "struct<item:string,qty_a:int,qty_b:int>"
@@ -49,10 +48,8 @@ def empty(spark: SparkSession) -> DataFrame:
 
 def unified(flags: list[DataFrame]) -> DataFrame:
     """Every kind of flag in the one ledger shape."""
-    stacked = reduce(lambda one, two: one.unionByName(two, allowMissingColumns=True), flags)
-    spark = stacked.sparkSession
-    shaped = empty(spark).unionByName(stacked, allowMissingColumns=True)
-    return shaped.select(*[F.col(f.name) for f in empty(spark).schema])
+    shape = empty(flags[0].sparkSession)
+    return stacked(shape, *flags).select(*shape.columns)
 
 
 def detect(items: DataFrame, baskets: DataFrame, cfg: EngineConfig) -> DataFrame:
@@ -86,7 +83,7 @@ def merge(standing: DataFrame, detected: DataFrame, today) -> DataFrame:
     new = detected.select(*columns, F.lit(None).cast("date").alias("first_seen"), F.lit(1).alias("run"))
     latest = F.struct("run", (-F.coalesce("list_id", F.lit(0))).alias("smaller"))
     return (
-        old.unionByName(new)
+        stacked(old, new)
         .groupBy(identity().alias("flag_id"))
         .agg(
             F.max_by(F.struct(*columns), latest).alias("flag"),

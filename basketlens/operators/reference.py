@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CHALLENGE, EngineConfig
+from ..functions.frames import stacked
 from ..functions.shares import segment_of, share
 from .adoption import by_item
 from .scope import held
@@ -160,7 +161,7 @@ def playtest_queue(audit: DataFrame, lacking: DataFrame) -> DataFrame:
     a slot nothing was said about comes before a noted one."""
     noted = F.coalesce(F.col("note"), F.lit("")) != ""
     return (
-        audit.unionByName(lacking)
+        stacked(audit, lacking)
         .where(~F.col("core"))
         .withColumn("noted", noted)
         .orderBy("owner", "version", "confidence", "noted", "item")

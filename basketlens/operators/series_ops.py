@@ -7,10 +7,9 @@ from ..config import EngineConfig
 
 
 def day_order(lists: DataFrame) -> DataFrame:
-    """Lists of a day in a stable order: by actor, then list. Placed inside the
-    day, so one day is sorted at a time and never the history in one task."""
-    day = Window.partitionBy("date").orderBy("actor", "list_id")
-    return lists.select("list_id", "date", "actor", F.row_number().over(day).alias("place"))
+    """Lists by day, then actor, then list. The order is total, so the sort cuts
+    even one crowded day into ranges."""
+    return lists.select("list_id", "date", "actor").orderBy("date", "actor", "list_id")
 
 
 def both_ends(read: DataFrame, cfg: EngineConfig) -> DataFrame:

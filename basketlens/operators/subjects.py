@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CHALLENGE, EngineConfig
+from ..functions.frames import stacked
 from .composition import share_as_of
 
 TOTAL_SUBJECT = "lands"
@@ -26,8 +27,9 @@ def readings(subjects: DataFrame, read: DataFrame, totals: DataFrame, segment: s
     kept = ["configuration", "fresh_population", "fresh_adoption", "fresh_tilt", "delta"]
     of_items = _fresh(read, segment).withColumn("configuration", F.concat_ws("/", "qty_a", "qty_b"))
     of_total = _fresh(totals, segment).withColumn("configuration", F.col("typed_total").cast("string"))
-    spoken = of_items.select(F.col("item").alias("subject"), *kept).unionByName(
-        of_total.select(F.lit(TOTAL_SUBJECT).alias("subject"), *kept)
+    spoken = stacked(
+        of_items.select(F.col("item").alias("subject"), *kept),
+        of_total.select(F.lit(TOTAL_SUBJECT).alias("subject"), *kept),
     )
     return subjects.join(spoken, "subject").select(
         "hypothesis_id", "subject", "configuration",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, MapType, StructType
 
 from ..config import CHALLENGE, LEAGUE
+from ..functions.frames import stacked
 from ..functions.shares import (
     epoch_label, finish_label, finished, resolve_alias, stratum, tilt_shown,
 )
@@ -623,7 +624,7 @@ def _(r):
 @reading("d9_index_difference")
 def _(r):
     added, withdrawn = _diff(r)
-    return added.withColumn("change", F.lit("added")).unionByName(withdrawn.withColumn("change", F.lit("withdrawn")))
+    return stacked(added.withColumn("change", F.lit("added")), withdrawn.withColumn("change", F.lit("withdrawn")))
 
 
 @reading("u1_flag_union")
@@ -641,7 +642,7 @@ def _(r):
 def _(r):
     weeks = weekly.panel_weeks(_binned(r)).select(F.lit("week").alias("what"), F.col("week").cast("string").alias("value"))
     pool = r.pool.select(F.lit("item").alias("what"), F.col("item").alias("value"))
-    return weeks.unionByName(pool).distinct()
+    return stacked(weeks, pool).distinct()
 
 
 # ---- Detectors ----------------------------------------------------------------------

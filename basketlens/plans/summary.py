@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CHALLENGE, EngineConfig
+from ..functions.frames import stacked
 from ..functions.shares import tilt_shown
 from ..operators import composition, ledger, movement, reference
 from ..operators.scope import since, windows
@@ -59,8 +60,7 @@ def ratio_rows(baskets: DataFrame, cfg: EngineConfig) -> DataFrame:
 def audit_counts(audit: DataFrame, lacking: DataFrame) -> DataFrame:
     """Core, flex and missing slots of every audited basket."""
     return (
-        audit.select("owner", "version", "core", "missing")
-        .unionByName(lacking.select("owner", "version", "core", "missing"))
+        stacked(audit.select("owner", "version", "core", "missing"), lacking.select("owner", "version", "core", "missing"))
         .groupBy("owner", "version")
         .agg(
             F.count_if("core").alias("core"),

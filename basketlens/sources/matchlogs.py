@@ -5,7 +5,7 @@ safe left edge of a login. Logs are read as `(match_id, part, value)`, so one
 log may lie over any number of rows.
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # How a log embeds its events.
@@ -54,10 +54,15 @@ def winners(found: DataFrame) -> DataFrame:
         .agg(F.min_by(F.struct("player", "told"), at).alias("told"))
         .select("match_id", F.col("told.player").alias("explicit"), F.col("told.told").alias("score"))
     )
-    won = Window.partitionBy("match_id", "player").orderBy("part", "at")
+    # A player's second win is the first one after the first: two minima, so no
+    # log's events are ever sorted in one task.
+    wins = found.where("kind = 'win'").select("match_id", "player", at.alias("at"))
+    opened = wins.groupBy("match_id", "player").agg(F.min("at").alias("opened"))
     second = (
-        found.where("kind = 'win'").withColumn("nth", F.row_number().over(won)).where("nth = 2")
-        .groupBy("match_id").agg(F.min_by("player", at).alias("inferred"))
+        wins.join(opened, ["match_id", "player"])
+        .where(F.col("at") > F.col("opened"))
+        .groupBy("match_id")
+        .agg(F.min_by("player", "at").alias("inferred"))
     )
     return told.join(second, "match_id", "full_outer").select(
         "match_id", F.coalesce("explicit", "inferred").alias("winner"), "score"

@@ -9,7 +9,7 @@ arrive as text.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import EngineConfig, LEAGUE
+from ..config import EngineConfig
 from ..functions.dates import strict_date
 from .store import Store, build
 
@@ -60,11 +60,12 @@ def event_class(site_name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(site_name, DATED_SUFFIX, ""), r"^[^-]*-", "")
 
 
-def finish_order(payload: DataFrame) -> Column:
+def finish_order() -> Column:
     """The final ranking where one was published, else the Swiss standings."""
-    swiss = F.transform("standings", lambda row: F.struct(row["loginid"].alias("loginid"), row["rank"].alias("rank")))
-    return F.when(F.size(F.coalesce("final_rank", F.array().cast("array<struct<loginid:string,rank:string>>"))) > 0,
-                  F.col("final_rank")).otherwise(swiss)
+    placed = lambda row: F.struct(row["loginid"].alias("loginid"), row["rank"].alias("rank"))
+    return F.when(F.size("final_rank") > 0, F.transform("final_rank", placed)).otherwise(
+        F.transform("standings", placed)
+    )
 
 
 def list_key(site_name: str = "site_name", pos: str = "pos") -> Column:
@@ -89,25 +90,32 @@ def listed(payloads: DataFrame) -> DataFrame:
 def standings(payloads: DataFrame) -> DataFrame:
     """Placement, points and record of every login an event ranked.
 
-    The three arrays are matched by login in one aggregation. A login an array
-    names twice keeps the row it names last.
+    The three arrays are laid end to end and matched by login in one
+    aggregation. A login an array names twice keeps the row it names last.
     """
-    parts = payloads.where(F.col("standings").isNotNull())
     none = F.lit(None).cast("string")
 
-    def laid(rows, placement, points, record):
-        return parts.select(F.col("site_name").alias("event_id"), F.posexplode(rows).alias("at", "row")).select(
-            "event_id", F.col("row.loginid").alias("loginid"), "at",
-            placement.alias("placement"), points.alias("points"), record.alias("record"),
+    def told(row, placement=none, points=none, record=none):
+        return F.struct(
+            row["loginid"].alias("loginid"), placement.alias("placement"), points.alias("points"), record.alias("record")
         )
 
-    stacked = (
-        laid(finish_order(parts), F.col("row.rank"), none, none)
-        .unionByName(laid(F.col("standings"), none, F.col("row.score"), none))
-        .unionByName(laid(F.col("winloss"), none, none, F.concat_ws("-", "row.wins", "row.losses")))
+    laid = F.concat(
+        F.transform(finish_order(), lambda row: told(row, placement=row["rank"])),
+        F.transform("standings", lambda row: told(row, points=row["score"])),
+        F.transform(
+            F.coalesce("winloss", F.array().cast("array<struct<loginid:string,wins:string,losses:string>>")),
+            lambda row: told(row, record=F.concat_ws("-", row["wins"], row["losses"])),
+        ),
+    )
+    rows = (
+        payloads.where(F.col("standings").isNotNull())
+        .select(F.col("site_name").alias("event_id"), laid.alias("rows"))
+        .select("event_id", F.posexplode("rows").alias("at", "row"))
+        .select("event_id", "at", "row.*")
     )
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at")))
-    return stacked.groupBy("event_id", "loginid").agg(
+    return rows.groupBy("event_id", "loginid").agg(
         last("placement").cast("int").alias("placement"),
         last("points").cast("int").alias("points"),
         last("record").alias("record"),
@@ -156,7 +164,3 @@ def store(spark: SparkSession, folder: str, snapshots: DataFrame, cfg: EngineCon
     """The store over a folder of payloads, rebuilt whole from them."""
     payloads = first_copies(scan(spark, folder))
     return build(baskets(payloads), entries(payloads), snapshots, cfg)
-
-
-def is_league(site_name: Column) -> Column:
-    return event_class(site_name) == LEAGUE

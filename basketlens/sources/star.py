@@ -12,7 +12,10 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import EngineConfig, LEAGUE
+from ..config import LEAGUE, EngineConfig
+from ..functions.dates import week_end
+from ..functions.frames import stacked
+from ..functions.shares import resolve_alias, share
 
 LEAGUE_PRIORITIES = ("5-LOW", "4-NOT SPECIFIED", "3-MEDIUM")
 POINTS_STEP = 50_000
@@ -69,7 +72,7 @@ def raw_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     challenge = ranked_in_event(lists.where(F.col("event_class") != LEAGUE), buckets).withColumn(
         "points", (3 * F.floor(F.col("price") / POINTS_STEP)).cast("int")
     )
-    ranked = lists.where(F.col("event_class") == LEAGUE).unionByName(challenge, allowMissingColumns=True)
+    ranked = stacked(lists.where(F.col("event_class") == LEAGUE), challenge)
     return ranked.withColumn("record", F.when(F.col("status") == "F", F.lit("5-0"))).drop("price")
 
 
@@ -99,9 +102,6 @@ def item_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def share_snapshots(spark: SparkSession, sf_dir: str, cfg: EngineConfig) -> DataFrame:
     """Dated shares of every event type: one reading a day over one day, and one
     each Sunday over the week it closes. The two lengths are never pooled."""
-    from ..functions.dates import week_end
-    from ..functions.shares import resolve_alias, share
-
     seen = table(spark, sf_dir, "events").select(
         F.to_date("ts").alias("day"),
         resolve_alias(F.col("event_type"), cfg.share_aliases).alias("cohort"),

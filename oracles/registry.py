@@ -201,7 +201,7 @@ ORACLES: dict[str, str] = {
       WHERE from_top <= {C.substitution_ends} OR from_bottom <= {C.substitution_ends}""", "on_it elsewhere difference"),
     "t4_named_arrivals": query(f"""SELECT *, greatest(0, (SELECT count(*) FROM ({ARRIVED})) - {C.named_arrivals}) AS and_more FROM (
       {ARRIVED} ORDER BY date DESC, placement NULLS LAST, actor, list_id LIMIT {C.named_arrivals})"""),
-    "t5_day_order": query("SELECT list_id, date, actor, row_number() OVER (PARTITION BY date ORDER BY actor, list_id) AS place FROM c_lists WHERE member"),
+    "t5_day_order": query("SELECT list_id, date, actor FROM c_lists WHERE member"),
     "d9_index_difference": query(f"SELECT *, 'added' AS change FROM {ADDED} UNION ALL SELECT *, 'withdrawn' FROM {GONE}"),
     "u1_flag_union": query("SELECT kind, segment, count(*) AS flags FROM c_flags GROUP BY 1, 2"),
     "u2_history": query("SELECT list_id, actor, date, member, segment FROM c_hist"),
