@@ -28,13 +28,11 @@ def proven_actors(baskets: DataFrame, cfg: EngineConfig) -> DataFrame:
 
 
 def pet_items(items: DataFrame, baskets: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Configurations registered often, by one or two actors only.
+    """Configurations registered often, by very few actors.
 
-    Two actors fit in a minimum and a maximum, so no list of actors is ever
-    gathered for a configuration the whole field plays.
+    Counts alone find them, so the actors are looked up only for configurations
+    that have so few, and none is gathered for one the whole field plays.
     """
-    if cfg.pet_actors > 2:
-        raise ValueError("a pet item is read for at most two actors")
     per_actor = (
         cohort_since_epoch(items, cfg)
         .where(F.col("segment").isin(*cfg.segment_names))
@@ -45,41 +43,30 @@ def pet_items(items: DataFrame, baskets: DataFrame, cfg: EngineConfig) -> DataFr
             F.min("date").alias("since"),
         )
     )
-    owner = F.struct("actor", "finishes")
     pets = (
         per_actor.groupBy(*KEY)
-        .agg(
-            F.sum("lists").alias("appearances"),
-            F.count("*").alias("actor_count"),
-            F.min("since").alias("appeared_on"),
-            F.min(owner).alias("one"),
-            F.max(owner).alias("other"),
-        )
-        .where(
-            (F.col("appearances") >= cfg.pet_appearances) & (F.col("actor_count") <= cfg.pet_actors)
-        )
-        .withColumn("owners", F.array_distinct(F.array("one", "other")))
+        .agg(F.sum("lists").alias("appearances"), F.count("*").alias("owners"), F.min("since").alias("appeared_on"))
+        .where((F.col("appearances") >= cfg.pet_appearances) & (F.col("owners") <= cfg.pet_actors))
+        .drop("owners")
     )
     proven = proven_actors(baskets, cfg).select("actor", F.lit(True).alias("is_proven"))
-    dissent = F.struct("actor", "finishes")
+    dissents = F.coalesce(F.col("is_proven") & (F.col("finishes") > 0), F.lit(False))
     told = (
-        pets.select(*KEY, "appearances", "appeared_on", "owners", F.explode("owners").alias("owner"))
-        .select("*", "owner.actor", "owner.finishes")
+        per_actor.select(*KEY, "actor", "finishes")
+        .join(pets, list(KEY))
         .join(proven, "actor", "left")
-        .withColumn("dissents", F.coalesce(F.col("is_proven") & (F.col("finishes") > 0), F.lit(False)))
+        .withColumn("dissents", dissents)
     )
     return (
-        told.groupBy(*KEY, "appearances", "appeared_on", "owners")
+        told.groupBy(*KEY, "appearances", "appeared_on")
         .agg(
-            F.array_sort(F.collect_list(F.when(F.col("dissents"), dissent))).alias("dissenters"),
-            F.coalesce(
-                F.bool_or(F.col("dissents") & (F.col("finishes") >= cfg.proven_finishes)), F.lit(False)
-            ).alias("hypothesis_candidate"),
+            F.array_sort(F.collect_list("actor")).alias("actors"),
+            F.array_sort(F.collect_list(F.when(F.col("dissents"), F.struct("actor", "finishes")))).alias("dissenters"),
+            F.bool_or(F.col("dissents") & (F.col("finishes") >= cfg.proven_finishes)).alias("hypothesis_candidate"),
         )
         .select(
-            F.lit("pet-tech").alias("kind"), *KEY, "appearances",
-            F.array_sort(F.transform("owners", lambda owner: owner["actor"])).alias("actors"),
-            "appeared_on", "dissenters", "hypothesis_candidate",
+            F.lit("pet-tech").alias("kind"), *KEY, "appearances", "actors", "appeared_on", "dissenters",
+            "hypothesis_candidate",
         )
     )
 

@@ -14,7 +14,8 @@ from ..functions.frames import stacked
 from ..functions.shares import finished, share
 from ..session import settled
 from .actors import debuts, first_registrations
-from .novelty import before_day, day_number, history, novelty
+from .novelty import before_day, history, novelty
+from .scope import day_number
 
 
 PLACE = ("against", "stratum")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..config import CHALLENGE, LEAGUE, EngineConfig
 from ..functions.dates import is_weekend, sundays_reached
 from ..functions.shares import share
-from .scope import last_day, since
+from ..session import settled
+from .scope import day_number, last_day, since
 
 KEY = ("segment", "item", "qty_a", "qty_b")
 ROLES = ("before", "now", "after")
@@ -31,14 +32,23 @@ def cohort_since_epoch(frame: DataFrame, cfg: EngineConfig) -> DataFrame:
     return since(frame, cfg.epoch_start).where("member")
 
 
+def visible(cfg: EngineConfig) -> Column:
+    """Whether a finish is one the field would have seen."""
+    return (F.col("stratum") == CHALLENGE) & (F.col("placement") <= cfg.hype_origin_placement)
+
+
+def finish_rank() -> Column:
+    """Finishes in order, best placement first and then the earlier day, as one
+    number: a number aggregates by hash where a struct would sort every fact."""
+    return F.col("placement").cast("bigint") * 1_000_000 + day_number()
+
+
 def day_tally(items: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Per configuration and day: lists by stratum, finish weight, best finish."""
-    seen = (F.col("stratum") == CHALLENGE) & (F.col("placement") <= cfg.hype_origin_placement)
-    finish = F.struct("placement", "date", "actor", "list_id", "event")
     return (
         cohort_since_epoch(items, cfg)
         .groupBy(*KEY, "date")
-        .agg(*_counts(), F.min(F.when(seen, finish)).alias("best"))
+        .agg(*_counts(), F.min(F.when(visible(cfg), finish_rank())).alias("best"))
     )
 
 
@@ -116,6 +126,25 @@ def spikes(items: DataFrame, baskets: DataFrame, cfg: EngineConfig) -> DataFrame
     )
 
 
+def with_origins(found: DataFrame, items: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Spikes with the finish behind each, ties to the smaller actor and list.
+
+    Only the few rows a spike points at are looked up among the facts.
+    """
+    finishes = cohort_since_epoch(items, cfg).where(visible(cfg)).select(
+        *KEY, finish_rank().alias("origin"), F.struct("actor", "list_id", "event", "date", "placement").alias("finish")
+    )
+    first = (
+        found.select(*KEY, "end", "origin")
+        .join(finishes, [*KEY, "origin"])
+        .groupBy(*KEY, "end")
+        .agg(F.min("finish").alias("finish"))
+    )
+    return found.join(first, [*KEY, "end"]).select(
+        *found.columns, *[F.col(f"finish.{c}").alias(f"origin_{c}") for c in ("actor", "event", "date", "placement")]
+    )
+
+
 def accepted(found: DataFrame, keys: tuple[str, ...], day: str, deaf_days: int) -> DataFrame:
     """Greedy suppression: after an accepted row its key is deaf for some days.
 
@@ -167,7 +196,8 @@ def _tilt(role: str) -> Column:
 
 def hype(items: DataFrame, baskets: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Every episode since the epoch start, with its verdict and its standing."""
-    episodes = accepted(spikes(items, baskets, cfg), KEY, "end", cfg.hype_window_days)
+    kept = accepted(spikes(items, baskets, cfg), KEY, "end", cfg.hype_window_days)
+    episodes = with_origins(settled(kept, "episodes"), items, cfg)
     read = (
         episodes.join(F.broadcast(maturities(baskets, cfg)), "end", "left")
         .join(standing(items, baskets, cfg), list(KEY), "left")
@@ -192,8 +222,7 @@ def hype(items: DataFrame, baskets: DataFrame, cfg: EngineConfig) -> DataFrame:
     return read.select(
         F.lit("hype").alias("kind"), *KEY, F.col("end").alias("raised_on"),
         "from_adoption", "to_adoption", F.col("of_now_league").alias("population"),
-        F.col("origin.actor").alias("origin_actor"), F.col("origin.event").alias("origin_event"),
-        F.col("origin.date").alias("origin_date"), F.col("origin.placement").alias("origin_placement"),
+        "origin_actor", "origin_event", "origin_date", "origin_placement",
         _tilt("now").alias("tilt"), before.alias("challenge_before"),
         state.alias("state"),
         F.when(matured, share(F.col("after_league"), F.col("of_after_league"))).alias("league_after"),

@@ -9,14 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.shares import share
-from .scope import last_day, since
-
-EPOCH_DAY = "1970-01-01"
-
-
-def day_number(day="date"):
-    return F.datediff(F.col(day), F.lit(EPOCH_DAY).cast("date"))
-
+from .scope import day_number, last_day, since
 
 def before_day(*keys: str):
     """Everything of a key on strictly earlier days."""

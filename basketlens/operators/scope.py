@@ -114,6 +114,11 @@ def since(frame: DataFrame, start: str) -> DataFrame:
     return frame.where(F.col("date") >= F.lit(start).cast("date"))
 
 
+def day_number(day="date") -> Column:
+    """Days since the first of 1970, so that frames can range over days."""
+    return F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
+
+
 def last_day(frame: DataFrame) -> Column:
     """The last day a frame holds, as a scalar subquery."""
     return frame.agg(F.max("date")).scalar()

@@ -83,7 +83,7 @@ def _(r):
 
 @reading("s4_event_class")
 def _(r):
-    sites = derived.site_names(r.baskets, r.table("orders"))
+    sites = derived.site_names(r.table("orders"))
     return sites.select("list_id", payload.event_class(F.col("site_name")).alias("event_class"))
 
 
@@ -384,18 +384,9 @@ def _(r):
     return subjects.flagged(r.subjects, r.ledger, SEGMENT)
 
 
-def _binned(r):
-    return weekly.binned_lists(r.items, r.baskets, r.cfg)
-
-
-def _averages(r):
-    typed = stores.typed_items(star.item_entries(r.spark, r.sf_dir), r.cfg)
-    return weekly.weekly_averages(r.items, _binned(r), typed, r.cfg)
-
-
 def _dense(r):
-    averages, weeks = _averages(r), weekly.panel_weeks(_binned(r))
-    return weekly.densify(averages, weeks, weekly.movers(averages, weeks, r.cfg))
+    weeks = weekly.panel_weeks(r.binned)
+    return weekly.densify(r.weekly_averages, weeks, weekly.movers(r.weekly_averages, weeks, r.cfg))
 
 
 @reading("j17_densify")
@@ -417,12 +408,12 @@ def _(r):
 
 @reading("a3_adoption")
 def _(r):
-    return r.adoption
+    return adoption.adoption(r.items, r.baskets, r.cfg)
 
 
 @reading("a4_totals")
 def _(r):
-    return r.totals
+    return adoption.totals(r.baskets, r.cfg)
 
 
 @reading("a5_conversion_gap")
@@ -508,17 +499,17 @@ def _(r):
 
 @reading("a20_weekly_averages")
 def _(r):
-    return _averages(r)
+    return r.weekly_averages
 
 
 @reading("a21_movers")
 def _(r):
-    return weekly.movers(_averages(r), weekly.panel_weeks(_binned(r)), r.cfg)
+    return weekly.movers(r.weekly_averages, weekly.panel_weeks(r.binned), r.cfg)
 
 
 @reading("a22_dropped_lists")
 def _(r):
-    return weekly.dropped_lists(_binned(r))
+    return weekly.dropped_lists(r.binned)
 
 
 @reading("a23_match_record")
@@ -562,10 +553,8 @@ def _(r):
 
 @reading("w5_origin_finish")
 def _(r):
-    return hype.spikes(r.items, r.baskets, r.cfg).select(
-        *hype.KEY, "end", F.col("origin.actor").alias("origin_actor"), F.col("origin.date").alias("origin_date"),
-        F.col("origin.placement").alias("origin_placement"),
-    )
+    found = hype.spikes(r.items, r.baskets, r.cfg).select(*hype.KEY, "end", "origin")
+    return hype.with_origins(found, r.items, r.cfg).drop("origin", "origin_event")
 
 
 @reading("w6_episodes")
@@ -640,7 +629,7 @@ def _(r):
 
 @reading("u3_distincts")
 def _(r):
-    weeks = weekly.panel_weeks(_binned(r)).select(F.lit("week").alias("what"), F.col("week").cast("string").alias("value"))
+    weeks = weekly.panel_weeks(r.binned).select(F.lit("week").alias("what"), F.col("week").cast("string").alias("value"))
     pool = r.pool.select(F.lit("item").alias("what"), F.col("item").alias("value"))
     return stacked(weeks, pool).distinct()
 

@@ -8,17 +8,16 @@ from ..sources import payload, star
 from ..streaming import arrivals
 
 
-def site_names(baskets: DataFrame, orders: DataFrame) -> DataFrame:
+def site_names(orders: DataFrame) -> DataFrame:
     """An event id per list in the published form: format, kind, day and number."""
     kind = F.when(F.col("o_orderpriority").isin(*star.LEAGUE_PRIORITIES), F.lit("league")).otherwise(
         F.lower("o_orderpriority")
     )
-    named = orders.select(
+    return orders.select(
         F.col("o_orderkey").alias("list_id"),
         F.concat(F.lit("basket-"), kind, F.lit("-"), F.date_format("o_orderdate", "yyyy-MM-dd"),
                  F.col("o_orderkey").cast("string")).alias("site_name"),
     )
-    return baskets.select("list_id").join(named, "list_id")
 
 
 def with_status(run, *states: str) -> DataFrame:
@@ -72,7 +71,7 @@ def documents(run) -> DataFrame:
     )
     filed = F.array(F.concat(F.lit("one/"), "site_name"), F.concat(F.lit("two/"), "site_name")).alias("paths")
     return (
-        run.baskets.join(site_names(run.baskets, run.table("orders")), "list_id")
+        run.baskets.join(site_names(run.table("orders")), "list_id")
         .join(boards, "list_id", "left")
         .select(text.alias("value"), filed)
         .select(F.explode("paths").alias("path"), "value")

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import STAR, EngineConfig
-from ..operators import actors, adoption, composition, departures, hype, ledger, novelty, outcome, subjects
+from ..operators import (
+    actors, adoption, composition, departures, hype, ledger, novelty, outcome, subjects, weekly,
+)
 from ..session import guarded, settled
 from ..sources import star
-from ..sources.store import Store, materialise
+from ..sources.store import Store, materialise, typed_items
 
 # The earlier of the two runs the ledger is recorded over.
 EARLIER_RUN = "2001-01-28"
@@ -53,11 +55,11 @@ class StarRun:
 
     @cached_property
     def adoption(self) -> DataFrame:
-        return adoption.adoption(self.items, self.baskets, self.cfg)
+        return settled(adoption.adoption(self.items, self.baskets, self.cfg), "adoption")
 
     @cached_property
     def totals(self) -> DataFrame:
-        return adoption.totals(self.baskets, self.cfg)
+        return settled(adoption.totals(self.baskets, self.cfg), "totals")
 
     @cached_property
     def hype(self) -> DataFrame:
@@ -86,7 +88,16 @@ class StarRun:
 
     @cached_property
     def contrasts(self) -> DataFrame:
-        return outcome.contrasts(self.items, self.baskets, self.cfg)
+        return settled(outcome.contrasts(self.items, self.baskets, self.cfg), "contrasts")
+
+    @cached_property
+    def binned(self) -> DataFrame:
+        return settled(weekly.binned_lists(self.items, self.baskets, self.cfg), "binned")
+
+    @cached_property
+    def weekly_averages(self) -> DataFrame:
+        typed = typed_items(star.item_entries(self.spark, self.sf_dir), self.cfg)
+        return settled(weekly.weekly_averages(self.items, self.binned, typed, self.cfg), "weekly")
 
     @property
     def last_day(self):
