@@ -59,33 +59,33 @@ def novelty(items: DataFrame, baskets: DataFrame, cfg: EngineConfig) -> DataFram
     )
 
 
-def first_appearances(items: DataFrame, start) -> DataFrame:
-    """First list of each (segment, item, day) after a day, by actor then list."""
-    carried = F.struct("actor", "list_id", "event", "placement", "qty_a", "qty_b")
-    return (
-        items.where(F.col("member") & (F.col("date") > start))
-        .groupBy("segment", "item", "date")
-        .agg(F.min(carried).alias("first"))
-    )
-
-
 def fringe_flags(items: DataFrame, baskets: DataFrame, cfg: EngineConfig) -> DataFrame:
     """One flag per segment and item that was fringe on some day of the fresh
-    window, carrying the earliest appearance. Anchored on the cohort's last day."""
+    window, carrying the earliest appearance. Anchored on the cohort's last day.
+
+    The day is found at day grain; only that day's rows are then looked up among
+    the facts, the smaller actor and list standing first.
+    """
     cohort = since(baskets, cfg.history_start).where("member")
     start = F.date_sub(last_day(cohort), cfg.fresh_days)
+    recent = since(items, cfg.history_start).where(F.col("member") & (F.col("date") > start))
     fringe = novelty(items, baskets, cfg).where(F.col("fringe") & (F.col("date") > start))
-    reading = F.struct("date", "first", "historical_adoption", "returning", "absent_days")
-    return (
-        first_appearances(items, start)
+    reading = F.struct("date", "historical_adoption", "returning", "absent_days")
+    raised = (
+        recent.select("segment", "item", "date")
+        .distinct()
         .join(fringe, ["item", "date"])
         .groupBy("segment", "item")
-        .agg(F.min_by(reading, F.struct("date", "first.actor", "first.list_id")).alias("at"))
-        .select(
-            F.lit("fringe").alias("kind"), "segment", "item",
-            F.col("at.first.qty_a").alias("qty_a"), F.col("at.first.qty_b").alias("qty_b"),
-            F.col("at.date").alias("appeared_on"), F.col("at.first.actor").alias("actor"),
-            F.col("at.first.event").alias("event"), F.col("at.first.placement").alias("placement"),
-            "at.historical_adoption", "at.returning", "at.absent_days",
-        )
+        .agg(F.min_by(reading, "date").alias("at"))
+        .select("segment", "item", "at.*")
+    )
+    shown = F.struct("actor", "list_id", "event", "placement", "qty_a", "qty_b")
+    keys = ["segment", "item", "date"]
+    first = (
+        recent.join(raised.select(*keys), keys).groupBy(*keys).agg(F.min(shown).alias("first"))
+    )
+    return raised.join(first, keys).select(
+        F.lit("fringe").alias("kind"), "segment", "item", "first.qty_a", "first.qty_b",
+        F.col("date").alias("appeared_on"), "first.actor", "first.event", "first.placement",
+        "historical_adoption", "returning", "absent_days",
     )
