@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions.dates import first_weekend_after
 from ..functions.frames import stacked
-from ..session import fresh_path
+from ..session import fresh_path, written
 
 SLOT = "struct<item:string,qty_a:int,qty_b:int>"
 DISSENTER = "struct<actor:string,finishes:bigint>"
@@ -107,8 +107,7 @@ def record(standing: DataFrame, detected: DataFrame, today) -> tuple[DataFrame,
     path = fresh_path(merged.sparkSession, "ledger")
     if path is None:
         return merged, None
-    merged.write.parquet(path)
-    return load(merged.sparkSession, path), path
+    return written(merged, path), path
 
 
 def lineage(ledger: DataFrame, segment: str | None = None) -> DataFrame:

@@ -72,5 +72,10 @@ def settled(frame: DataFrame, name: str) -> DataFrame:
     path = fresh_path(frame.sparkSession, name)
     if path is None:
         return frame
+    return written(frame, path)
+
+
+def written(frame: DataFrame, path: str) -> DataFrame:
+    """A frame written to a path and read from it; its schema is known already."""
     frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

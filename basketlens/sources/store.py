@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions.shares import resolve_alias
 from ..operators.scope import attach, classify
-from ..session import fresh_path
+from ..session import fresh_path, written
 
 
 @dataclass(frozen=True)
@@ -83,8 +83,7 @@ def build(
     def keep(frame: DataFrame, name: str, by_day: bool = False) -> DataFrame:
         if root is None:
             return frame
-        (clustered(frame) if by_day else frame).write.parquet(f"{root}/{name}")
-        return frame.sparkSession.read.parquet(f"{root}/{name}")
+        return written(clustered(frame) if by_day else frame, f"{root}/{name}")
 
     counted = keep(count_items(entries, cfg), "counted")
     listed = keep(classify(baskets, counted, cfg), "baskets", by_day=True)
