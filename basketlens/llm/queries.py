@@ -4,21 +4,106 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup
+from pyspark.sql import functions as F
+
+from . import chunk_dedup, exact_topk, license_scan, licenses, mixing, warc
 from .work import table
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_topk.top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors, 5)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    body = f"lower(chr(10) || coalesce({text}, ''))"
+    body = f"regexp_replace({body}, {_quoted(license_scan.COPYRIGHT_LINE)}, '', 'g')"
+    body = f"regexp_replace({body}, {_quoted(license_scan.LIST_MARK)}, chr(10), 'g')"
+    words = f"' ' || trim(regexp_replace({body}, {_quoted(license_scan.NOT_WORD)}, '  ', 'g')) || ' '"
+    for spelling, stands in license_scan.EQUIVALENT.items():
+        words = f"replace({words}, {_quoted(license_scan.spaced(spelling))}, {_quoted(license_scan.spaced(stands))})"
+    return f"nullif(trim(replace({words}, '  ', ' ')), '')"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
+    "op4_license_scan": op4_license_scan,
+    "op6_exact_topk": op6_exact_topk,
+    "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_mixing": f"""
+        WITH sizes AS (SELECT source, sum(length(coalesce(text, ''))) AS size FROM documents GROUP BY source),
+        rates AS (
+            SELECT source, sqrt(size) / sum(sqrt(size)) OVER () * sum(size) OVER () / size AS rate,
+                   greatest(1, ceil(rate / {mixing.STEP}))::INT AS parts, rate / parts AS mean
+            FROM sizes WHERE size > 0),
+        chances AS (
+            SELECT source, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
+            FROM rates, generate_series(0, 200) g(k)),
+        drawn AS (
+            SELECT d.doc_id, d.source, part,
+                   ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || part), 1, 12))::BIGINT / 16.0::DOUBLE ** 12 AS u
+            FROM (SELECT DISTINCT doc_id, source FROM documents) d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source, generate_series(1, r.parts) p(part)),
+        counts AS (
+            SELECT doc_id, w.source, count(*) AS n FROM drawn w JOIN chances c ON w.source IS NOT DISTINCT FROM c.source
+            WHERE cdf <= u GROUP BY ALL)
+        SELECT d.*, copy::INT AS copy, md5('{mixing.SEED}+:' || coalesce(d.doc_id::VARCHAR, '') || ':' || copy) AS shuffle_key
+        FROM documents d JOIN counts n ON d.doc_id IS NOT DISTINCT FROM n.doc_id AND d.source IS NOT DISTINCT FROM n.source, generate_series(1, n.n) c(copy)""",
+    "op4_license_scan": f"""
+        WITH known AS (
+            SELECT sha256({_canonical_sql("t")}) AS digest, min(id) AS license_id
+            FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in licenses.KNOWN.items())}) v(id, t) GROUP BY 1),
+        own AS (SELECT doc_id, sha256({_canonical_sql("text")}) AS text_digest FROM documents)
+        SELECT doc_id, text_digest, license_id FROM own LEFT JOIN known ON text_digest = digest""",
+    "op6_exact_topk": """
+        WITH parts AS (
+            SELECT vec_id, generate_subscripts(embedding, 1) AS place, unnest(embedding)::DOUBLE AS x, len(embedding) AS width
+            FROM embeddings),
+        fine AS (
+            SELECT vec_id FROM parts GROUP BY vec_id
+            HAVING count(x) = max(width) AND bool_and(coalesce(isfinite(x), false))),
+        q AS (SELECT p.vec_id, place, floor(256 * x)::BIGINT AS v, width FROM parts p JOIN fine USING (vec_id)),
+        s AS (
+            SELECT a.vec_id AS query_id, b.vec_id, sum(a.v * b.v)::BIGINT AS score
+            FROM q a JOIN q b ON a.place = b.place AND a.width = b.width AND a.vec_id <> b.vec_id
+            WHERE a.vec_id % 50 = 0 GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op8_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first FROM p)
+        SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> first THEN first END AS refers_to
+        FROM m""",
     "op9_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256({FOLDED}) AS text_sha256
