@@ -132,8 +132,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     best = F.max(F.struct(F.col("doc_id").alias("doc"), F.col("row").alias("row")))
     # The recipe itself is the key of the count: lists are compared, not digests of lists.
     found = listed.groupBy("recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    many = found.filter("group_size > 1")
-    out = listed.join(many.withColumnRenamed("recipe", "same"), F.col("recipe") == F.col("same"), "left")
+    # The hash beside the recipe makes both sides of the join shuffles of their own, so a large group's partition can be split.
+    many = found.filter("group_size > 1").select(F.col("recipe").alias("same"), "best", "group_size", F.xxhash64("recipe").alias("near"))
+    out = listed.join(many, (F.xxhash64("recipe") == F.col("near")) & (F.col("recipe") == F.col("same")), "left")
     return out.select(
         "doc_id",
         F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc")).alias("keep_id"),

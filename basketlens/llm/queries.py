@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, exact_topk, license_scan, licenses, mixing, warc
+from . import chunk_dedup, exact_topk, license_scan, licenses, mixing, packing, warc
 from .work import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), with_ids=False).drop("piece")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def _canonical_sql(text: str) -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
     "op4_license_scan": op4_license_scan,
     "op6_exact_topk": op6_exact_topk,
