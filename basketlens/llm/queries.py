@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, exact_topk, license_scan, licenses, mixing, near_dedup, packing, suffix_dedup, warc
+from . import chunk_dedup, exact_topk, license_scan, licenses, mixing, near_dedup, packing, quality, suffix_dedup, warc
 from .work import table
 
 
@@ -22,6 +22,14 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fitted(docs, quality.ratings(table(spark, sf_dir, "labels")), quality.GRADES)
+    tails = [F.col("tails")[k - 1].alias(f"p_at_least_{k}") for k in range(1, quality.GRADES)]
+    keep = (F.col("tails")[0] >= quality.KEEP_SHARE).alias("keep")
+    return quality.graded(docs, model).select("doc_id", "expected_grade", *tails, keep)
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return exact_topk.top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors, 5)
@@ -65,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
     "op4_license_scan": op4_license_scan,
+    "op5_quality": op5_quality,
     "op6_exact_topk": op6_exact_topk,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_warc": op8_warc,
