@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, exact_topk, license_scan, licenses, mixing, near_dedup, packing, quality, suffix_dedup, warc
+from . import chunk_dedup, exact_topk, language_model, license_scan, licenses, mixing, near_dedup, packing, quality, suffix_dedup, warc
 from .work import table
 
 
@@ -18,6 +18,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ def _canonical_sql(text: str) -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_license_scan": op4_license_scan,
     "op5_quality": op5_quality,
     "op6_exact_topk": op6_exact_topk,
