@@ -76,15 +76,17 @@ def mixed(
     power: float = 0.5,
     target: int | None = None,
     seed: int = SEED,
+    marks: bool = True,
 ) -> DataFrame:
-    """All columns of `docs`, with `copy` (from 1) and `shuffle_key` added, in global random order.
+    """All columns of `docs` in global random order; with `marks`, `copy` (from 1) and `shuffle_key` are added or replaced.
 
     `target` is the size of the result in characters, by default that of `docs`.
     """
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     sizes = kept(docs.groupBy("source").agg(F.sum(size).alias("size")), "source-sizes")
     table = rates(sizes, weights, power, target)
-    names = [f"r.{c}" for c in docs.columns]
+    added = ["copy", "shuffle_key"] if marks else []
+    names = [f"r.`{c}`" for c in docs.columns if c not in added]
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("r"))
     if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         matched = rows.join(F.broadcast(table), F.col("r.source").eqNullSafe(F.col("source")))
@@ -99,4 +101,4 @@ def mixed(
     copies = counted.select("r", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
     place = F.md5(F.concat_ws(":", F.lit(f"{seed}+"), F.coalesce(F.col("r.doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))
     keyed = copies.withColumn("shuffle_key", place)
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select(*[F.col(n) for n in names], "copy", "shuffle_key")
+    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select(*names, *added)

@@ -3,12 +3,14 @@
 import atexit
 import shutil
 import tempfile
+from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared(spark: SparkSession) -> str:
@@ -37,28 +39,34 @@ def kept(frame: DataFrame, name: str) -> DataFrame:
     again instead of running the plan above them once more.
     """
     path = fresh(frame.sparkSession, name)
+    _written.append(path)
     frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def dropped(*frames: DataFrame) -> None:
-    """Delete the files of tables made by `kept` that no later step reads."""
-    for frame in frames:
-        spark = frame.sparkSession
-        for name in {file.rsplit("/", 1)[0] for file in frame.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            if f"/basketlens-llm/{spark.sparkContext.applicationId}/" in name:
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What `make` returns, written once; the tables that it wrote on its way are deleted."""
+    before = len(_written)
+    frame = kept(make(), name)
+    for path in _written[before:-1]:
+        delete(frame.sparkSession, path)
+    _written[before:-1] = []
+    return frame
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def clean(spark: SparkSession) -> None:
+    """Delete all tables this process wrote by `kept`; frames that read them can't be used any more."""
+    while _written:
+        delete(spark, _written.pop())
+
 
+def delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
-def small(frame: DataFrame, most: int) -> list | None:
-    """The rows of a frame if it has at most `most` of them, else None; never more than that is fetched."""
-    rows = frame.limit(most + 1).collect()
-    return rows if len(rows) <= most else None
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fold(text: Column) -> Column:
