@@ -1,43 +1,59 @@
 """Exact two-sided test of a 2x2 table, and the difference it could have seen."""
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 # Two tables are equally extreme within this much probability.
 TIE = 1e-12
+# Tables farther from the mean than this many deviations and this many counts are
+# likelier than exp(-700) of nothing: by Bernstein's bound they add nothing to a double.
+DEVIATIONS, COUNTS = 40, 60
 
 
-def fisher_p(a: int, b: int, c: int, d: int) -> float:
-    """Two-sided Fisher exact p: one less the tables strictly likelier than ours.
+def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Two-sided Fisher exact p of the table a, b / c, d, with built-in functions only.
 
-    Only tables likelier than TIE can be in that sum, and by Bernstein's bound
-    they lie within 8 deviations and 20 of the mean. So the work grows with the
-    root of the population and not with the population.
+    Probabilities are taken relative to the observed table, stepping outward from
+    it on either side by the ratio of neighbours, first for their total and then
+    for those no likelier than the observed. Steps stay within DEVIATIONS of the
+    mean, so work grows with the root of the population; an observed table beyond
+    them has p 0 in a double.
     """
     drawn, rest, made = a + b, c + d, a + c
     n = drawn + rest
-    if min(drawn, rest, made, n - made) == 0:
-        return 1.0
-    low, high = max(0, made - rest), min(drawn, made)
     mean = made * drawn / n
-    spread = 8 * np.sqrt(mean * (1 - drawn / n) * (1 - made / n) * n / (n - 1)) + 20
-    start, stop = max(low, int(mean - spread)), min(high, int(mean + spread) + 1)
-    hits = np.arange(start, stop, dtype=np.float64)
-    steps = np.log((drawn - hits) * (made - hits) / ((hits + 1) * (rest - made + hits + 1)))
-    logs = np.concatenate(([0.0], np.cumsum(steps)))
-    mass = np.exp(logs - logs.max())
-    mass /= mass.sum()
-    ours = mass[a - start] if start <= a <= stop else 0.0
-    return float(min(1.0, max(0.0, 1.0 - mass[mass > ours + TIE].sum())))
-
-
-@F.pandas_udf(DoubleType())
-def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    """`fisher_p` over batches of tables already reduced to four counts."""
-    return pd.Series([fisher_p(*map(int, row)) for row in zip(a, b, c, d)], dtype="float64")
+    spread = DEVIATIONS * F.sqrt(mean * (1 - drawn / n) * (1 - made / n) * n / F.greatest(n - 1, F.lit(1))) + COUNTS
+    start = F.greatest(F.lit(0), made - rest, F.floor(mean - spread)).cast("long")
+    stop = F.least(drawn, made, F.ceil(mean + spread)).cast("long")
+    shape = F.struct(a.cast("double").alias("a"), drawn.cast("double").alias("drawn"), made.cast("double").alias("made"),
+                     (rest - made).cast("double").alias("gap"), _range(a, stop, 1).alias("up"), _range(a, start, -1).alias("down"))
+    # One-element arrays bind what several later expressions read.
+    bound = F.transform(F.array(shape), lambda t: F.struct(t.alias("t"), (1 + _walk(t, None, True) + _walk(t, None, False)).alias("total")))
+    p = F.transform(bound, lambda s: (1 + _walk(s["t"], 1 + TIE * s["total"], True) + _walk(s["t"], 1 + TIE * s["total"], False)) / s["total"])
+    empty = F.least(drawn, rest, made, n - made) == 0
+    return F.when(empty, 1.0).when((a < start) | (a > stop), 0.0).otherwise(F.least(F.lit(1.0), F.element_at(p, 1)))
+
+
+def _range(a: Column, end: Column, step: int) -> Column:
+    beyond = end > a if step > 0 else end < a
+    return F.when(beyond, F.sequence((a + step).cast("long"), end, F.lit(step).cast("long"))).otherwise(F.array().cast("array<long>"))
+
+
+def _walk(t: Column, limit: Column | None, up: bool) -> Column:
+    """Sum of relative probabilities on one side of the observed table, of those within the limit if one is given."""
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum"), (F.lit(0.0) if limit is None else limit).alias("limit"))
+
+    def step(s: Column, k: Column) -> Column:
+        k = k.cast("double")
+        if up:
+            ratio = (t["drawn"] - k + 1) * (t["made"] - k + 1) / (k * (t["gap"] + k))
+        else:
+            ratio = (k + 1) * (t["gap"] + k + 1) / ((t["drawn"] - k) * (t["made"] - k))
+        term = s["term"] * ratio
+        counted = term if limit is None else F.when(term <= s["limit"], term).otherwise(0.0)
+        return F.struct(term.alias("term"), (s["sum"] + counted).alias("sum"), s["limit"].alias("limit"))
+
+    return F.aggregate(t["up"] if up else t["down"], start, step, lambda s: s["sum"])
 
 
 def detection_floor(rate: Column, with_arm: Column, without_arm: Column, power_z: float) -> Column:

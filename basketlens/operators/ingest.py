@@ -51,14 +51,14 @@ def summary(added: DataFrame, withdrawn: DataFrame, ours: DataFrame) -> DataFram
     )
 
 
-def named_arrivals(ours: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """The newest arrivals by name, each row saying how many more there are."""
+def named_arrivals(ours: DataFrame, limit: int | None = None) -> DataFrame:
+    """Arrivals by name, newest first. With a limit only so many, each row saying
+    how many more there are."""
+    newest = ours.orderBy(F.desc("date"), F.asc_nulls_last("placement"), "actor", "list_id")
+    if limit is None:
+        return newest.withColumn("and_more", F.lit(0).cast("long"))
     total = ours.agg(F.count("*")).scalar()
-    return (
-        ours.orderBy(F.desc("date"), F.asc_nulls_last("placement"), "actor", "list_id")
-        .limit(cfg.named_arrivals)
-        .withColumn("and_more", F.greatest(F.lit(0), total - cfg.named_arrivals))
-    )
+    return newest.limit(limit).withColumn("and_more", F.greatest(F.lit(0), total - limit))
 
 
 def to_refresh(published: DataFrame, held: DataFrame, today, cfg: EngineConfig) -> DataFrame:

@@ -15,6 +15,7 @@ from .hype import cohort_since_epoch
 
 ARM = ("segment", "item", "arm")
 STRATA = (("league", LEAGUE), ("challenge", CHALLENGE))
+COUNTS = ("league_lists", "challenge_lists", "ranked", "made")
 
 
 def arm_match(item: str, qty_a: int | None = None, qty_b: int | None = None, board: str | None = None) -> Column:
@@ -37,10 +38,11 @@ def arm_names() -> Column:
     )
 
 
-def list_arms(items: DataFrame, match: Column) -> DataFrame:
-    """Every list with whether any of its rows is in the arm."""
-    return items.groupBy("list_id", "segment", "stratum", "actor", "placement").agg(
-        F.max(F.when(match, F.lit(1)).otherwise(F.lit(0))).alias("arm")
+def list_arms(items: DataFrame) -> DataFrame:
+    """Every arm each list is in, of every item it holds; a list without a row
+    for an arm is outside it."""
+    return items.select(
+        "list_id", "segment", "stratum", "actor", "placement", "item", F.explode(arm_names()).alias("arm")
     )
 
 
@@ -57,9 +59,12 @@ def _tallies(cfg: EngineConfig) -> list[Column]:
 def _by_actor(frame: DataFrame, keys: tuple[str, ...], cfg: EngineConfig) -> DataFrame:
     """List counts, and actors counted once, per key. Actors are reduced to one
     row each before they are counted, so a busy key splits over its actors."""
-    per_actor = frame.groupBy(*keys, "actor").agg(*_tallies(cfg))
+    return _of_actors(frame.groupBy(*keys, "actor").agg(*_tallies(cfg)), keys)
+
+
+def _of_actors(per_actor: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return per_actor.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in ("league_lists", "challenge_lists", "ranked", "made")],
+        *[F.sum(c).alias(c) for c in COUNTS],
         *[F.count_if(F.col(f"{side}_lists") > 0).alias(f"{side}_actors") for side, _ in STRATA],
     )
 
@@ -71,13 +76,17 @@ def scope(frame: DataFrame, cfg: EngineConfig, until: str | None = None) -> Data
 
 def contrasts(items: DataFrame, baskets: DataFrame, cfg: EngineConfig, until: str | None = None) -> DataFrame:
     """The outcome contrast and league conversion of every arm, per segment."""
-    counts = ("league_lists", "challenge_lists", "ranked", "made", "league_actors", "challenge_actors")
+    counts = (*COUNTS, "league_actors", "challenge_actors")
     # One row a segment, which the configuration enumerates.
     whole = _by_actor(scope(baskets, cfg, until), ("segment",), cfg).select(
         "segment", *[F.col(c).alias(f"all_{c}") for c in counts]
     )
-    armed = scope(items, cfg, until).withColumn("arm", F.explode(arm_names()))
-    read = _by_actor(armed, ARM, cfg).join(F.broadcast(whole), "segment")
+    # Facts are tallied by configuration first; only tallies are laid out by arm.
+    facts = scope(items, cfg, until).groupBy("segment", "item", "qty_a", "qty_b", "actor").agg(*_tallies(cfg))
+    armed = facts.select(*ARM[:2], F.explode(arm_names()).alias("arm"), "actor", *COUNTS)
+    read = _of_actors(armed.groupBy(*ARM, "actor").agg(*[F.sum(c).alias(c) for c in COUNTS]), ARM).join(
+        F.broadcast(whole), "segment"
+    )
     tables = read.select(
         *ARM,
         F.col("ranked").alias("with_lists"), F.col("made").alias("with_made"),
@@ -91,8 +100,8 @@ def contrasts(items: DataFrame, baskets: DataFrame, cfg: EngineConfig, until: st
     with_rate = share(F.col("with_made"), F.col("with_lists"))
     without_rate = share(F.col("without_made"), F.col("without_lists"))
     p = fisher(
-        "with_made", F.col("with_lists") - F.col("with_made"),
-        "without_made", F.col("without_lists") - F.col("without_made"),
+        F.col("with_made"), F.col("with_lists") - F.col("with_made"),
+        F.col("without_made"), F.col("without_lists") - F.col("without_made"),
     )
     return (
         tables.withColumn("p", p)

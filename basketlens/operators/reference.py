@@ -172,22 +172,25 @@ def unplayed(
     reference: DataFrame, read: DataFrame, cfg: EngineConfig, stratum: str = CHALLENGE,
     floor: float | None = None, limit: int | None = None,
 ) -> DataFrame:
-    """The most played items each basket runs none of; the first row of a basket
-    counts what the cap cut off. An item written down at no copies still counts
-    as one the basket runs none of."""
+    """Every played item each basket runs none of, ranked by how many play it, with
+    how many were found. A limit keeps the first ranks, and a basket's first row
+    counts what it cut off. An item written down at no copies still counts as one
+    the basket runs none of."""
     bar = cfg.unplayed_floor if floor is None else floor
-    cap = cfg.unplayed_limit if limit is None else limit
     lacking = _lacking(reference, read, cfg, stratum, bar, False)
     basket = Window.partitionBy(*BASKET)
     rank = F.row_number().over(basket.orderBy(F.desc("playing_lists"), "item"))
     ranked = lacking.withColumn("rank", rank).withColumn("found", F.count("*").over(basket))
     off = F.greatest(F.lit(0), F.col("population") - F.col("playing_lists"))
-    beyond = F.when(F.col("rank") == 1, F.greatest(F.lit(0), F.col("found") - cap)).otherwise(F.lit(0))
-    return ranked.where(F.col("rank") <= cap).select(
+    beyond = F.lit(0)
+    if limit is not None:
+        beyond = F.when(F.col("rank") == 1, F.greatest(F.lit(0), F.col("found") - limit)).otherwise(F.lit(0))
+        ranked = ranked.where(F.col("rank") <= limit)
+    return ranked.select(
         *BASKET, "segment", F.lit(stratum).alias("stratum"), "item", "segment_playing",
         "lead_a", "lead_b", "lead_adoption", "lead_delta", "population",
         share(off, F.col("population")).alias("confidence"),
-        beyond.alias("dropped"), "rank",
+        beyond.alias("dropped"), "rank", "found",
     )
 
 

@@ -22,8 +22,6 @@ from ..streaming import tallies
 from . import derived, summary
 from .star import StarRun, asked_configurations, run
 
-SEGMENT = "without"
-TARGET = "type:LARGE"
 
 
 def _text(column: str, kind) -> F.Column:
@@ -262,11 +260,7 @@ def _(r):
 @reading("p13_arm_rows")
 def _(r):
     rows = r.items.where(F.col("member"))
-    shown = {
-        "any_count": outcome.arm_match(TARGET), "on_a": outcome.arm_match(TARGET, board="a"),
-        "on_b": outcome.arm_match(TARGET, board="b"), "at_one_none": outcome.arm_match(TARGET, 1, 0),
-    }
-    return rows.agg(*[F.count_if(match).alias(name) for name, match in shown.items()])
+    return outcome.list_arms(rows).groupBy("item", "arm").agg(F.count("*").alias("rows"))
 
 
 @reading("p14_tilt_floor")
@@ -324,7 +318,7 @@ def _(r):
 
 @reading("j6_arm_flags")
 def _(r):
-    return outcome.list_arms(outcome.scope(r.items, r.cfg), outcome.arm_match(TARGET, 1, 0))
+    return outcome.list_arms(outcome.scope(r.items, r.cfg))
 
 
 @reading("j7_lineage_spread")
@@ -371,17 +365,17 @@ def _(r):
 
 @reading("j14_subject_readings")
 def _(r):
-    return subjects.readings(r.subjects, r.adoption, r.totals, SEGMENT)
+    return subjects.readings(r.subjects, r.adoption, r.totals)
 
 
 @reading("j15_quiet_subjects")
 def _(r):
-    return subjects.quiet(r.subjects, subjects.readings(r.subjects, r.adoption, r.totals, SEGMENT), r.pool)
+    return subjects.quiet(r.subjects, subjects.readings(r.subjects, r.adoption, r.totals), r.pool, r.cfg)
 
 
 @reading("j16_subject_flags")
 def _(r):
-    return subjects.flagged(r.subjects, r.ledger, SEGMENT)
+    return subjects.flagged(r.subjects, r.ledger)
 
 
 def _dense(r):
@@ -458,7 +452,7 @@ def _(r):
 
 @reading("a13_substitution")
 def _(r):
-    return movement.substitution(r.items, r.baskets, asked_configurations(r.items, TARGET), r.cfg)
+    return movement.substitution(r.items, r.baskets, asked_configurations(r.items), r.cfg)
 
 
 @reading("a14_climbing")
@@ -589,20 +583,20 @@ def _(r):
 
 @reading("t2_unplayed_top")
 def _(r):
-    return reference.unplayed(r.reference, r.adoption, r.cfg).select(
+    return reference.unplayed(r.reference, r.adoption, r.cfg, limit=r.cfg.unplayed_limit).select(
         "owner", "version", "rank", "item", "segment_playing", "dropped"
     )
 
 
 @reading("t3_substitution_ends")
 def _(r):
-    read = movement.substitution(r.items, r.baskets, asked_configurations(r.items, TARGET), r.cfg)
-    return series_ops.both_ends(read, r.cfg)
+    read = movement.substitution(r.items, r.baskets, asked_configurations(r.items), r.cfg)
+    return series_ops.both_ends(read)
 
 
 @reading("t4_named_arrivals")
 def _(r):
-    return ingest.named_arrivals(ingest.arrivals(_diff(r)[0], r.baskets), r.cfg)
+    return ingest.named_arrivals(ingest.arrivals(_diff(r)[0], r.baskets))
 
 
 @reading("t5_day_order")
@@ -717,7 +711,7 @@ def _(r):
 
 
 def _section(name):
-    return lambda r: summary.sections(r, SEGMENT)[name]()
+    return lambda r: summary.sections(r)[name]()
 
 
 for _name in ("windows", "audit", "audit_counts", "unplayed", "climbing", "near_misses", "hype", "lineage", "trend"):

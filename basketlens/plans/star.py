@@ -17,9 +17,6 @@ from ..session import guarded, settled
 from ..sources import star
 from ..sources.store import Store, materialise, typed_items
 
-# The earlier of the two runs the ledger is recorded over.
-EARLIER_RUN = "2001-01-28"
-
 
 class StarRun:
     """One session's readings over one data directory."""
@@ -103,25 +100,27 @@ class StarRun:
     def last_day(self):
         return self.baskets.agg(F.max("date")).scalar()
 
+    @property
+    def earlier_day(self):
+        """The day of the earlier of the two runs: the last before the fresh window."""
+        return F.date_sub(self.last_day, self.cfg.fresh_days)
+
     def earlier(self, frame: DataFrame) -> DataFrame:
-        return frame.where(F.col("date") <= F.lit(EARLIER_RUN).cast("date"))
+        return frame.where(F.col("date") <= self.earlier_day)
 
     @cached_property
     def earlier_ledger(self) -> DataFrame:
-        """What an earlier run recorded of the two series detectors."""
-        items, baskets = self.earlier(self.items), self.earlier(self.baskets)
-        found = ledger.unified(
-            [hype.hype(items, baskets, self.cfg), novelty.fringe_flags(items, baskets, self.cfg)]
-        )
-        standing, _ = ledger.record(ledger.empty(self.spark), found, EARLIER_RUN)
-        return standing
+        """What an earlier run of every detector recorded, read back from where it was filed."""
+        found = ledger.detect(self.earlier(self.items), self.earlier(self.baskets), self.cfg)
+        _, path = ledger.record(ledger.load(self.spark, None), found, self.earlier_day)
+        return ledger.load(self.spark, path)
 
     @cached_property
     def ledger(self) -> DataFrame:
         """The ledger after a run over everything, on top of the earlier one."""
         found = ledger.unified([self.hype, self.fringe, self.pets, self.breakthroughs])
-        standing, _ = ledger.record(self.earlier_ledger, found, self.last_day)
-        return standing
+        _, path = ledger.record(self.earlier_ledger, found, self.last_day)
+        return ledger.load(self.spark, path)
 
     @cached_property
     def reference(self) -> DataFrame:
@@ -144,7 +143,7 @@ class StarRun:
     def evidence(self) -> dict[str, DataFrame]:
         return subjects.evidence(
             self.subjects, self.adoption, self.totals, self.pool, self.ledger, self.snapshots,
-            "without", self.dated, self.cfg,
+            self.dated, self.cfg,
         )
 
 
@@ -233,10 +232,10 @@ def tracked_subjects(part: DataFrame) -> DataFrame:
     return part.select(F.inline(rows)).distinct()
 
 
-def asked_configurations(items: DataFrame, item: str) -> DataFrame:
-    """Every configuration the cohort registered an item at."""
+def asked_configurations(items: DataFrame) -> DataFrame:
+    """Every configuration the cohort registered any item at."""
     return (
-        items.where(F.col("member") & (F.col("item") == item))
+        items.where("member")
         .select(F.col("item").alias("target"), F.col("qty_a").alias("target_a"), F.col("qty_b").alias("target_b"))
         .distinct()
     )

@@ -70,12 +70,12 @@ def audit_counts(audit: DataFrame, lacking: DataFrame) -> DataFrame:
     )
 
 
-def hype_watchlist(flags: DataFrame, cfg: EngineConfig, segment: str) -> DataFrame:
-    """One segment's episodes, newest spike first, with the clock of each open one."""
+def hype_watchlist(flags: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Every segment's episodes, newest spike first, with the clock of each open one."""
     clocked = ledger.clocks(flags, cfg).select(
         "segment", "item", "qty_a", "qty_b", "raised_on", "answerable_on", "past_deadline", "waiting_on_evidence"
     )
-    episodes = flags.where((F.col("kind") == "hype") & (F.col("segment") == segment))
+    episodes = flags.where("kind = 'hype'")
     return (
         episodes.join(clocked.where("raised_on IS NOT NULL"), ["segment", "item", "qty_a", "qty_b", "raised_on"])
         .select(
@@ -87,19 +87,19 @@ def hype_watchlist(flags: DataFrame, cfg: EngineConfig, segment: str) -> DataFra
     )
 
 
-def lineage_rows(flags: DataFrame, cfg: EngineConfig, segment: str) -> DataFrame:
-    """One segment's departures with their finish, their clock and what became of them."""
+def lineage_rows(flags: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Every segment's departures with their finish, their clock and what became of them."""
     closes = F.date_add("date", cfg.trendsetter_days)
     watching = F.col("followed") == "watching"
     return (
-        ledger.lineage(flags, segment)
+        ledger.lineage(flags)
         .withColumn("finish", F.coalesce(F.concat(F.lit("#"), F.col("placement").cast("string")), F.lit("5-0")))
         .withColumn("answerable_on", F.when(watching, closes))
         .withColumn("past_deadline", F.col("answerable_on") > F.lit(cfg.deadline).cast("date"))
     )
 
 
-def sections(run, segment: str) -> dict[str, Callable[[], DataFrame]]:
+def sections(run) -> dict[str, Callable[[], DataFrame]]:
     """Every dataset of one run's summary, by section name, built when asked for."""
     cfg = run.cfg
     newest = lambda: captures.current(run.reference)
@@ -110,14 +110,12 @@ def sections(run, segment: str) -> dict[str, Callable[[], DataFrame]]:
         "audit": lambda: reference.playtest_queue(audit(), lacking()),
         "audit_counts": lambda: audit_counts(audit(), lacking()),
         "unplayed": lambda: reference.unplayed(newest(), run.adoption, cfg),
-        "climbing": lambda: movement.climbing(run.adoption, run.fringe).where(
-            (F.col("segment") == segment) & (F.col("stratum") == CHALLENGE)
-        ),
+        "climbing": lambda: movement.climbing(run.adoption, run.fringe).where(F.col("stratum") == CHALLENGE),
         "near_misses": lambda: composition.near_misses(
             since(run.items, cfg.epoch_start), since(run.baskets, cfg.epoch_start), cfg
         ),
-        "hype": lambda: hype_watchlist(run.ledger, cfg, segment),
-        "lineage": lambda: lineage_rows(run.ledger, cfg, segment),
+        "hype": lambda: hype_watchlist(run.ledger, cfg),
+        "lineage": lambda: lineage_rows(run.ledger, cfg),
         "ratio": lambda: ratio_rows(run.baskets, cfg),
         "trend": lambda: composition.share_trend(run.snapshots, cfg.share_cohort, cfg.share_window_days),
     }

@@ -385,9 +385,9 @@ SELECT l.owner, l.version, l.segment, 'challenge-class' AS stratum, l.item, 0 AS
 FROM ({lacking(C.core_adoption)}) l LEFT JOIN c_ref r ON r.owner = l.owner AND r.version = l.version AND r.item = l.item"""
 CTES["c_unplayed"] = f"""
 SELECT owner, version, segment, 'challenge-class' AS stratum, item, segment_playing, lead_a, lead_b, lead_adoption, lead_delta, population,
-  (population - playing_lists) / population AS confidence, CASE WHEN rank = 1 THEN greatest(0, found - {C.unplayed_limit}) ELSE 0 END AS dropped, rank
+  (population - playing_lists) / population AS confidence, 0 AS dropped, rank, found
 FROM (SELECT *, row_number() OVER (PARTITION BY owner, version ORDER BY playing_lists DESC, item) AS rank, count(*) OVER (PARTITION BY owner, version) AS found
-      FROM ({lacking(C.unplayed_floor)})) WHERE rank <= {C.unplayed_limit}"""
+      FROM ({lacking(C.unplayed_floor)}))"""
 CTES["c_queue"] = """
 SELECT *, coalesce(note, '') <> '' AS noted FROM (SELECT * FROM c_slots UNION ALL SELECT * FROM c_missing) WHERE NOT core"""
 
@@ -401,11 +401,11 @@ SELECT captured_on, window_days, cohort, n AS deck_count, n / sum(n) OVER (PARTI
 CTES["c_trend"] = f"SELECT * FROM c_snap WHERE cohort = '{C.share_cohort}' AND window_days = {C.share_window_days}"
 
 # Ledger of two runs: the earlier one over the series up to its day.
-CUT = "2001-01-28"
+CUT = "(SELECT baseline_end FROM c_bounds)"
 for name, body in list(CTES.items()):
     CTES["k_" + name[2:]] = re.sub(r"\bc_", "k_", body)
-CTES["k_lists"] = f"SELECT * FROM c_lists WHERE date <= DATE '{CUT}'"
-CTES["k_items"] = f"SELECT * FROM c_items WHERE date <= DATE '{CUT}'"
+CTES["k_lists"] = f"SELECT * FROM c_lists WHERE date <= {CUT}"
+CTES["k_items"] = f"SELECT * FROM c_items WHERE date <= {CUT}"
 
 FLAG_COLUMNS = (
     "kind, segment, item, qty_a, qty_b, raised_on, from_adoption, to_adoption, population, origin_actor, origin_event, "
@@ -422,9 +422,9 @@ def _flags(prefix: str, kinds: tuple[str, ...]) -> str:
 _ident = """CASE kind WHEN 'hype' THEN concat_ws('~', kind, segment, item, qty_a, qty_b, raised_on) WHEN 'pet-tech' THEN concat_ws('~', kind, segment, item, qty_a, qty_b)
   WHEN 'breakthrough' THEN concat_ws('~', kind, actor, event, date) ELSE concat_ws('~', kind, segment, item) END"""
 CTES["c_flags"] = f"SELECT *, {_ident} AS id, 1 AS run FROM ({_flags('c', ('hype', 'fringe', 'pets', 'brk'))})"
-CTES["k_flags"] = f"SELECT *, {_ident} AS id, 0 AS run FROM ({_flags('k', ('hype', 'fringe'))} UNION ALL BY NAME SELECT * FROM c_brk WHERE false)"
+CTES["k_flags"] = f"SELECT *, {_ident} AS id, 0 AS run FROM ({_flags('k', ('hype', 'fringe', 'pets', 'brk'))})"
 CTES["c_ledger"] = f"""
-SELECT {FLAG_COLUMNS}, CASE WHEN old THEN DATE '{CUT}' ELSE (SELECT max(date) FROM c_lists) END AS first_seen FROM (
+SELECT {FLAG_COLUMNS}, CASE WHEN old THEN {CUT} ELSE (SELECT max(date) FROM c_lists) END AS first_seen FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY run DESC, list_id) AS rn, bool_or(run = 0) OVER (PARTITION BY id) AS old
   FROM (SELECT * FROM c_flags UNION ALL BY NAME SELECT * FROM k_flags)) WHERE rn = 1"""
 CTES["c_lineage"] = """
@@ -445,11 +445,11 @@ SELECT DISTINCT * FROM (
   UNION ALL SELECT p_brand, 'brand:' || p_brand, NULL FROM part
   UNION ALL SELECT p_brand, 'name:' || p_name, NULL FROM part)"""
 CTES["c_spoken"] = """
-SELECT hypothesis_id, subject, configuration, fresh_population AS population, fresh_adoption AS adoption, fresh_tilt AS tilt, delta FROM c_subj JOIN (
-  SELECT item AS subject, qty_a || '/' || qty_b AS configuration, fresh_population, fresh_adoption, fresh_tilt, delta
-  FROM c_adoption WHERE segment = 'without' AND stratum = 'challenge-class' AND fresh_lists > 0
-  UNION ALL SELECT 'lands', CAST(typed_total AS VARCHAR), fresh_population, fresh_adoption, fresh_tilt, delta
-  FROM c_landtab WHERE segment = 'without' AND stratum = 'challenge-class' AND fresh_lists > 0) USING (subject)"""
+SELECT hypothesis_id, subject, segment, configuration, fresh_population AS population, fresh_adoption AS adoption, fresh_tilt AS tilt, delta FROM c_subj JOIN (
+  SELECT item AS subject, segment, qty_a || '/' || qty_b AS configuration, fresh_population, fresh_adoption, fresh_tilt, delta
+  FROM c_adoption WHERE stratum = 'challenge-class' AND fresh_lists > 0
+  UNION ALL SELECT 'lands', segment, CAST(typed_total AS VARCHAR), fresh_population, fresh_adoption, fresh_tilt, delta
+  FROM c_landtab WHERE stratum = 'challenge-class' AND fresh_lists > 0) USING (subject)"""
 
 RECURSIVE = {"c_acc", "k_acc"}
 _REF = re.compile(r"\b[ck]_[a-z0-9]+\b")

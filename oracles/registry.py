@@ -37,11 +37,11 @@ SELECT *, CASE WHEN shift >= {C.board_shift} THEN 'to main' WHEN shift <= -{C.bo
 SUBS = """
 SELECT segment, stratum, target, target_a, target_b, item, coalesce(n, 0) / on_n AS on_it, (lists - coalesce(n, 0)) / (pop - on_n) AS elsewhere,
   on_n AS on_it_lists, pop - on_n AS elsewhere_lists, (lists - coalesce(n, 0)) / (pop - on_n) - coalesce(n, 0) / on_n AS difference
-FROM (SELECT segment, stratum, item AS target, qty_a AS target_a, qty_b AS target_b, count(*) AS on_n FROM c_scopei WHERE fresh AND item = 'type:LARGE' GROUP BY ALL) h
+FROM (SELECT segment, stratum, item AS target, qty_a AS target_a, qty_b AS target_b, count(*) AS on_n FROM c_scopei WHERE fresh GROUP BY ALL) h
 JOIN (SELECT segment, stratum, count(*) AS pop FROM c_scope WHERE fresh GROUP BY ALL) USING (segment, stratum)
 JOIN (SELECT segment, stratum, item, count(*) AS lists FROM c_scopei WHERE fresh GROUP BY ALL) USING (segment, stratum)
 LEFT JOIN (SELECT a.segment, a.stratum, a.item AS target, a.qty_a AS target_a, a.qty_b AS target_b, b.item, count(*) AS n
-  FROM c_scopei a JOIN c_scopei b USING (list_id) WHERE a.fresh AND a.item = 'type:LARGE' GROUP BY ALL) USING (segment, stratum, target, target_a, target_b, item)
+  FROM c_scopei a JOIN c_scopei b USING (list_id) WHERE a.fresh GROUP BY ALL) USING (segment, stratum, target, target_a, target_b, item)
 WHERE pop > on_n"""
 CLIMB = """
 SELECT segment, stratum, item, sum(delta) AS delta, sum(fresh_lists) / max(fresh_population) AS adoption,
@@ -114,7 +114,7 @@ ORACLES: dict[str, str] = {
     "s15_game_wins": query(f"SELECT match_id, player, count(*) AS wins FROM ({CONV_LOG}) WHERE won GROUP BY 1, 2"),
     "s15_cards_seen": query(f"SELECT DISTINCT match_id, player, card FROM ({CONV_LOG}) WHERE card IS NOT NULL"),
     "s17_weekly_sink": query(DENSE, "avg_copies"),
-    "s18_ledger_store": query(f"SELECT {FLAG_COLUMNS}, DATE '{CUT}' AS first_seen FROM (SELECT * FROM k_flags UNION ALL BY NAME SELECT * FROM c_flags WHERE false)", FLAG_F),
+    "s18_ledger_store": query(f"SELECT {FLAG_COLUMNS}, {CUT} AS first_seen FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY list_id) AS rn FROM k_flags) WHERE rn = 1", FLAG_F),
     "p1_cohort": query("SELECT list_id, cohort FROM c_lists"),
     "p2_segment": query("SELECT list_id, segment FROM c_lists WHERE member"),
     "p3_stratum": query("SELECT list_id, stratum FROM c_lists"),
@@ -127,8 +127,7 @@ ORACLES: dict[str, str] = {
     "p10_near_miss_lists": query(NEAR),
     "p11_panels": query(f"""SELECT w.list_id, panel FROM c_wl w WHERE EXISTS (SELECT 1 FROM c_items0 i WHERE i.list_id = w.list_id AND i.item IN ('{C.panel_split_item}', '{C.panel_other_item}'))"""),
     "p12_alias": query("SELECT DISTINCT item, CASE WHEN item = 'brand:Brand#25' THEN 'brand:Brand#24' ELSE item END AS resolved FROM c_items0"),
-    "p13_arm_rows": query("""SELECT count(*) FILTER (item = 'type:LARGE') AS any_count, count(*) FILTER (item = 'type:LARGE' AND qty_a > 0) AS on_a,
-      count(*) FILTER (item = 'type:LARGE' AND qty_b > 0) AS on_b, count(*) FILTER (item = 'type:LARGE' AND qty_a = 1 AND qty_b = 0) AS at_one_none FROM c_items WHERE member"""),
+    "p13_arm_rows": query("SELECT item, arm, count(*) AS rows FROM (SELECT item, qty_a, qty_b, unnest(['any count', 'board a', 'board b', qty_a || '/' || qty_b]) AS arm FROM c_items WHERE member) WHERE (arm <> 'board a' OR qty_a > 0) AND (arm <> 'board b' OR qty_b > 0) GROUP BY 1, 2"),
     "p14_tilt_floor": query(f"SELECT segment, stratum, item, qty_a, qty_b, CASE WHEN abs(fresh_tilt) >= {C.tilt_floor} THEN fresh_tilt END AS tilt_shown FROM c_adoption", "tilt_shown"),
     "p15_finished": query(f"SELECT list_id, stratum = 'league' OR placement <= {C.departure_placement} AS finished FROM c_lists"),
     "p16_finish_label": query(f"SELECT list_id, {FINISH} AS finish FROM c_lists"),
@@ -137,7 +136,7 @@ ORACLES: dict[str, str] = {
     "j3_share_as_of": query("""SELECT day, captured_on, window_days, share, deck_count FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) ASOF LEFT JOIN c_trend ON day >= captured_on""", "share"),
     "j4_series": query(f"{SERIES} WHERE l.member AND l.date >= {EPOCH}", "weight"),
     "j5_near_miss_series": query(f"{SERIES} WHERE l.near_miss AND l.date >= {EPOCH}", "weight"),
-    "j6_arm_flags": query("SELECT list_id, segment, stratum, actor, placement, CAST(max(CASE WHEN item = 'type:LARGE' AND qty_a = 1 AND qty_b = 0 THEN 1 ELSE 0 END) AS INTEGER) AS arm FROM c_memi GROUP BY 1, 2, 3, 4, 5"),
+    "j6_arm_flags": query("SELECT list_id, segment, stratum, actor, placement, item, arm FROM (SELECT *, unnest(['any count', 'board a', 'board b', qty_a || '/' || qty_b]) AS arm FROM c_memi) WHERE (arm <> 'board a' OR qty_a > 0) AND (arm <> 'board b' OR qty_b > 0)"),
     "j7_lineage_spread": query("SELECT segment, actor, event, date, spread_item, spiked_on, resolved, standing FROM c_lineage WHERE spread_item IS NOT NULL"),
     "j8_followers": query("SELECT f.list_id, f.date, f.item, f.follower, f.taken_up FROM c_fol f JOIN c_brk b ON b.list_id = f.list_id AND b.adopted_item = f.item"),
     "j9_slot_adoption": query("SELECT owner, version, segment, item, qty_a, qty_b, population, lists, confidence, segment_playing, lead_a, lead_b, lead_adoption, lead_delta FROM c_slots",
@@ -147,11 +146,12 @@ ORACLES: dict[str, str] = {
     "j12_changes": query(CHANGES),
     "j13_history": query(f"SELECT owner, from_version, to_version, count(*) AS changed FROM ({CHANGES}) GROUP BY 1, 2, 3"),
     "j14_subject_readings": query("SELECT * FROM c_spoken", "adoption tilt delta"),
-    "j15_quiet_subjects": query("""SELECT hypothesis_id, subject, CASE WHEN subject = 'lands' OR subject IN (SELECT item FROM c_items WHERE member) THEN 'silent' ELSE 'unknown' END AS reading
-      FROM c_subj s WHERE NOT EXISTS (SELECT 1 FROM c_spoken p WHERE p.hypothesis_id = s.hypothesis_id AND p.subject = s.subject)"""),
-    "j16_subject_flags": query("""SELECT hypothesis_id, subject, kind, qty_a || '/' || qty_b AS configuration, state, first_seen AS raised,
+    "j15_quiet_subjects": query("""SELECT hypothesis_id, subject, segment, CASE WHEN subject = 'lands' OR subject IN (SELECT item FROM c_items WHERE member) THEN 'silent' ELSE 'unknown' END AS reading
+      FROM c_subj s, (SELECT unnest(['with', 'without', 'hybrid']) AS segment) g
+      WHERE NOT EXISTS (SELECT 1 FROM c_spoken p WHERE p.hypothesis_id = s.hypothesis_id AND p.subject = s.subject AND p.segment = g.segment)"""),
+    "j16_subject_flags": query("""SELECT hypothesis_id, subject, segment, kind, qty_a || '/' || qty_b AS configuration, state, first_seen AS raised,
       CASE WHEN kind = 'hype' THEN 'adoption behind a hyped finish is not evidence about the item' END AS caveat
-      FROM c_subj JOIN c_ledger ON item = subject WHERE segment = 'without'"""),
+      FROM c_subj JOIN c_ledger ON item = subject"""),
     "j17_densify": query(DENSE, "avg_copies"),
     "a1_windows": query("SELECT * FROM c_bounds"),
     "a2_populations": query("""SELECT segment, stratum, fp AS fresh_population, bp AS baseline_population, fpw AS fresh_population_weight, bpw AS baseline_population_weight FROM c_pops""",
@@ -195,12 +195,11 @@ ORACLES: dict[str, str] = {
     "w9_cut_count": query(f"""SELECT owner, version, item, rank, CASE WHEN rank = 1 THEN greatest(0, found - 3) ELSE 0 END AS dropped FROM (
       SELECT *, row_number() OVER (PARTITION BY owner, version ORDER BY playing_lists DESC, item) AS rank, count(*) OVER (PARTITION BY owner, version) AS found FROM ({lacking(0.1)})) WHERE rank <= 3"""),
     "t1_playtest_queue": query("SELECT * FROM c_queue", SLOT_F),
-    "t2_unplayed_top": query("SELECT owner, version, rank, item, segment_playing, dropped FROM c_unplayed", "segment_playing"),
-    "t3_substitution_ends": query(f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment, stratum, target, target_a, target_b ORDER BY round(difference, 9) DESC, item) AS from_top,
-        row_number() OVER (PARTITION BY segment, stratum, target, target_a, target_b ORDER BY round(difference, 9), item DESC) AS from_bottom FROM ({SUBS}))
-      WHERE from_top <= {C.substitution_ends} OR from_bottom <= {C.substitution_ends}""", "on_it elsewhere difference"),
-    "t4_named_arrivals": query(f"""SELECT *, greatest(0, (SELECT count(*) FROM ({ARRIVED})) - {C.named_arrivals}) AS and_more FROM (
-      {ARRIVED} ORDER BY date DESC, placement NULLS LAST, actor, list_id LIMIT {C.named_arrivals})"""),
+    "t2_unplayed_top": query(f"""SELECT owner, version, rank, item, segment_playing, CASE WHEN rank = 1 THEN greatest(0, found - {C.unplayed_limit}) ELSE 0 END AS dropped
+      FROM c_unplayed WHERE rank <= {C.unplayed_limit}""", "segment_playing"),
+    "t3_substitution_ends": query(f"""SELECT *, 0 AS left_out FROM (SELECT *, row_number() OVER (PARTITION BY segment, stratum, target, target_a, target_b ORDER BY round(difference, 9) DESC, item) AS from_top,
+        row_number() OVER (PARTITION BY segment, stratum, target, target_a, target_b ORDER BY round(difference, 9), item DESC) AS from_bottom FROM ({SUBS}))""", "on_it elsewhere difference"),
+    "t4_named_arrivals": query(f"SELECT *, 0 AS and_more FROM ({ARRIVED})"),
     "t5_day_order": query("SELECT list_id, date, actor FROM c_lists WHERE member"),
     "d9_index_difference": query(f"SELECT *, 'added' AS change FROM {ADDED} UNION ALL SELECT *, 'withdrawn' FROM {GONE}"),
     "u1_flag_union": query("SELECT kind, segment, count(*) AS flags FROM c_flags GROUP BY 1, 2"),
@@ -234,15 +233,15 @@ ORACLES: dict[str, str] = {
     "r4_audit_counts": query(f"""SELECT owner, version, count(*) FILTER (core) AS core, count(*) FILTER (NOT core AND NOT missing) AS flex, count(*) FILTER (missing) AS missing
       FROM (SELECT owner, version, core, missing FROM c_slots UNION ALL SELECT owner, version, core, missing FROM c_missing) SEMI JOIN {NEWEST} USING (owner, version) GROUP BY 1, 2"""),
     "r4_unplayed": query(f"SELECT * FROM c_unplayed SEMI JOIN {NEWEST} USING (owner, version)", "segment_playing lead_adoption lead_delta confidence"),
-    "r4_climbing": query(f"SELECT * FROM ({CLIMB}) WHERE segment = 'without' AND stratum = 'challenge-class'", "delta adoption lead_adoption"),
+    "r4_climbing": query(f"SELECT * FROM ({CLIMB}) WHERE stratum = 'challenge-class'", "delta adoption lead_adoption"),
     "r4_near_misses": query(f"SELECT * FROM ({NEAR}) WHERE date >= {EPOCH}"),
     "r4_hype": query(f"""SELECT raised_on, item, qty_a, qty_b, segment, from_adoption, to_adoption, population, l.state, now_adoption, standing, origin_actor, origin_placement, origin_event, origin_date,
         answerable_on, past_deadline, waiting_on_evidence
       FROM c_ledger l JOIN (SELECT kind, segment, item, qty_a, qty_b, raised_on, answerable_on, past_deadline, waiting_on_evidence FROM ({CLOCK})) USING (kind, segment, item, qty_a, qty_b, raised_on)
-      WHERE kind = 'hype' AND segment = 'without'""", "from_adoption to_adoption now_adoption"),
+      WHERE kind = 'hype'""", "from_adoption to_adoption now_adoption"),
     "r4_lineage": query(f"""SELECT *, CASE WHEN placement IS NOT NULL THEN '#' || placement ELSE '5-0' END AS finish,
         CASE WHEN followed = 'watching' THEN date + {T} END AS answerable_on, CASE WHEN followed = 'watching' THEN date + {T} > DATE '{C.deadline}' END AS past_deadline
-      FROM c_lineage WHERE segment = 'without'"""),
+      FROM c_lineage"""),
     "r4_ratio": query(f"SELECT date, stratum, string_agg(segment || '|' || lists, ',' ORDER BY segment) AS split FROM ({RATIO}) WHERE date >= {EPOCH} GROUP BY 1, 2"),
     "r4_trend": query("SELECT captured_on, window_days, share, deck_count FROM c_trend", "share"),
     "r5_mirror": query("""SELECT hypothesis_id, conditional_on, captured_on, window_days, share, deck_count, conditional_on IS NOT NULL AND captured_on IS NULL AS unconditioned
