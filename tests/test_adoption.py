@@ -1,19 +1,14 @@
 from dataclasses import replace
 
 import pytest
-from pyspark.sql import functions as F
-from worlds import basket, challenge, league, store
+from worlds import Entry, finals, league, store
 
 from basketlens.config import DECKLISTS as CFG
-from basketlens.operators import adoption, composition, movement, novelty, scope
+from basketlens.operators import adoption, composition, movement, scope
 
-FRESH, BASE = "2026-08-05", "2026-07-15"
-
-
-def seats(day, number, items, points=None):
-    return challenge(
-        day, [basket(f"seat{s}", items(s), points=18 - s if points is None else points, placement=1 + s) for s in range(8)], number
-    )
+FULL, PLAIN = (name for name, _, _ in CFG.segments)
+# The last day, one in its fresh window, one in the baseline, one before the epoch.
+LAST, BEFORE, OLD = "2026-07-18", "2026-06-27", "2026-05-02"
 
 
 def rows(frame, *keys):
@@ -22,113 +17,108 @@ def rows(frame, *keys):
 
 @pytest.fixture(scope="module")
 def world(spark, tmp_path_factory):
-    events = [
-        challenge(BASE, [basket("a", {"X": (2, 0)}, points=9, placement=1), basket("b", {"X": (0, 4)}, points=6, placement=2),
-                         basket("c", points=3, placement=3), basket("d", {"X": (0, 4)}, points=3, placement=4)], "1"),
-        challenge(FRESH, [basket("a", {"X": (1, 3)}, points=15, placement=1), basket("b", {"X": (1, 3)}, points=6, placement=2),
-                          basket("c", {"X": (0, 4)}, points=9, placement=3)], "2"),
-        league(FRESH, [basket("z", {"X": (1, 3)}), basket("z", {"X": (1, 3)}), basket("y", segment="hybrid")]),
-        challenge("2026-08-01", [basket("p", segment="fallaji", points=0, placement=1)], "3"),
-        # Before the epoch, so in no window.
-        league("2026-05-01", [basket("old", {"X": (9, 9)})]),
+    entries = [
+        *finals(BEFORE, ("ada", "Gem 3", 12, 1), ("bob", "Gem 0/2", 9, 2), ("cat", "Gem 0/2", 9, 3), ("dan", "Gem 0/2", 6, 4), ("eve", "", 3, 5)),
+        *finals(LAST, ("ada", "Gem 2/1", 12, 1), ("bob", "Gem 2/1", 6, 2), ("cat", "Gem 2/1", 3, 3), ("dan", "Gem 0/2", 15, 4)),
+        *finals("2026-07-11", ("flo", "", 0, 2, "full"), ("gus", "", 0, 5, "full")),
+        *league("2026-07-12", ("hal", "Gem 2/1"), ("hal", "Gem 2/1"), ("hal", "Gem 2/1"), ("ida", "", "mixed")),
+        *league(OLD, ("jon", "Gem 7/7")),
     ]
-    made = store(spark, tmp_path_factory.mktemp("adoption"), events)
+    made = store(spark, tmp_path_factory.mktemp("adoption"), entries)
     return made, adoption.adoption(made.items, made.baskets, CFG).cache()
 
 
 def test_shares_of_both_windows_and_their_delta(world):
     _, read = world
-    x = rows(read.where("item = 'X' AND segment = 'non-fallaji' AND stratum = 'challenge-class'"), "qty_a", "qty_b")
-    assert set(x) == {(1, 3), (0, 4), (2, 0)}
-    assert (x[1, 3].fresh_lists, x[1, 3].fresh_population, x[1, 3].baseline_population) == (2, 3, 4)
-    assert x[1, 3].delta == pytest.approx(2 / 3)
-    assert x[0, 4].delta == pytest.approx(1 / 3 - 1 / 2)
-    assert (x[2, 0].fresh_lists, x[2, 0].fresh_adoption, x[2, 0].delta) == (0, 0.0, pytest.approx(-1 / 4))
+    gem = rows(read.where(f"item = 'Gem' AND segment = '{PLAIN}' AND stratum = 'challenge-class'"), "qty_a", "qty_b")
+    assert set(gem) == {(2, 1), (0, 2), (3, 0)}, "the list before the epoch is in no window"
+    assert (gem[2, 1].fresh_lists, gem[2, 1].fresh_population, gem[2, 1].baseline_population) == (3, 4, 5)
+    assert gem[2, 1].delta == pytest.approx(3 / 4)
+    assert gem[0, 2].delta == pytest.approx(1 / 4 - 3 / 5)
+    assert (gem[3, 0].fresh_lists, gem[3, 0].fresh_adoption, gem[3, 0].delta) == (0, 0.0, pytest.approx(-1 / 5))
 
 
-def test_weights_share_out_the_points_of_the_whole_event(world):
+def test_weights_share_out_the_points_of_the_population(world):
     _, read = world
-    x = rows(read.where("item = 'X' AND stratum = 'challenge-class'"), "segment", "qty_a", "qty_b")
-    assert x["non-fallaji", 1, 3].fresh_weighted == pytest.approx(21 / 30)
-    assert x["non-fallaji", 1, 3].fresh_tilt == pytest.approx(21 / 30 - 2 / 3)
+    gem = rows(read.where(f"item = 'Gem' AND stratum = 'challenge-class' AND segment = '{PLAIN}'"), "qty_a", "qty_b")
+    assert gem[2, 1].fresh_weighted == pytest.approx(21 / 36)
+    assert gem[2, 1].fresh_tilt == pytest.approx(21 / 36 - 3 / 4)
 
 
-def test_a_league_and_a_scoreless_population_have_no_weight(world):
+def test_leagues_and_scoreless_finals_have_no_weight(world):
     _, read = world
-    league_rows = read.where("stratum = 'league'").collect()
-    assert league_rows and all(r.fresh_weighted is None and r.fresh_tilt is None for r in league_rows)
-    scoreless = read.where("segment = 'fallaji'").collect()
-    assert scoreless and all(r.fresh_adoption == 1.0 and r.fresh_weighted is None for r in scoreless)
+    for part in ("stratum = 'league'", f"segment = '{FULL}'"):
+        told = read.where(part).collect()
+        assert told and all(r.fresh_weighted is None and r.fresh_tilt is None for r in told)
 
 
-def test_an_absent_population_is_null_and_not_zero(world):
+def test_nobody_is_null_and_a_list_is_the_unit(world):
     _, read = world
-    row = read.where("stratum = 'league' AND item = 'X'").first()
+    row = read.where("stratum = 'league' AND item = 'Gem'").first()
     assert (row.baseline_lists, row.baseline_population, row.baseline_adoption, row.delta) == (0, 0, None, None)
-    assert row.fresh_lists == 2, "the list is the unit, so one actor's two lists are two"
+    assert row.fresh_lists == 3, "one actor's three lists are three"
 
 
-def test_windows_stop_at_the_epoch_and_hang_off_the_last_day(world):
+def test_windows_hang_off_the_last_day_and_stop_at_the_epoch(world):
     made, _ = world
-    w = scope.windows(made.baskets, CFG).first()
-    assert [str(w[c]) for c in ("as_of", "fresh_start", "baseline_start", "baseline_end")] == [
-        "2026-08-05", "2026-07-23", "2026-06-25", "2026-07-22"]
-    late = scope.windows(made.baskets, replace(CFG, epoch_start="2026-07-20")).first()
-    assert str(late.baseline_start) == "2026-07-20"
-    empty = scope.windows(made.baskets.where("false"), CFG).first()
-    assert all(v is None for v in empty)
+    at = scope.windows(made.baskets, CFG).first()
+    assert [str(at[c]) for c in ("as_of", "fresh_start", "baseline_start", "baseline_end")] == ["2026-07-18", "2026-07-05", "2026-06-07", "2026-07-04"]
+    assert str(scope.windows(made.baskets, replace(CFG, epoch_start="2026-06-20")).first().baseline_start) == "2026-06-20"
+    assert all(v is None for v in scope.windows(made.baskets.where("false"), CFG).first())
 
 
 def test_typed_totals_are_read_like_a_configuration(world):
     made, _ = world
-    read = rows(adoption.totals(made.baskets, CFG).where("stratum = 'challenge-class' AND segment = 'non-fallaji'"), "typed_total")
-    assert read[20].fresh_adoption == 1.0
+    read = rows(adoption.totals(made.baskets, CFG).where(f"stratum = 'challenge-class' AND segment = '{PLAIN}'"), "typed_total")
+    assert set(read) == {17} and read[17].fresh_adoption == 1.0
 
 
 def test_ratio_conversion_and_near_misses(spark, tmp_path):
+    lacking = Entry("2026-06-03", "modern-league-2026-06-031", "len", lacks="Psychic Frog")
     made = store(spark, tmp_path, [
-        league("2026-06-01", [basket("a")] * 4 + [basket("b", segment="fallaji"), basket("m", without=("Ephemerate",))]),
-        challenge("2026-06-01", [basket("a", points=3, placement=1), basket("c", segment="fallaji", points=3, placement=2),
-                                 basket("d", points=1, placement=3), basket("e", segment="hybrid", points=0, placement=4)]),
+        *league("2026-06-03", *[("kim", "")] * 5, ("lou", "", "full"), ("max", "", "full")), lacking,
+        *finals("2026-06-03", ("kim", "", 9, 1), ("nan", "", 6, 2), ("oli", "", 6, 3), ("pam", "", 3, 4, "full"), ("quy", "", 0, 5, "mixed")),
     ])
     ratio = rows(composition.segment_ratio(made.baskets), "stratum", "segment")
-    assert ratio["challenge-class", "non-fallaji"].share == 0.5 and ratio["challenge-class", "hybrid"].share == 0.25
+    assert ratio["challenge-class", PLAIN].share == 3 / 5 and ratio["challenge-class", "hybrid"].share == 1 / 5
     gap = rows(composition.conversion_gap(made.baskets, CFG), "regime", "segment")
-    row = gap["post-regime", "non-fallaji"]
-    assert (row.league_actors, row.challenge_actors) == (1, 2)
-    assert row.gap == pytest.approx(1 / 2 - 1 / 2) and row.uncapped == pytest.approx(4 / 5 - 1 / 2)
-    assert row.cap_effect == "collapses"
-    assert gap["post-regime", "hybrid"].league_actors == 0
-    near = composition.near_misses(made.items, made.baskets, CFG).collect()
-    assert [(r.actor, r.dropped) for r in near] == [("m", ["Ephemerate"])]
-    assert near[0].kept == [i for i in CFG.signature if i != "Ephemerate"]
+    row = gap["post-regime", PLAIN]
+    # One of three league actors but five of seven league lists.
+    assert (row.league_actors, row.challenge_actors) == (1, 3)
+    assert row.gap == pytest.approx(1 / 3 - 3 / 5) and row.uncapped == pytest.approx(5 / 7 - 3 / 5)
+    assert row.cap_effect == "flips" and gap["post-regime", "hybrid"].league_actors == 0
+    (near,) = composition.near_misses(made.items, made.baskets, CFG).collect()
+    assert (near.actor, near.dropped, near.kept) == ("len", ["Psychic Frog"], [i for i in CFG.signature if i != "Psychic Frog"])
+
+
+def ten(day, holds):
+    return finals(day, *[(f"t{k}", holds(k), 5, 1 + k) for k in range(10)])
 
 
 def test_migration_between_boards(spark, tmp_path):
+    few = lambda board: lambda k: f", Few {board}" if k < 4 else ""
     made = store(spark, tmp_path, [
-        seats(BASE, "1", lambda s: {"M": (0, 2), "S": (3, 0), "N": (0, 1) if s < 3 else (0, 0)}),
-        seats(FRESH, "2", lambda s: {"M": (2, 0), "S": (4, 0) if s < 4 else (3, 0), "N": (1, 0) if s < 3 else (0, 0)}),
+        *ten(BEFORE, lambda k: "Move 0/1, Stay 2" + few("0/2")(k)),
+        *ten(LAST, lambda k: ("Move 1, Stay 3" if k < 3 else "Move 1, Stay 2") + few("2")(k)),
     ])
     read = adoption.adoption(made.items, made.baskets, CFG).cache()
     moved = rows(movement.migration(read, CFG), "item")
-    assert (moved["M"].baseline_side_copies, moved["M"].fresh_main_copies) == (16, 16)
-    assert (moved["M"].shift, moved["M"].direction) == (1.0, "to main")
-    assert moved["S"].direction == "steady"
-    assert [r.item for r in movement.migrations(read, CFG).collect()] == ["M"]
-    assert [r.item for r in movement.migrations(read, CFG, floor=3).collect()] == ["M", "N"]
+    assert (moved["Move"].baseline_side_copies, moved["Move"].fresh_main_copies, moved["Move"].shift) == (10, 10, 1.0)
+    assert (moved["Move"].direction, moved["Stay"].direction) == ("to main", "steady")
+    assert [r.item for r in movement.migrations(read, CFG).collect()] == ["Move"]
+    assert sorted(r.item for r in movement.migrations(read, CFG, floor=4).collect()) == ["Few", "Move"]
 
 
 def test_substitution_and_climbing(spark, tmp_path):
     made = store(spark, tmp_path, [
-        seats(BASE, "1", lambda s: {"W": (0, 2), "Rise": (0, 2) if s < 1 else (0, 0)}),
-        seats(FRESH, "2", lambda s: {"W": (0, 2), "Rise": (0, 2)} if s < 4 else {"W": (0, 1), "P": (0, 1), "Rise": (0, 2) if s < 6 else (0, 0)}),
+        *ten(BEFORE, lambda k: "Old 1" + (", Up 0/1" if k < 2 else "")),
+        *ten(LAST, lambda k: ("Old 1" if k < 6 else "Old 2, New 1") + (", Up 0/1" if k < 5 else "")),
     ])
-    asked = spark.createDataFrame([("W", 0, 2)], "target string, target_a int, target_b int")
+    asked = spark.createDataFrame([("Old", 1, 0)], "target string, target_a int, target_b int")
     traded = rows(movement.substitution(made.items, made.baskets, asked, CFG), "item")
-    assert (traded["P"].on_it, traded["P"].elsewhere, traded["P"].on_it_lists, traded["P"].elsewhere_lists) == (0.0, 1.0, 4, 4)
-    assert max(traded.values(), key=lambda r: r.difference).item == "P"
+    new = traded["New"]
+    assert (new.on_it, new.elsewhere, new.on_it_lists, new.elsewhere_lists) == (0.0, 1.0, 6, 4)
+    assert max(traded.values(), key=lambda r: r.difference).item == "New"
     read = adoption.adoption(made.items, made.baskets, CFG)
-    flags = spark.createDataFrame([("non-fallaji", "Rise")], "segment string, item string")
-    up = movement.climbing(read, flags).collect()
-    assert [(r.item, r.lead_a, r.lead_b) for r in up] == [("Rise", 0, 2)]
-    assert up[0].delta == pytest.approx(6 / 8 - 1 / 8)
+    (up,) = movement.climbing(read, spark.createDataFrame([(PLAIN, "Up")], "segment string, item string")).collect()
+    assert (up.item, up.lead_a, up.lead_b) == ("Up", 0, 1) and up.delta == pytest.approx(5 / 10 - 2 / 10)

@@ -1,229 +1,218 @@
-"""Written series whose verdicts are known by hand."""
+"""Written series whose verdicts follow from the rules and can be worked out by hand.
+
+All days are of 2026. Kite, Owl and the other items are held beside the cohort's core.
+"""
+
+import random
+from datetime import date, timedelta
+from math import comb
 
 import pytest
 from pyspark.sql import functions as F
-from worlds import basket, challenge, dump, league, store
+from worlds import crowd, finals, league, store
 
 from basketlens.config import DECKLISTS as CFG
+from basketlens.functions.exact import fisher
 from basketlens.operators import actors, departures, hype, ledger, novelty, outcome
 
-H = {"Mover": (1, 0)}
-SPIKE = [
-    dump("2026-06-03", 0), dump("2026-06-10", 1), dump("2026-06-17", 4), dump("2026-06-28", 4),
-    challenge("2026-06-13", [
-        basket("third", H, points=18, placement=3), basket("late", H, points=12, placement=17),
-        basket("x", points=15, placement=8), basket("y", points=9, placement=25)], "1"),
+PLAIN, FULL = CFG.segments[1][0], CFG.segments[0][0]
+
+# League lists: none of ten up to 7 June, then five of ten up to Sunday 21 June, behind a second place on 6 June.
+LEAP = [
+    *crowd("2026-05-27", 5), *crowd("2026-06-05", 5), *crowd("2026-06-10", 4, 1), *crowd("2026-06-19", 6, 4),
+    *finals("2026-06-06", ("ace", "Kite 1", 15, 2), ("bo", "", 12, 5), ("cy", "Kite 1", 6, 20)),
 ]
-WEEKEND = challenge("2026-06-20", [
-    basket("f", H, points=18, placement=4), basket("j", H, points=12, placement=12),
-    basket("o", points=15, placement=8), basket("d", points=9, placement=20)], "2")
+# A quarter of that window's challenge lists.
+SHOWN = finals("2026-06-14", ("k1", "Kite 1", 18, 1), ("k2", "", 15, 4), ("k3", "", 9, 9), ("k4", "", 0, 18))
+LATER = [*crowd("2026-06-23", 4, 2), *crowd("2026-07-02", 5, 2)]
+
 
+def eight(day, on, points=(12, 9, 6, 12, 9, 6, 3, 3)):
+    return finals(day, *[(f"{day}/f{k}", "Kite 1" if k < on else "", p, 1 + 4 * k) for k, p in enumerate(points)], number=3)
 
-def eight(day, taken, points, number):
-    return challenge(day, [basket(f"{day}-{i}", H if i < taken else None, points=p, placement=2 + i * 3)
-                           for i, p in enumerate(points)], number)
 
+def episodes(spark, root, entries):
+    made = store(spark, root, entries)
+    return hype.hype(made.items, made.baskets, CFG).where("item = 'Kite'").orderBy("raised_on").collect()
 
-def episodes(spark, root, events):
-    made = store(spark, root, events)
-    return hype.hype(made.items, made.baskets, CFG).where("item = 'Mover'").orderBy("raised_on").collect()
 
+def test_a_leap_behind_a_seen_finish_is_one_episode(spark, tmp_path):
+    (row,) = episodes(spark, tmp_path, [*LEAP, *crowd("2026-06-23", 4, 2)])
+    assert (str(row.raised_on), row.from_adoption, row.to_adoption, row.population) == ("2026-06-21", 0.0, 0.5, 10)
+    assert (row.origin_actor, row.origin_placement, str(row.origin_date)) == ("ace", 2, "2026-06-06")
+    assert (row.state, row.tilt, row.challenge_after, row.resolved_on) == ("raised", None, None, None)
 
-def test_a_spike_behind_a_visible_finish_is_one_episode(spark, tmp_path):
-    found = episodes(spark, tmp_path, [*SPIKE, dump("2026-06-30", 4)])
-    assert [str(r.raised_on) for r in found] == ["2026-06-28"]
-    row = found[0]
-    assert row.from_adoption == pytest.approx(1 / 12) and row.to_adoption == pytest.approx(2 / 3)
-    assert (row.population, row.origin_actor, row.origin_placement, row.state) == (12, "third", 3, "raised")
-    assert row.tilt is None and row.challenge_after is None
 
+def test_a_leap_without_a_seen_finish_is_none(spark, tmp_path):
+    unseen = [e for e in LEAP if e.who not in ("ace", "bo")]
+    assert episodes(spark, tmp_path, [*unseen, *crowd("2026-06-23", 4, 2)]) == []
 
-def test_an_unfinished_week_raises_nothing(spark, tmp_path):
-    climb = [dump("2026-06-10", 0, size=8), dump("2026-06-24", 0, size=2), dump("2026-06-30", 6), SPIKE[4], dump("2026-07-01", 4)]
-    assert episodes(spark, tmp_path / "open", climb) == []
-    closed = episodes(spark, tmp_path / "closed", [*climb, dump("2026-07-05", 6)])
-    assert [str(r.raised_on) for r in closed] == ["2026-07-05"]
+
+def test_a_week_counts_once_its_sunday_is_in(spark, tmp_path):
+    assert episodes(spark, tmp_path / "saturday", [*LEAP, *crowd("2026-06-20", 3, 1, number=2)]) == []
+    (row,) = episodes(spark, tmp_path / "sunday", [*LEAP, *crowd("2026-06-21", 3, 1, number=2)])
+    assert row.to_adoption == pytest.approx(6 / 13)
 
 
 @pytest.mark.parametrize(
     "after, state, challenge_after, tilt_after",
     [
-        (eight("2026-07-04", 4, [18, 18, 15, 12, 15, 12, 9, 6], "3"), "established", 1 / 2, 1 / 10),
-        (eight("2026-07-04", 1, [6, 18, 18, 15, 15, 12, 12, 9], "4"), "decayed", 1 / 8, -19 / 280),
-        (challenge("2026-07-04", [basket("s", H, points=3, placement=1), basket("t", points=3, placement=2)], "5"), "matured", None, None),
-        (eight("2026-07-07", 4, [18, 18, 15, 12, 15, 12, 9, 6], "6"), "raised", None, None),
+        (eight("2026-06-27", 3), "established", 3 / 8, 27 / 60 - 3 / 8),
+        (eight("2026-06-28", 1), "decayed", 1 / 8, 12 / 60 - 1 / 8),
+        (finals("2026-06-27", ("u", "Kite 1", 9, 1), ("v", "", 6, 2)), "matured", None, None),
+        (eight("2026-06-30", 3), "raised", None, None),
     ],
 )
-def test_the_weekend_after_a_spike_judges_it(spark, tmp_path, after, state, challenge_after, tilt_after):
-    (row,) = episodes(spark, tmp_path, [*SPIKE, WEEKEND, dump("2026-07-01", 4), after, dump("2026-07-08", 4)])
-    assert row.state == state
-    assert row.tilt == pytest.approx(1 / 18) and row.challenge_before == pytest.approx(1 / 2)
-    assert row.challenge_after == (challenge_after if challenge_after is None else pytest.approx(challenge_after))
-    assert row.tilt_after == (tilt_after if tilt_after is None else pytest.approx(tilt_after))
+def test_the_weekend_after_decides(spark, tmp_path, after, state, challenge_after, tilt_after):
+    (row,) = episodes(spark, tmp_path, [*LEAP, *SHOWN, *LATER, *after])
+    assert row.state == state and row.challenge_before == 1 / 4
+    assert row.tilt == pytest.approx(18 / 42 - 1 / 4)
+    assert row.challenge_after == challenge_after
+    assert row.tilt_after == (None if tilt_after is None else pytest.approx(tilt_after))
     if state != "raised":
-        assert str(row.resolved_on) == "2026-07-08" and row.league_after == pytest.approx(2 / 3)
+        assert str(row.resolved_on) == "2026-07-02" and row.league_after == pytest.approx(4 / 9)
 
 
-def test_growth_is_not_decay_and_a_later_absence_lapses(spark, tmp_path):
-    points = [18, 15, 15, 12, 12, 9, 9, 6]
-    grew = [*SPIKE, eight("2026-06-20", 1, points, "2"), dump("2026-07-01", 4), eight("2026-07-04", 2, points, "3"), dump("2026-07-08", 4)]
-    (row,) = episodes(spark, tmp_path, [*grew, dump("2026-07-25", 0, size=12), dump("2026-08-01", 0, size=24)])
-    assert (row.state, row.challenge_before, row.challenge_after) == ("established", 1 / 8, 1 / 4)
+def test_an_equal_share_holds_and_a_later_absence_lapses(spark, tmp_path):
+    (row,) = episodes(spark, tmp_path, [*LEAP, *SHOWN, *LATER, *eight("2026-06-27", 2), *crowd("2026-08-01", 9)])
+    assert (row.state, row.challenge_after) == ("established", 1 / 4)
     assert (row.now_adoption, row.standing) == (0.0, "lapsed")
 
 
-def test_suppression_counts_from_the_last_accepted_spike(spark):
-    from datetime import date, timedelta
-
-    start = date(2026, 6, 7)
-    rows = [("k", start + timedelta(days=d), d) for d in (7, 14, 21, 28, 49)]
+def test_a_key_is_deaf_for_a_while_after_an_accepted_row(spark):
+    first = date(2026, 5, 31)
+    rows = [("k", first + timedelta(days=d), d) for d in (0, 7, 14, 21, 28, 50)]
     found = spark.createDataFrame(rows, "key string, end date, n int")
-    assert [r.n for r in hype.accepted(found, ("key",), "end", 14).orderBy("end").collect()] == [7, 28, 49]
+    assert [r.n for r in hype.accepted(found, ("key",), "end", 14).orderBy("end").collect()] == [0, 21, 50]
 
 
-def test_fringe_items_returning_and_new(spark, tmp_path):
+def test_fringe_items_new_and_back(spark, tmp_path):
     made = store(spark, tmp_path, [
-        *[dump(d, 4, "Back") for d in ("2026-06-03", "2026-06-10", "2026-06-17")],
-        *[dump(d, 0) for d in ("2026-06-24", "2026-07-01", "2026-07-08", "2026-07-15", "2026-07-22")],
-        dump("2026-07-29", 1, "New", (0, 1)), dump("2026-08-05", 1, "Back"),
+        *crowd("2026-04-10", 6, 3, "Owl 1"), *crowd("2026-04-20", 6, 2, "Owl 1"), *crowd("2026-05-20", 10), *crowd("2026-06-10", 8),
+        *crowd("2026-06-20", 6, 2, "Owl 1"), *crowd("2026-06-24", 5, 1, "Ibis 0/1"),
     ])
-    new, back = novelty.fringe_flags(made.items, made.baskets, CFG).orderBy("appeared_on").collect()
-    assert (new.item, new.qty_b, str(new.appeared_on), new.historical_adoption, new.returning) == ("New", 1, "2026-07-29", 0.0, False)
-    assert (back.item, back.returning, back.absent_days) == ("Back", True, 49)
-    assert back.historical_adoption == pytest.approx(12 / 54)
+    found = {r.item: r for r in novelty.fringe_flags(made.items, made.baskets, CFG).collect()}
+    assert set(found) == {"Owl", "Ibis"}
+    owl, ibis = found["Owl"], found["Ibis"]
+    assert (str(owl.appeared_on), owl.returning, owl.absent_days) == ("2026-06-20", True, 61)
+    assert owl.historical_adoption == pytest.approx(5 / 30)
+    assert (str(ibis.appeared_on), ibis.qty_a, ibis.qty_b, ibis.historical_adoption, ibis.returning) == ("2026-06-24", 0, 1, 0.0, False)
 
 
-def test_an_item_is_read_against_the_days_before_it(spark, tmp_path):
-    days = ("2026-06-03", "2026-06-10", "2026-06-17", "2026-06-24", "2026-07-01", "2026-07-08", "2026-07-15", "2026-07-22")
-    made = store(spark, tmp_path, [*[dump(d, 0) for d in days], dump("2026-07-29", 5, "Hot"), dump("2026-08-05", 5, "Hot")])
+def test_only_earlier_days_make_an_item_known(spark, tmp_path):
+    made = store(spark, tmp_path, [*crowd("2026-05-20", 6), *crowd("2026-06-10", 6), *crowd("2026-06-18", 5, 4, "Elk 1"), *crowd("2026-06-25", 5, 4, "Elk 1")])
     (flag,) = novelty.fringe_flags(made.items, made.baskets, CFG).collect()
-    assert (flag.item, str(flag.appeared_on), flag.historical_adoption) == ("Hot", "2026-07-29", 0.0)
+    assert (flag.item, str(flag.appeared_on), flag.historical_adoption) == ("Elk", "2026-06-18", 0.0)
 
 
-def test_proven_actors_and_pet_items(spark, tmp_path):
+def test_pet_items_and_the_proven_who_stand_by_them(spark, tmp_path):
     made = store(spark, tmp_path, [
-        challenge("2026-06-13", [basket("pro", {"Pet": (1, 0), "Once": (1, 0)}, points=18, placement=3), basket("q", {"Open": (2, 0)}, points=15, placement=8),
-                                 basket("low", {"Own": (0, 2)}, points=9, placement=20), basket("h", {"Hyb": (1, 0)}, "hybrid", 3, 5)], "1"),
-        challenge("2026-06-20", [basket("pro", {"Pet": (1, 0)}, points=18, placement=4), basket("r", {"Open": (2, 0)}, points=15, placement=12),
-                                 basket("low", {"Own": (0, 2)}, points=9, placement=22), basket("h", {"Hyb": (1, 0)}, "hybrid", 3, 17)], "2"),
-        league("2026-07-01", [basket("pro", {"Pet": (1, 0), "Once": (1, 0)}), basket("low", {"Own": (0, 2)}), basket("l", {"Open": (2, 0)}),
-                              basket("h", {"Hyb": (1, 0)}, "hybrid"), basket("e")]),
-        league("2026-07-02", [basket("pro", {"Once": (1, 0)}), basket("e2")]),
-        challenge("2026-08-03", [basket("fresh", points=3, placement=2)], "3"),
-        challenge("2026-08-04", [basket("fresh", points=3, placement=2)], "4"),
+        *finals("2026-05-24", ("vet", "Fox 1, Ram 2", 15, 5), ("ann", "Hen 1", 12, 9), ("mid", "Cat 0/1", 6, 21), ("mix", "Rat 1", 9, 7, "mixed")),
+        *finals("2026-05-31", ("vet", "Fox 1", 12, 11), ("ben", "Hen 1", 9, 14), ("mid", "Cat 0/1", 3, 30), ("mix", "Rat 1", 3, 22, "mixed")),
+        *league("2026-06-02", ("vet", "Fox 1"), ("vet", "Ram 2"), ("mid", "Cat 0/1"), ("cid", "Hen 1"), ("mix", "Rat 1", "mixed")),
+        *league("2026-06-03", ("vet", "Ram 2")),
+        # After the baseline window, so they prove nobody.
+        *finals("2026-07-20", ("late", "", 9, 1)), *finals("2026-07-21", ("late", "", 9, 1)),
     ])
-    assert [tuple(r) for r in actors.proven_actors(made.baskets, CFG).collect()] == [("pro", 2)]
+    assert [tuple(r) for r in actors.proven_actors(made.baskets, CFG).collect()] == [("vet", 2)]
     pets = {r.item: r for r in actors.pet_items(made.items, made.baskets, CFG).collect()}
-    assert set(pets) == {"Pet", "Own", "Once"}
-    assert (pets["Pet"].appearances, pets["Pet"].actors, pets["Pet"].hypothesis_candidate) == (3, ["pro"], True)
-    assert [tuple(d) for d in pets["Pet"].dissenters] == [("pro", 2)]
-    assert not pets["Once"].hypothesis_candidate and [tuple(d) for d in pets["Once"].dissenters] == [("pro", 1)]
-    assert not pets["Own"].hypothesis_candidate and pets["Own"].dissenters == []
-
-
-POOL = {f"Pool {n}": (2, 0) for n in range(5)}
-
-
-def lists_of(day, segment, places, pooled):
-    return [basket(f"{day}-{segment}-{p}", POOL if p in pooled else None, segment, 3, p) for p in places]
-
-
-FAR = tuple(range(33, 41))
-SETTLED = [
-    challenge("2026-06-13", lists_of("1", "non-fallaji", (1, 2, 6, 9, 13, 18, 21, 26), {26}) + lists_of("1", "fallaji", FAR, set(FAR)), "1"),
-    challenge("2026-06-20", lists_of("2", "non-fallaji", (1, 2, 6, 9, 13, 20, 24, 29), set()) + lists_of("2", "fallaji", FAR, set(FAR)), "2"),
+    assert set(pets) == {"Fox", "Ram", "Cat"}, "three owners of Hen are too many, and mixed lists are no segment's"
+    told = {item: (p.appearances, p.actors, [tuple(d) for d in p.dissenters], p.hypothesis_candidate) for item, p in pets.items()}
+    assert told == {
+        "Fox": (3, ["vet"], [("vet", 2)], True),
+        "Ram": (3, ["vet"], [("vet", 1)], False),
+        "Cat": (3, ["mid"], [], False),
+    }
+
+
+BIRDS = "Auk 1, Bee 1, Cod 1, Doe 1, Eel 1"
+# Ten plain lists without the birds, and ten full ones that all hold them but never finish well.
+GROUND = [
+    e
+    for day in ("2026-05-23", "2026-05-30")
+    for e in finals(day, *[(f"{day}/p{k}", "", 9, 1 + 3 * k) for k in range(5)], *[(f"{day}/f{k}", BIRDS, 3, 40 + k, "full") for k in range(5)])
 ]
 
 
-def flags(spark, root, events):
-    made = store(spark, root, events)
+def flags(spark, root, entries):
+    made = store(spark, root, entries)
     return departures.breakthroughs(made.items, made.baskets, CFG).orderBy("date", "actor").collect()
 
 
-def test_five_known_items_outside_ones_segment_depart_from_it(spark, tmp_path):
-    (flag,) = flags(spark, tmp_path, [*SETTLED, challenge("2026-07-04", [
-        basket("breaker", POOL, points=18, placement=3), basket("decoy", POOL, "fallaji", 15, 5),
-        basket("p", points=12, placement=9), basket("d", points=9, placement=14)], "3")])
-    assert (flag.actor, flag.segment, flag["mode"], flag.delta) == ("breaker", "non-fallaji", "in-pool", 5)
-    assert [s["item"] for s in flag.novel] == sorted(POOL) and flag.missing == []
-    assert flag.state == "watching"
+def test_five_items_known_elsewhere_depart_from_ones_own(spark, tmp_path):
+    (flag,) = flags(spark, tmp_path, [*GROUND, *finals("2026-06-13", ("hero", BIRDS, 15, 3), ("owner", BIRDS, 12, 6, "full"), ("four", BIRDS[:-7], 9, 8), ("low", BIRDS, 3, 19))])
+    assert (flag.actor, flag.segment, flag["mode"], flag.delta, flag.state) == ("hero", PLAIN, "in-pool", 5, "watching")
+    assert [s["item"] for s in flag.novel] == ["Auk", "Bee", "Cod", "Doe", "Eel"] and flag.missing == []
 
 
-def test_outsiders_answer_to_the_nearest_segment_up_to_a_ceiling(spark, tmp_path):
-    foreign = {f"Foreign {n}": (4, 0) for n in range(9)}
-    found = flags(spark, tmp_path, [*SETTLED, challenge("2026-07-04", [
-        basket("hybridist", POOL | {"Never": (1, 0)}, "hybrid", 18, 3), basket("p", points=15, placement=6),
-        basket("stray", {"Odd": (1, 0)}, points=12, placement=9, without=("Ephemerate",)),
-        basket("stranger", foreign, points=6, placement=14, without=("Ephemerate", "Psychic Frog", "Stock One", "Stock Two")),
-    ], "3")])
-    assert [(f.actor, f.segment, f["mode"], f.delta, f.missing) for f in found] == [
-        ("hybridist", "fallaji", "fringe", 1, []), ("stray", "non-fallaji", "fringe", 2, ["Ephemerate"])]
+def test_lists_of_no_segment_answer_to_the_nearest_and_far_ones_to_none(spark, tmp_path):
+    odd = ", ".join(f"Odd{k} 1" for k in range(11))
+    far = finals("2026-06-13", ("mixed", f"{BIRDS}, Zebu 1", 15, 3, "mixed"), ("near", "Yak 1", 12, 6), ("far", odd, 9, 9))
+    for entry in far:
+        entry.lacks = {"near": "Ephemerate", "far": "Ephemerate;Psychic Frog"}.get(entry.who, "")
+    found = flags(spark, tmp_path, [*GROUND, *far])
+    assert [(f.actor, f.segment, f["mode"], f.delta, f.missing) for f in found] == [("mixed", FULL, "fringe", 1, []), ("near", PLAIN, "fringe", 2, ["Ephemerate"])]
 
 
-def stock(day, regulars=(), size=8):
-    return league(day, [basket(a) for a in regulars] + [basket(f"{day}-{i}") for i in range(size)])
+REGULARS = ("rita", "sam", "tom")
+OPENING = [
+    *crowd("2026-05-25", 9), *league("2026-06-03", *[(who, "") for who in REGULARS]),
+    *league("2026-06-17", ("nora", "Nova 1"), ("olaf", ""), ("pia", "")),
+]
 
 
-NEW = {"Fresh Idea": (1, 0)}
-INTRODUCED = [
-    *SETTLED, stock("2026-06-24"), stock("2026-07-01", ("one", "two")),
-    league("2026-07-08", [basket("origin", NEW), basket("copycat", {"Pool 0": (2, 0)}), *[basket(f"o{i}") for i in range(6)]]),
-]
+def test_two_regulars_who_follow_make_a_trend(spark, tmp_path):
+    (flag,) = flags(spark, tmp_path, [*OPENING, *league("2026-06-24", ("rita", "Nova 1"), ("x", "")), *league("2026-06-30", ("sam", "Nova 1"), ("y", ""))])
+    assert (flag.actor, flag["mode"], flag.delta, flag.state) == ("nora", "fringe", 1, "trendsetter")
+    assert (flag.followers, flag.adopted_item, flag.needed) == (2, "Nova", 2)
 
 
-def test_a_followed_departure_sets_the_trend_and_an_ignored_one_does_not(spark, tmp_path):
-    (kept,) = flags(spark, tmp_path / "kept", [*INTRODUCED, league("2026-07-15", [basket("one", NEW), basket("z")]),
-                                               league("2026-07-22", [basket("two", NEW), basket("w")])])
-    assert (kept.actor, kept["mode"], kept.delta, kept.state, kept.followers, kept.adopted_item, kept.needed) == (
-        "origin", "fringe", 1, "trendsetter", 2, "Fresh Idea", 2)
-    (lost,) = flags(spark, tmp_path / "lost", [
-        *INTRODUCED, league("2026-07-15", [basket("origin", NEW), basket("one", NEW), basket("newcomer", NEW)]),
-        league("2026-07-29", [basket("late", NEW), basket("j")])])
-    assert (lost.actor, lost.state, lost.followers) == ("origin", "breakthrough", 1)
+def test_newcomers_repeats_and_the_late_dont_follow(spark, tmp_path):
+    (flag,) = flags(spark, tmp_path, [
+        *OPENING, *league("2026-06-22", ("nora", "Nova 1"), ("rita", "Nova 1"), ("new", "Nova 1")), *league("2026-07-08", ("sam", "Nova 1"), ("z", "")),
+    ])
+    assert (flag.actor, flag.state, flag.followers) == ("nora", "breakthrough", 1)
 
 
-def ranked(day, carried, place, number):
-    return challenge(day, [basket(f"s{s}", {"C": (1, 0)} if s in carried else None, points=3, placement=place(s)) for s in range(32)], number)
+def ranked(day, arm, places):
+    return finals(day, *[(f"{day}/{k}", "Jay 1" if k < arm else "", 6, place) for k, place in enumerate(places)])
 
 
-def test_a_contrast_that_separates_and_one_that_cannot(spark, tmp_path):
-    top = sorted(set(range(14)) | {16, 17})
-    made = store(spark, tmp_path / "a", [ranked("2026-08-05", set(range(16)), lambda s: 1 + top.index(s) if s in top else 17 + s % 16, "1")])
-    read = outcome.contrasts(made.items, made.baskets, CFG).where("item = 'C' AND arm = '1/0'").first()
-    assert (read.with_lists, read.with_made, read.without_lists, read.without_made, read.state) == (16, 14, 16, 2, "separates")
-    even = {s for s in range(32) if s % 2 == 0}
-    made = store(spark, tmp_path / "b", [ranked("2026-08-05", even, lambda s: 1 + s, "1")])
-    read = outcome.contrasts(made.items, made.baskets, CFG).where("item = 'C' AND arm = 'any count'").first()
-    assert (read.with_made, read.without_made, read.difference, read.state) == (8, 8, 0.0, "undetectable") and read.floor > 0.3
+def test_a_contrast_that_separates_and_one_that_shows_nothing(spark, tmp_path):
+    low = range(17, 60)
+    made = store(spark, tmp_path / "a", ranked("2026-06-06", 12, [*range(1, 12), 40, 12, 13, 14, *low[:9]]))
+    read = outcome.contrasts(made.items, made.baskets, CFG).where("item = 'Jay' AND arm = '1/0'").first()
+    assert (read.with_lists, read.with_made, read.without_lists, read.without_made, read.state) == (12, 11, 12, 3, "separates")
+    assert read.p == pytest.approx(sum(comb(12, k) * comb(12, 14 - k) for k in (2, 3, 11, 12)) / comb(24, 14))
+    made = store(spark, tmp_path / "b", ranked("2026-06-06", 10, [*range(1, 6), *low[:5], *range(6, 11), *low[5:10]]))
+    read = outcome.contrasts(made.items, made.baskets, CFG).where("item = 'Jay' AND arm = 'any count'").first()
+    assert (read.with_made, read.without_made, read.difference, read.p, read.state) == (5, 5, 0.0, 1.0, "undetectable") and read.floor > 0.3
 
 
 def test_conversion_counts_an_actor_once(spark, tmp_path):
-    made = store(spark, tmp_path, [
-        league("2026-08-05", [basket("grind", {"C": (1, 0)})] * 4 + [basket(f"o{i}") for i in range(3)]),
-        ranked("2026-08-04", set(), lambda s: 1 + s, "1")])
-    read = outcome.contrasts(made.items, made.baskets, CFG).where("item = 'C' AND arm = '1/0'").first()
-    assert read.league_share == 1 / 4 and read.uncapped == pytest.approx(4 / 7) and read.cap_effect == "collapses"
-
-
-def test_the_exact_test_agrees_with_counting_every_table():
-    import random
-    from math import comb
-
-    from basketlens.functions.exact import fisher_p
-
-    def counted(a, b, c, d):
-        n, row, col = a + b + c + d, a + b, a + c
-        if not (row and c + d and col and b + d):
-            return 1.0
-        mass = lambda k: comb(row, k) * comb(n - row, col - k) / comb(n, col)
-        return min(1.0, sum(m for m in map(mass, range(max(0, col - c - d), min(row, col) + 1)) if m <= mass(a) + 1e-12))
-
-    rng = random.Random(3)
-    for size in (4, 30, 400):
-        for _ in range(60):
-            table = [rng.randrange(size) for _ in range(4)]
-            assert fisher_p(*table) == pytest.approx(counted(*table), abs=1e-9), table
-    assert 0 <= fisher_p(10**8, 10**8 + 30_000, 10**8, 10**8) < 1
+    made = store(spark, tmp_path, [*league("2026-06-05", *[("grinder", "Jay 1")] * 3, *[(f"o{k}", "") for k in range(5)]), *ranked("2026-06-06", 0, range(1, 9))])
+    read = outcome.contrasts(made.items, made.baskets, CFG).where("item = 'Jay' AND arm = 'board a'").first()
+    assert read.league_share == pytest.approx(1 / 6) and read.uncapped == pytest.approx(3 / 8) and read.cap_effect == "collapses"
+
+
+def counted(a, b, c, d):
+    """The exact test by its definition, over every table of these margins."""
+    row, col, n = a + b, a + c, a + b + c + d
+    if not (row and c + d and col and b + d):
+        return 1.0
+    mass = {k: comb(row, k) * comb(n - row, col - k) / comb(n, col) for k in range(max(0, col - c - d), min(row, col) + 1)}
+    return min(1.0, sum(m for m in mass.values() if m <= mass[a] + 1e-12))
+
+
+def test_the_exact_test_agrees_with_every_table_counted(spark):
+    rng = random.Random(11)
+    tables = [tuple(rng.randrange(most) for _ in range(4)) for most in (3, 12, 90, 700) for _ in range(40)]
+    tables += [(0, 0, 0, 0), (5, 0, 0, 5), (900, 3, 2, 800), (1, 60, 60, 1)]
+    frame = spark.createDataFrame(tables, "a long, b long, c long, d long").withColumn("p", fisher(*map(F.col, "abcd")))
+    for row in frame.collect():
+        assert row.p == pytest.approx(counted(*row[:4]), abs=1e-9), row
+    big = spark.createDataFrame([(10**7, 10**7 + 9000, 10**7, 10**7)], "a long, b long, c long, d long")
+    assert 0 < big.select(fisher(*map(F.col, "abcd")).alias("p")).first().p < 1
 
 
 def test_the_ledger_remembers(spark):

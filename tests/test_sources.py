@@ -4,7 +4,7 @@ from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
-from worlds import basket, challenge, league, payload as published
+from worlds import finals, land, league
 
 from basketlens.config import DECKLISTS as CFG
 from basketlens.operators import composition, ingest, weekly
@@ -12,48 +12,47 @@ from basketlens.sources import captures, matchlogs, payload, snapshots
 from basketlens.streaming import arrivals
 
 
-def land(folder, events, names=None):
-    folder.mkdir(parents=True, exist_ok=True)
-    for n, event in enumerate(events):
-        body = event if "decklists" in event else published(event)
-        (folder / f"{(names or {}).get(n, body['site_name'])}.json").write_text(json.dumps(body, indent=1))
-    return str(folder)
-
-
 @pytest.fixture(scope="module")
-def folder(tmp_path_factory):
-    twice = basket("z", {"Superior Spider-Man": (1, 0), "Kavaero, Mind-Bitten": (1, 1)})
-    ranked = challenge("2026-06-13", [basket("a", points=9, placement=2), basket("b", {"Ground": (0, 3)}, points=6, placement=1)], "77")
-    ranked["final"] = [{"loginid": "0", "rank": "1"}, {"loginid": "1", "rank": "2"}]
-    swiss = challenge("2026-06-14", [basket("c", points=3, placement=5), basket("d", points=0, placement=9, without=("Psychic Frog",))], "78")
-    first = league("2026-06-10", [twice, basket("z", segment="hybrid")])
-    copy = published(league("2026-06-10", [basket("other")]))
-    return land(tmp_path_factory.mktemp("raw"), [first, ranked, swiss, copy], {3: "zz-copy"})
+def folder(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("raw")
+    entries = [
+        *league("2026-06-02", ("zoe", "Superior Spider-Man 2, Kavaero, Mind-Bitten 0/1"), ("zoe", "", "mixed")),
+        *finals("2026-06-06", ("amy", "", 9, 2), ("bea", "Marsh 17/4", 6, 1), number=4),
+        *finals("2026-06-07", ("cal", "", 3, 6), ("deb", "", 0, 11), number=5),
+    ]
+    entries[-1].lacks = "Atraxa, Grand Unifier"
+    land(spark, root, entries, final=[(entries[2].event, "amy", 1), (entries[2].event, "bea", 2)])
+    twin = json.loads((root / f"{entries[0].event}.json").read_text())
+    twin["decklists"][0]["player"] = "twin"
+    (root / "zz-twin.json").write_text(json.dumps(twin, indent=1))
+    return str(root)
 
 
 def test_payloads_of_both_shapes_make_one_store(spark, folder, tmp_path):
     none = spark.createDataFrame([], "captured_on date, window_days int, cohort string, share double, deck_count int")
     made = payload.store(spark, folder, none, CFG)
     lists = {(r.actor, r.segment): r for r in made.baskets.collect()}
-    assert len(lists) == 6 and ("other", "non-fallaji") not in lists, "a second file of one event is not read"
-    assert (lists["a", "non-fallaji"].placement, lists["b", "non-fallaji"].placement) == (1, 2), "the final ranking stands"
-    assert (lists["c", "non-fallaji"].placement, lists["c", "non-fallaji"].points) == (5, 3)
-    assert lists["c", "non-fallaji"].event_class == "challenge-64" and lists["c", "non-fallaji"].record == "1-1"
-    z = lists["z", "non-fallaji"]
-    assert (z.placement, z.points, z.record, z.event_class, z.stratum) == (None, None, "5-0", "league", "league")
-    assert str(z.date) == "2026-06-10" and z.typed_total == 20
-    assert lists["b", "non-fallaji"].typed_total == 20, "the total is board a's alone"
-    assert lists["d", None].near_miss and not lists["d", None].member
-    assert ("z", "hybrid") in lists, "one actor's two lists stay two"
-    merged = made.items.where((F.col("list_id") == z.list_id) & (F.col("item") == "Kavaero, Mind-Bitten")).first()
+    assert len(lists) == 6 and not any(actor == "twin" for actor, _ in lists), "a second file of one event is not read"
+    plain = CFG.segments[1][0]
+    assert (lists["amy", plain].placement, lists["bea", plain].placement) == (1, 2), "the final ranking stands"
+    assert (lists["cal", plain].placement, lists["cal", plain].points) == (6, 3)
+    assert (lists["cal", plain].event_class, lists["cal", plain].record) == ("challenge-32", "1-2")
+    zoe = lists["zoe", plain]
+    assert (zoe.placement, zoe.points, zoe.record, zoe.event_class, zoe.stratum) == (None, None, "4-1", "league", "league")
+    assert (str(zoe.date), zoe.typed_total) == ("2026-06-02", 17)
+    assert lists["bea", plain].typed_total == 17, "the total is board a's alone"
+    assert lists["deb", None].near_miss and not lists["deb", None].member
+    assert ("zoe", "hybrid") in lists, "one actor's two lists stay two"
+    merged = made.items.where((F.col("list_id") == zoe.list_id) & (F.col("item") == "Kavaero, Mind-Bitten")).first()
     assert (merged.qty_a, merged.qty_b) == (2, 1)
 
 
 def test_a_day_that_is_not_one_is_refused(spark, tmp_path):
-    event = published(league("2026-06-10", [basket("a")])) | {"publish_date": "2026-6-1"}
-    bad = payload.baskets(payload.scan(spark, land(tmp_path, [event])))
+    land(spark, tmp_path, league("2026-06-02", ("amy", "")))
+    (path,) = tmp_path.glob("*.json")
+    path.write_text(json.dumps(json.loads(path.read_text()) | {"publish_date": "2026-6-2"}))
     with pytest.raises(Exception, match="not an ISO day"):
-        bad.collect()
+        payload.baskets(payload.scan(spark, str(tmp_path))).collect()
 
 
 def test_the_index_counts_two_equal_rows_as_two_lists(spark):
@@ -115,20 +114,21 @@ def test_captures_carry_boards_overrides_and_notes(spark, tmp_path):
 
 def test_match_logs_decide_on_the_line_or_on_two_games(spark, tmp_path):
     said = {
-        "aa-1": ["@Pann rolled a 3.", "@Pbob_the.B rolled a 6.", "@Pann plays @[Island@:1,2:@].", "@Pann casts @[Frog@:1,2:@] x", "@Pann casts @[Frog@:1,3:@]",
-                 "@Pann wins the game.", "@Pbob_the.B wins the game.", "@Pann wins the game.", "@Pann wins the match 2-1"],
-        "aa-2": ["@Pann rolled a 3.", "@Pbob rolled a 6.", "@Pbob wins the game.", "@Pbob wins the game."],
-        "aa-3": ["@Pann rolled a 3.", "@Pbob rolled a 6.", "@Pann wins the game."],
-    }
+        "b-7": ["@Pkay_9 rolled a 4.", "@PLev-2 rolled a 1.", "@PLev-2 casts @[Oak@:5,9:@].", "@PLev-2 casts @[Elm@:5,9:@].", "@PLev-2 plays @[Oak@:5,8:@].",
+               "@PLev-2 wins the game.", "@Pkay_9 wins the game.", "@PLev-2 wins the game.", "@PLev-2 wins the match 2-1"],
+        "b-8": ["@Pmo rolled a 2.", "@Pned rolled a 5.", "@Pmo casts @[Ash@:1,1:@].", "@Pmo wins the game.", "@Pmo wins the game."],
+        "b-9": ["@Pmo rolled a 6.", "@Pned rolled a 5.", "@Pned wins the game."],
+    }
     for name, lines in said.items():
-        (tmp_path / f"Match_GameLog_{name}.dat").write_bytes(b"\x00\xff\x08".join(line.encode("latin-1") for line in lines))
+        (tmp_path / f"Match_GameLog_{name}.dat").write_bytes(b"\x01\xfe".join(line.encode("latin-1") for line in lines))
     read = {r.match_id: r for r in matchlogs.records(matchlogs.scan(spark, str(tmp_path))).collect()}
-    one = read["aa-1"]
-    assert (one.players, one.winner, one.score, one.game_wins) == (["ann", "bob_the.B"], "ann", "2-1", {"ann": 2, "bob_the.B": 1})
-    assert one.cards == {"ann": ["Island", "Frog"]}
-    assert (read["aa-2"].winner, read["aa-2"].score, read["aa-3"].winner) == ("bob", None, None)
-    told = spark.createDataFrame([(["ann", "bob"], "ann"), (["bob", "c"], "c")], "players array<string>, winner string")
-    assert tuple(matchlogs.match_record(told, "ann").first()) == (1, 0)
+    whole = read["b-7"]
+    assert (whole.players, whole.winner, whole.score, whole.game_wins) == (["kay_9", "Lev-2"], "Lev-2", "2-1", {"Lev-2": 2, "kay_9": 1})
+    assert whole.cards == {"Lev-2": ["Oak", "Elm"]}
+    assert (read["b-8"].winner, read["b-8"].score, read["b-8"].cards) == ("mo", None, {"mo": ["Ash"]})
+    assert read["b-9"].winner is None
+    told = spark.createDataFrame([(["mo", "ned"], "ned"), (["ned", "o"], "o"), (["ned", "p"], "ned")], "players array<string>, winner string")
+    assert tuple(matchlogs.match_record(told, "ned").first()) == (2, 1)
 
 
 def test_weekly_averages_and_the_dense_table(spark, tmp_path):
@@ -157,9 +157,6 @@ def test_weekly_averages_and_the_dense_table(spark, tmp_path):
 
 
 def test_the_arrivals_stream_drops_an_event_landing_twice(spark, folder, tmp_path):
-    lists = arrivals.arriving_lists(arrivals.read_landing(spark, folder), CFG)
-    query = (lists.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state"))
-             .trigger(availableNow=True).format("parquet").start(str(tmp_path / "out")))
-    query.awaitTermination()
-    landed = spark.read.parquet(str(tmp_path / "out"))
+    lists = arrivals.arriving_lists(arrivals.read_landing(spark, folder, files_per_trigger=1))
+    landed = arrivals.land(lists, str(tmp_path / "out"), str(tmp_path / "state"))
     assert landed.count() == 6 == landed.select("event_id", "pos").distinct().count()
