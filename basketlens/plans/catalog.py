@@ -739,8 +739,8 @@ def _(r):
 
 @reading("st2_sliding_tally")
 def _(r):
-    events = tallies.stream_events(r.spark, r.sf_dir, r.cfg)
-    return tallies.run_to_end(tallies.sliding(events, ["event_type"], r.cfg), "sliding-tally")
+    events = tallies.stream_events(r.spark, r.sf_dir)
+    return tallies.run_to_end(tallies.sliding(events, ["event_type"], r.cfg), ["event_type"], "sliding-tally")
 
 
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -137,12 +137,6 @@ def streamed_arrivals(run) -> DataFrame:
     documents(run).select("value").write.text(f"{root}/landing")
     landed = run.spark.readStream.schema("value string").text(f"{root}/landing")
     parsed = landed.select(F.from_json("value", payload.PAYLOAD_SCHEMA).alias("p")).select("p.*")
-    lists = arrivals.arriving_lists(parsed, run.cfg)
-    query = (
-        lists.writeStream.outputMode("append").option("checkpointLocation", f"{root}/state")
-        .trigger(availableNow=True).format("parquet").start(f"{root}/lists")
-    )
-    query.awaitTermination()
-    return run.spark.read.schema(lists.schema).parquet(f"{root}/lists").select(
+    return arrivals.land(arrivals.arriving_lists(parsed), f"{root}/lists", f"{root}/state").select(
         "event_id", "event_class", "actor", F.to_date("event_ts").alias("date")
     )

@@ -2,8 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..config import EngineConfig
 from ..sources import payload
 
 
@@ -17,17 +17,41 @@ def read_landing(spark: SparkSession, folder: str, files_per_trigger: int = 1000
     )
 
 
-def arriving_lists(payloads: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Lists of arriving payloads. An event landing again within the unsettled
-    days adds only lists at places it did not have before.
+LANDED = ["event_id", "pos"]
 
-    The finish is matched inside the payload's own row, so no state is kept
-    for it; the only state is the ids of the unsettled days.
-    """
-    lists = payload.listed(payloads).select(
+
+def arriving_lists(payloads: DataFrame) -> DataFrame:
+    """Lists of arriving payloads; the finish is matched inside the payload's own row."""
+    return payload.listed(payloads).select(
         "list_id", "event_id", "event", "event_class", "pos", F.col("deck.player").alias("actor"),
         F.to_timestamp("day", "yyyy-MM-dd").alias("event_ts"),
     )
-    return lists.withWatermark("event_ts", f"{cfg.unsettled_days} days").dropDuplicatesWithinWatermark(
-        ["event_id", "pos"]
-    )
+
+
+def land(lists: DataFrame, sink: str, state: str) -> DataFrame:
+    """Drain arriving lists to a table and serve it. An event landing again adds
+    only lists at places it did not have before, however late and in whatever
+    order its files come.
+
+    What has landed is the state: each batch is compared with the table by key
+    and written under its own number, so a batch that runs again replaces itself.
+    """
+    spark = lists.sparkSession
+    stored = T.StructType([*lists.schema.fields, T.StructField("batch", T.LongType())])
+
+    def add(arrived: DataFrame, number: int) -> None:
+        known = read_landed(spark, sink, stored).where(F.col("batch") != number).select(*LANDED)
+        fresh = arrived.dropDuplicates(LANDED).join(known, LANDED, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    query = lists.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(add).start()
+    query.awaitTermination()
+    return read_landed(spark, sink, stored).drop("batch")
+
+
+def read_landed(spark: SparkSession, sink: str, schema: T.StructType) -> DataFrame:
+    """The table of what has landed; empty before the first batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sink)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(sink)

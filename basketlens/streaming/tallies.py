@@ -1,4 +1,4 @@
-"""Sliding fortnight tallies over an event stream, late rows accepted for a while."""
+"""Sliding fortnight tallies over an event stream, whatever order its files come in."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,27 +20,37 @@ def sliding(events: DataFrame, keys: list[str], cfg: EngineConfig) -> DataFrame:
     )
 
 
-def stream_events(spark: SparkSession, folder: str, cfg: EngineConfig) -> DataFrame:
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    return raw.select(F.col("ts").cast("timestamp").alias("ts"), "event_type").withWatermark(
-        "ts", f"{cfg.unsettled_days} days"
-    )
+def stream_events(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
+    """The event table as a stream, whether it is one file or a folder of parts.
+
+    No watermark: the state is a count per Sunday and event type, which the
+    calendar bounds, so no row comes too late to count.
+    """
+    path = f"{folder}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
+    return raw.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+
 
+def run_to_end(tally: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Drain a tally and serve every window as it stands, open ones too.
 
-def run_to_end(tally: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
-    """Drain a tally to a parquet sink and serve the closed windows from it."""
+    Each batch writes the counts it changed under its own number; the highest
+    number of a key is its count.
+    """
     spark = tally.sparkSession
     root = fresh_path(spark, name)
     if root is None:
         raise ValueError("a streaming sink needs the shared folder of spark.checkpoint.dir")
     sink = f"{root}/sink"
+
+    def put(changed: DataFrame, number: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
     query = (
-        tally.writeStream.outputMode("append")
-        .option("checkpointLocation", checkpoint or f"{root}/state")
-        .trigger(availableNow=True)
-        .format("parquet")
-        .start(sink)
-    )
+        tally.writeStream.outputMode("update").option("checkpointLocation", f"{root}/state")
+        .trigger(availableNow=True).foreachBatch(put).start()
+    )
     query.awaitTermination()
-    return spark.read.schema(tally.schema).parquet(sink)
+    stood = spark.read.schema(tally.schema.add("batch", "long")).parquet(sink)
+    return stood.groupBy("end", *keys).agg(F.max_by("lists", "batch").alias("lists"))

@@ -248,8 +248,8 @@ ORACLES: dict[str, str] = {
       FROM (SELECT DISTINCT hypothesis_id, conditional_on FROM c_subj) LEFT JOIN (SELECT * FROM c_trend ORDER BY captured_on DESC LIMIT 1) ON conditional_on = 'mirror'""", "share"),
     "st1_arrivals": query(f"SELECT {SITE} AS event_id, CASE WHEN event_class = 'league' THEN 'league' ELSE lower(priority) END AS event_class, actor, date FROM c_lists"),
     "st2_sliding_tally": query(f"""SELECT e AS "end", event_type, count(*) AS lists FROM events,
-        (SELECT CAST(d AS DATE) AS e FROM (SELECT unnest(generate_series(DATE '2023-12-01', DATE '2024-04-30', INTERVAL 1 DAY)) AS d) WHERE isodow(d) = 7)
-      WHERE CAST(ts AS DATE) BETWEEN e - {W - 1} AND e AND e + 1 <= (SELECT max(ts) - INTERVAL {C.unsettled_days} DAY FROM events) GROUP BY 1, 2"""),
+        (SELECT CAST(d AS DATE) AS e FROM (SELECT unnest(generate_series((SELECT min(ts) FROM events)::DATE::TIMESTAMP, (SELECT max(ts) FROM events)::DATE::TIMESTAMP + INTERVAL {W} DAY, INTERVAL 1 DAY)) AS d) WHERE isodow(d) = 7)
+      WHERE CAST(ts AS DATE) BETWEEN e - {W - 1} AND e GROUP BY 1, 2"""),
 }
 ORACLES["r5_readings"] = ORACLES["j14_subject_readings"]
 ORACLES["r5_quiet"] = ORACLES["j15_quiet_subjects"]
