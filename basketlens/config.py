@@ -1,7 +1,8 @@
 """Every named threshold of the engine, in one frozen record.
 
-The defaults are the bars drawn for populations of some forty baskets. Each
-dataset re-draws them by replacing fields, never by editing an operator.
+The defaults are fixed values: the published bars, drawn for populations of some
+forty baskets. Each dataset re-draws them by replacing fields, never by editing an
+operator.
 """
 
 from dataclasses import dataclass, replace

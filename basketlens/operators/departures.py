@@ -252,17 +252,20 @@ def breakthroughs(
 
 
 def follower_names(items: DataFrame, baskets: DataFrame, flags: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Who followed each departure on its adopted item, one row a follower.
+    """Who followed an adopted item after each day a departure led with it.
 
-    Long form, since a departure may draw more followers than one row holds. Days
-    are cut into blocks as long as the window, so an adoption meets only the
-    departures of its own block and the one before.
+    Keyed by item and day, since followers depend on nothing else: departures of
+    one day share their rows and look them up. An adoption follows the days of the
+    window before it, so its rows are bounded by the calendar. Days are cut into
+    blocks as long as the window, so an adoption meets only the days of its own
+    block and the one before.
     """
     span = cfg.trendsetter_days
     block = lambda day: F.floor(day / span)
     led = (
         flags.where("followers > 0")
-        .select("list_id", "date", F.col("adopted_item").alias("item"))
+        .select("date", F.col("adopted_item").alias("item"))
+        .distinct()
         .withColumn("number", day_number())
         .withColumn("block", F.explode(F.array_distinct(F.array(block(F.col("number") + 1), block(F.col("number") + span)))))
     )
@@ -274,5 +277,5 @@ def follower_names(items: DataFrame, baskets: DataFrame, flags: DataFrame, cfg:
             & (F.col("first") <= F.date_add("date", span))
             & (F.col("debut") <= F.col("date"))
         )
-        .select("list_id", "date", "item", F.col("actor").alias("follower"), F.col("first").alias("taken_up"))
+        .select("date", "item", F.col("actor").alias("follower"), F.col("first").alias("taken_up"))
     )

@@ -5,13 +5,14 @@ the ledger is the memory, so a flag keeps the day it was first seen and is kept
 after the store stops raising it.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.dates import first_weekend_after
 from ..functions.frames import stacked
 from ..session import fresh_path, written
+from .scope import day_number
 
 SLOT = "struct<item:string,qty_a:int,qty_b:int>"
 DISSENTER = "struct<actor:string,finishes:bigint>"
@@ -100,21 +101,20 @@ def load(spark: SparkSession, path: str | None) -> DataFrame:
     return spark.read.schema(LEDGER_SCHEMA).parquet(path)
 
 
-def record(standing: DataFrame, detected: DataFrame, today) -> tuple[DataFrame, str | None]:
+def record(standing: DataFrame, detected: DataFrame, today) -> tuple[DataFrame, str]:
     """Merge and write a new ledger version beside the old one; the caller keeps
     the path of the version that stands."""
     merged = merge(standing, detected, today)
     path = fresh_path(merged.sparkSession, "ledger")
-    if path is None:
-        return merged, None
     return written(merged, path), path
 
 
 def lineage(ledger: DataFrame, segment: str | None = None) -> DataFrame:
     """Departures traced to the first episode any of their items led to.
 
-    A departure meets only episodes of its own segment and items, reduced first
-    to one a Sunday; most meet none and are rows all the same.
+    Departures ask by segment, item and day, and the next episode is carried back
+    over days, so departures and episodes are never paired; most meet none and
+    are rows all the same.
     """
     flags = ledger.where(F.col("kind") == "breakthrough")
     if segment:
@@ -129,9 +129,19 @@ def lineage(ledger: DataFrame, segment: str | None = None) -> DataFrame:
     opened = flags.select(
         "segment", "actor", "event", "date", F.explode("novel").alias("slot")
     ).withColumn("item", F.col("slot.item"))
+    asked = ["segment", "item", "date"]
+    ahead = Window.partitionBy("segment", "item").orderBy(day_number()).rangeBetween(0, Window.unboundedFollowing)
+    coming = (
+        stacked(
+            opened.select(*asked).distinct().withColumn("asked", F.lit(True)),
+            episodes.select("segment", "item", F.col("spiked_on").alias("date"), F.struct("spiked_on", "told").alias("next")),
+        )
+        .withColumn("next", F.min("next").over(ahead))
+        .where("asked AND next IS NOT NULL")
+        .select(*asked, "next.*")
+    )
     first = (
-        opened.join(episodes, ["segment", "item"])
-        .where(F.col("spiked_on") >= F.col("date"))
+        opened.join(coming, asked)
         .groupBy("actor", "event", "date")
         .agg(F.min(F.struct("spiked_on", "item", "told")).alias("spread"))
     )

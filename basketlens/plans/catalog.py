@@ -64,19 +64,19 @@ def reading(name: str):
 
 @reading("s1_event_scan")
 def _(r):
-    return payload.first_copies(derived.payloads(r)).select(
+    return derived.payloads(r).select(
         "site_name", "path", F.size("decklists").alias("lists")
     )
 
 
 @reading("s2_event_flatten")
 def _(r):
-    return payload.baskets(payload.first_copies(derived.payloads(r))).drop("list_id")
+    return payload.baskets(derived.payloads(r)).drop("list_id")
 
 
 @reading("s3_finish_resolution")
 def _(r):
-    return payload.standings(payload.first_copies(derived.payloads(r))).select("event_id", "loginid", "placement")
+    return payload.standings(derived.payloads(r)).select("event_id", "loginid", "placement")
 
 
 @reading("s4_event_class")
@@ -167,8 +167,6 @@ def _(r):
 def _(r):
     read = matchlogs.records(derived.logs(r.table("conversations")))
     path = fresh_path(r.spark, "matches")
-    if path is None:
-        return read.select("match_id", "players", "game_wins", "winner", "score")
     matchlogs.write(read, path)
     return r.spark.read.schema(read.schema).json(path).select("match_id", "players", "game_wins", "winner", "score")
 
@@ -177,8 +175,6 @@ def _(r):
 def _(r):
     dense = _dense(r)
     path = fresh_path(r.spark, "weekly")
-    if path is None:
-        return dense
     weekly.write_table(dense, path)
     order = "week date, panel string, board string, item string, avg_copies double, lists bigint, highlight boolean"
     return r.spark.read.schema(order).option("header", True).csv(path)

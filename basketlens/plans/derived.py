@@ -79,7 +79,8 @@ def documents(run) -> DataFrame:
 
 
 def payloads(run) -> DataFrame:
-    return payload.parsed(documents(run))
+    """The first copy of every event's payload, parsed."""
+    return payload.parsed(payload.first_documents(documents(run)))
 
 
 def snapshot_table(events: DataFrame) -> DataFrame:
@@ -132,8 +133,6 @@ def logs(conversations: DataFrame) -> DataFrame:
 def streamed_arrivals(run) -> DataFrame:
     """Payload texts landed as files and drained through the arrivals stream."""
     root = fresh_path(run.spark, "arrivals")
-    if root is None:
-        raise ValueError("a stream needs the shared folder of spark.checkpoint.dir")
     documents(run).select("value").write.text(f"{root}/landing")
     landed = run.spark.readStream.schema("value string").text(f"{root}/landing")
     parsed = landed.select(F.from_json("value", payload.PAYLOAD_SCHEMA).alias("p")).select("p.*")

@@ -1,5 +1,7 @@
 """Session settings the plans assume, and the shared folder they may write to."""
 
+import atexit
+import shutil
 import tempfile
 from uuid import uuid4
 
@@ -40,39 +42,48 @@ def guarded(spark: SparkSession) -> SparkSession:
 _LOCAL_DIRS: dict[str, str] = {}
 
 
-def shared_dir(spark: SparkSession) -> str | None:
+def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a local session with no setting gets a folder of its own. A cluster
-    session that names none gets None, and callers then leave their plan lazy
-    instead of writing to a disk one machine owns.
+    A session on this machine alone gets a folder of its own, removed when Python
+    ends. Any other session has to name one: plans would otherwise be run again
+    from the start for each of their readers.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return None
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="basketlens-")
+        atexit.register(shutil.rmtree, _LOCAL_DIRS[app], True)
     return _LOCAL_DIRS[app]
 
 
-def fresh_path(spark: SparkSession, name: str) -> str | None:
+def run_dir(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return f"{shared_dir(spark)}/basketlens/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, at the end of a run."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder, never one that was written before."""
-    base = shared_dir(spark)
-    return f"{base}/basketlens/{spark.sparkContext.applicationId}/{name}-{uuid4().hex[:12]}" if base else None
+    return f"{run_dir(spark)}/{name}-{uuid4().hex[:12]}"
 
 
 def settled(frame: DataFrame, name: str) -> DataFrame:
     """A small result several later steps read, written once and served from there.
 
-    Lost executors then re-read files instead of re-running the plan above it.
+    Lost executors then re-read files instead of re-running the plan above them.
     """
-    path = fresh_path(frame.sparkSession, name)
-    if path is None:
-        return frame
-    return written(frame, path)
+    return written(frame, fresh_path(frame.sparkSession, name))
 
 
 def written(frame: DataFrame, path: str) -> DataFrame:

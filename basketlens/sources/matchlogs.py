@@ -1,8 +1,7 @@
 """Match logs: who played, who took each game, and what each side was seen casting.
 
-A log is text events inside a binary container; the player marker is the only
-safe left edge of a login. Logs are read as `(match_id, part, value)`, so one
-log may lie over any number of rows.
+Events are found by pattern in the raw bytes, each from its player mark on. Logs
+are read as `(match_id, part, value)`, so one log may lie over any number of rows.
 """
 
 from pyspark.sql import DataFrame, SparkSession

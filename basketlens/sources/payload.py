@@ -23,7 +23,7 @@ PAYLOAD_SCHEMA = (
     "winloss array<struct<loginid:string,wins:string,losses:string>>, "
     "final_rank array<struct<loginid:string,rank:string>>"
 )
-# Fixed value: what an event id appends to the event kind.
+# Fixed value: the day and number that close an event id.
 DATED_SUFFIX = r"-\d{4}-\d{2}-\d{2}\d+$"
 
 
@@ -39,6 +39,12 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def first_documents(documents: DataFrame) -> DataFrame:
+    """`first_copies` of JSON texts `(path, value)`, before they are parsed."""
+    named = documents.withColumn("site_name", F.get_json_object("value", "$.site_name"))
+    return first_copies(named).drop("site_name")
+
+
 def parsed(documents: DataFrame) -> DataFrame:
     """Payloads held as JSON text, `(path, value)`, in the scanned shape."""
     return documents.select("path", F.from_json("value", PAYLOAD_SCHEMA).alias("p")).select("p.*", "path")
@@ -46,13 +52,11 @@ def parsed(documents: DataFrame) -> DataFrame:
 
 def first_copies(payloads: DataFrame) -> DataFrame:
     """One payload an event: a second file naming the same event is the same
-    event listed twice, and the first file in name order stands."""
-    columns = [F.col(c) for c in payloads.columns]
-    return (
-        payloads.groupBy("site_name")
-        .agg(F.min_by(F.struct(*columns), "path").alias("p"))
-        .select("p.*")
-    )
+    event listed twice, and the first file in name order stands.
+
+    Names and paths alone decide; payloads are only kept or left."""
+    first = payloads.groupBy("site_name").agg(F.min("path").alias("path"))
+    return payloads.join(first, ["site_name", "path"], "left_semi").select(*payloads.columns)
 
 
 def event_class(site_name: Column) -> Column:

@@ -73,5 +73,5 @@ def stamped(table: DataFrame, captured_on: str, window_days: int) -> DataFrame:
 def ingest(table: DataFrame, captured_on: str, window_days: int, folder: str) -> str:
     """File one reading under its own two terms; filing it again replaces it alone."""
     path = f"{folder}/{captured_on}_{window_days}d"
-    stamped(table, captured_on, window_days).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    stamped(table, captured_on, window_days).write.mode("overwrite").option("header", True).csv(path)
     return path

@@ -16,6 +16,7 @@ from ..config import LEAGUE, EngineConfig
 from ..functions.dates import week_end
 from ..functions.frames import stacked
 from ..functions.shares import resolve_alias, share
+from ..session import settled
 
 LEAGUE_PRIORITIES = ("5-LOW", "4-NOT SPECIFIED", "3-MEDIUM")
 POINTS_STEP = 50_000
@@ -29,16 +30,11 @@ def ranked_in_event(finishes: DataFrame, buckets: int) -> DataFrame:
     """Placement by falling price inside each event, ties to the smaller id.
 
     An event may hold a large part of all lists, so no task ranks a whole one:
-    its price span is cut into equal buckets, each bucket is ranked on its own,
-    and the sizes of the dearer buckets are added on.
+    lists are cut into even ranges of event, price and id, whatever the prices,
+    each event is ranked inside its ranges, and the sizes of the dearer ranges are
+    added on.
     """
-    span = finishes.groupBy("event_id").agg(F.min("price").alias("low"), F.max("price").alias("high"))
-    cut = F.floor(F.try_divide(F.col("high") - F.col("price"), F.col("high") - F.col("low")) * buckets)
-    placed = (
-        finishes.join(span, "event_id")
-        .withColumn("bucket", F.least(F.coalesce(cut, F.lit(0)), F.lit(buckets - 1)))
-        .drop("low", "high")
-    )
+    placed = settled(in_ranges(finishes, buckets), "price-ranges")
     dearer = Window.partitionBy("event_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ahead = (
         placed.groupBy("event_id", "bucket")
@@ -54,6 +50,12 @@ def ranked_in_event(finishes: DataFrame, buckets: int) -> DataFrame:
     )
 
 
+def in_ranges(finishes: DataFrame, ranges: int) -> DataFrame:
+    """Lists with the range they fall into; the id in the key cuts even equal prices."""
+    cut = finishes.repartitionByRange(ranges, "event_id", F.desc("price"), "list_id")
+    return cut.withColumn("bucket", F.spark_partition_id())
+
+
 def raw_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Published lists with their provenance, before any rule is read over them."""
     league = F.col("o_orderpriority").isin(*LEAGUE_PRIORITIES)

@@ -138,7 +138,7 @@ ORACLES: dict[str, str] = {
     "j5_near_miss_series": query(f"{SERIES} WHERE l.near_miss AND l.date >= {EPOCH}", "weight"),
     "j6_arm_flags": query("SELECT list_id, segment, stratum, actor, placement, item, arm FROM (SELECT *, unnest(['any count', 'board a', 'board b', qty_a || '/' || qty_b]) AS arm FROM c_memi) WHERE (arm <> 'board a' OR qty_a > 0) AND (arm <> 'board b' OR qty_b > 0)"),
     "j7_lineage_spread": query("SELECT segment, actor, event, date, spread_item, spiked_on, resolved, standing FROM c_lineage WHERE spread_item IS NOT NULL"),
-    "j8_followers": query("SELECT f.list_id, f.date, f.item, f.follower, f.taken_up FROM c_fol f JOIN c_brk b ON b.list_id = f.list_id AND b.adopted_item = f.item"),
+    "j8_followers": query("SELECT DISTINCT f.date, f.item, f.follower, f.taken_up FROM c_fol f JOIN c_brk b ON b.list_id = f.list_id AND b.adopted_item = f.item"),
     "j9_slot_adoption": query("SELECT owner, version, segment, item, qty_a, qty_b, population, lists, confidence, segment_playing, lead_a, lead_b, lead_adoption, lead_delta FROM c_slots",
                               "confidence segment_playing lead_adoption lead_delta"),
     "j10_missing_core": query("SELECT * FROM c_missing", SLOT_F),

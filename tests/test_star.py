@@ -7,7 +7,7 @@ import pytest
 from oracle_check import compare, duck
 
 from basketlens.operators.departures import standing_intervals
-from basketlens.sources.star import ranked_in_event
+from basketlens.sources.star import in_ranges, ranked_in_event
 
 SMALL = "/root/testdata/sf0.001"
 PARITY = (
@@ -28,6 +28,16 @@ def test_placements_of_a_hot_event_are_ranked_in_buckets(spark):
     assert {r.list_id: r.placement for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("price", [lambda n: 5.0, lambda n: 1e6 if n == 7 else float(n % 3), float])
+def test_one_events_ranges_are_even_whatever_its_prices(spark, price):
+    rows = [(n, "one", price(n)) for n in range(20_000)]
+    frame = spark.createDataFrame(rows, "list_id bigint, event_id string, price double").repartition(4)
+    sizes = [r["count"] for r in in_ranges(frame, 10).groupBy("bucket").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 2 * 20_000 / 10
+    got = {r.list_id: r.placement for r in ranked_in_event(frame, 10).collect()}
+    assert [n for n, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(got, key=lambda n: (-price(n), n))
+
+
 def test_intervals_are_counted_without_pairing_them(spark):
     from datetime import date, timedelta
 
