@@ -8,9 +8,9 @@ pattern with the least room that still holds them, and the counts of patterns ar
 updated, so the work depends on `size` and not on the number of documents. Last,
 pieces of a length are numbered and patterns are joined back to them by that rank.
 
-Ranks are taken in salted groups (length and a part of the hash of the piece) with
-offsets from counted groups, so a length that a third of all documents share is
-spread over many tasks. The plan of patterns has at most 2 * `size` patterns of at
+Ranks are taken in salted groups (length and a part of the hash of the piece, about
+GROUP_ROWS rows each) with offsets from counted groups, so a length that a third of
+all documents share is spread over many tasks. The plan of patterns has at most 2 * `size` patterns of at
 most sqrt(2 * `size`) distinct lengths each, which bounds what is sent to tasks.
 
 Ids come from the tokenizer itself, once for each distinct word and task: the
@@ -39,7 +39,7 @@ from .work import kept
 
 SIZE = 2048
 END_ID = 1
-GROUP_ROWS = 200_000
+GROUP_ROWS = 2_000
 MOST_WORDS = 400_000
 
 PIECES = "doc_id long, row_start long, length int, ids_crc32 long, doc_tokens long, ids binary"
@@ -151,10 +151,11 @@ def patterns(histogram: dict[int, int], size: int) -> list[tuple[list[tuple[int,
                 if not waiting[room]:
                     del waiting[room], rooms[k]
             else:
-                pattern, count, room = [], left, size
+                times = min(size // length, left)
+                pattern, count, room = [], left // times, size
             times = min(room // length, max(1, left // count))
             used = min(count, left // times)
-            if used < count and pattern:
+            if used < count:
                 put(pattern, count - used, room)
             put([*pattern, (length, times)], used, room - times * length)
             left -= used * times
@@ -213,10 +214,11 @@ def placed(made: DataFrame, size: int = SIZE) -> DataFrame:
     """The pieces of `pieces` (written once, without their ids) with sequence_id and offset."""
     slim = made.select("piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens")
     full, rest = slim.filter(F.col("length") == size), slim.filter(F.col("length") < size)
-    parts = max(1, -(-rest.count() // GROUP_ROWS))
-    rest = rest.withColumn("part", F.pmod(F.xxhash64("piece"), F.lit(parts)).cast("int"))
+    histogram = {row.length: row["count"] for row in rest.groupBy("length").count().collect()}  # under `size` rows
+    # Each length has parts of about GROUP_ROWS rows; the numbers of parts are a literal of `size` entries.
+    parts = F.array(*[F.lit(-(-histogram.get(n, 1) // GROUP_ROWS)) for n in range(1, size)])
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("piece"), F.element_at(parts, F.col("length"))).cast("int"))
     counts = kept(rest.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "piece-lengths")
-    histogram = {row.length: row.n for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # under `size` rows
     plan = patterns(histogram, size)
     schema = "piece long, doc_id long, start long, length int, ids_crc32 long, doc_tokens long, rank long, sequence_id long, offset long"
     seats = ranked(rest, counts).select(*slim.columns, "rank").mapInArrow(_placer(slots(plan)), schema).drop("rank")
