@@ -26,12 +26,13 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE = 12_000
+SAMPLE = 8_000
 SLOTS = 1 << 17
 EXTRA = 3
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.5, 1e-6
@@ -86,17 +87,17 @@ class Ordinal:
         self.weights = np.zeros(SLOTS + EXTRA, np.float32)
         self.thresholds = np.zeros(grades - 1)
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, seed: int = 5) -> "Ordinal":
+    def fit(self, sizes: np.ndarray, slots: np.ndarray, values: np.ndarray, grades: np.ndarray, seed: int = 5) -> "Ordinal":
+        """Slots and values of all texts one after another, and how many each text has."""
         k = len(self.thresholds)
         below = np.clip([(grades <= j).mean() for j in range(k)], 1e-3, 1 - 1e-3)
         start = np.maximum.accumulate(np.log(below / (1 - below)) + 1e-3 * np.arange(k))
         first, steps = start[0], np.log(np.maximum(np.diff(start), 1e-2))
         squares, own = np.full(len(self.weights), 1e-6), np.full(k, 1e-2)
         rng = np.random.default_rng(seed)
-        ends = np.concatenate([[0], np.cumsum([len(s) for s, _ in rows])])
-        slots, values = np.concatenate([s for s, _ in rows]).astype(np.int64), np.concatenate([v for _, v in rows])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
         for _ in range(EPOCHS):
-            order = rng.permutation(len(rows))
+            order = rng.permutation(len(sizes))
             for low in range(0, len(order), BATCH):
                 mine = order[low : low + BATCH]
                 take = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in mine])
@@ -107,7 +108,7 @@ class Ordinal:
                 mass = np.maximum(upper - lower, 1e-9)
                 at_upper, at_lower = upper * (1 - upper) / mass, lower * (1 - lower) / mass
                 slope = (at_upper - at_lower) / len(mine)  # of the loss by the score
-                change = np.bincount(slots[take], slope[who] * values[take], 0) if len(take) else np.zeros(0)
+                change = np.bincount(slots[take], slope[who] * values[take])
                 used = np.unique(slots[take])
                 pull = change[used] + DECAY * self.weights[used]
                 squares[used] += pull**2
@@ -151,8 +152,10 @@ def fitted(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPL
     marks = found["grade"].to_numpy().astype(np.int64)
     if len(np.unique(marks)) < 2:
         return Constant(int(marks[0]) if len(marks) else grades - 1, grades)
-    rows = [(np.frombuffer(s.as_py(), np.uint32), np.frombuffer(v.as_py(), np.float32)) for s, v in zip(found["slots"], found["vals"], strict=True)]
-    return Ordinal(grades).fit(rows, marks)
+    slots, values = (np.frombuffer(b"".join(x.as_py() for x in found[c]), kind) for c, kind in (("slots", np.uint32), ("vals", np.float32)))
+    sizes = pa.compute.binary_length(found["slots"]).to_numpy() // 4
+    del found
+    return Ordinal(grades).fit(sizes, slots, values, marks)
 
 
 def _scorer(model):
