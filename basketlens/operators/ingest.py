@@ -1,10 +1,11 @@
 """What an ingest brought in: the index of published lists and its difference."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.frames import stacked
+from ..session import settled
 
 INDEX_COLUMNS = ("date", "event_id", "event_class", "actor", "placement", "points")
 
@@ -74,5 +75,45 @@ def to_refresh(published: DataFrame, held: DataFrame, today, cfg: EngineConfig)
     return stacked(unsettled, gaps.select(*published.columns))
 
 
+INDEX_SCHEMA = "date string, event_id string, event_class string, actor string, placement string, points string, month string"
+
+
 def write_index(index: DataFrame, path: str) -> None:
-    ordered(index).write.option("header", True).option("emptyValue", "").csv(path)
+    """The index by month, so that a later ingest replaces months and leaves the rest."""
+    _by_month(index).parquet(path)
+
+
+def _by_month(index: DataFrame, mode: str = "static"):
+    """A writer into months, each cut by day among tasks."""
+    rows = index.select(*INDEX_COLUMNS, F.substring("date", 1, 7).alias("month")).repartition("month", "date")
+    return rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("month")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(INDEX_SCHEMA).parquet(path)
+
+
+def refresh(path: str, published: DataFrame, today, cfg: EngineConfig) -> tuple[DataFrame, DataFrame]:
+    """Bring the index at a path up to what is published and return what that
+    added and what it withdrew.
+
+    Unsettled days become what is published of them; on settled days only events
+    not held yet are added. Only months with such a day are rewritten, by dynamic
+    overwrite; what stood in them is settled first, since it is read from there.
+    """
+    spark = published.sparkSession
+    held = read_index(spark, path)
+    end = F.lit(today).cast("date") if isinstance(today, str) else today
+    again = to_refresh(published.withColumn("date", F.to_date("date")), held, end, cfg).withColumn("date", F.col("date").cast("string"))
+    settled_day = F.to_date("date") < F.date_sub(end, cfg.unsettled_days)
+    months = again.select(F.substring("date", 1, 7).alias("month")).unionByName(held.where(~settled_day).select("month")).distinct()
+    before = settled(held.join(months, "month", "left_semi").select(*INDEX_COLUMNS), "index-before")
+    after = settled(stacked(before.where(settled_day), again.select(*INDEX_COLUMNS)), "index-after")
+    month = F.substring("date", 1, 7).alias("month")
+    if not before.select(month).distinct().join(after.select(month).distinct(), "month", "left_anti").isEmpty():
+        # A month that lost every list has no rows to overwrite it with: the index without it is written anew.
+        rest = settled(stacked(held.join(months, "month", "left_anti").select(*INDEX_COLUMNS), after), "index-whole")
+        _by_month(rest).parquet(path)
+    else:
+        _by_month(after, "dynamic").parquet(path)
+    return difference(after, before), difference(before, after)

@@ -135,6 +135,20 @@ def _(r):
     return ingest.to_refresh(published, held, r.last_day, r.cfg)
 
 
+@reading("s12_refreshed_store")
+def _(r):
+    """An index that lacks one event and the last days' first class is brought up to
+    a publication that dropped the last days' second class."""
+    late = F.col("date") >= F.date_sub(r.last_day, r.cfg.unsettled_days)
+    missed = F.col("event_id") == r.baskets.agg(F.min("event_id")).scalar()
+    path = fresh_path(r.spark, "index")
+    ingest.write_index(ingest.index_rows(r.baskets.where((~late & ~missed) | (late & (F.col("event_class") != "1-URGENT")))), path)
+    published = ingest.index_rows(r.baskets.where(~late | (F.col("event_class") != "2-HIGH")))
+    added, withdrawn = ingest.refresh(path, published, r.last_day, r.cfg)
+    named = (("added", added), ("withdrawn", withdrawn), ("held", ingest.read_index(r.spark, path).select(*ingest.INDEX_COLUMNS)))
+    return stacked(*[frame.withColumn("part", F.lit(name)) for name, frame in named])
+
+
 @reading("s13_typed_items")
 def _(r):
     return stores.typed_items(star.item_entries(r.spark, r.sf_dir), r.cfg)

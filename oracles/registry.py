@@ -108,6 +108,12 @@ ORACLES: dict[str, str] = {
     "s11_index": query(f"SELECT {INDEX} FROM c_lists"),
     "s12_refresh": query(f"""SELECT event_id, date, count(*) AS lists FROM c_lists, (SELECT max(date) AS today FROM c_lists)
       WHERE date >= today - {C.unsettled_days} OR event_class <> 'league' GROUP BY 1, 2"""),
+    "s12_refreshed_store": query(f"""SELECT * FROM (WITH days AS (SELECT *, date >= (SELECT max(date) FROM c_lists) - {C.unsettled_days} AS late, event_id = (SELECT min(event_id) FROM c_lists) AS missed FROM c_lists),
+      texts AS (SELECT CAST(date AS VARCHAR) AS date, event_id, event_class, actor, coalesce(CAST(placement AS VARCHAR), '') AS placement, coalesce(CAST(points AS VARCHAR), '') AS points,
+        CASE WHEN late THEN event_class <> '1-URGENT' ELSE NOT missed END AS old, CASE WHEN late THEN event_class <> '2-HIGH' ELSE true END AS new FROM days),
+      before AS (SELECT * EXCLUDE (old, new) FROM texts WHERE old), after AS (SELECT * EXCLUDE (old, new) FROM texts WHERE new)
+      SELECT *, 'added' AS part FROM (SELECT * FROM after EXCEPT ALL SELECT * FROM before)
+      UNION ALL SELECT *, 'withdrawn' FROM (SELECT * FROM before EXCEPT ALL SELECT * FROM after) UNION ALL SELECT *, 'held' FROM after)"""),
     "s13_typed_items": query("SELECT * FROM c_typed"),
     "s14_reference_captures": query("SELECT owner, version, replace(item, '#', '-') AS item, qty_a, qty_b, override, note FROM c_ref"),
     "s15_match_records": query(MATCHES),

@@ -74,6 +74,24 @@ def test_only_gaps_and_unsettled_days_are_read_again(spark):
     assert sorted(r.event_id for r in again.collect()) == ["edge", "gap", "now"]
 
 
+def test_a_refresh_fills_gaps_rereads_the_last_days_and_leaves_the_rest(spark, tmp_path):
+    shape = "date string, event_id string, event_class string, actor string, placement string, points string"
+    row = lambda day, event, actor: (f"2026-{day}", event, "league", actor, "", "")
+    path = str(tmp_path / "index")
+    refreshed = lambda lists: ingest.refresh(path, spark.createDataFrame(lists, shape), "2026-07-10", CFG)
+    ingest.write_index(spark.createDataFrame([row("05-01", "a", "x"), row("05-01", "a", "gone"), row("07-08", "c", "y"), row("07-09", "d", "z")], shape), path)
+    may = sorted((tmp_path / "index" / "month=2026-05").glob("*.parquet"))
+    now = [row("05-01", "a", "x"), row("06-02", "b", "w"), row("07-08", "c", "y"), row("07-08", "c", "y2"), row("07-10", "e", "v")]
+    added, withdrawn = refreshed(now)
+    assert sorted(r.actor for r in added.collect()) == ["v", "w", "y2"]
+    assert [r.actor for r in withdrawn.collect()] == ["z"], "a settled day keeps what it holds"
+    assert sorted(r.actor for r in ingest.read_index(spark, path).collect()) == ["gone", "v", "w", "x", "y", "y2"]
+    assert [frame.count() for frame in refreshed(now)] == [0, 0]
+    assert may == sorted((tmp_path / "index" / "month=2026-05").glob("*.parquet")), "months without a change aren't rewritten"
+    refreshed([r for r in now if r[0] < "2026-07"])
+    assert sorted(r.actor for r in ingest.read_index(spark, path).collect()) == ["gone", "w", "x"]
+
+
 def test_share_tables_merge_aliases_and_never_pool_windows(spark, tmp_path):
     shape = "archetype string, meta_pct string, deck_count string"
     table = spark.createDataFrame([("Eldrazi", "5.0", "60"), ("Gruul Basking Broodscale Combo", "2.5", "30"), ("Goryo's Vengeance", "10.0", "118")], shape)
