@@ -17,12 +17,13 @@ the similarity.
 BANDS bands of ROWS components make buckets: a pair of similarity 0.8 shares no
 bucket with probability (1 - 0.8**4)**20 = 3e-5.
 
-Equal multisets are one representative from the start. In each bucket the first
-member is compared with all others, so a bucket costs as many pairs as it has
-members. Where a bucket then holds members of several classes, each member outside
-its largest class is compared with all members of other classes whose size lets
-them be similar: no pair of a bucket that could join two classes is left out, and
-pairs inside a class are never formed. Pairs are compared on their whole texts.
+Equal multisets are one representative from the start. In each bucket one member, near
+the middle of its group, is compared with all others, so a bucket costs as many pairs
+as it has members. Buckets that then still hold several classes are compared in blocks:
+pairs of tiles of at most about TILE members, each in one task, where pairs of different
+classes are looked at until a link joins them. No pair of a bucket that could join two
+classes is left out, pairs aren't emitted, and only links that join something leave a
+task. Texts are compared whole.
 
 Defined cases: null texts are empty; texts without words are one class; repeated
 rows are copies of each other; a null doc_id takes part and sorts below all ids;
@@ -46,6 +47,7 @@ OVER, UNDER = 5, 4  # THRESHOLD as a ratio: similar if OVER * minima >= UNDER *
 THRESHOLD = UNDER / OVER
 MOST_WORDS_HELD = 500_000
 BATCH = 256
+TILE = 1024
 
 SIGNED = "row long, doc_id long, content binary, size long, bands array<long>"
 
@@ -200,36 +202,79 @@ def near_rows(texts: DataFrame) -> DataFrame:
     by_content = signed.groupBy("content").agg(F.min("row").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     reps = kept(by_content, "representatives")
     members = reps.select("rep", F.explode("bands").alias("bucket"))
-    hubs = members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "hub")
-    shared = kept(members.join(hubs, "bucket").select("bucket", "rep", "hub"), "buckets")
-    stars = shared.filter("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = kept(verified(stars, texts), "links")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = members.join(sizes, "bucket")
+    # The hub of a bucket is the member with most neighbours over all its buckets: near the middle of its group.
+    weight = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
+    shared = kept(shared.join(weight, "rep"), "buckets")
+    hubs = shared.groupBy("bucket").agg(F.max(F.struct("weight", "rep"))["rep"].alias("hub"))
+    stars = shared.join(hubs, "bucket").filter("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+    links = kept(verified(stars.distinct(), texts), "links")
     found = classes(links)
-    rest = _across(shared, found, reps)
-    more = kept(verified(kept(rest, "rest"), texts), "links")
+    more = kept(_across(shared, found, reps, texts), "links")
     if not more.isEmpty():
         found = classes(links.unionByName(more))
     named = reps.select("content", "rep").join(found.withColumnRenamed("row", "rep"), "rep", "left").select("content", F.coalesce("label", "rep").alias("class"))
     return signed.select("row", "doc_id", "content").join(named, "content").select("row", "doc_id", "class")
 
 
-def _across(shared: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of one bucket that could still join two classes: one of them is outside the bucket's largest class.
+def _across(shared: DataFrame, found: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join classes meeting in a bucket, enough to connect all that are similar.
 
-    A pair is formed in the first bucket that the two share, and only if their sizes allow the threshold.
+    Members of a bucket that holds several classes are dealt to tiles of about TILE; each pair of tiles is one group.
     """
     sides = shared.select("bucket", "rep").join(found.withColumnRenamed("row", "rep"), "rep", "left").withColumn("class", F.coalesce("label", "rep"))
-    parts = sides.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("top"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    opened = sides.join(largest.select("bucket", F.col("top.class").alias("main")), "bucket")
-    full = kept(opened.select("bucket", "rep", "class", "main").join(reps.select("rep", "size", "bands"), "rep"), "open-buckets")
-    one = full.filter("class <> main").select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("rep", "class", "size", "bands")])
-    two = full.select("bucket", "main", *[F.col(c).alias(f"{c}_b") for c in ("rep", "class", "size", "bands")])
-    first = F.element_at(F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
-    once = (F.col("class_b") == F.col("main")) | (F.col("rep_a") < F.col("rep_b"))  # outside the largest class a pair meets twice
-    near = (OVER * F.least("size_a", "size_b") >= UNDER * F.greatest("size_a", "size_b")) & (F.col("class_a") != F.col("class_b"))
-    met = one.join(two, "bucket").filter(near & once & (first == F.col("bucket")))
-    return met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    opened = sides.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
+    tiles = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
+    full = sides.select("bucket", "rep", "class").join(opened.select("bucket", tiles.alias("tiles")), "bucket")
+    tile = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
+    placed = full.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    keyed = placed.select("bucket", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "rep", "class")
+    given = keyed.join(reps.select("rep", "size", "bands"), "rep").join(texts.select(F.col("row").alias("rep"), "text"), "rep")
+    return given.groupBy("bucket", "i", "j").applyInArrow(_compare, "a long, b long").distinct()
+
+
+def _compare(key: tuple, table: pa.Table) -> pa.Table:
+    """Links between classes of one pair of tiles; a pair of texts is looked at in the first bucket that both share.
+
+    Pairs that links have joined already are passed over, so a class costs a link for each part it joins.
+    """
+    bucket, i, j = (k.as_py() for k in key)
+    table = table.sort_by("rep")
+    rep, tile, size = (table[c].to_numpy() for c in ("rep", "tile", "size"))
+    comp = table["class"].to_numpy().copy()
+    bands = np.array(table["bands"].to_pylist(), np.int64)
+    band = int(np.flatnonzero(bands[0] == bucket)[0])
+    shingler = Shingler()
+    items = [shingler.items(text.as_py()) for text in table["text"]]
+    names, flat = np.unique(np.concatenate([h for h, _ in items]), return_inverse=True)
+    counts = np.concatenate([c for _, c in items])
+    starts = np.concatenate([[0], np.cumsum([len(h) for h, _ in items])])
+    own = np.zeros(len(names), np.int64)
+    links = []
+    for p in range(len(rep) - 1):
+        later = slice(p + 1, None)
+        open_to = (comp[later] != comp[p]) & (OVER * np.minimum(size[later], size[p]) >= UNDER * np.maximum(size[later], size[p]))
+        if i != j:
+            open_to &= tile[later] != tile[p]
+        if band:
+            open_to &= ~(bands[later, :band] == bands[p, :band]).any(axis=1)
+        at = np.flatnonzero(open_to) + p + 1
+        if not len(at):
+            continue
+        mine = slice(starts[p], starts[p + 1])
+        own[flat[mine]] = counts[mine]
+        if len(at) * 8 > len(rep) - p:
+            span = slice(starts[p + 1], None)
+            low = np.add.reduceat(np.minimum(own[flat[span]], counts[span]), starts[p + 1 : -1] - starts[p + 1])[at - p - 1]
+        else:
+            low = np.array([np.minimum(own[flat[starts[q] : starts[q + 1]]], counts[starts[q] : starts[q + 1]]).sum() for q in at])
+        own[flat[mine]] = 0
+        for q in at[OVER * low >= UNDER * (size[at] + size[p] - low)]:
+            if comp[q] != comp[p]:
+                links.append((int(rep[p]), int(rep[q])))
+                comp[comp == comp[q]] = comp[p]
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
 def _texts(docs: DataFrame) -> DataFrame:
