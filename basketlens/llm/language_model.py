@@ -40,11 +40,12 @@ from pyspark.sql import functions as F
 
 from .work import kept
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
 TOP, HEAD_CLASSES, HIDDEN = 1024, 32, 16
 WINDOW, LANES, TRAIN_LANES, STRIDE, ROUNDS = 32, 384, 128, 8, 3
-LEARNING_RATE = 0.05
+TOKENS = 1_300_000  # that pass through the network at a time, so that a long text's lanes aren't the only ones
+LEARNING_RATE, COOLING = 0.05, 50
 TREE = 16
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 END = b"\n"  # no word holds white space
@@ -234,7 +235,7 @@ class Network:
     def load(self, flat: np.ndarray) -> "Network":
         at = 0
         for name, value in self.p.items():
-            self.p[name] = np.ascontiguousarray(flat[at : at + value.size].reshape(value.shape), np.float32)
+            self.p[name] = np.array(flat[at : at + value.size], np.float32).reshape(value.shape)
             at += value.size
         return self
 
@@ -313,9 +314,10 @@ class Adam:
         self.network, self.step = network, 0
         self.first, self.second = ({k: np.zeros_like(v) for k, v in network.p.items()} for _ in range(2))
 
-    def move(self, grads: dict) -> None:
+    def move(self, grads: dict, weight: float) -> None:
+        """One step; weight: the share of lanes that still ran, as a few long texts say less of the corpus than all lanes."""
         self.step += 1
-        rate = LEARNING_RATE * math.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
+        rate = weight * LEARNING_RATE * min(1.0, math.sqrt(COOLING / self.step)) * math.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
         for name, grad in grads.items():
             np.clip(grad, -1, 1, out=grad)
             self.first[name] += 0.1 * (grad - self.first[name])
@@ -380,7 +382,7 @@ def run(network: Network, number, sizes, chosen, adam: Adam | None = None, strid
                 network.backward(given, fresh, trace, full.reshape(*real.shape, HIDDEN), grads)
                 for grad in grads.values():
                     grad /= max(1, len(picks)) ** 0.5
-                adam.move(grads)
+                adam.move(grads, len(picks) / (WINDOW * TRAIN_LANES))
     return out
 
 
@@ -412,17 +414,30 @@ def _number(vocabulary: Words, buckets: int):
     return number
 
 
+def _several(batches):
+    """Rows of several blocks at a time, about TOKENS tokens: lists of columns, the last of which holds the numbers."""
+    rows, held = [], 0
+    for batch in batches:
+        for row in zip(*batch.columns, strict=True):
+            rows.append([value.as_py() for value in row])
+            held += len(rows[-1][-1]) // 2
+            if held >= TOKENS:
+                yield list(zip(*rows, strict=True))
+                rows, held = [], 0
+    if rows:
+        yield list(zip(*rows, strict=True))
+
+
 def _train(vocabulary: Words, weights: np.ndarray, stride: int):
     def train(batches):
         network, done, adam = Network(vocabulary).load(weights), 0, None
-        for batch in batches:
-            for held, sizes, numbers in zip(*(batch.column(k) for k in range(3)), strict=True):
-                sizes = np.array(sizes.as_py(), np.int64)
-                chosen = np.flatnonzero(~np.array(held.as_py(), bool))
-                if len(chosen):
-                    adam = adam or Adam(network)
-                    run(network, np.frombuffer(numbers.as_buffer(), np.uint16).astype(np.int32), sizes, chosen, adam, stride)
-                    done += int(sizes[chosen].sum())
+        for held, sizes, numbers in _several(batches):
+            sizes = np.concatenate(sizes).astype(np.int64)
+            chosen = np.flatnonzero(~np.concatenate(held).astype(bool))
+            if len(chosen):
+                adam = adam or Adam(network)
+                run(network, np.frombuffer(b"".join(numbers), np.uint16).astype(np.int32), sizes, chosen, adam, stride)
+                done += int(sizes[chosen].sum())
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64()), pa.array([network.flat().tobytes()], pa.binary())], names=["n", "weights"])
 
@@ -452,16 +467,16 @@ def averaged(models: DataFrame) -> np.ndarray | None:
 def _score(vocabulary: Words, weights: np.ndarray):
     def score(batches):
         network = Network(vocabulary).load(weights)
-        for batch in batches:
-            for ids, held, sizes, known, base, share, numbers in zip(*(batch.column(k) for k in range(7)), strict=True):
-                lengths = np.array(sizes.as_py(), np.int64)
-                logs = run(network, np.frombuffer(numbers.as_buffer(), np.uint16).astype(np.int32), lengths, np.arange(len(lengths)))
-                total = np.add.reduceat(logs, np.concatenate([[0], np.cumsum(lengths)[:-1]])) + np.array(share.as_py())
-                trained = pa.array(np.full(len(lengths), vocabulary.n, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.values, held.values, sizes.values, known.values, trained, base.values, pa.array(total / math.log(10))],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for *columns, numbers in _several(batches):
+            ids, held, sizes, known, base, share = ([x for part in column for x in part] for column in columns)
+            lengths = np.array(sizes, np.int64)
+            logs = run(network, np.frombuffer(b"".join(numbers), np.uint16).astype(np.int32), lengths, np.arange(len(lengths)))
+            total = np.add.reduceat(logs, np.concatenate([[0], np.cumsum(lengths)[:-1]])) + np.array(share)
+            trained = np.full(len(lengths), vocabulary.n, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(held), pa.array(lengths), pa.array(known), pa.array(trained), pa.array(base), pa.array(total / math.log(10))],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return score
 
