@@ -73,11 +73,15 @@ def test_subjects_speak_stay_silent_or_are_unknown(spark):
                                    "segment string, stratum string, typed_total int, fresh_lists bigint, fresh_population bigint, fresh_adoption double, fresh_tilt double, delta double")
     asked = spark.createDataFrame([("h", "W", None), ("h", "Gone", None), ("h", "Typo", None), ("h", "lands", None)],
                                   "hypothesis_id string, subject string, conditional_on string")
-    spoken = subjects.readings(asked, read, totals, "non-fallaji")
-    assert {(r.subject, r.configuration) for r in spoken.collect()} == {("W", "1/3"), ("W", "0/4"), ("lands", "21")}
+    spoken = subjects.readings(asked, read, totals)
+    assert {(r.segment, r.subject, r.configuration) for r in spoken.collect()} == {("non-fallaji", *r) for r in (("W", "1/3"), ("W", "0/4"), ("lands", "21"))}
     pool = spark.createDataFrame([("W",), ("Gone",)], "item string")
-    assert {r.subject: r.reading for r in subjects.quiet(asked, spoken, pool).collect()} == {"Gone": "silent", "Typo": "unknown"}
+    still = {(r.segment, r.subject): r.reading for r in subjects.quiet(asked, spoken, pool, CFG).collect()}
+    assert {subject: told for (segment, subject), told in still.items() if segment == "non-fallaji"} == {"Gone": "silent", "Typo": "unknown"}
+    assert {subject: told for (segment, subject), told in still.items() if segment == "hybrid"} == {"W": "silent", "Gone": "silent", "Typo": "unknown", "lands": "silent"}
     flag = spark.createDataFrame([{"kind": "hype", "segment": "non-fallaji", "item": "W", "qty_a": 1, "qty_b": 3, "state": "established"},
                                   {"kind": "hype", "segment": "fallaji", "item": "W", "qty_a": 1, "qty_b": 3}], ledger.LEDGER_SCHEMA)
-    (row,) = subjects.flagged(asked, flag, "non-fallaji").collect()
+    raised = {r.segment: r for r in subjects.flagged(asked, flag).collect()}
+    assert set(raised) == {"non-fallaji", "fallaji"}
+    row = raised["non-fallaji"]
     assert (row.subject, row.state, row.caveat) == ("W", "established", subjects.HYPE_CAVEAT)
