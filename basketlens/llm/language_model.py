@@ -19,8 +19,8 @@ so scores of all texts over known words and the unseen one sum to one.
 
 Training is truncated backpropagation by Adam on lanes of documents side by side. All
 training documents pass through the network with their state; gradients are taken on
-every STRIDE-th window (a parameter), so work grows with the corpus and no document
-is left out. Blocks are split among ROUNDS rounds; in each, tasks train from the same
+every window (STRIDE is 1), so every training token teaches the network and no
+document is left out. Blocks are split among ROUNDS rounds; in each, tasks train from the same
 start on their blocks and the results are averaged, weighted by tokens, in a tree.
 
 Defined cases: null texts are empty and score their end token; a null doc_id hashes as
@@ -43,7 +43,7 @@ from .work import kept
 BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
 TOP, HEAD_CLASSES, HIDDEN = 1024, 32, 16
-WINDOW, LANES, TRAIN_LANES, STRIDE, ROUNDS = 32, 384, 128, 8, 3
+WINDOW, LANES, TRAIN_LANES, STRIDE, ROUNDS = 32, 384, 128, 1, 3
 TOKENS = 1_300_000  # that pass through the network at a time, so that a long text's lanes aren't the only ones
 LEARNING_RATE, COOLING = 0.05, 50
 TREE = 16
@@ -297,16 +297,23 @@ class Network:
         """Truncated backpropagation through the steps of one window."""
         h, inner = HIDDEN, self.p["inner"]
         down = np.zeros_like(back[0])
+        d_x, d_u = (np.empty((*given.shape, 3 * h), np.float32) for _ in range(2))
         for t in range(len(trace) - 1, -1, -1):
             before, r, z, n, u = trace[t]
             down = down + back[t]
             d_n = down * (1 - z) * (1 - n * n)
-            d_r = d_n * u * r * (1 - r)
-            d_z = down * (before - n) * z * (1 - z)
-            d_u = np.concatenate([d_r, d_z, d_n * r], axis=1)
-            grads["inner"] += before.T @ d_u
-            np.add.at(grads["gates"], given[t], np.concatenate([d_r, d_z, d_n], axis=1))
-            down = (down * z + d_u @ inner.T) * fresh[t][:, None]
+            d_x[t, :, :h] = d_n * u * r * (1 - r)
+            d_x[t, :, h : 2 * h] = down * (before - n) * z * (1 - z)
+            d_x[t, :, 2 * h :] = d_n
+            d_u[t, :, : 2 * h] = d_x[t, :, : 2 * h]
+            d_u[t, :, 2 * h :] = d_n * r
+            down = (down * z + d_u[t] @ inner.T) * fresh[t][:, None]
+        grads["inner"] += np.concatenate([step[0] for step in trace]).T @ d_u.reshape(-1, 3 * h)
+        # Each word's rows side by side, so that they are added up in one pass.
+        words = given.ravel()
+        order = np.argsort(words, kind="stable")
+        heads = np.flatnonzero(np.diff(words[order], prepend=-1))
+        grads["gates"][words[order[heads]]] += np.add.reduceat(d_x.reshape(-1, 3 * h)[order], heads)
 
 
 class Adam:

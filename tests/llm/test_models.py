@@ -104,6 +104,28 @@ def test_the_model_learns(spark):
     assert sum(r.score for r in found) > 0.9 * sum(r.base_score for r in found)
 
 
+def test_every_training_token_gives_a_gradient_as_op3_runs():
+    words, _ = vocabulary()
+    rng = np.random.default_rng(4)
+    sizes = np.array([400, 3, 170, 90, 33])
+    number = rng.integers(0, words.size, sizes.sum()).astype(np.int32)
+
+    class Kept:
+        learnt = 0
+
+        def move(self, grads, weight):
+            self.learnt += weight * language_model.WINDOW * language_model.TRAIN_LANES
+
+    kept = Kept()
+    language_model.run(language_model.Network(words), number, sizes, np.arange(5), kept, language_model.STRIDE)
+    assert kept.learnt == pytest.approx(sizes.sum())
+
+
+def test_the_model_learns_as_op3_runs(spark):
+    found = language_model.scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").collect()
+    assert sum(r.score for r in found) > 0.9 * sum(r.base_score for r in found)
+
+
 # Quality
 
 
