@@ -1,11 +1,11 @@
 """Licence scan by canonical digest: entire texts are normalised, digested and joined to digests of known licences.
 
 Normalising follows the usual matching rules for licence texts: case, punctuation
-and white space don't count, nor do lines of copyright notice and list marks at
-a line's start, and equivalent spellings are one word. It consists of built-in string
+and white space don't count, nor do lines of copyright notice, list marks at a
+line's start and lettered marks anywhere, and equivalent spellings are one word. It consists of built-in string
 functions only; known texts and documents pass through the same expressions.
 
-The table of known digests is made from the module `licenses`; it has a few dozen
+The table of known digests is made from the module `licenses`; it has some three dozen
 rows whatever the input (checked against MOST_KNOWN), so it is broadcast.
 
 Defined cases: a null text is empty; an empty text, or one of nothing but
@@ -35,8 +35,15 @@ EQUIVALENT = {
     "sublicensing": "sub licensing", "per cent": "percent", "copyright owner": "copyright holder", "https": "http",
 }
 
-COPYRIGHT_LINE = r"\n[ \t\r*#/;-]*(copyright|\(c\)|©)[^\n]*"
-LIST_MARK = r"\n[ \t\r]*([*+•-]|\(?[0-9a-z][.)])[ \t]+"
+MARKS = r"[ \t\r*#/;-]*"
+OF_WHEN = r"([<\[{(]?(19|20)[0-9][0-9]|[<\[{]|year|yyyy)"
+# A notice has a sign, a year or a place for one, or rights reserved; or it opens a paragraph. Lines of wrapped sentences do neither.
+COPYRIGHT_LINE = (
+    rf"\n{MARKS}(copyright[ \t:,]*(\(c\)|©|{OF_WHEN})|(\(c\)|©)[ \t]*(copyright|{OF_WHEN})|copyright[^\n]*all rights reserved)[^\n]*"
+    rf"|(^|\n{MARKS})(\n{MARKS}(copyright|©)[^\n]*)+"
+)
+# A letter with a bracket or point, or a digit with a bracket, is a mark wherever it stands, as wrapping may put it at a line's start.
+LIST_MARK = r"\n[ \t\r]*([*+•-]|\(?[0-9a-z][.)])[ \t]+|[ \t\n](\(?[0-9a-z]\)|[a-z]\.)"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 

@@ -1,5 +1,14 @@
 """Known licence texts and notices, by SPDX identifier. The published wording of each."""
 
+from pathlib import Path
+
+# Entire texts as published, a file each.
+FILES = {
+    "Apache-2.0": "Apache-2.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC0-1.0": "CC0-1.0", "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3",
+    "LGPL-2.0": "LGPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+FULL = {name: (Path(__file__).parent / "license_texts" / file).read_text("utf-8") for name, file in FILES.items()}
+
 MIT = """MIT License
 
 Copyright (c) <year> <copyright holders>
@@ -76,7 +85,13 @@ KNOWN = {
     "0BSD": f"{ZERO_BSD_GRANT}\n\n{AUTHOR_DISCLAIMER}",
     "BSD-2-Clause": BSD_GRANT + BSD_DISCLAIMER,
     "BSD-3-Clause": BSD_GRANT + BSD_NAMES + BSD_DISCLAIMER,
+    "MIT (titled)": "The " + MIT,
+    "MIT (titled twice)": MIT.replace("MIT License", "The MIT License (MIT)", 1),
+    "0BSD (titled)": f"BSD Zero Clause License\n\n{ZERO_BSD_GRANT}\n\n{AUTHOR_DISCLAIMER}",
+    "BSD-2-Clause (titled)": "BSD 2-Clause License\n\n" + BSD_GRANT + BSD_DISCLAIMER,
+    "BSD-3-Clause (titled)": "BSD 3-Clause License\n\n" + BSD_GRANT + BSD_NAMES + BSD_DISCLAIMER,
     "Zlib": ZLIB,
+    "Zlib (titled)": "zlib License\n\n" + ZLIB,
     "Unlicense": UNLICENSE,
     "Apache-2.0 (notice)": APACHE_NOTICE,
     "GPL-3.0-or-later (notice)": GPL_3_NOTICE,
@@ -87,4 +102,5 @@ KNOWN = {
     "CC-BY-4.0 (line)": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0 (line)": "Licensed under CC BY-SA 4.0.",
     "CC0-1.0 (line)": "Released into the public domain under CC0 1.0.",
+    **FULL,
 }

@@ -1,6 +1,8 @@
 import hashlib
 import math
 import random
+import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -44,6 +46,37 @@ def test_high_rates_are_drawn_in_parts_and_odd_rows_stand(rows, spark, monkeypat
 # Licences
 
 
+def rewrapped(text, width):
+    """Paragraphs filled to a width, those of lists line by line; paragraphs with notices stay, as those are told by their line."""
+    out = []
+    for part in re.split(r"\n[ \t]*\n", text):
+        if re.search(r"copyright (\(c\)|\[|<)", part, re.I):
+            out.append(part)
+            continue
+        by_line = re.search(r"\n[ \t]*([*+-]|\(?[0-9a-z][.)])[ \t]", part, re.I)
+        lines = part.split("\n") if by_line else [part]
+        out.append("\n".join(textwrap.fill(x, width, break_long_words=False, break_on_hyphens=False) for x in lines))
+    return "\n\n".join(out)
+
+
+def test_known_texts_are_found_at_any_width(rows):
+    data = [(k, width, rewrapped(text, width)) for k, text in licenses.KNOWN.items() for width in (44, 60, 66, 72, 79, 100)]
+    frame = rows([(f"{k}@{width}", text) for k, width, text in data], "doc_id string, text string")
+    stands = {r.doc_id: r.license_id for r in license_scan.scan(rows(list(licenses.KNOWN.items()), "doc_id string, text string")).collect()}
+    assert None not in stands.values()
+    found = {r.doc_id: r.license_id for r in license_scan.scan(frame).collect()}
+    assert {k: v for k, v in found.items() if v != stands[k.split("@")[0]]} == {}
+
+
+def test_wrapped_lines_are_no_notices_and_entire_texts_are_known(rows):
+    isc = "Copyright The Authors\n\n" + licenses.KNOWN["ISC"].replace("the above copyright", "the above\ncopyright")
+    bsd = licenses.KNOWN["BSD-3-Clause"].replace("reproduce the above copyright", "reproduce the above\ncopyright").replace("OR COPYRIGHT", "OR\nCOPYRIGHT")
+    data = [("ISC", isc), ("BSD-3-Clause", "Copyright 2020, X\n" + bsd), ("BSD-2-Clause (titled)", "BSD 2-Clause License\n\n(c) 2011-2020 Y\n\n" + licenses.KNOWN["BSD-2-Clause"])]
+    data += [(k, licenses.KNOWN.get(k, "")) for k in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0")]
+    found = license_scan.scan(rows(data, "doc_id string, text string")).collect()
+    assert {r.doc_id: r.license_id for r in found} == {k: k for k, _ in data}
+
+
 def test_spelling_case_marks_and_notices_dont_count(rows, spark):
     mit = licenses.MIT
     data = [
