@@ -18,10 +18,15 @@ they can matter, and the answer stays exact:
    range-partition them by their anchor's leading bytes, and each bucket expands its
    stretches to strings and sorts them by multikey sorting (eight bytes at a time,
    only among strings still tied). A splitter is a whole key, so equal keys never fall
-   on two sides; a key with many stretches is dealt out by its further bytes, and the
-   earliest of equal strings is decided by an aggregate over the buckets' answers.
+   on two sides. Keys with more than STRINGS strings (at most MOST_HOT keys) are dealt
+   out by the bytes of their strings and a salt instead, and sorted by Spark; a bucket
+   keeps nothing but the row before. Strings at a bucket's edges may lie in several
+   buckets, so their earliest is taken by an aggregate over all buckets.
 5. Covered starts return to their documents as intervals, and texts are cut.
 
+Limit: step 3 holds a run's different stretches, 50 bytes each after step 2, in one task
+with the rest of its bucket. They aren't dealt out.
+
 Digests are of 128 bits (two independent 64-bit hashes); the suffix sort compares bytes.
 
 Defined cases: a null text is empty; texts under LENGTH bytes lose nothing; rows that
@@ -42,7 +47,8 @@ LENGTH, SPAN = 100, 32
 SHIFT = 21
 PIECE = 1 << SHIFT  # bytes of text that are searched at a time
 BUCKET_BYTES = 16 << 20  # bytes of text behind one bucket of anchors
-STRINGS = 60_000  # strings sorted at a time, but for those of one anchor
+STRINGS = 60_000  # strings sorted at a time
+MOST_HOT = 50_000  # anchors that are dealt out by their strings; their hashes go to all tasks
 
 PACKED = "bucket long, settled boolean, runs binary, digests binary, ids binary, tags binary, starts binary, shapes binary"
 DECIDED = "doc_id long, tag long, low long, high long, anchor long, covered boolean"
@@ -299,6 +305,59 @@ def _contest(batches):
         yield settle()
 
 
+def _strings(batches):
+    """A row for each string of some stretches."""
+    for batch in batches:
+        rows = []
+        for row_id, tag, low, high, body in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            rows.extend((row_id, tag, low + k, body[k : k + LENGTH]) for k in range(high - low + 1))
+            if len(rows) >= 10_000:
+                yield _string_rows(rows)
+                rows = []
+        if rows:
+            yield _string_rows(rows)
+
+
+def _string_rows(rows):
+    kinds = (*[pa.int64()] * 3, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "tag", "low", "string"])
+
+
+def _repeated(batches):
+    """Of sorted strings: what an equal one in the bucket precedes; with their bytes, the first of the bucket's first and last string."""
+    head = last = None
+
+    def told(rows):
+        kinds = (*[pa.int64()] * 4, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "tag", "low", "high", "edge"])
+
+    for batch in batches:
+        rows = []
+        for row_id, tag, low, string in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if last and last[4] == string:
+                rows.append((row_id, tag, low, low, None))
+            else:
+                last = (row_id, tag, low, low, string)
+                head = head or last
+        if rows:
+            yield told(rows)
+    if last:
+        yield told([head] if head is last else [head, last])
+
+
+def covered_hot(bodies: DataFrame, strings: int) -> DataFrame:
+    """Covered starts of stretches whose anchors have too many strings for one task."""
+    each = bodies.select("doc_id", "tag", "low", "high", "body").mapInArrow(_strings, "doc_id long, tag long, low long, string binary")
+    dealt = each.repartitionByRange(max(2, -(-strings // STRINGS)), F.col("string"), F.xxhash64("doc_id", "tag", "low"))
+    ordered = dealt.sortWithinPartitions("string", "doc_id", "tag", "low")
+    found = kept(ordered.mapInArrow(_repeated, "doc_id long, tag long, low long, high long, edge binary"), "hot-strings")
+    edges = found.filter("edge IS NOT NULL")
+    first = edges.groupBy("edge").agg(F.min(F.struct("doc_id", "tag", "low")).alias("first"))
+    later = edges.join(first, "edge").filter(F.struct("doc_id", "tag", "low") != F.col("first"))
+    names = ["doc_id", "tag", "low", "high"]
+    return found.filter("edge IS NULL").select(*names).unionByName(later.select(*names))
+
+
 def spans(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of bytes under strings that start in the given intervals."""
     out: list[list[int]] = []
@@ -351,10 +410,19 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     if (most or 0) > 1:
         bodies = bodies.dropDuplicates(["doc_id", "tag", "low", "high"])
     bodies = kept(bodies, "stretches")
-    parts = max(1, -(-bodies.count() // 20_000))
-    by_lead = bodies.repartitionByRange(parts, "lead").sortWithinPartitions("lead")
+    sizes = bodies.groupBy(F.xxhash64("lead").alias("hot")).agg(F.sum(F.col("high") - F.col("low") + 1).alias("strings"), F.count(F.lit(1)).alias("n"))
+    sizes = kept(sizes, "anchor-sizes")
+    rows_of, strings = (x or 0 for x in sizes.agg(F.sum("n"), F.sum("strings")).first())
+    hot = sizes.filter(F.col("strings") > max(STRINGS, strings // MOST_HOT))
+    hot_strings = hot.agg(F.sum("strings")).first()[0] or 0
+    is_hot = F.xxhash64("lead") == F.col("hot")
+    cold = bodies.join(F.broadcast(hot.select("hot")), is_hot, "left_anti") if hot_strings else bodies
+    parts = max(1, -(-rows_of // 20_000))
+    by_lead = cold.repartitionByRange(parts, "lead").sortWithinPartitions("lead")
     settled = by_lead.mapInArrow(_contest, "doc_id long, tag long, low long, high long")
     covered = decided.filter("covered").select(*key, "low", "high").unionByName(settled)
+    if hot_strings:
+        covered = covered.unionByName(covered_hot(bodies.join(F.broadcast(hot.select("hot")), is_hot, "left_semi"), hot_strings))
     lists = covered.groupBy(*key).agg(F.collect_list(F.struct("low", "high")).alias("covered"))
     joined = rows.join(lists, key, "left").select(F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id"), "text", "covered")
     return joined.mapInArrow(_cut, CUT)

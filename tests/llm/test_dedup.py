@@ -166,6 +166,24 @@ def test_cuts_are_those_of_all_strings(rows, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == brute_cut(data)
 
 
+def test_an_anchor_of_very_many_strings_is_dealt_out(rows, monkeypatch):
+    limit, whole = 400, suffix_dedup.covered_strings
+
+    def few(ids, tags, lows, highs, bodies):
+        if sum(h - a + 1 for a, h in zip(lows, highs, strict=True)) > 2 * limit + 100:
+            raise ValueError("more strings in a task than it may hold")
+        return whole(ids, tags, lows, highs, bodies)
+
+    monkeypatch.setattr(suffix_dedup, "STRINGS", limit)
+    monkeypatch.setattr(suffix_dedup, "covered_strings", few)
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefgh", k=130))
+    ends = ["".join(rng.choices("xyz", k=rng.randint(5, 60))) for _ in range(12)]
+    data = [(k, "".join(rng.choices("mnop", k=rng.randint(0, 50))) + passage + rng.choice(ends) + str(k)) for k in range(150)]
+    found = suffix_dedup.cut_repeats(framed(rows, data)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == brute_cut(data)
+
+
 def test_repeated_and_missing_ids_have_their_order(rows, spark):
     text = "".join(random.Random(3).choices("abc ", k=300))
     found = suffix_dedup.cut_repeats(framed(rows, [(5, text), (5, text), (None, text), (6, text[:150])])).collect()
