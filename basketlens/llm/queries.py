@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, exact_topk, language_model, license_scan, licenses, mixing, near_dedup, packing, quality, suffix_dedup, warc
+from . import chunk_dedup, exact_topk, language_model, license_scan, licenses, mixing, near_dedup, packing, quality, suffix_dedup, toxicity, warc
 from .work import table
 
 
@@ -55,6 +55,16 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fitted(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    score = F.col("toxicity")
+    return toxicity.scored(docs.select("doc_id", "text"), model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"),
+        F.when(score >= toxicity.PREDICT_AT, 1).otherwise(0).alias("predicted"),
+    )
+
+
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -84,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op12_toxicity": op12_toxicity,
 }
 
 ORACLES: dict[str, str] = {
