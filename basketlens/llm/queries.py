@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, exact_topk, language_model, license_scan, licenses, mixing, near_dedup, packing, quality, suffix_dedup, toxicity, warc
+from . import chunk_dedup, exact_topk, language_model, lexical, license_scan, licenses, mixing, near_dedup, packing, quality, suffix_dedup, toxicity, warc
 from .work import table
 
 
@@ -65,6 +65,10 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_k(lexical.Index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 10)
+
+
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
     "op12_toxicity": op12_toxicity,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -148,4 +153,20 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256({FOLDED}) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY {FOLDED})""",
+    "op13_lexical_search": rf"""
+        WITH words AS (
+            SELECT doc_id, unnest(string_split_regex({FOLDED}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        tfs AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term <> '' GROUP BY ALL),
+        sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY doc_id),
+        total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sizes),
+        asked AS (
+            SELECT DISTINCT item_id, unnest(string_split_regex({FOLDED}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+            FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), total),
+        found AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+            FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), total GROUP BY ALL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM found WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
