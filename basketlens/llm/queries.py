@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, exact_topk, language_model, lexical, license_scan, licenses, mixing, near_dedup, packing, quality, suffix_dedup, toxicity, warc
+from . import chunk_dedup, exact_topk, hard_negatives, language_model, lexical, license_scan, licenses, mixing, near_dedup, packing, quality, suffix_dedup, toxicity, warc
 from .work import table
 
 
@@ -55,6 +55,13 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = vectors.withColumn("label", moved)
+    return hard_negatives.hard_negatives(vectors.filter(F.col("vec_id") % 50 == 0), vectors)
+
+
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fitted(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
@@ -98,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_toxicity": op12_toxicity,
     "op13_lexical_search": op13_lexical_search,
 }
@@ -169,4 +177,26 @@ ORACLES: dict[str, str] = {
             FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), total GROUP BY ALL),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM found WHERE score > 0)
         SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op11_hard_negatives": """
+        WITH own AS (SELECT vec_id, embedding, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM embeddings),
+        parts AS (
+            SELECT vec_id, label, generate_subscripts(embedding, 1) AS place, unnest(embedding)::DOUBLE AS x, len(embedding) AS width
+            FROM own WHERE label IS NOT NULL),
+        fine AS (
+            SELECT vec_id FROM parts GROUP BY vec_id
+            HAVING count(x) = max(width) AND bool_and(coalesce(isfinite(x), false))),
+        q AS (SELECT p.vec_id, label, place, floor(256 * x)::BIGINT AS v, width FROM parts p JOIN fine USING (vec_id)),
+        s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, sum(a.v * b.v)::BIGINT AS score
+            FROM q a JOIN q b ON a.place = b.place AND a.width = b.width AND a.vec_id <> b.vec_id
+            WHERE a.vec_id % 50 = 0 GROUP BY ALL),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (
+            SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+            FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+             AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
 }
