@@ -3,14 +3,15 @@
 Each text becomes token ids and an end id, cut where a full sequence ends; full
 pieces are sequences of their own and the rest of each document is packed. The
 histogram of rest lengths (at most `size` rows, whatever the input) comes to the
-driver. Lengths are placed longest first: as many as possible go into the packing
-pattern with the least room that still holds them, and the counts of patterns are
-updated, so the work depends on `size` and not on the number of documents. Last,
+driver. Lengths are placed longest first, each piece into the shortest pack, which has
+the most room, or a new one if even that can't hold it. Packs filled alike are one
+packing pattern with a count, and a pattern takes pieces until another has more
+room, so the work depends on `size` and not on the number of documents. Last,
 pieces of a length are numbered and patterns are joined back to them by that rank.
 
 Ranks are taken in salted groups (length and a part of the hash of the piece, about
 GROUP_ROWS rows each) with offsets from counted groups, so a length that a third of
-all documents share is spread over many tasks. The plan of patterns has at most 2 * `size` patterns of at
+all documents share is spread over many tasks. The plan of patterns has at most 3 * `size` patterns of at
 most sqrt(2 * `size`) distinct lengths each, which bounds what is sent to tasks.
 
 Ids come from the tokenizer itself, once for each distinct word and task: the
@@ -126,7 +127,8 @@ def patterns(histogram: dict[int, int], size: int) -> list[tuple[list[tuple[int,
     """Shortest-pack-first: ([(length, how many)], number of sequences) per pattern, every length placed.
 
     Patterns wait by the room they have left. A length takes the pattern with the
-    least room that holds it, several of its kind at once if there is room for them.
+    most room, several of its kind at once as long as no other has more, and opens
+    packs where it doesn't fit there.
     """
     waiting: dict[int, list[tuple[list[tuple[int, int]], int]]] = {}
     rooms: list[int] = []  # sorted rooms with waiting patterns
@@ -144,20 +146,22 @@ def patterns(histogram: dict[int, int], size: int) -> list[tuple[list[tuple[int,
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            k = int(np.searchsorted(rooms, length))
-            if k < len(rooms):
-                room = rooms[k]
+            if rooms and rooms[-1] >= length:
+                room = rooms[-1]
                 pattern, count = waiting[room].pop()
                 if not waiting[room]:
-                    del waiting[room], rooms[k]
+                    del waiting[room], rooms[-1]
+                # Another pattern is the shortest once this one has less room than it.
+                rounds = (room - (rooms[-1] if rooms else 0)) // length + 1
             else:
-                times = min(size // length, left)
-                pattern, count, room = [], left // times, size
-            times = min(room // length, max(1, left // count))
+                rounds = min(size // length, left)
+                pattern, count, room = [], left // rounds, size
+            times = min(rounds, room // length, max(1, left // count))
             used = min(count, left // times)
             if used < count:
                 put(pattern, count - used, room)
-            put([*pattern, (length, times)], used, room - times * length)
+            more = pattern[-1][1] if pattern and pattern[-1][0] == length else 0
+            put([*(pattern[:-1] if more else pattern), (length, more + times)], used, room - times * length)
             left -= used * times
     done += [x for room in rooms for x in waiting[room]]
     return done

@@ -75,3 +75,22 @@ def test_words_give_the_ids_of_whole_texts(text):
         test_words_give_the_ids_of_whole_texts.tokens = packing.Encoder(packing.vocabulary())
     encoder = test_words_give_the_ids_of_whole_texts.tokens
     assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from([8, 16, 64]), st.dictionaries(st.integers(1, 63), st.integers(1, 30), max_size=12))
+def test_each_piece_goes_into_the_shortest_pack(size, histogram):
+    histogram = {length: n for length, n in histogram.items() if length < size}
+    rooms = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            if rooms and max(rooms) >= length:
+                rooms[rooms.index(max(rooms))] -= length
+            else:
+                rooms.append(size - length)
+    plan = packing.patterns(histogram, size)
+    assert sorted(rooms) == sorted(size - sum(length * n for length, n in pattern) for pattern, count in plan for _ in range(count))
+
+
+def test_the_shortest_pack_not_the_fullest():
+    assert packing.patterns({1500: 1, 1000: 1, 500: 1}, 2048) == [([(1500, 1)], 1), ([(1000, 1), (500, 1)], 1)]
