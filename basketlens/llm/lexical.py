@@ -161,8 +161,8 @@ def _count(batches):
     seen: Counter = Counter()
     docs = words = 0
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            terms = terms_of(text)
+        for text in batch.column(0):
+            terms = terms_of(text.as_py())
             if terms:
                 docs, words = docs + 1, words + len(terms)
                 seen.update(set(terms))
@@ -183,37 +183,37 @@ BLOCK = "ids binary, vocabulary binary, height int, top long, nodes long, masks
 
 
 def _indexer(total_docs: int, total_words: int):
-    def block(docs: list):
+    def block(docs: list, number: dict):
         docs.sort(key=lambda doc: doc[0])
-        often: Counter = Counter()
-        for _, counts, _ in docs:
-            often.update(counts.keys())
-        vocabulary = [term for term, _ in often.most_common()]
-        number = {term: row for row, term in enumerate(vocabulary)}
-        rows = np.array([number[term] for _, counts, _ in docs for term in counts], np.int64)
-        tf = np.array([n for _, counts, _ in docs for n in counts.values()], np.int64)
-        sizes = np.array([len(counts) for _, counts, _ in docs], np.int64)
-        m = np.repeat(np.array([10 + 90 * n * total_docs // total_words for _, _, n in docs], np.int64), sizes)
+        rows, tf = (np.concatenate([doc[part] for doc in docs]) for part in (1, 2))
+        # The most frequent words are the first rows, so that full quarters of the grid lie together.
+        often = np.argsort(-np.bincount(rows), kind="stable")
+        place = np.empty_like(often)
+        place[often] = np.arange(len(often))
+        words = list(number)
+        sizes = np.array([len(doc[1]) for doc in docs], np.int64)
+        m = np.repeat(np.array([10 + 90 * doc[3] * total_docs // total_words for doc in docs], np.int64), sizes)
         impacts = (1_000_000_000 * tf) // (1000 * tf + 8 * m)
-        stored = build_tree(rows, np.repeat(np.arange(len(docs)), sizes), impacts)
-        stored |= {"ids": np.array([doc[0] for doc in docs], np.int64).tobytes(), "vocabulary": b" ".join(vocabulary)}
+        stored = build_tree(place[rows], np.repeat(np.arange(len(docs)), sizes), impacts)
+        stored |= {"ids": np.array([doc[0] for doc in docs], np.int64).tobytes(), "vocabulary": b" ".join([words[n] for n in often])}
         return pa.RecordBatch.from_pylist([stored], schema=_BLOCK)
 
     def index(batches):
-        held, cells = [], 0
+        held, number, cells = [], {}, 0
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                terms = terms_of(text)
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                terms = terms_of(text.as_py())
                 if not terms:
                     continue
                 counts = Counter(terms)
                 if held and (cells + len(counts) > CELLS or len(held) >= DOCS):
-                    yield block(held)
-                    held, cells = [], 0
-                held.append((NO_ID if name is None else name, counts, len(terms)))
+                    yield block(held, number)
+                    held, number, cells = [], {}, 0
+                rows = np.fromiter((number.setdefault(term, len(number)) for term in counts), np.int64, len(counts))
+                held.append((NO_ID if name is None else name, rows, np.fromiter(counts.values(), np.int64, len(counts)), len(terms)))
                 cells += len(counts)
         if held:
-            yield block(held)
+            yield block(held, number)
 
     return index
 
@@ -284,7 +284,8 @@ def weighted_items(index: Index, items: DataFrame) -> DataFrame:
     ratio = F.lit(2.0 * index.docs + 2) / (2.0 * F.col("df") + 1)
     weight = F.floor(1000 * F.log(ratio)).cast("long")
     known = index.frequencies.filter("term IS NOT NULL").select("term", weight.alias("weight")).filter("weight > 0")
-    return asked.join(known, "term").groupBy("item_id").agg(F.collect_list(F.struct("term", "weight")).alias("words"))
+    # The words of all documents are never the side that is sent to all tasks.
+    return asked.join(known.hint("merge"), "term").groupBy("item_id").agg(F.collect_list(F.struct("term", "weight")).alias("words"))
 
 
 def top_k(index: Index, items: DataFrame, k: int = 10) -> DataFrame:
