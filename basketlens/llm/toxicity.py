@@ -35,9 +35,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, ORDER, SHARED, SLOTS, WINDOW, BAR = 6_000, 7, 2, 1 << 18, 4, 2.0
+SAMPLE, ORDER, SHARED, SLOTS, WINDOW, BAR = 5_000, 7, 2, 1 << 18, 4, 2.0
 DISCOUNTS = (2.0, 4.0)
 PREDICT_AT = 0.3
+PART = 1 << 20
 #: Letters A to Z become lower-case, other ASCII characters but digits and a to z become blanks.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 
@@ -51,20 +52,20 @@ class Grams:
 
     def __init__(self, words: list[bytes]):
         stream = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-        place, blank = np.arange(len(stream)), stream == 32
-        last = np.maximum.accumulate(np.where(blank, place, 0))
+        place, blank = np.arange(len(stream), dtype=np.int32), stream == 32
+        last = np.maximum.accumulate(np.where(blank, place, np.int32(0)))
         #: Each byte of a word and the blank behind it is foretold from what stands before it in the word, the blank included.
         self.at = place[1:]
         self.reach = self.at - last[:-1]
-        self.word = np.cumsum(blank)[:-1] - 1
-        self.value = stream.astype(np.uint64) + np.uint64(1)
+        self.word = np.cumsum(blank, dtype=np.int32)[:-1] - 1
+        self.stream = stream
         self.held = {0: np.zeros(len(stream), np.uint64)}
 
     def runs(self, size: int) -> np.ndarray:
         """Hashes of the runs of some size that end at each byte; sizes are asked for in rising order, the last three stay."""
         if size not in self.held:
             shorter = np.concatenate([self.held[0][:1], self.runs(size - 1)[:-1]])
-            self.held[size] = self.value + shorter * np.uint64(0x9E3779B97F4A7C15)
+            self.held[size] = shorter * np.uint64(0x9E3779B97F4A7C15) + self.stream + np.uint64(1)
             self.held.pop(size - 3 if size > 3 else -1, None)
         return self.held[size]
 
@@ -228,15 +229,21 @@ class Reader:
         self.scorer, self.known = scorer, {}
 
     def scores(self, texts: list) -> np.ndarray:
+        """Scores of texts, read PART bytes or one text at a time."""
         if self.scorer.models is None:
             return np.full(len(texts), self.scorer.share)
+        part = np.cumsum([len(text) for text in texts]) // PART
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        return np.concatenate([self._scores(texts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+    def _scores(self, texts: list) -> np.ndarray:
         each = [words_of(text) for text in texts]
         flat = [word for words in each for word in words]
         if len(self.known) > 1 << 18:
             self.known.clear()
         new = list({word for word in flat if word not in self.known})
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
+        for start in range(0, len(new), 10_000):
+            part = new[start : start + 10_000]
             self.known.update(zip(part, self.scorer.models.differences(part).tolist(), strict=True))
         difference = np.fromiter(map(self.known.__getitem__, flat), np.float64, len(flat))
         return self.scorer.scores(difference, np.array([len(words) for words in each], np.int64))
