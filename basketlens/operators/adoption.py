@@ -6,7 +6,7 @@ A population is one segment in one stratum over one window and is never a blend.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CHALLENGE, EngineConfig
+from ..config import CHALLENGE, LEAGUE, EngineConfig
 from ..functions.shares import share
 from .scope import in_windows, windows
 
@@ -72,6 +72,34 @@ def adoption(items: DataFrame, baskets: DataFrame, cfg: EngineConfig) -> DataFra
     )
 
 
+def from_tallies(tallies: DataFrame, populations: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """The same table as sums over stored counts of days: no fact row is read."""
+    read = windows(populations, cfg)
+    keys = {"of": (*PLACE, *CONFIGURATION), "size": PLACE}
+    counted = _summed(in_windows(tallies.withColumn("member", F.lit(True)), read), keys["of"])
+    sized = _summed(in_windows(populations, read), keys["size"]).withColumnsRenamed(
+        {f"{w}_{what}": f"{w}_population{end}" for w in WINDOWS for what, end in (("lists", ""), ("weight", "_weight"))}
+    )
+    read = counted.join(F.broadcast(sized), list(PLACE)).select(*keys["of"], *_readings("fresh"), *_readings("baseline"))
+    return read.withColumn("delta", F.col("fresh_adoption") - F.col("baseline_adoption"))
+
+
+def _summed(days: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    strata = F.array(
+        *[F.struct(F.lit(name).alias("stratum"), F.col(column).alias("lists"), weight.alias("weight"))
+          for name, column, weight in ((LEAGUE, "league", F.lit(None).cast("double")), (CHALLENGE, "challenge", F.col("weight")))]
+    )
+    rows = days.select(*[c for c in days.columns if c not in ("league", "challenge", "weight")], F.inline(strata)).where("lists > 0")
+    sums = []
+    for window in WINDOWS:
+        inside = F.col("fresh") if window == "fresh" else ~F.col("fresh")
+        sums += [
+            F.coalesce(F.sum(F.when(inside, F.col("lists"))), F.lit(0)).alias(f"{window}_lists"),
+            F.sum(F.when(inside, F.col("weight"))).alias(f"{window}_weight"),
+        ]
+    return rows.groupBy(*keys).agg(*sums)
+
+
 def totals(baskets: DataFrame, cfg: EngineConfig) -> DataFrame:
     """The same reading of a list-level total: how many typed copies it runs."""
     scoped = in_windows(baskets, windows(baskets, cfg))

@@ -16,6 +16,7 @@ from .scope import day_number, last_day, since
 
 KEY = ("segment", "item", "qty_a", "qty_b")
 ROLES = ("before", "now", "after")
+PLACE_STEP = 1_000_000
 
 
 def _counts() -> list[Column]:
@@ -40,22 +41,37 @@ def visible(cfg: EngineConfig) -> Column:
 def finish_rank() -> Column:
     """Finishes in order, best placement first and then the earlier day, as one
     number: a number aggregates by hash where a struct would sort every fact."""
-    return F.col("placement").cast("bigint") * 1_000_000 + day_number()
+    return F.col("placement").cast("bigint") * PLACE_STEP + day_number()
 
 
 def day_tally(items: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Per configuration and day: lists by stratum, finish weight, best finish."""
-    return (
-        cohort_since_epoch(items, cfg)
-        .groupBy(*KEY, "date")
-        .agg(*_counts(), F.min(F.when(visible(cfg), finish_rank())).alias("best"))
-    )
+    """Per configuration and day since the epoch: lists by stratum, finish weight, best visible finish."""
+    return seen_finishes(tally_by_day(cohort_since_epoch(items, cfg)), cfg)
+
+
+def tally_by_day(items: DataFrame) -> DataFrame:
+    """Per configuration of the cohort and day: lists by stratum, finish weight, best finish of all.
+
+    Counts of a day add up with those of any other, so they are stored a day each.
+    """
+    ranked = F.when(F.col("stratum") == CHALLENGE, finish_rank())
+    return items.where("member").groupBy(*KEY, "date").agg(*_counts(), F.min(ranked).alias("best"))
+
+
+def seen_finishes(tallies: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Tallies whose best finish is one the field would have seen, or none."""
+    return tallies.withColumn("best", F.when(F.col("best") < (cfg.hype_origin_placement + 1) * PLACE_STEP, F.col("best")))
 
 
 def day_population(baskets: DataFrame, cfg: EngineConfig) -> DataFrame:
     return cohort_since_epoch(baskets, cfg).groupBy("segment", "date").agg(*_counts())
 
 
+def population_by_day(baskets: DataFrame) -> DataFrame:
+    """Per segment and day the lists by stratum and their weight; lists outside the cohort are a row of their own."""
+    return baskets.groupBy("member", "segment", "date").agg(*_counts())
+
+
 def around_sundays(daily: DataFrame, keys: tuple[str, ...], last: Column, cfg: EngineConfig) -> DataFrame:
     """Sums over the window ending each Sunday, the one before and the one after.
 
@@ -83,7 +99,20 @@ def around_sundays(daily: DataFrame, keys: tuple[str, ...], last: Column, cfg: E
 
 def sliding_adoption(items: DataFrame, baskets: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Lists and adoption per configuration, stratum and window ending a Sunday."""
-    read = around_with_population(items, baskets, cfg).where("now_league + now_challenge > 0")
+    return _sliding(around_with_population(items, baskets, cfg))
+
+
+def sliding_from_tallies(tallies: DataFrame, populations: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """The same over stored counts of days."""
+    return _sliding(around_days(seen_finishes(cohort_since_epoch(_all_members(tallies), cfg), cfg), cohort_since_epoch(populations, cfg), cfg))
+
+
+def _all_members(tallies: DataFrame) -> DataFrame:
+    return tallies.withColumn("member", F.lit(True))
+
+
+def _sliding(around: DataFrame) -> DataFrame:
+    read = around.where("now_league + now_challenge > 0")
     strata = F.array(
         *[
             F.struct(
@@ -102,13 +131,18 @@ def sliding_adoption(items: DataFrame, baskets: DataFrame, cfg: EngineConfig) ->
 
 
 def around_with_population(items: DataFrame, baskets: DataFrame, cfg: EngineConfig) -> DataFrame:
-    last = last_day(cohort_since_epoch(baskets, cfg))
-    sized = around_sundays(day_population(baskets, cfg), ("segment",), last, cfg)
+    return around_days(day_tally(items, cfg), day_population(baskets, cfg), cfg)
+
+
+def around_days(tallies: DataFrame, populations: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """The windows around each Sunday with their populations, from counts of days."""
+    last = last_day(populations)
+    sized = around_sundays(populations, ("segment",), last, cfg)
     # A row per segment and Sunday: the calendar bounds the broadcast.
     sized = sized.select("segment", "end", *[
         F.col(f"{r}_{c}").alias(f"of_{r}_{c}") for r in ROLES for c in ("league", "challenge", "weight")
     ])
-    taken = around_sundays(day_tally(items, cfg), KEY, last, cfg)
+    taken = around_sundays(tallies, KEY, last, cfg)
     return taken.join(F.broadcast(sized), ["segment", "end"])
 
 

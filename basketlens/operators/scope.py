@@ -61,10 +61,14 @@ def finish_weights(baskets: DataFrame) -> DataFrame:
 
 def classify(baskets: DataFrame, items: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Baskets with cohort, segment, stratum, near-miss and finish weight."""
+    return labelled(finish_weights(baskets), items, cfg)
+
+
+def labelled(baskets: DataFrame, items: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Baskets with all that follows from a list by itself: everything but its weight."""
     member = F.coalesce(F.col("signature_held") == len(cfg.signature), F.lit(False))
     return (
-        finish_weights(baskets)
-        .join(marks(items, cfg), "list_id", "left")
+        baskets.join(marks(items, cfg), "list_id", "left")
         .withColumn("member", member)
         .withColumn("typed_total", F.coalesce("typed_total", F.lit(0)))
         .withColumn("near_miss", ~F.col("member") & F.coalesce("watched", F.lit(False)))

@@ -149,6 +149,27 @@ def _(r):
     return stacked(*[frame.withColumn("part", F.lit(name)) for name, frame in named])
 
 
+@reading("s12_refreshed_tallies")
+def _(r):
+    """Partial counts of a standing store, after a refresh with late and withdrawn lists."""
+    return r.refreshed.tallies
+
+
+@reading("s12_refreshed_baskets")
+def _(r):
+    return r.refreshed.baskets.select("list_id", "event_id", "date", "member", "segment", "weight")
+
+
+@reading("s12_refreshed_adoption")
+def _(r):
+    return adoption.from_tallies(r.refreshed.tallies, r.refreshed.populations, r.cfg)
+
+
+@reading("s12_refreshed_sliding")
+def _(r):
+    return hype.sliding_from_tallies(r.refreshed.tallies, r.refreshed.populations, r.cfg)
+
+
 @reading("s13_typed_items")
 def _(r):
     return stores.typed_items(star.item_entries(r.spark, r.sf_dir), r.cfg)

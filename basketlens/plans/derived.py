@@ -139,3 +139,17 @@ def streamed_arrivals(run) -> DataFrame:
     return arrivals.land(arrivals.arriving_lists(parsed), f"{root}/lists", f"{root}/state").select(
         "event_id", "event_class", "actor", F.to_date("event_ts").alias("date")
     )
+
+
+def two_publications(raw: DataFrame, last, unsettled: int) -> tuple[DataFrame, DataFrame]:
+    """What was published some days before the last one, and what is published then.
+
+    The first lacks the last days, one whole event and every seventh list of its
+    own last three days, of which the second brings those still unsettled; the
+    second has withdrawn every eleventh list of the unsettled days.
+    """
+    first_day = F.date_sub(last, unsettled)
+    tardy = (F.col("date") >= F.date_sub(first_day, 2)) & (F.col("list_id") % 7 == 0)
+    missed = F.col("event_id") == raw.agg(F.min("event_id")).scalar()
+    gone = (F.col("date") >= first_day) & (F.col("list_id") % 11 == 0)
+    return raw.where((F.col("date") <= first_day) & ~tardy & ~missed), raw.where(~gone)

@@ -13,9 +13,12 @@ from ..config import STAR, EngineConfig
 from ..operators import (
     actors, adoption, composition, departures, hype, ledger, novelty, outcome, subjects, weekly,
 )
-from ..session import guarded, settled
-from ..sources import star
+from ..session import fresh_path, guarded, settled
+from ..sources import standing, star
+from ..sources.standing import Standing
 from ..sources.store import Store, materialise, typed_items
+from ..sources.versions import Versions
+from . import derived
 
 
 class StarRun:
@@ -96,6 +99,18 @@ class StarRun:
         typed = typed_items(star.item_entries(self.spark, self.sf_dir), self.cfg)
         return settled(weekly.weekly_averages(self.items, self.binned, typed, self.cfg), "weekly")
 
+    @cached_property
+    def refreshed(self) -> Standing:
+        """A standing store built from an earlier publication and refreshed to the last day."""
+        raw = settled(star.raw_baskets(self.spark, self.sf_dir), "published")
+        entries = star.item_entries(self.spark, self.sf_dir)
+        today = raw.agg(F.max("date")).scalar()
+        first, second = derived.two_publications(raw, today, self.cfg.unsettled_days)
+        versions = Versions(self.spark, fresh_path(self.spark, "standing"))
+        standing.build(versions, first, entries, self.cfg, "month")
+        standing.refresh(versions, second, entries, today, self.cfg, "month")
+        return standing.open_store(versions, self.cfg)
+
     @property
     def last_day(self):
         return self.baskets.agg(F.max("date")).scalar()

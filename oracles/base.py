@@ -407,6 +407,20 @@ for name, body in list(CTES.items()):
 CTES["k_lists"] = f"SELECT * FROM c_lists WHERE date <= {CUT}"
 CTES["k_items"] = f"SELECT * FROM c_items WHERE date <= {CUT}"
 
+# A store refreshed from a second publication: what of both it holds, everything after that derived from scratch.
+U = C.unsettled_days
+for name, body in list(CTES.items()):
+    if name.startswith("c_"):
+        CTES["n_" + name[2:]] = re.sub(r"\bc_", "n_", body)
+CTES["n_lists0"], CTES["n_items0"] = "SELECT * FROM c_lists0", "SELECT * FROM c_items0"
+CTES["n_pub"] = f"""
+SELECT *, list_id % 7 = 0 AND date >= day - 2 AS tardy, list_id % 11 = 0 AND date >= day AS gone
+FROM c_ranked, (SELECT max(date) - {U} AS day, min(event_id) AS missed FROM c_ranked)"""
+CTES["n_first"] = "SELECT * FROM n_pub WHERE date <= day AND event_id <> missed AND NOT tardy"
+CTES["n_ranked"] = """
+SELECT * FROM n_first WHERE date < day
+UNION ALL SELECT * FROM n_pub WHERE NOT gone AND (date >= day OR event_id NOT IN (SELECT event_id FROM n_first))"""
+
 FLAG_COLUMNS = (
     "kind, segment, item, qty_a, qty_b, raised_on, from_adoption, to_adoption, population, origin_actor, origin_event, "
     "origin_date, origin_placement, tilt, challenge_before, state, league_after, challenge_after, tilt_after, resolved_on, "
@@ -451,8 +465,8 @@ SELECT hypothesis_id, subject, segment, configuration, fresh_population AS popul
   UNION ALL SELECT 'lands', segment, CAST(typed_total AS VARCHAR), fresh_population, fresh_adoption, fresh_tilt, delta
   FROM c_landtab WHERE stratum = 'challenge-class' AND fresh_lists > 0) USING (subject)"""
 
-RECURSIVE = {"c_acc", "k_acc"}
-_REF = re.compile(r"\b[ck]_[a-z0-9]+\b")
+RECURSIVE = {"c_acc", "k_acc", "n_acc"}
+_REF = re.compile(r"\b[ckn]_[a-z0-9]+\b")
 
 
 def needed(sql: str, seen: dict | None = None) -> dict[str, str]:

@@ -1,5 +1,7 @@
 """One statement per registered query, over the shared expressions of `base`."""
 
+import re
+
 from .base import C, CUT, EPOCH, FLAG_COLUMNS, HIST, T, W, lacking, query
 
 READ = "fresh_adoption fresh_weighted fresh_tilt baseline_adoption baseline_weighted baseline_tilt delta"
@@ -114,6 +116,12 @@ ORACLES: dict[str, str] = {
       before AS (SELECT * EXCLUDE (old, new) FROM texts WHERE old), after AS (SELECT * EXCLUDE (old, new) FROM texts WHERE new)
       SELECT *, 'added' AS part FROM (SELECT * FROM after EXCEPT ALL SELECT * FROM before)
       UNION ALL SELECT *, 'withdrawn' FROM (SELECT * FROM before EXCEPT ALL SELECT * FROM after) UNION ALL SELECT *, 'held' FROM after)"""),
+    "s12_refreshed_tallies": query("""SELECT segment, item, qty_a, qty_b, date, count(*) FILTER (stratum = 'league') AS league, count(*) FILTER (stratum <> 'league') AS challenge,
+      coalesce(sum(weight) FILTER (stratum <> 'league'), 0.0) AS weight, min(placement) FILTER (stratum <> 'league') * 1000000 + CAST(date - DATE '1970-01-01' AS BIGINT) AS best
+      FROM n_items WHERE member GROUP BY 1, 2, 3, 4, 5""", "weight"),
+    "s12_refreshed_baskets": query("SELECT list_id, event_id, date, member, segment, weight FROM n_lists", "weight"),
+    "s12_refreshed_adoption": query("SELECT * FROM n_adoption", READ),
+    "s12_refreshed_sliding": query(re.sub(r"\bc_", "n_", TRAILING), "adoption"),
     "s13_typed_items": query("SELECT * FROM c_typed"),
     "s14_reference_captures": query("SELECT owner, version, replace(item, '#', '-') AS item, qty_a, qty_b, override, note FROM c_ref"),
     "s15_match_records": query(MATCHES),
