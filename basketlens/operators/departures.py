@@ -86,16 +86,23 @@ def novel_days(tally: DataFrame, sizes: DataFrame, fringe: DataFrame, cfg: Engin
     ).drop("unseen", "fringe")
 
 
-def candidates(items: DataFrame, baskets: DataFrame, cfg: EngineConfig) -> DataFrame:
+def candidates(
+    items: DataFrame, baskets: DataFrame, cfg: EngineConfig, read_novelty: DataFrame | None = None
+) -> DataFrame:
     """Every finished list with the segment it departs least from, what it holds
-    that segment hardly plays and what it lacks that segment is agreed on."""
+    that segment hardly plays and what it lacks that segment is agreed on.
+
+    All of it looks back from the list's day: a shorter history has the same
+    candidates up to its last day.
+    """
+    seen = novelty(items, baskets, cfg) if read_novelty is None else read_novelty
     facts = read_against(history(items, cfg.epoch_start), cfg)
     lists = read_against(history(baskets, cfg.epoch_start), cfg)
     # Both are at day grain and read several times over: written once.
     sizes = settled(segment_sizes(lists, cfg), "segment-sizes")
     tally = settled(item_tally(facts), "item-tally")
     core = core_days(tally, sizes, cfg)
-    novel = novel_days(tally, sizes, novelty(items, baskets, cfg), cfg)
+    novel = novel_days(tally, sizes, seen, cfg)
     outlying = stacked(
         novel.withColumn("is_core", F.lit(False)),
         core.withColumn("introduced", F.lit(False)).withColumn("is_core", F.lit(True)),

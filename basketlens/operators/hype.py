@@ -17,6 +17,8 @@ from .scope import day_number, last_day, since
 KEY = ("segment", "item", "qty_a", "qty_b")
 ROLES = ("before", "now", "after")
 PLACE_STEP = 1_000_000
+# What `tally_by_day` and `population_by_day` give.
+Days = tuple[DataFrame, DataFrame]
 
 
 def _counts() -> list[Column]:
@@ -104,11 +106,13 @@ def sliding_adoption(items: DataFrame, baskets: DataFrame, cfg: EngineConfig) ->
 
 def sliding_from_tallies(tallies: DataFrame, populations: DataFrame, cfg: EngineConfig) -> DataFrame:
     """The same over stored counts of days."""
-    return _sliding(around_days(seen_finishes(cohort_since_epoch(_all_members(tallies), cfg), cfg), cohort_since_epoch(populations, cfg), cfg))
+    return _sliding(around_days(*_known((tallies, populations), cfg), cfg))
 
 
-def _all_members(tallies: DataFrame) -> DataFrame:
-    return tallies.withColumn("member", F.lit(True))
+def _known(days: Days, cfg: EngineConfig) -> Days:
+    """Stored counts of days as the windows read them: the cohort's since the epoch."""
+    tallies, populations = days
+    return seen_finishes(cohort_since_epoch(tallies.withColumn("member", F.lit(True)), cfg), cfg), cohort_since_epoch(populations, cfg)
 
 
 def _sliding(around: DataFrame) -> DataFrame:
@@ -146,12 +150,13 @@ def around_days(tallies: DataFrame, populations: DataFrame, cfg: EngineConfig) -
     return taken.join(F.broadcast(sized), ["segment", "end"])
 
 
-def spikes(items: DataFrame, baskets: DataFrame, cfg: EngineConfig) -> DataFrame:
+def spikes(items: DataFrame, baskets: DataFrame, cfg: EngineConfig, days: Days | None = None) -> DataFrame:
     """Every window a configuration leapt in behind a finish, before suppression."""
     to = share(F.col("now_league"), F.col("of_now_league"))
     was = share(F.col("before_league"), F.col("of_before_league"))
+    around = around_days(*_known(days, cfg), cfg) if days else around_with_population(items, baskets, cfg)
     return (
-        around_with_population(items, baskets, cfg)
+        around
         .where(F.least("of_now_league", "of_before_league") >= cfg.hype_min_lists)
         .withColumn("from_adoption", was)
         .withColumn("to_adoption", to)
@@ -228,9 +233,12 @@ def _tilt(role: str) -> Column:
     return share(F.col(f"{role}_weight"), F.col(f"of_{role}_weight")) - raw
 
 
-def hype(items: DataFrame, baskets: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Every episode since the epoch start, with its verdict and its standing."""
-    kept = accepted(spikes(items, baskets, cfg), KEY, "end", cfg.hype_window_days)
+def hype(items: DataFrame, baskets: DataFrame, cfg: EngineConfig, days: Days | None = None) -> DataFrame:
+    """Every episode since the epoch start, with its verdict and its standing.
+
+    `days` are the stored counts of days of these lists, where they stand already.
+    """
+    kept = accepted(spikes(items, baskets, cfg, days), KEY, "end", cfg.hype_window_days)
     episodes = with_origins(settled(kept, "episodes"), items, cfg)
     read = (
         episodes.join(F.broadcast(maturities(baskets, cfg)), "end", "left")

@@ -59,17 +59,20 @@ def novelty(items: DataFrame, baskets: DataFrame, cfg: EngineConfig) -> DataFram
     )
 
 
-def fringe_flags(items: DataFrame, baskets: DataFrame, cfg: EngineConfig) -> DataFrame:
+def fringe_flags(
+    items: DataFrame, baskets: DataFrame, cfg: EngineConfig, read: DataFrame | None = None
+) -> DataFrame:
     """One flag per segment and item that was fringe on some day of the fresh
     window, carrying the earliest appearance. Anchored on the cohort's last day.
 
-    The day is found at day grain; only that day's rows are then looked up among
+    `read` is the novelty of these days if it stands already; it looks back only, so
+    that of a longer history serves as well. The day is found at day grain; only that day's rows are then looked up among
     the facts, the smaller actor and list standing first.
     """
     cohort = since(baskets, cfg.history_start).where("member")
     start = F.date_sub(last_day(cohort), cfg.fresh_days)
     recent = since(items, cfg.history_start).where(F.col("member") & (F.col("date") > start))
-    fringe = novelty(items, baskets, cfg).where(F.col("fringe") & (F.col("date") > start))
+    fringe = (novelty(items, baskets, cfg) if read is None else read).where(F.col("fringe") & (F.col("date") > start))
     reading = F.struct("date", "historical_adoption", "returning", "absent_days")
     raised = (
         recent.select("segment", "item", "date")

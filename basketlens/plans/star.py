@@ -14,7 +14,7 @@ from ..operators import (
     actors, adoption, composition, departures, hype, ledger, novelty, outcome, subjects, weekly,
 )
 from ..session import fresh_path, guarded, settled
-from ..sources import standing, star
+from ..sources import ledgers, standing, star
 from ..sources.standing import Standing
 from ..sources.store import Store, materialise, typed_items
 from ..sources.versions import Versions
@@ -61,13 +61,22 @@ class StarRun:
     def totals(self) -> DataFrame:
         return settled(adoption.totals(self.baskets, self.cfg), "totals")
 
+    @cached_property
+    def days(self) -> tuple[DataFrame, DataFrame]:
+        """Counts a day, of configurations and of segments."""
+        return settled(hype.tally_by_day(self.items), "day-tallies"), settled(hype.population_by_day(self.baskets), "day-populations")
+
+    @cached_property
+    def novelty(self) -> DataFrame:
+        return settled(novelty.novelty(self.items, self.baskets, self.cfg), "novelty")
+
     @cached_property
     def hype(self) -> DataFrame:
-        return settled(hype.hype(self.items, self.baskets, self.cfg), "hype")
+        return settled(hype.hype(self.items, self.baskets, self.cfg, self.days), "hype")
 
     @cached_property
     def fringe(self) -> DataFrame:
-        return settled(novelty.fringe_flags(self.items, self.baskets, self.cfg), "fringe")
+        return settled(novelty.fringe_flags(self.items, self.baskets, self.cfg, self.novelty), "fringe")
 
     @cached_property
     def pets(self) -> DataFrame:
@@ -75,7 +84,7 @@ class StarRun:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return settled(departures.candidates(self.items, self.baskets, self.cfg), "candidates")
+        return settled(departures.candidates(self.items, self.baskets, self.cfg, self.novelty), "candidates")
 
     @cached_property
     def departures(self) -> DataFrame:
@@ -123,19 +132,34 @@ class StarRun:
     def earlier(self, frame: DataFrame) -> DataFrame:
         return frame.where(F.col("date") <= self.earlier_day)
 
+    @cached_property
+    def ledger_versions(self) -> Versions:
+        """Where the run's ledger lies. A user names a folder that outlives the session; a run of the queries has one of its own."""
+        return Versions(self.spark, fresh_path(self.spark, "ledger"))
+
     @cached_property
     def earlier_ledger(self) -> DataFrame:
-        """What an earlier run of every detector recorded, read back from where it was filed."""
-        found = ledger.detect(self.earlier(self.items), self.earlier(self.baskets), self.cfg)
-        _, path = ledger.record(ledger.load(self.spark, None), found, self.earlier_day)
-        return ledger.load(self.spark, path)
+        """What an earlier run of every detector recorded, read back from where it was filed.
+
+        Its counts of days, novelty and departures are those of today up to its day,
+        since all of them look back only.
+        """
+        items, baskets = self.earlier(self.items), self.earlier(self.baskets)
+        found = ledger.unified([
+            hype.hype(items, baskets, self.cfg, tuple(self.earlier(days) for days in self.days)),
+            novelty.fringe_flags(items, baskets, self.cfg, self.earlier(self.novelty)),
+            actors.pet_items(items, baskets, self.cfg),
+            departures.breakthroughs(items, baskets, self.cfg, self.earlier(self.departures)),
+        ])
+        ledgers.record(self.ledger_versions, found, self.earlier_day)
+        return ledgers.load(self.ledger_versions, 1)[0]
 
     @cached_property
     def ledger(self) -> DataFrame:
         """The ledger after a run over everything, on top of the earlier one."""
         found = ledger.unified([self.hype, self.fringe, self.pets, self.breakthroughs])
-        _, path = ledger.record(self.earlier_ledger, found, self.last_day)
-        return ledger.load(self.spark, path)
+        assert self.earlier_ledger is not None
+        return ledgers.load(self.ledger_versions, ledgers.record(self.ledger_versions, found, self.last_day))[0]
 
     @cached_property
     def reference(self) -> DataFrame:
