@@ -75,6 +75,7 @@ class EngineConfig:
     core_adoption: float = 0.90
     consensus_adoption: float = 0.50
     supported_minority: float = 0.10
+    pair_support: float = 0.10
     boundary_lists: int = 2
     unplayed_floor: float = 0.25
     unplayed_limit: int = 10

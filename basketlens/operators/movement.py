@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.shares import direction, share
+from ..session import settled
 from .adoption import PLACE, WINDOWS
 from .scope import in_windows, windows
 
@@ -83,6 +84,52 @@ def substitution(items: DataFrame, baskets: DataFrame, targets: DataFrame, cfg:
     )
 
 
+def pair_crosstab(items: DataFrame, baskets: DataFrame, cfg: EngineConfig, support: float | None = None) -> DataFrame:
+    """Pairs of items cross-tabulated over each population's fresh lists: which
+    builds a population is divided into.
+
+    Only items that `support` of the population's lists hold are paired; where a list
+    holds n items on average these are at most n / support items a population. Pairs
+    no list holds together have no row: each of them is opposed. A list's pairs are made in its own row, counted before they move, and the other
+    three cells follow from the items' own counts. `diagonal` is the share of lists
+    that hold both or neither, `opposed` of those that hold just one; a population
+    divided on a pair has nearly all of its lists in one of the two.
+    """
+    support = cfg.pair_support if support is None else support
+    read = windows(baskets, cfg)
+    fresh = in_windows(items, read).where("fresh").select(*PLACE, "list_id", "item")
+    sizes = in_windows(baskets, read).where("fresh").groupBy(*PLACE).agg(F.count("*").alias("population"))
+    counted = fresh.groupBy(*PLACE, "item").agg(F.count("*").alias("lists"))
+    # A row per segment and stratum: the configuration bounds the broadcast.
+    often = counted.join(F.broadcast(sizes), list(PLACE)).where(F.col("lists") >= F.col("population") * support)
+    often = settled(often, "frequent-items")
+    held = (
+        fresh.join(often.select(*PLACE, "item"), [*PLACE, "item"])
+        .groupBy(*PLACE, "list_id")
+        .agg(F.array_sort(F.collect_list("item")).alias("held"))
+        .where(F.size("held") > 1)
+    )
+    after = lambda x, i: F.transform(F.slice("held", i + 2, F.size("held")), lambda y: F.struct(x.alias("item"), y.alias("other")))
+    together = (
+        held.select(*PLACE, F.inline(F.flatten(F.transform("held", after))))
+        .groupBy(*PLACE, "item", "other")
+        .agg(F.count("*").alias("both"))
+    )
+    other = often.select(*PLACE, F.col("item").alias("other"), F.col("lists").alias("other_lists"))
+    tabled = (
+        together.join(often, [*PLACE, "item"])
+        .join(other, [*PLACE, "other"])
+        .withColumn("only_item", F.col("lists") - F.col("both"))
+        .withColumn("only_other", F.col("other_lists") - F.col("both"))
+        .withColumn("neither", F.col("population") - F.col("lists") - F.col("only_other"))
+    )
+    return tabled.select(
+        *PLACE, "item", "other", "population", "both", "only_item", "only_other", "neither",
+        share(F.col("both") + F.col("neither"), F.col("population")).alias("diagonal"),
+        share(F.col("only_item") + F.col("only_other"), F.col("population")).alias("opposed"),
+    )
+
+
 def climbing(read: DataFrame, fringe: DataFrame) -> DataFrame:
     """Items new to the pool that a segment is still taking up."""
     order = F.struct("fresh_lists", (-F.col("qty_a")).alias("a"), (-F.col("qty_b")).alias("b"))

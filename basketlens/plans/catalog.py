@@ -486,6 +486,11 @@ def _(r):
     return movement.substitution(r.items, r.baskets, asked_configurations(r.items), r.cfg)
 
 
+@reading("x1_pair_crosstab")
+def _(r):
+    return movement.pair_crosstab(r.items, r.baskets, r.cfg)
+
+
 @reading("a14_climbing")
 def _(r):
     return movement.climbing(r.adoption, r.fringe)
@@ -774,5 +779,13 @@ def _(r):
     return tallies.run_to_end(tallies.sliding(events, ["event_type"], r.cfg), ["event_type"], "sliding-tally")
 
 
+@reading("st2_closed_windows")
+def _(r):
+    """Windows that have closed, with what came too late for them; the rest is open still."""
+    events = tallies.stream_events(r.spark, r.sf_dir)
+    done = tallies.run_closed(events, ["event_type"], r.cfg, fresh_path(r.spark, "closed-tally"))
+    return stacked(done.windows.withColumn("late", F.lit(False)), done.late.withColumn("late", F.lit(True)))
+
+
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: tidy(READINGS[name](run(spark, sf_dir)))

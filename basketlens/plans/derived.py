@@ -136,7 +136,7 @@ def streamed_arrivals(run) -> DataFrame:
     documents(run).select("value").write.text(f"{root}/landing")
     landed = run.spark.readStream.schema("value string").text(f"{root}/landing")
     parsed = landed.select(F.from_json("value", payload.PAYLOAD_SCHEMA).alias("p")).select("p.*")
-    return arrivals.land(arrivals.arriving_lists(parsed), f"{root}/lists", f"{root}/state").select(
+    return arrivals.land(arrivals.arriving_lists(parsed), f"{root}/lists", f"{root}/state", "month", run.cfg.unsettled_days).select(
         "event_id", "event_class", "actor", F.to_date("event_ts").alias("date")
     )
 

@@ -261,6 +261,16 @@ ORACLES: dict[str, str] = {
     "r5_mirror": query("""SELECT hypothesis_id, conditional_on, captured_on, window_days, share, deck_count, conditional_on IS NOT NULL AND captured_on IS NULL AS unconditioned
       FROM (SELECT DISTINCT hypothesis_id, conditional_on FROM c_subj) LEFT JOIN (SELECT * FROM c_trend ORDER BY captured_on DESC LIMIT 1) ON conditional_on = 'mirror'""", "share"),
     "st1_arrivals": query(f"SELECT {SITE} AS event_id, CASE WHEN event_class = 'league' THEN 'league' ELSE lower(priority) END AS event_class, actor, date FROM c_lists"),
+    "x1_pair_crosstab": query(f"""WITH sizes AS (SELECT segment, stratum, count(*) AS population FROM c_scope WHERE fresh GROUP BY 1, 2),
+      often AS (SELECT segment, stratum, item, count(*) AS lists, population FROM c_scopei JOIN sizes USING (segment, stratum) WHERE fresh GROUP BY ALL HAVING count(*) >= population * {C.pair_support}),
+      pairs AS (SELECT a.segment, a.stratum, a.item, b.item AS other, count(*) AS n FROM c_scopei a JOIN c_scopei b USING (list_id) WHERE a.fresh AND a.item < b.item GROUP BY ALL)
+      SELECT p.segment, p.stratum, p.item, p.other, a.population, n AS both, a.lists - n AS only_item, b.lists - n AS only_other, a.population - a.lists - b.lists + n AS neither,
+        (a.population - a.lists - b.lists + 2 * n) / a.population AS diagonal, (a.lists + b.lists - 2 * n) / a.population AS opposed
+      FROM pairs p JOIN often a ON a.segment = p.segment AND a.stratum = p.stratum AND a.item = p.item
+      JOIN often b ON b.segment = p.segment AND b.stratum = p.stratum AND b.item = p.other""", "diagonal opposed"),
+    "st2_closed_windows": query(f"""SELECT e AS "end", event_type, count(*) AS lists, false AS late FROM events,
+        (SELECT CAST(d AS DATE) AS e FROM (SELECT unnest(generate_series((SELECT min(ts) FROM events)::DATE::TIMESTAMP, (SELECT max(ts) FROM events)::DATE::TIMESTAMP + INTERVAL {W} DAY, INTERVAL 1 DAY)) AS d) WHERE isodow(d) = 7)
+      WHERE CAST(ts AS DATE) BETWEEN e - {W - 1} AND e AND e + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL {C.unsettled_days} DAY GROUP BY 1, 2"""),
     "st2_sliding_tally": query(f"""SELECT e AS "end", event_type, count(*) AS lists FROM events,
         (SELECT CAST(d AS DATE) AS e FROM (SELECT unnest(generate_series((SELECT min(ts) FROM events)::DATE::TIMESTAMP, (SELECT max(ts) FROM events)::DATE::TIMESTAMP + INTERVAL {W} DAY, INTERVAL 1 DAY)) AS d) WHERE isodow(d) = 7)
       WHERE CAST(ts AS DATE) BETWEEN e - {W - 1} AND e GROUP BY 1, 2"""),
