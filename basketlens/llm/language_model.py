@@ -1,7 +1,8 @@
 """Language model scores: a gated recurrent network with class-factored output, in numpy inside Spark tasks.
 
 Data flow. Documents are packed, in the order they are read, into blocks of about
-BLOCK_BYTES of text, written once. Each block sends the hashes of its distinct words
+BLOCK_BYTES of text, written once as the hashes of the block's distinct words and a
+number a token, so texts are split once. Each block sends the hashes of its distinct words
 with their training counts to buckets of the hash space, where counts of all blocks
 are added up; each block gets back the global counts of just its own words. So no
 task and no broadcast ever holds the whole vocabulary, and a word in every document
@@ -50,7 +51,7 @@ TREE = 16
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 END = b"\n"  # no word holds white space
 
-BLOCKS = "doc_ids array<long>, held array<boolean>, texts array<binary>, n_bytes long"
+BLOCKS = "doc_ids array<long>, held array<boolean>, sizes array<long>, hashes binary, tokens binary, n_bytes long"
 SENT = "bucket long, block long, n long, hashes binary, counts binary"
 SUMS = "bucket long, block long, counts binary, tokens long, types long, tops binary, bins binary"
 NUMBERED = "block long, doc_ids array<long>, held array<boolean>, sizes array<long>, known array<long>, base array<double>, share array<double>, numbers binary"
@@ -86,10 +87,14 @@ def _block(batches):
     ids, held, texts, size = [], [], [], 0
 
     def row():
+        index, flat, sizes = tokens(texts)
         return pa.RecordBatch.from_arrays(
-            [pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([texts], pa.list_(pa.binary())), pa.array([size], pa.int64())],
-            names=["doc_ids", "held", "texts", "n_bytes"],
-        )
+            [
+                pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int64())),
+                pa.array([index.hashes().tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary()), pa.array([size], pa.int64()),
+            ],
+            names=[x.split()[0] for x in BLOCKS.split(", ")],
+        )
 
     for batch in batches:
         for one, out, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -114,11 +119,10 @@ def _by_bucket(hashes: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]
 def _send(buckets: int):
     def send(batches):
         for batch in batches:
-            for block, held, texts in zip(*(batch.column(k) for k in range(3)), strict=True):
-                index, flat, sizes = tokens(texts.as_py())
-                train = np.repeat(~np.array(held.as_py(), bool), sizes)
-                counts = np.bincount(flat[train], minlength=len(index)).astype(np.uint32)
-                hashes = index.hashes()
+            for block, held, sizes, named, said in zip(*(batch.column(k) for k in range(5)), strict=True):
+                hashes, flat = np.frombuffer(named.as_py(), np.uint64), np.frombuffer(said.as_py(), np.int32)
+                train = np.repeat(~np.array(held.as_py(), bool), sizes.as_py())
+                counts = np.bincount(flat[train], minlength=len(hashes)).astype(np.uint32)
                 rows = [(to, block.as_py(), len(at), hashes[at].tobytes(), counts[at].tobytes()) for to, at in _by_bucket(hashes, buckets)]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
@@ -398,9 +402,9 @@ def _number(vocabulary: Words, buckets: int):
 
     def number(batches):
         for batch in batches:
-            for block, ids, held, texts, answers in zip(*(batch.column(k) for k in range(5)), strict=True):
-                index, flat, sizes = tokens(texts.as_py())
-                hashes, counts = index.hashes(), np.zeros(len(index), np.int64)
+            for block, ids, held, lengths, named, said, answers in zip(*(batch.column(k) for k in range(7)), strict=True):
+                hashes, flat, sizes = np.frombuffer(named.as_py(), np.uint64), np.frombuffer(said.as_py(), np.int32), np.array(lengths.as_py(), np.int64)
+                counts = np.zeros(len(hashes), np.int64)
                 told = {a["bucket"]: a["counts"] for a in answers.as_py()}
                 for to, at in _by_bucket(hashes, buckets):
                     counts[at] = np.frombuffer(told[to][3:], told[to][:3].decode())
@@ -499,13 +503,13 @@ def scored(docs: DataFrame, held: Column | None = None, stride: int = STRIDE) ->
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), text.alias("text"))
     blocks = kept(given.mapInArrow(_block, BLOCKS).withColumn("block", F.monotonically_increasing_id()), "lm-blocks")
     buckets = max(4, -(-(blocks.agg(F.sum("n_bytes")).first()[0] or 0) // BUCKET_BYTES))
-    sent = blocks.select("block", "held", "texts").mapInArrow(_send(buckets), SENT)
+    sent = blocks.select("block", "held", "sizes", "hashes", "tokens").mapInArrow(_send(buckets), SENT)
     sums = kept(sent.groupBy("bucket").applyInArrow(_add_up, SUMS), "lm-counts")
     n, v = (x or 0 for x in sums.agg(F.sum("tokens"), F.sum("types")).first())
     vocabulary = Words(*_frequent(sums), n, v)
     answers = sums.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts")).alias("answers"))
-    # Texts meet their counts once; training and scoring then read two bytes a token.
-    read = blocks.join(answers, "block").select("block", "doc_ids", "held", "texts", "answers")
+    # Words meet their counts once; training and scoring then read two bytes a token.
+    read = blocks.join(answers, "block").select("block", "doc_ids", "held", "sizes", "hashes", "tokens", "answers")
     numbered = kept(read.mapInArrow(_number(vocabulary, buckets), NUMBERED), "lm-numbers")
     weights = Network(vocabulary).flat()
     for k in range(ROUNDS):
