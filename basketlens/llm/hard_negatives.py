@@ -44,6 +44,7 @@ from .work import kept
 
 SAMPLE, WAYS, LEAF, BLOCK, TILE, FAN = 8192, 16, 512, 4096, 128, 16
 FULL = 2**53
+HELD = 200_000
 LOWEST, HIGHEST = -(2**63), 2**63 - 1
 
 
@@ -361,9 +362,13 @@ def _padded(lists, at: np.ndarray, fill: int) -> np.ndarray:
 
 
 def _searcher(k: int, same: bool):
-    """Per anchor and window the k best of the same label (or of all others) in a block."""
+    """Per anchor and window the k best of the same label (or of all others) among the blocks that a task reads.
+
+    Hits are cut to the k best whenever HELD of them have gathered, and given out when that is no longer enough.
+    """
 
     def search(batches):
+        held, size = [], 0
         for batch in batches:
             for number in range(batch.num_rows):
                 row = batch.slice(number, 1).to_pylist()[0]
@@ -386,14 +391,35 @@ def _searcher(k: int, same: bool):
                         # Ids ascend, so a stable order by falling score leaves ties to the smaller id.
                         best = inside[np.argsort(~line[inside], kind="stable")[:k]]
                         out += [(anchors[a], tag[a, w], ids[able[n]], line[n], row["block"]) for n in best]
-                table = np.array(out, np.int64).reshape(-1, 5)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ascontiguousarray(table[:, n])) for n in range(5)], names=["anchor_id", "tag", "vec_id", "score", "block"]
-                )
+                held.append(np.array(out, np.int64).reshape(-1, 5))
+                size += len(held[-1])
+                if size > HELD:
+                    held = [best_of(np.concatenate(held), k)]
+                    size = len(held[0])
+                    if size > HELD // 2:
+                        yield _hits(held[0])
+                        held, size = [], 0
+        if held:
+            yield _hits(best_of(np.concatenate(held), k))
 
     return search
 
 
+def best_of(hits: np.ndarray, k: int) -> np.ndarray:
+    """The k best rows (anchor, tag, vector, score, block) of each anchor and tag."""
+    hits = hits[np.lexsort((hits[:, 2], ~hits[:, 3], hits[:, 1], hits[:, 0]))]
+    new = np.ones(len(hits), bool)
+    new[1:] = (np.diff(hits[:, 0]) != 0) | (np.diff(hits[:, 1]) != 0)
+    first = np.flatnonzero(new)
+    return hits[np.arange(len(hits)) - np.repeat(first, np.diff(first, append=len(hits))) < k]
+
+
+def _hits(table: np.ndarray):
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.ascontiguousarray(table[:, n])) for n in range(5)], names=["anchor_id", "tag", "vec_id", "score", "block"]
+    )
+
+
 def _search(index: Index, asked: DataFrame, k: int, same: bool, own_leaf: bool = False) -> DataFrame:
     """anchor_id, tag and `best` (vec_id, score, best first) of each window that has any."""
     keys = index.keys()

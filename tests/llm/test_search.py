@@ -107,7 +107,7 @@ def found_in(frame, anchors, **built):
 @pytest.mark.parametrize("scale", [1.0, 3e5])
 def test_hard_negatives_equal_scoring_every_pair(rows, monkeypatch, scale):
     """Many leaves, blocks of few rows, a third of the rows one vector, ties, faulty rows, another width, products beyond 2**53."""
-    for name, value in (("BLOCK", 16), ("TILE", 3), ("FAN", 3), ("WAYS", 4)):
+    for name, value in (("BLOCK", 16), ("TILE", 3), ("FAN", 3), ("WAYS", 4), ("HELD", 40)):
         monkeypatch.setattr(hard_negatives, name, value)
     rng = np.random.default_rng(3)
     x = (rng.normal(size=(6, 5))[rng.integers(0, 6, 180)] + 0.3 * rng.normal(size=(180, 5))) * scale
