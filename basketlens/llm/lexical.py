@@ -300,7 +300,8 @@ def top_k(index: Index, items: DataFrame, k: int = 10) -> DataFrame:
     spread = max(1, blocks)
     key = F.pmod(F.xxhash64("block"), F.lit(spread)).alias("key")
     meets = dealt.select("items", F.explode(F.expr(f"sequence(0L, {spread - 1}L)")).alias("key"))
-    found = index.blocks.select("*", key).join(meets, "key").drop("key").mapInArrow(_searcher(k), FOUND)
+    # Tiles repeated for all keys are never sent to all tasks.
+    found = index.blocks.select("*", key).join(meets.hint("merge"), "key").drop("key").mapInArrow(_searcher(k), FOUND)
     return merged(found, blocks, k)
 
 
