@@ -1,6 +1,6 @@
 """Where a configuration is going: board migration, substitution, climbing items."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
@@ -9,6 +9,8 @@ from ..session import settled
 from .adoption import PLACE, WINDOWS
 from .scope import in_windows, windows
 
+SPLIT = ("target", "target_a", "target_b")
+
 
 def migration(read: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Copies of every item by board in both windows, and how far they crossed."""
@@ -46,9 +48,18 @@ def substitution(items: DataFrame, baskets: DataFrame, targets: DataFrame, cfg:
     two. Only the holding half is joined to its items; the other half is the
     population's tally less that, so the larger half never moves.
     """
+    halves, played, with_it = _halves(items, baskets, targets, cfg)
+    read = halves.join(played, list(PLACE)).join(with_it, [*PLACE, *SPLIT, "item"], "left")
+    return _traded(read)
+
+
+def _halves(
+    items: DataFrame, baskets: DataFrame, targets: DataFrame, cfg: EngineConfig
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sizes of each target's two halves, lists an item, and of these the holding half's."""
     read = windows(baskets, cfg)
     fresh = in_windows(items, read).where("fresh").select(*PLACE, "list_id", "item", "qty_a", "qty_b")
-    split = ["target", "target_a", "target_b"]
+    split = list(SPLIT)
     on_target = (
         (fresh.item == targets.target) & (fresh.qty_a == targets.target_a) & (fresh.qty_b == targets.target_b)
     )
@@ -70,17 +81,77 @@ def substitution(items: DataFrame, baskets: DataFrame, targets: DataFrame, cfg:
         .where("elsewhere_lists > 0")
     )
     played = fresh.groupBy(*PLACE, "item").agg(F.count("*").alias("lists"))
+    return halves, played, with_it
+
+
+def _traded(read: DataFrame, *more: str) -> DataFrame:
     there = F.col("lists") - F.coalesce("on_lists", F.lit(0))
+    return read.select(
+        *PLACE, *SPLIT, "item",
+        share(F.coalesce("on_lists", F.lit(0)), F.col("on_it_lists")).alias("on_it"),
+        share(there, F.col("elsewhere_lists")).alias("elsewhere"),
+        "on_it_lists", "elsewhere_lists", *more,
+    ).withColumn("difference", F.col("elsewhere") - F.col("on_it"))
+
+
+def substitution_ends(
+    items: DataFrame, baskets: DataFrame, targets: DataFrame, cfg: EngineConfig, ends: int
+) -> DataFrame:
+    """The `ends` items most and least overrepresented off each target, as
+    `series_ops.both_ends` of `substitution`, without making the table between.
+
+    An item that no holder registered stands at its share elsewhere, so among a
+    target's unseen items more lists stand higher, and equal lists go by name. Items
+    are ranked so once a population; a target's own items are sparse in that ranking,
+    and the first and last of the gaps between them are its unseen ends. Rows then grow
+    with pairs seen together and 2 * `ends` a target, not with targets times items.
+    Differences are compared at nine places, so a half is taken to have under 5e8 lists.
+    """
+    halves, played, with_it = _halves(items, baskets, targets, cfg)
+    held, key = "items", [*PLACE, *SPLIT]
+    place = Window.partitionBy(*PLACE)
+    ranked = settled(
+        played.withColumn("at", F.row_number().over(place.orderBy(F.desc("lists"), "item")))
+        .withColumn(held, F.count("*").over(place)),
+        "ranked-items",
+    )
+    halves = settled(halves, "halves")
+    seen = settled(with_it.join(ranked, [*PLACE, "item"]).join(halves, key), "seen-pairs")
+    # A row per segment and stratum: the configuration bounds the broadcast.
+    sizes = F.broadcast(ranked.select(*PLACE, held).distinct())
+    edges = halves.join(sizes, list(PLACE)).select(*key, held, F.explode(F.array(F.lit(0), (F.col(held) + 1).cast("int"))).alias("at"))
+    walk = Window.partitionBy(*key)
+    step = (
+        seen.select(*key, held, "at").unionByName(edges)
+        .withColumn("nth", F.row_number().over(walk.orderBy("at")))
+        .withColumn("past", F.lag("at").over(walk.orderBy("at")))
+        .withColumn("unseen", F.col(held) - F.count("*").over(walk) + 2)
+        .withColumn("gap", F.col("at") - F.col("past") - 1)
+        .where("gap > 0")
+        .withColumn("above", F.col("past") - F.col("nth") + 2)
+        .withColumn("below", F.col("unseen") - F.col("above") - F.col("gap"))
+    )
+    head = F.least(F.col("gap"), F.lit(ends) - F.col("above")).cast("int")
+    tail = F.least(F.col("gap"), F.lit(ends) - F.col("below")).cast("int")
+    none = F.array().cast("array<int>")
+    first = F.when(head > 0, F.sequence(F.col("past") + 1, F.col("past") + head)).otherwise(none)
+    last = F.when(tail > 0, F.sequence(F.col("at") - tail, F.col("at") - 1)).otherwise(none)
+    unseen = (
+        step.select(*key, F.explode(F.array_union(first, last)).alias("at"))
+        .join(ranked, [*PLACE, "at"]).join(halves, key).withColumn("on_lists", F.lit(0).cast("long"))
+    )
+    # Rounded before ordering, so equal differences tie and the name decides.
+    shown = F.round("difference", 9)
+    traded = _traded(seen.unionByName(unseen), held)
+    top = F.row_number().over(walk.orderBy(F.desc(shown), "item"))
+    bottom = F.row_number().over(walk.orderBy(shown, F.desc("item")))
     return (
-        halves.join(played, list(PLACE))
-        .join(with_it, [*PLACE, *split, "item"], "left")
-        .select(
-            *PLACE, *split, "item",
-            share(F.coalesce("on_lists", F.lit(0)), F.col("on_it_lists")).alias("on_it"),
-            share(there, F.col("elsewhere_lists")).alias("elsewhere"),
-            "on_it_lists", "elsewhere_lists",
-        )
-        .withColumn("difference", F.col("elsewhere") - F.col("on_it"))
+        traded.withColumn("top", top).withColumn("bottom", bottom)
+        .where(F.least("top", "bottom") <= ends)
+        .withColumn("from_top", F.when(F.col("top") <= ends, F.col("top")).otherwise(F.col(held) - F.col("bottom") + 1))
+        .withColumn("from_bottom", F.col(held) - F.col("from_top") + 1)
+        .withColumn("left_out", F.greatest(F.lit(0), F.col(held) - 2 * ends))
+        .drop("top", "bottom", held)
     )
 
 

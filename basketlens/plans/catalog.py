@@ -65,7 +65,16 @@ def reading(name: str):
 @reading("s1_event_scan")
 def _(r):
     return derived.payloads(r).select(
-        "site_name", "path", F.size("decklists").alias("lists")
+        "site_name", F.concat(derived.feed(F.col("path")), F.lit("/"), "site_name").alias("path"),
+        F.size("decklists").alias("lists"),
+    )
+
+
+@reading("s1_quarantine")
+def _(r):
+    broken = payload.quarantine(r.spark, r.landing, lines=True)
+    return broken.select(
+        derived.feed(F.col("path")).alias("feed"), F.regexp_extract("value", '"site_name":"([^"]+)"', 1).alias("site_name")
     )
 
 
@@ -182,25 +191,25 @@ def _(r):
 
 @reading("s15_match_records")
 def _(r):
-    read = matchlogs.records(derived.logs(r.table("conversations")))
+    read = matchlogs.records(r.logs)
     return read.select("match_id", "players", "winner", "score")
 
 
 @reading("s15_game_wins")
 def _(r):
-    return matchlogs.game_wins(matchlogs.events(derived.logs(r.table("conversations"))))
+    return matchlogs.game_wins(matchlogs.events(r.logs))
 
 
 @reading("s15_cards_seen")
 def _(r):
-    return matchlogs.cards_seen(matchlogs.events(derived.logs(r.table("conversations")))).select(
+    return matchlogs.cards_seen(matchlogs.events(r.logs)).select(
         "match_id", "player", "card"
     )
 
 
 @reading("s16_match_sink")
 def _(r):
-    read = matchlogs.records(derived.logs(r.table("conversations")))
+    read = matchlogs.records(r.logs)
     path = fresh_path(r.spark, "matches")
     matchlogs.write(read, path)
     return r.spark.read.schema(read.schema).json(path).select("match_id", "players", "game_wins", "winner", "score")
@@ -544,7 +553,7 @@ def _(r):
 
 @reading("a23_match_record")
 def _(r):
-    read = matchlogs.records(derived.logs(r.table("conversations")))
+    read = matchlogs.records(r.logs)
     return matchlogs.match_record(read, "user")
 
 
@@ -630,6 +639,11 @@ def _(r):
     return series_ops.both_ends(read)
 
 
+@reading("t3_nearest_ends")
+def _(r):
+    return movement.substitution_ends(r.items, r.baskets, asked_configurations(r.items), r.cfg, 3)
+
+
 @reading("t4_named_arrivals")
 def _(r):
     return ingest.named_arrivals(ingest.arrivals(_diff(r)[0], r.baskets))

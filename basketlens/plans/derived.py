@@ -4,9 +4,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from ..sources import payload, star
+from ..sources import matchlogs, payload, star
 from ..streaming import arrivals
 
+# Words of a turn: no blanks, no controls, and not the mark that frames an event.
+WORD = r"[^\x00-\x20@]+"
+
 
 def site_names(orders: DataFrame) -> DataFrame:
     """An event id per list in the published form: format, kind, day and number."""
@@ -17,6 +20,7 @@ def site_names(orders: DataFrame) -> DataFrame:
         F.col("o_orderkey").alias("list_id"),
         F.concat(F.lit("basket-"), kind, F.lit("-"), F.date_format("o_orderdate", "yyyy-MM-dd"),
                  F.col("o_orderkey").cast("string")).alias("site_name"),
+        F.col("o_orderstatus").alias("fill"),
     )
 
 
@@ -25,7 +29,7 @@ def with_status(run, *states: str) -> DataFrame:
 
 
 def documents(run) -> DataFrame:
-    """Payload texts `(path, value)`: one an order, each filed under two paths.
+    """Payload texts `(feed, fill, value)`: one an order, published on two feeds.
 
     Entries are counted before they are gathered, so one order's payload is as
     long as the vocabulary it holds and no longer.
@@ -69,18 +73,32 @@ def documents(run) -> DataFrame:
             F.when(F.col("event_class") == "1-URGENT", F.array(final)).alias("final_rank"),
         )
     )
-    filed = F.array(F.concat(F.lit("one/"), "site_name"), F.concat(F.lit("two/"), "site_name")).alias("paths")
     return (
         run.baskets.join(site_names(run.table("orders")), "list_id")
         .join(boards, "list_id", "left")
-        .select(text.alias("value"), filed)
-        .select(F.explode("paths").alias("path"), "value")
+        .select("fill", text.alias("value"))
+        .select(F.explode(F.array(F.lit("one"), F.lit("two"))).alias("feed"), "fill", "value")
     )
 
 
+def land_payloads(run) -> str:
+    """The folder where both feeds lie as files, a payload a line. On the second
+    feed, payloads of partly filled orders broke off half way."""
+    folder = fresh_path(run.spark, "landing")
+    broken = (F.col("feed") == "two") & (F.col("fill") == "P")
+    half = F.substring("value", F.lit(1), F.floor(F.length("value") / 2).cast("int"))
+    documents(run).select("feed", F.when(broken, half).otherwise(F.col("value")).alias("value")).write.partitionBy("feed").text(folder)
+    return folder
+
+
 def payloads(run) -> DataFrame:
-    """The first copy of every event's payload, parsed."""
-    return payload.parsed(payload.first_documents(documents(run)))
+    """The first copy of every event's payload, scanned from where they landed."""
+    return payload.first_copies(payload.scan(run.spark, run.landing, lines=True))
+
+
+def feed(path: F.Column) -> F.Column:
+    """The feed whose folder a file lies in."""
+    return F.regexp_extract(path, "/feed=([^/]+)/", 1)
 
 
 def snapshot_table(events: DataFrame) -> DataFrame:
@@ -115,13 +133,12 @@ def capture_texts(reference: DataFrame) -> DataFrame:
 
 
 def logs(conversations: DataFrame) -> DataFrame:
-    """Conversations as match logs, a part a turn: who spoke rolled, said a first
-    word as a card, and took a game with a long enough text."""
+    """Conversations as match logs, a part a turn: who spoke rolled, cast every
+    word of the text as a card, and took a game with a long enough text."""
     player = F.col("role")
-    first = F.regexp_extract("text", r"^([^\s@]+)", 1)
-    say = F.concat(F.lit("@P"), player, F.lit(" casts @["), first, F.lit("@:1,2:@]"))
+    cast = F.concat(F.lit("@P"), player, F.lit(" casts @[$0@:1,2:@]"))
     text = F.concat_ws(
-        " ", F.concat(F.lit("~@P"), player, F.lit(" rolled a 3")), F.when(first != "", say),
+        " ", F.concat(F.lit("~@P"), player, F.lit(" rolled a 3")), F.regexp_replace("text", F.lit(WORD), cast),
         F.when(F.length("text") > 200, F.concat(F.lit("@P"), player, F.lit(" wins the game"))),
         F.when(player == "system", F.concat(F.lit("@P"), player, F.lit(" wins the match 2-1"))),
     )
@@ -130,6 +147,13 @@ def logs(conversations: DataFrame) -> DataFrame:
     )
 
 
+def landed_logs(run) -> DataFrame:
+    """The logs landed as files and scanned from there."""
+    folder = fresh_path(run.spark, "logs")
+    matchlogs.land(logs(run.table("conversations")), folder)
+    return matchlogs.scan(run.spark, folder, "UTF-8")
+
+
 def streamed_arrivals(run) -> DataFrame:
     """Payload texts landed as files and drained through the arrivals stream."""
     root = fresh_path(run.spark, "arrivals")

@@ -53,6 +53,16 @@ class StarRun:
     def snapshots(self) -> DataFrame:
         return self.store.snapshots
 
+    @cached_property
+    def landing(self) -> str:
+        """Where the published payloads lie as files."""
+        return derived.land_payloads(self)
+
+    @cached_property
+    def logs(self) -> DataFrame:
+        """Match logs, scanned from their files."""
+        return derived.landed_logs(self)
+
     @cached_property
     def adoption(self) -> DataFrame:
         return settled(adoption.adoption(self.items, self.baskets, self.cfg), "adoption")

@@ -13,21 +13,39 @@ GAME_WIN = LOGIN + r" wins the game"
 MATCH_WIN = LOGIN + r" wins the match (\d+-\d+)"
 ROLL = LOGIN + r" rolled a \d"
 CAST = LOGIN + r" (?:casts|plays) @\[([^@]+)@:"
-FILE_NAME = r"Match_GameLog_([0-9a-f\-]+)\.dat$"
+FILE_NAME = r"Match_GameLog_([0-9a-f\-]+)\.dat(?:/piece=(\d+)/[^/]+)?$"
+# Turns a file of a log that is landed in pieces.
+PIECE_TURNS = 64
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Every log of a folder; latin-1 keeps each byte, so framing passes through."""
+def scan(spark: SparkSession, folder: str, charset: str = "ISO-8859-1") -> DataFrame:
+    """Every log of a folder, a file each or a folder of pieces; latin-1 keeps each
+    byte, so framing passes through."""
     return (
-        spark.read.format("binaryFile").option("pathGlobFilter", "Match_GameLog_*.dat").load(folder)
+        spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "{Match_GameLog_*.dat,part-*}").load(folder)
         .select(
-            F.regexp_extract("path", FILE_NAME, 1).alias("match_id"), F.lit(0).alias("part"),
-            F.decode("content", "ISO-8859-1").alias("value"),
+            F.regexp_extract("path", FILE_NAME, 1).alias("match_id"),
+            F.coalesce(F.nullif(F.regexp_extract("path", FILE_NAME, 2), F.lit("")).cast("long"), F.lit(0)).alias("part"),
+            F.decode("content", charset).alias("value"),
             F.col("modificationTime").alias("start"),
         )
+        .where("match_id != ''")
     )
 
 
+def land(logs: DataFrame, folder: str, turns: int = PIECE_TURNS) -> None:
+    """Logs `(match_id, part, value)` as files: a folder a log, a file for every
+    `turns` parts of it, so that no log is gathered whole however long it is."""
+    inside = F.array_sort(F.collect_list(F.struct("part", "value")))
+    pieces = logs.groupBy("match_id", F.floor(F.col("part") / turns).alias("piece")).agg(
+        F.array_join(F.transform(inside, lambda turn: turn["value"]), "\n").alias("value")
+    )
+    pieces.select(
+        "value", F.concat(F.lit("Match_GameLog_"), "match_id", F.lit(".dat")).alias("log"), "piece"
+    ).write.partitionBy("log", "piece").text(folder)
+
+
 def events(logs: DataFrame) -> DataFrame:
     """Every event of every log in order, one row each."""
     found = []

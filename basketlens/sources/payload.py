@@ -6,7 +6,7 @@ to its lists by login. The presence of standings tells them apart. Numbers
 arrive as text.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
@@ -27,27 +27,31 @@ PAYLOAD_SCHEMA = (
 DATED_SUFFIX = r"-\d{4}-\d{2}-\d{2}\d+$"
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Every cached payload with the file it came from. The schema is explicit:
-    inferred from leagues alone it would lose every ranked column."""
+def _reader(spark: SparkSession, lines: bool) -> DataFrameReader:
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "part-*" if lines else "*.json")
+
+
+def scan(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """Every cached payload with the file it came from: one a file, or one a line
+    of files that Spark wrote. The schema is explicit: inferred from leagues alone
+    it would lose every ranked column. A text that doesn't parse is a row of nulls
+    here, names no event and is left behind by `first_copies`; see `quarantine`."""
     return (
-        spark.read.schema(PAYLOAD_SCHEMA)
-        .option("multiLine", True)
-        .option("pathGlobFilter", "*.json")
-        .json(folder)
+        _reader(spark, lines).schema(PAYLOAD_SCHEMA).option("multiLine", not lines).json(folder)
         .withColumn("path", F.col("_metadata.file_path"))
     )
 
 
-def first_documents(documents: DataFrame) -> DataFrame:
-    """`first_copies` of JSON texts `(path, value)`, before they are parsed."""
-    named = documents.withColumn("site_name", F.get_json_object("value", "$.site_name"))
-    return first_copies(named).drop("site_name")
-
-
-def parsed(documents: DataFrame) -> DataFrame:
-    """Payloads held as JSON text, `(path, value)`, in the scanned shape."""
-    return documents.select("path", F.from_json("value", PAYLOAD_SCHEMA).alias("p")).select("p.*", "path")
+def quarantine(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """Payload texts that don't parse, `(path, value)`: empty ones, broken ones, and
+    those with a field of another kind than the schema's."""
+    told = F.from_json("value", f"{PAYLOAD_SCHEMA}, broken string", {"columnNameOfCorruptRecord": "broken"})
+    texts = _reader(spark, lines).option("wholetext", not lines).text(folder)
+    return (
+        texts.select(F.col("_metadata.file_path").alias("path"), "value", told.alias("told"))
+        .where("told IS NULL OR told.broken IS NOT NULL")
+        .select("path", "value")
+    )
 
 
 def first_copies(payloads: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ SELECT *, answerable_on > DATE '{C.deadline}' AS past_deadline, kind = 'hype' AN
   FROM c_ledger WHERE kind IN ('hype', 'breakthrough'))"""
 CONV_LOG = """
 SELECT CAST(conv_id AS VARCHAR) AS match_id, turn AS part, role AS player, length(text) > 200 AS won, role = 'system' AS told,
-  CASE WHEN regexp_extract(text, '^([^\\s@]+)', 1) <> '' THEN regexp_extract(text, '^([^\\s@]+)', 1) END AS card FROM conversations"""
+  regexp_extract_all(text, '[^\\x00-\\x20@]+') AS cards FROM conversations"""
 MATCHES = f"""
 SELECT m.match_id, p.players, coalesce(x.explicit, s.inferred) AS winner, x.score FROM (SELECT DISTINCT match_id FROM ({CONV_LOG})) m
 LEFT JOIN (SELECT match_id, string_agg(player, ',' ORDER BY part) AS players FROM (SELECT match_id, player, min(part) AS part FROM ({CONV_LOG}) GROUP BY 1, 2) GROUP BY 1) p USING (match_id)
@@ -123,10 +123,11 @@ ORACLES: dict[str, str] = {
     "s12_refreshed_adoption": query("SELECT * FROM n_adoption", READ),
     "s12_refreshed_sliding": query(re.sub(r"\bc_", "n_", TRAILING), "adoption"),
     "s13_typed_items": query("SELECT * FROM c_typed"),
+    "s1_quarantine": query(f"SELECT 'two' AS feed, {SITE} AS site_name FROM c_lists WHERE status = 'P'"),
     "s14_reference_captures": query("SELECT owner, version, replace(item, '#', '-') AS item, qty_a, qty_b, override, note FROM c_ref"),
     "s15_match_records": query(MATCHES),
     "s15_game_wins": query(f"SELECT match_id, player, count(*) AS wins FROM ({CONV_LOG}) WHERE won GROUP BY 1, 2"),
-    "s15_cards_seen": query(f"SELECT DISTINCT match_id, player, card FROM ({CONV_LOG}) WHERE card IS NOT NULL"),
+    "s15_cards_seen": query(f"SELECT DISTINCT match_id, player, unnest(cards) AS card FROM ({CONV_LOG})"),
     "s17_weekly_sink": query(DENSE, "avg_copies"),
     "s18_ledger_store": query(f"SELECT {FLAG_COLUMNS}, {CUT} AS first_seen FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY list_id) AS rn FROM k_flags) WHERE rn = 1", FLAG_F),
     "p1_cohort": query("SELECT list_id, cohort FROM c_lists"),
@@ -213,6 +214,8 @@ ORACLES: dict[str, str] = {
       FROM c_unplayed WHERE rank <= {C.unplayed_limit}""", "segment_playing"),
     "t3_substitution_ends": query(f"""SELECT *, 0 AS left_out FROM (SELECT *, row_number() OVER (PARTITION BY segment, stratum, target, target_a, target_b ORDER BY round(difference, 9) DESC, item) AS from_top,
         row_number() OVER (PARTITION BY segment, stratum, target, target_a, target_b ORDER BY round(difference, 9), item DESC) AS from_bottom FROM ({SUBS}))""", "on_it elsewhere difference"),
+    "t3_nearest_ends": query(f"""SELECT *, greatest(0, from_top + from_bottom - 7) AS left_out FROM (SELECT *, row_number() OVER (PARTITION BY segment, stratum, target, target_a, target_b ORDER BY round(difference, 9) DESC, item) AS from_top,
+        row_number() OVER (PARTITION BY segment, stratum, target, target_a, target_b ORDER BY round(difference, 9), item DESC) AS from_bottom FROM ({SUBS})) WHERE least(from_top, from_bottom) <= 3""", "on_it elsewhere difference"),
     "t4_named_arrivals": query(f"SELECT *, 0 AS and_more FROM ({ARRIVED})"),
     "t5_day_order": query("SELECT list_id, date, actor FROM c_lists WHERE member"),
     "d9_index_difference": query(f"SELECT *, 'added' AS change FROM {ADDED} UNION ALL SELECT *, 'withdrawn' FROM {GONE}"),

@@ -178,3 +178,39 @@ def test_the_arrivals_stream_drops_an_event_landing_twice(spark, folder, tmp_pat
     lists = arrivals.arriving_lists(arrivals.read_landing(spark, folder, files_per_trigger=1))
     landed = arrivals.land(lists, str(tmp_path / "out"), str(tmp_path / "state"))
     assert landed.count() == 6 == landed.select("event_id", "pos").distinct().count()
+
+
+def test_a_broken_payload_is_quarantined_and_the_next_file_of_its_event_stands(spark, tmp_path):
+    land(spark, tmp_path, league("2026-06-02", ("amy", ""), ("bea", "Marsh 17/4")))
+    (whole,) = tmp_path.glob("*.json")
+    (tmp_path / "a-first.json").write_text(whole.read_text()[:-20])
+    (tmp_path / "b-empty.json").write_text("")
+    assert {r.actor for r in payload.baskets(payload.first_copies(payload.scan(spark, str(tmp_path)))).collect()} == {"amy", "bea"}
+    held = {r.path.rsplit("/", 1)[-1]: r.value for r in payload.quarantine(spark, str(tmp_path)).collect()}
+    assert held.get("a-first.json") == whole.read_text()[:-20] and whole.name not in held
+
+
+def test_landed_lines_are_scanned_and_broken_lines_held_back(spark, tmp_path):
+    land(spark, tmp_path, league("2026-06-02", ("amy", "")))
+    (whole,) = tmp_path.glob("*.json")
+    line = json.dumps(json.loads(whole.read_text()))
+    feeds = str(tmp_path / "feeds")
+    spark.createDataFrame([("one", line[:-9]), ("two", line)], "feed string, value string").write.partitionBy("feed").text(feeds)
+    (row,) = payload.first_copies(payload.scan(spark, feeds, lines=True)).collect()
+    assert "/feed=two/" in row.path and len(row.decklists) == 1
+    (held,) = payload.quarantine(spark, feeds, lines=True).collect()
+    assert "/feed=one/" in held.path and held.value == line[:-9]
+
+
+@pytest.mark.parametrize("turns", [1, 3, 64])
+def test_a_log_landed_in_pieces_reads_as_one(spark, tmp_path, turns):
+    said = ["@Pmo rolled a 2.", "@Pned rolled a 5.", "@Pmo casts @[Ash@:1,1:@].", "@Pned wins the game.", "@Pmo wins the game.",
+            "@Pned casts @[Élan vital@:1,1:@].", "@Pned wins the game.", "@Pmo casts @[Ash@:1,2:@] @Pmo casts @[Elm@:1,1:@]."]
+    logs = spark.createDataFrame([("7", n, text) for n, text in enumerate(said)] + [("8", 0, "@Pmo rolled a 1.")], "match_id string, part long, value string")
+    matchlogs.land(logs, str(tmp_path / "logs"), turns)
+    scanned = matchlogs.scan(spark, str(tmp_path / "logs"), "UTF-8")
+    assert scanned.where("match_id = '7'").count() == -(-len(said) // turns)
+    read = {r.match_id: r for r in matchlogs.records(scanned).collect()}
+    assert (read["7"].players, read["7"].winner, read["7"].game_wins) == (["mo", "ned"], "ned", {"mo": 1, "ned": 2})
+    assert read["7"].cards == {"mo": ["Ash", "Elm"], "ned": ["Élan vital"]}
+    assert read["8"].players == ["mo"] and read["8"].winner is None

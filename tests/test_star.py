@@ -60,3 +60,17 @@ def test_readings_agree_with_sql(spark, name):
     fault, rows, _, _ = compare(spark, duck(SMALL), SMALL, name, entry.queries()[name], entry.oracle_sql()[name])
     assert not fault, fault
     assert rows or name in ("j8_followers",)
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="no driver tables here")
+@pytest.mark.parametrize("ends", [1, 4, 100])
+def test_ends_of_substitution_are_those_of_the_whole_table(spark, ends):
+    from basketlens.operators import movement, series_ops
+    from basketlens.plans.star import asked_configurations, run
+
+    r = run(spark, SMALL)
+    asked = asked_configurations(r.items)
+    whole = series_ops.both_ends(movement.substitution(r.items, r.baskets, asked, r.cfg), ends)
+    sparse = movement.substitution_ends(r.items, r.baskets, asked, r.cfg, ends)
+    assert set(whole.columns) == set(sparse.columns)
+    assert sorted(map(tuple, whole.select(*sparse.columns).collect())) == sorted(map(tuple, sparse.collect())) != []
