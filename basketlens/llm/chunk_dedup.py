@@ -125,7 +125,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
     The largest doc_id of each group of equal texts stays.
     """
-    listed = kept(recipes(docs), "recipes").withColumn("row", F.monotonically_increasing_id())
+    # The row number is written with the recipes: every later scan, in any split, sees the same one.
+    listed = kept(recipes(docs).withColumn("row", F.monotonically_increasing_id()), "recipes")
     clashes = clashing_chunks(docs)
     if not clashes.isEmpty():
         listed = _with_variants(docs, listed, clashes)
