@@ -6,7 +6,10 @@ through Spark's text sink, so the files land wherever Spark can write, under its
 commit protocol. The sink ends each value with a separator of one byte; a gzip
 member of less than 16 MB ends in a zero byte (the top of its length field), so
 that byte is the separator and the files hold the members and nothing else. A
-longer member is followed by an empty member, which ends in zero, too.
+longer member is followed by an empty member, which ends in zero, too. Members go to
+the sink in chunks of some CHUNK bytes, CHUNKS_PER_FILE a file, and a member of k
+chunks comes after k - 1 empty members, so a file has at most CHUNK * CHUNKS_PER_FILE
+bytes and one member more, however long the pages are.
 
 Reading: bytes of an archive pass in small pieces through incremental zlib
 decompression, members are taken one after another, the header is parsed, the
@@ -22,17 +25,19 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import fresh
+from .work import fresh, kept
 
 LEAST_REVISIT = 1000
 LEVEL = 4
 PIECE = 1 << 16
-ROWS_PER_FILE = 20_000
+CHUNK, CHUNKS_PER_FILE = 4 << 20, 64
+SALTS = 16
 
 READ = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, digest_ok boolean, payload binary"
 
@@ -101,11 +106,23 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-def _written(batches):
+def _written(batches, chunk):
+    def out(values):
+        return pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], names=["value"])
+
+    held, size, empty = [], 0, member(b"")[:-1]
     for batch in batches:
-        rows = zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)
-        packed = [member(record(page, url, payload, first, revisit))[:-1] for page, url, payload, first, revisit in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["value"])
+        for page, url, payload, first, revisit in zip(*(batch.column(k) for k in range(5)), strict=True):
+            data = member(record(page.as_py(), url.as_py(), payload.as_py(), first.as_py(), revisit.as_py()))
+            if held and size + len(data) > chunk:
+                yield out([b"".join(held)[:-1]])
+                held, size = [], 0
+            if len(data) > chunk:
+                yield out([empty] * ((len(data) - 1) // chunk))
+            held.append(data)
+            size += len(data)
+    if held:
+        yield out([b"".join(held)[:-1]])
 
 
 def _page(name: str | None) -> int | None:
@@ -143,7 +160,9 @@ def _batch(rows):
 def with_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, first, revisit: `first` is the largest page_id of the equal payloads of at least LEAST_REVISIT bytes.
 
-    Payloads are equal if SHA-256 and length agree. Counting sees digests only; payloads aren't gathered by digest.
+    Payloads are equal if SHA-256 and length agree. Counting sees digests only. A repeated digest's row is laid out
+    under SALTS salts, so the pages of one payload are dealt out over as many tasks; pages too short to repeat each
+    have a key of their own.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(
@@ -152,19 +171,24 @@ def with_revisits(pages: DataFrame) -> DataFrame:
         payload.alias("payload"),
         F.when(F.length(payload) >= LEAST_REVISIT, F.sha2(payload, 256)).alias("digest"),
     )
-    repeated = (
+    repeated = kept(
         rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1 AND first IS NOT NULL").select(F.col("digest").alias("same"), "first")
+        .filter("n > 1 AND first IS NOT NULL").select(F.col("digest").alias("same"), "first"),
+        "repeated-payloads",
     )
-    joined = rows.join(repeated, F.col("digest") == F.col("same"), "left")
+    salted = repeated.select("same", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("dealt"))
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    short = F.concat(F.lit("short:"), F.xxhash64("page_id", "url").cast("string"))
+    keyed = rows.select("page_id", "url", "payload", F.coalesce("digest", short).alias("digest"), salt.alias("salt"))
+    joined = keyed.join(salted, (F.col("digest") == F.col("same")) & (F.col("salt") == F.col("dealt")), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", "first", revisit.alias("revisit"))
 
 
-def write(pages: DataFrame, path: str) -> None:
-    """WARC files under `path`, as many as the plan has tasks or more."""
-    packed = with_revisits(pages).mapInArrow(_written, "value binary")
-    packed.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", ROWS_PER_FILE).text(path)
+def write(pages: DataFrame, path: str, chunk: int = CHUNK, chunks: int = CHUNKS_PER_FILE) -> None:
+    """WARC files under `path`, as many as the plan has tasks or more, of at most `chunks` chunks of some `chunk` bytes and one member more."""
+    packed = with_revisits(pages).mapInArrow(partial(_written, chunk=chunk), "value binary")
+    packed.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", chunks).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -9,6 +9,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from basketlens.llm import exact_topk, license_scan, licenses, mixing, warc
 
 # Mixing
@@ -157,6 +159,33 @@ def test_archives_give_back_what_was_written(rows, spark, tmp_path):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_files_are_cut_by_bytes_however_long_the_pages(rows, spark, tmp_path):
+    rng = random.Random(4)
+    data = [(k, "u", "".join(rng.choices("abcdefghijklmnop", k=size))) for k, size in enumerate([50, 30_000, 100, 0, 90_000, 2_000, 60_000] * 6)]
+    warc.write(rows(data, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"), chunk=8_000, chunks=5)
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    longest = max(len(warc.member(warc.record(k, "u", h.encode(), None, False))) for k, _, h in data)
+    assert len(sizes) > 6 and longest > 5 * 8_000 and max(sizes) <= 5 * 8_000 + longest
+    found = warc.read(spark, str(tmp_path / "w")).collect()
+    assert {r.page_id: r.payload.decode() for r in found if r.payload is not None} == {k: h for k, _, h in data} and len(found) == len(data)
+
+
+def test_short_pages_and_copies_are_dealt_out(rows, spark):
+    data = [(k, "u", "short") for k in range(2000)] + [(k, "u", "copy" * 400) for k in range(2000, 4000)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = warc.with_revisits(rows(data, "page_id long, url string, html string"))
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 4000 and len(sizes) == 8 and max(sizes) < 1300
+        assert joined.filter("revisit").count() == 1999 and joined.filter("first = 3999").count() == 2000
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_long_members_end_in_the_separator_and_damage_is_found():
     record = warc.record(1, "u", b"q" * (17 << 20), None, False)
     packed = warc.member(record)
