@@ -169,7 +169,8 @@ class Words:
         self.of_word = np.minimum((HEAD_CLASSES * (weight - np.sqrt(counts)) / max(weight[-1] if len(weight) else 0, 1)).astype(np.int64), HEAD_CLASSES - 1)
         _, self.of_word = np.unique(self.of_word, return_inverse=True)
         self.heads = int(self.of_word.max(initial=-1)) + 1
-        self.bounds = np.searchsorted(self.of_word, np.arange(self.heads + 1))
+        bounds = np.searchsorted(self.of_word, np.arange(self.heads + 1)).tolist()
+        self.spans = bounds[:-1], bounds[1:]  # where each class of top words begins and ends
         sizes = np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
         left_types = types - np.bincount(sizes, minlength=BINS)
         left_mass = mass - np.bincount(sizes, counts, BINS).astype(np.int64)
@@ -207,11 +208,15 @@ class Words:
         return number.astype(np.int32), share
 
 
-def exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logits shifted so that none overflows, and their exponentials; rows are shifted alike unless they lie far apart."""
-    high = logits.max(initial=0)
-    logits -= high if high - logits.min(initial=0) < 60 else logits.max(axis=1, keepdims=True)
-    return logits, np.exp(logits)
+SAFE = 60  # exponentials of logits between -SAFE and SAFE need no shift
+
+
+def exponentials(logits: np.ndarray, furthest: float, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of logits and their sums; rows are shifted in place where a logit could lie further from 0 than SAFE."""
+    if furthest > SAFE:
+        logits -= logits.max(axis=1, keepdims=True)
+    powers = np.exp(logits)
+    return powers, powers @ ones[: powers.shape[1]]
 
 
 class Network:
@@ -240,80 +245,114 @@ class Network:
         return self
 
     def steps(self, given: np.ndarray, fresh: np.ndarray, state: np.ndarray, trace: list | None = None) -> np.ndarray:
-        """States after each of some steps; given: previous words (steps, lanes), fresh: 0 where a document starts, else 1."""
-        h, gates, inner = HIDDEN, self.p["gates"], self.p["inner"]
-        out = np.empty((len(given), given.shape[1], h), np.float32)
-        for t in range(len(given)):
-            before = state * fresh[t][:, None]
-            x, u = gates[given[t]], before @ inner
-            rz = x[:, : 2 * h] + u[:, : 2 * h]
-            rz *= 0.5
+        """States (steps, cells, lanes) after each of some steps; given: previous words (steps, lanes), fresh: 0 where a document starts, else 1.
+
+        Lanes lie side by side in memory, so that each gate of all lanes is one run of numbers.
+        """
+        h = HIDDEN
+        half = np.repeat(np.array([0.5, 0.5, 1], np.float32), h)[:, None]  # a logistic gate is half a hyperbolic tangent of half its input
+        inner = self.p["inner"].T * half
+        gates = self.p["gates"].take(given, axis=0).transpose(0, 2, 1) * half
+        gates = np.ascontiguousarray(gates)
+        count, lanes = given.shape
+        before, out = (np.empty((count, h, lanes), gates.dtype) for _ in range(2))
+        u = np.empty(gates.shape, gates.dtype)
+        spare = np.empty((h, lanes), gates.dtype)
+        for t in range(count):
+            np.multiply(state, fresh[t], out=before[t])
+            np.matmul(inner, before[t], out=u[t])
+            rz, n = gates[t, : 2 * h], gates[t, 2 * h :]
+            rz += u[t, : 2 * h]
             np.tanh(rz, out=rz)
-            rz += 1
             rz *= 0.5
-            r, z = rz[:, :h], rz[:, h:]
-            n = np.tanh(x[:, 2 * h :] + r * u[:, 2 * h :])
-            state = n + z * (before - n)
-            out[t] = state
-            if trace is not None:
-                trace.append((before, r, z, n, u[:, 2 * h :]))
+            rz += 0.5
+            np.multiply(rz[:h], u[t, 2 * h :], out=spare)
+            n += spare
+            np.tanh(n, out=n)
+            state = out[t]
+            np.subtract(before[t], n, out=state)
+            state *= rz[h:]
+            state += n
+        if trace is not None:
+            trace += [before, gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :], u[:, 2 * h :]]
         return out
 
     def output(self, states: np.ndarray, word: np.ndarray, group: np.ndarray, grads: dict | None = None):
-        """Log-probability of class and word of each state; with grads, adds gradients and returns those of the states."""
-        logits = states @ self.p["classes"] + self.p["class_bias"]
-        logits, powers = exponentials(logits)
-        rows = np.arange(len(states))
-        total = powers.sum(axis=1)
-        score = logits[rows, group].astype(np.float64) - np.log(total)
+        """Log-probability of class and word of each state; with grads (zeros at first), fills in gradients and returns those of the states."""
+        # States of a class side by side, so that each class is one slice; a last cell of 1 takes the biases.
+        h, order = HIDDEN, np.argsort(group.astype(np.int16), kind="stable")
+        word, group = word.take(order), group.take(order)
+        cells = np.ones((len(states), h + 1), states.dtype)
+        cells[:, :h] = states.take(order, axis=0)
+        classes, members = (np.vstack([self.p[w], self.p[b]]) for w, b in (("classes", "class_bias"), ("members", "member_bias")))
+        far, further = (np.abs(w).sum(axis=0) for w in (classes, members))  # cells lie between -1 and 1
+        ones, lines = np.ones(max(classes.shape[1], members.shape[1]), states.dtype), np.arange(len(states))
+        logits = cells @ classes
+        powers, total = exponentials(logits, far.max(), ones)
+        picked = lines * logits.shape[1] + group
+        score, totals = logits.ravel().take(picked).astype(np.float64), total.astype(np.float64)
         back = None
         if grads is not None:
             powers /= total[:, None]
-            powers[rows, group] -= 1
-            grads["classes"] += states.T @ powers
-            grads["class_bias"] += powers.sum(axis=0)
-            back = powers @ self.p["classes"].T
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(self.words.heads + 1))
-        for c in range(self.words.heads):
-            mine, low, high = order[ends[c] : ends[c + 1]], self.words.bounds[c], self.words.bounds[c + 1]
-            if not len(mine) or high - low < 2:
+            powers.ravel()[picked] -= 1
+            found = cells.T @ powers
+            grads["classes"] += found[:h]
+            grads["class_bias"] += found[h]
+            back = powers @ classes[:h].T
+        ends = np.searchsorted(group, np.arange(self.words.heads + 1))
+        for low, high, first, last in zip(ends[:-1].tolist(), ends[1:].tolist(), *self.words.spans, strict=True):
+            if low == high or last - first < 2:
                 continue
-            weights = self.p["members"][:, low:high]
-            inside = states[mine] @ weights + self.p["member_bias"][low:high]
-            inside, powers = exponentials(inside)
-            lines, column = np.arange(len(mine)), word[mine] - low
-            total = powers.sum(axis=1)
-            score[mine] += inside[lines, column].astype(np.float64) - np.log(total)
+            weights, inner = members[:, first:last], cells[low:high]
+            logits = inner @ weights
+            powers, total = exponentials(logits, further[first:last].max(), ones)
+            picked = lines[: high - low] * (last - first) + (word[low:high] - first)
+            score[low:high] += logits.ravel().take(picked)
+            totals[low:high] *= total
             if grads is not None:
                 powers /= total[:, None]
-                powers[lines, column] -= 1
-                grads["members"][:, low:high] += states[mine].T @ powers
-                grads["member_bias"][low:high] += powers.sum(axis=0)
-                back[mine] += powers @ weights.T
-        return score, back
+                powers.ravel()[picked] -= 1
+                found = inner.T @ powers
+                grads["members"][:, first:last] = found[:h]
+                grads["member_bias"][first:last] = found[h]
+                back[low:high] += powers @ weights[:h].T
+        score -= np.log(totals)
+        scores = np.empty_like(score)
+        scores[order] = score
+        if back is not None:
+            there = np.empty_like(back)
+            there[order] = back
+            back = there
+        return scores, back
 
     def backward(self, given, fresh, trace, back, grads) -> None:
-        """Truncated backpropagation through the steps of one window."""
+        """Truncated backpropagation through the steps of one window; back: gradients of the states (steps, cells, lanes)."""
         h, inner = HIDDEN, self.p["inner"]
+        before, r, z, n, u = trace
+        # What a state's gradient is multiplied by on its way into each gate, for all steps at once.
+        to_n = (1 - z) * (1 - n * n)
+        to_r = u * r * (1 - r)
+        to_z = (before - n) * z * (1 - z)
         down = np.zeros_like(back[0])
-        d_x, d_u = (np.empty((*given.shape, 3 * h), np.float32) for _ in range(2))
-        for t in range(len(trace) - 1, -1, -1):
-            before, r, z, n, u = trace[t]
-            down = down + back[t]
-            d_n = down * (1 - z) * (1 - n * n)
-            d_x[t, :, :h] = d_n * u * r * (1 - r)
-            d_x[t, :, h : 2 * h] = down * (before - n) * z * (1 - z)
-            d_x[t, :, 2 * h :] = d_n
-            d_u[t, :, : 2 * h] = d_x[t, :, : 2 * h]
-            d_u[t, :, 2 * h :] = d_n * r
-            down = (down * z + d_u[t] @ inner.T) * fresh[t][:, None]
-        grads["inner"] += np.concatenate([step[0] for step in trace]).T @ d_u.reshape(-1, 3 * h)
+        d_n = np.empty(back.shape, back.dtype)
+        d_u = np.empty((len(back), 3 * h, back.shape[2]), back.dtype)
+        for t in range(len(back) - 1, -1, -1):
+            down += back[t]
+            np.multiply(down, to_n[t], out=d_n[t])
+            np.multiply(d_n[t], to_r[t], out=d_u[t, :h])
+            np.multiply(down, to_z[t], out=d_u[t, h : 2 * h])
+            np.multiply(d_n[t], r[t], out=d_u[t, 2 * h :])
+            down *= z[t]
+            down += inner @ d_u[t]
+            down *= fresh[t]
+        grads["inner"] += np.matmul(before, d_u.transpose(0, 2, 1)).sum(axis=0)
+        d_u[:, 2 * h :] = d_n  # of the input from here on: the reset gate doesn't weigh it
         # Each word's rows side by side, so that they are added up in one pass.
         words = given.ravel()
-        order = np.argsort(words, kind="stable")
+        order = np.argsort(words.astype(np.uint16), kind="stable")
         heads = np.flatnonzero(np.diff(words[order], prepend=-1))
-        grads["gates"][words[order[heads]]] += np.add.reduceat(d_x.reshape(-1, 3 * h)[order], heads)
+        rows = d_u.transpose(0, 2, 1).reshape(-1, 3 * h).take(order, axis=0)
+        grads["gates"][words[order[heads]]] += np.add.reduceat(rows, heads)
 
 
 class Adam:
@@ -326,10 +365,19 @@ class Adam:
         self.step += 1
         rate = weight * LEARNING_RATE * min(1.0, math.sqrt(COOLING / self.step)) * math.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
         for name, grad in grads.items():
+            first, second = self.first[name], self.second[name]
             np.clip(grad, -1, 1, out=grad)
-            self.first[name] += 0.1 * (grad - self.first[name])
-            self.second[name] += 0.01 * (grad * grad - self.second[name])
-            self.network.p[name] -= rate * self.first[name] / (np.sqrt(self.second[name]) + 1e-8)
+            first *= 0.9
+            first += np.float32(0.1) * grad
+            second *= 0.99
+            grad *= grad
+            grad *= 0.01
+            second += grad
+            np.sqrt(second, out=grad)
+            grad += 1e-8
+            np.divide(first, grad, out=grad)
+            grad *= rate
+            self.network.p[name] -= grad
 
 
 def lanes(sizes: np.ndarray, most: int) -> list[list[int]]:
@@ -372,21 +420,23 @@ def run(network: Network, number, sizes, chosen, adam: Adam | None = None, strid
         real = at >= 0
         given = np.where(begins | (at <= 0), end, number[at - 1])
         fresh = np.where(begins, 0, 1).astype(np.float32)
-        state = np.zeros((at.shape[1], HIDDEN), np.float32) if state is None else state[: at.shape[1]]
+        state = np.zeros((HIDDEN, at.shape[1]), np.float32) if state is None else state[:, : at.shape[1]]
         learn = adam is not None and nth % stride == 0
         nth += 1
         trace = [] if learn else None
         states = network.steps(given, fresh, state, trace)
         state = states[-1]
         if adam is None or learn:
-            flat, picks = states.reshape(-1, HIDDEN)[real.ravel()], at[real]
+            used = real.ravel()
+            flat, picks = states.transpose(0, 2, 1).reshape(-1, HIDDEN)[used], at[real]
             grads = {k: np.zeros_like(v) for k, v in network.p.items()} if learn else None
             score, back = network.output(flat, number[picks], group[picks], grads)
             out[picks] = score
             if learn:
-                full = np.zeros((real.size, HIDDEN), np.float32)
-                full[real.ravel()] = back
-                network.backward(given, fresh, trace, full.reshape(*real.shape, HIDDEN), grads)
+                full = np.zeros((real.size, HIDDEN), back.dtype)
+                full[used] = back
+                full = np.ascontiguousarray(full.reshape(*real.shape, HIDDEN).transpose(0, 2, 1))
+                network.backward(given, fresh, trace, full, grads)
                 for grad in grads.values():
                     grad /= max(1, len(picks)) ** 0.5
                 adam.move(grads, len(picks) / (WINDOW * TRAIN_LANES))
