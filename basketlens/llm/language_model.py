@@ -1,12 +1,14 @@
 """Language model scores: a gated recurrent network with class-factored output, in numpy inside Spark tasks.
 
 Data flow. Documents are packed, in the order they are read, into blocks of about
-BLOCK_BYTES of text, written once. Each block sends the hashes of its distinct words
-with their training counts to buckets of the hash space, where counts of all blocks
-are added up; each block gets back the global counts of just its own words. So no
-task and no broadcast ever holds the whole vocabulary, and a word in every document
-costs one entry a block. The TOP most frequent words alone (a fixed number) come to
-the driver and make the network's vocabulary.
+BLOCK_BYTES of text, written once. The hashes of a block's distinct words with their
+training counts climb a tree: some FAN blocks share a node, some FAN nodes the node
+above, and each node adds its children up in buckets of the hash space, whose number
+grows with the text below it. Global counts come down the same tree, so each block
+gets those of just its own words. So no task and no broadcast ever holds the whole
+vocabulary, a word in every document costs one entry a child wherever it is added up,
+and each level has as many rows as any other. The TOP most frequent words alone (a
+fixed number) come to the driver and make the network's vocabulary.
 
 Network. Input: the previous word, as one of TOP words or as the class of a rarer one;
 a gated recurrent unit of HIDDEN cells, whose state is carried across windows of WINDOW
@@ -47,12 +49,14 @@ WINDOW, LANES, TRAIN_LANES, STRIDE, ROUNDS = 32, 384, 128, 1, 3
 TOKENS = 1_300_000  # that pass through the network at a time, so that a long text's lanes aren't the only ones
 LEARNING_RATE, COOLING = 0.05, 50
 TREE = 16
+FAN = 64
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 END = b"\n"  # no word holds white space
 
 BLOCKS = "doc_ids array<long>, held array<boolean>, texts array<binary>, n_bytes long"
-SENT = "bucket long, block long, n long, hashes binary, counts binary"
-SUMS = "bucket long, block long, counts binary, tokens long, types long, tops binary, bins binary"
+SENT = "child long, bucket long, hashes binary, counts binary"
+SUMS = "node long, bucket long, hashes binary, counts binary"
+TOTALS = f"{SENT}, tokens long, types long, tops binary, bins binary"
 NUMBERED = "block long, doc_ids array<long>, held array<boolean>, sizes array<long>, known array<long>, base array<double>, share array<double>, numbers binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -111,51 +115,145 @@ def _by_bucket(hashes: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]
     return [(int(to[part[0]]), part) for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(part)]
 
 
+def _blob(counts: np.ndarray) -> bytes:
+    """Counts in 4 bytes each where they fit, else 8."""
+    counts = counts.astype(np.uint32 if counts.max(initial=0) < 2**32 else np.int64)
+    return counts.dtype.str.encode() + counts.tobytes()
+
+
+def _counts(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob[3:], blob[:3].decode())
+
+
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["child", "bucket", "hashes", "counts"])
+
+
 def _send(buckets: int):
+    """A block's words, to the buckets of its node."""
+
     def send(batches):
         for batch in batches:
             for block, held, texts in zip(*(batch.column(k) for k in range(3)), strict=True):
                 index, flat, sizes = tokens(texts.as_py())
                 train = np.repeat(~np.array(held.as_py(), bool), sizes)
-                counts = np.bincount(flat[train], minlength=len(index)).astype(np.uint32)
+                counts = np.bincount(flat[train], minlength=len(index))
                 hashes = index.hashes()
-                rows = [(to, block.as_py(), len(at), hashes[at].tobytes(), counts[at].tobytes()) for to, at in _by_bucket(hashes, buckets)]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "block", "n", "hashes", "counts"]
-                )
+                yield _sent([(block.as_py(), to, hashes[at].tobytes(), _blob(counts[at])) for to, at in _by_bucket(hashes, buckets)])
 
     return send
 
 
+def _climb(buckets: int):
+    """A node's sums, to the finer buckets of the node above."""
+
+    def climb(batches):
+        for batch in batches:
+            for node, hashes, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                hashes, counts = np.frombuffer(hashes, np.uint64), _counts(counts)
+                yield _sent([(node, to, hashes[at].tobytes(), _blob(counts[at])) for to, at in _by_bucket(hashes, buckets)])
+
+    return climb
+
+
 BINS = 64
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    """Global counts of one bucket's words, returned to each block; on the first row the bucket's totals."""
-    sizes = table["n"].to_numpy()
+def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in ascending order, the sums of their counts, and the place of each given hash among them."""
     hashes = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint64)
-    own = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint32)
+    own = np.concatenate([_counts(blob) for blob in table["counts"].to_pylist()])
     names, back = np.unique(hashes, return_inverse=True)
-    total = np.bincount(back, own, len(names)).astype(np.int64)
-    seen = total > 0
-    answer = np.minimum(total[back], 2**32 - 1).astype(np.uint32) if total.max(initial=0) < 2**32 else total[back]
-    ends = np.cumsum(sizes)
-    kind = answer.dtype.str.encode()
-    blobs = [kind + answer[end - size : end].tobytes() for size, end in zip(sizes, ends, strict=True)]
-    top = np.flatnonzero(total >= 2)
-    top = top[np.lexsort((names[top], -total[top]))][:TOP]
-    size_class = np.floor(np.log2(np.maximum(total[seen], 1))).astype(np.int64)
-    types, mass = np.bincount(size_class, minlength=BINS), np.bincount(size_class, total[seen], BINS).astype(np.int64)
-    first = [True] + [False] * (len(sizes) - 1)
-    rest = (np.stack([names[top], total[top].astype(np.uint64)]).tobytes(), np.stack([types, mass]).astype(np.int64).tobytes())
-    return pa.table(
-        {
-            "bucket": table["bucket"], "block": table["block"], "counts": pa.array(blobs, pa.binary()),
-            "tokens": pa.array([int(total.sum()) if f else 0 for f in first], pa.int64()), "types": pa.array([int(seen.sum()) if f else 0 for f in first], pa.int64()),
-            "tops": pa.array([rest[0] if f else None for f in first], pa.binary()), "bins": pa.array([rest[1] if f else None for f in first], pa.binary()),
-        }
-    )
+    return names, np.bincount(back, own, len(names)).astype(np.int64), back
+
+
+def _merge(key: tuple, table: pa.Table) -> pa.Table:
+    names, total, _ = _summed(table)
+    node, bucket = ([k.as_py()] for k in key)
+    return pa.table({"node": node, "bucket": bucket, "hashes": pa.array([names.tobytes()], pa.binary()), "counts": pa.array([_blob(total)], pa.binary())})
+
+
+def _cut(answer: np.ndarray, hashes: pa.ChunkedArray) -> pa.Array:
+    """Answers to the hashes of several rows, a value a row."""
+    ends = np.cumsum([len(h) // 8 for h in hashes.to_pylist()])
+    return pa.array([_blob(part) for part in np.split(answer, ends[:-1])], pa.binary())
+
+
+def _add_up(keyed: bool):
+    """The top of the tree: global counts of one bucket's words, returned to each child; on the first row the bucket's totals.
+
+    Blocks know the order of their words, so the hashes go back only to nodes (keyed).
+    """
+
+    def add_up(table: pa.Table) -> pa.Table:
+        names, total, back = _summed(table)
+        seen = total > 0
+        top = np.flatnonzero(total >= 2)
+        top = top[np.lexsort((names[top], -total[top]))][:TOP]
+        size_class = np.floor(np.log2(np.maximum(total[seen], 1))).astype(np.int64)
+        types, mass = np.bincount(size_class, minlength=BINS), np.bincount(size_class, total[seen], BINS).astype(np.int64)
+        first = [True] + [False] * (table.num_rows - 1)
+        rest = (np.stack([names[top], total[top].astype(np.uint64)]).tobytes(), np.stack([types, mass]).astype(np.int64).tobytes())
+        return pa.table(
+            {
+                "child": table["child"], "bucket": table["bucket"],
+                "hashes": table["hashes"] if keyed else pa.nulls(table.num_rows, pa.binary()), "counts": _cut(total[back], table["hashes"]),
+                "tokens": pa.array([int(total.sum()) if f else 0 for f in first], pa.int64()), "types": pa.array([int(seen.sum()) if f else 0 for f in first], pa.int64()),
+                "tops": pa.array([rest[0] if f else None for f in first], pa.binary()), "bins": pa.array([rest[1] if f else None for f in first], pa.binary()),
+            }
+        )
+
+    return add_up
+
+
+def _answer(keyed: bool):
+    """What a node was told, handed on to each of its children."""
+
+    def answer(asked: pa.Table, told: pa.Table) -> pa.Table:
+        names = np.frombuffer(b"".join(told["hashes"].to_pylist()), np.uint64)
+        counts = np.concatenate([_counts(blob) for blob in told["counts"].to_pylist()])
+        order = np.argsort(names)
+        at = np.searchsorted(names, np.frombuffer(b"".join(asked["hashes"].to_pylist()), np.uint64), sorter=order)
+        return pa.table(
+            {
+                "child": asked["child"], "bucket": asked["bucket"],
+                "hashes": asked["hashes"] if keyed else pa.nulls(asked.num_rows, pa.binary()), "counts": _cut(counts[order[at]], asked["hashes"]),
+            }
+        )
+
+    return answer
+
+
+def tree(blocks: int, size: int) -> list[tuple[int, int]]:
+    """Nodes and buckets of each level, from the one above the blocks to the one of a single node.
+
+    Buckets are powers of two, so a bucket is a union of buckets of the level above;
+    each stands for about BUCKET_BYTES of the text below its node.
+    """
+    levels = []
+    while not levels or blocks > 1:
+        blocks = max(1, -(-blocks // FAN))
+        levels.append((blocks, 1 << max(0, math.ceil(math.log2(max(1, size) / blocks / BUCKET_BYTES)))))
+    return levels
+
+
+def counted(blocks: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Of `blocks` (block, held, texts, n_bytes): the answers to blocks (block, bucket, counts), the top's table with the corpus totals, a block's buckets."""
+    n, size = blocks.agg(F.count(F.lit(1)), F.sum("n_bytes")).first()
+    levels = tree(n, size or 0)
+    keys = ["node", "bucket"]
+    sent = [blocks.select("block", "held", "texts").mapInArrow(_send(levels[0][1]), SENT).withColumn("node", F.pmod(F.xxhash64("child"), F.lit(levels[0][0])))]
+    for nodes, buckets in levels[1:]:
+        sent[-1] = kept(sent[-1], "lm-sent")  # read on the way up and on the way down
+        sums = sent[-1].groupBy(*keys).applyInArrow(_merge, SUMS)
+        sent.append(sums.select("node", "hashes", "counts").mapInArrow(_climb(buckets), SENT).withColumn("node", F.pmod("child", F.lit(nodes))))
+    top = kept(sent[-1].groupBy(*keys).applyInArrow(_add_up(len(levels) > 1), TOTALS), "lm-counts")
+    told = top
+    for level in range(len(levels) - 2, -1, -1):
+        given = told.select(F.col("child").alias("node"), F.pmod("bucket", F.lit(levels[level][1])).alias("bucket"), "hashes", "counts")
+        told = sent[level].groupBy(*keys).cogroup(given.groupBy(*keys)).applyInArrow(_answer(level > 0), SENT)
+    return told.select(F.col("child").alias("block"), "bucket", "counts"), top, levels[0][1]
 
 
 class Words:
@@ -453,7 +551,7 @@ def _number(vocabulary: Words, buckets: int):
                 hashes, counts = index.hashes(), np.zeros(len(index), np.int64)
                 told = {a["bucket"]: a["counts"] for a in answers.as_py()}
                 for to, at in _by_bucket(hashes, buckets):
-                    counts[at] = np.frombuffer(told[to][3:], told[to][:3].decode())
+                    counts[at] = _counts(told[to])
                 numbers, share = vocabulary.places(hashes, counts)
                 base = np.log10((counts + 1) / (vocabulary.n + vocabulary.v + 1))
                 start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -548,12 +646,10 @@ def scored(docs: DataFrame, held: Column | None = None, stride: int = STRIDE) ->
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), text.alias("text"))
     blocks = kept(given.mapInArrow(_block, BLOCKS).withColumn("block", F.monotonically_increasing_id()), "lm-blocks")
-    buckets = max(4, -(-(blocks.agg(F.sum("n_bytes")).first()[0] or 0) // BUCKET_BYTES))
-    sent = blocks.select("block", "held", "texts").mapInArrow(_send(buckets), SENT)
-    sums = kept(sent.groupBy("bucket").applyInArrow(_add_up, SUMS), "lm-counts")
-    n, v = (x or 0 for x in sums.agg(F.sum("tokens"), F.sum("types")).first())
-    vocabulary = Words(*_frequent(sums), n, v)
-    answers = sums.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts")).alias("answers"))
+    told, top, buckets = counted(blocks)
+    n, v = (x or 0 for x in top.agg(F.sum("tokens"), F.sum("types")).first())
+    vocabulary = Words(*_frequent(top), n, v)
+    answers = told.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts")).alias("answers"))
     # Texts meet their counts once; training and scoring then read two bytes a token.
     read = blocks.join(answers, "block").select("block", "doc_ids", "held", "texts", "answers")
     numbered = kept(read.mapInArrow(_number(vocabulary, buckets), NUMBERED), "lm-numbers")

@@ -34,6 +34,34 @@ def test_counts_and_base_scores_are_those_of_the_definition(rows, spark):
     assert language_model.scored(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("fan", [2, 64])
+def test_counts_climb_a_tree_and_come_down_to_each_block(rows, monkeypatch, fan):
+    rng = random.Random(5)
+    data = [(k, " ".join(f"w{int(rng.paretovariate(0.4)) % 900}" for _ in range(60))) for k in range(90)]
+    for name, value in (("FAN", fan), ("BLOCK_BYTES", 900), ("BUCKET_BYTES", 700)):
+        monkeypatch.setattr(language_model, name, value)
+    monkeypatch.setattr(language_model, "ROUNDS", 1)
+    docs = rows([(i, t, "h", 1, "t") for i, t in data], SCHEMA).repartition(3)
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    counts = Counter(w for i, t in data if not held(i) for w in [*t.split(), "end"])
+    n, v = sum(counts.values()), len(counts)
+    found = {r.doc_id: r for r in language_model.scored(docs).collect()}
+    assert len(found) == len(data)
+    for i, t in data:
+        words = [*t.split(), "end"]
+        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words)
+        assert (found[i].n_known, found[i].train_tokens) == (sum(w in counts for w in words), n)
+        assert found[i].base_score == pytest.approx(base, abs=1e-6)
+
+
+def test_levels_have_a_bounded_number_of_rows():
+    for blocks in (1, 64, 65, 15_000, 50_000_000):
+        levels = language_model.tree(blocks, blocks * language_model.BLOCK_BYTES)
+        below = [blocks, *(nodes for nodes, _ in levels)]
+        assert levels[-1][0] == 1
+        assert all(low * buckets <= 40 * blocks for low, (_, buckets) in zip(below, levels, strict=False))
+
+
 def test_nothing_to_learn_from_leaves_one_event(rows):
     held_id = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     (row,) = language_model.scored(rows([(held_id, "some words", "", 0, "")], SCHEMA)).collect()
