@@ -252,7 +252,7 @@ def counted(blocks: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     told = top
     for level in range(len(levels) - 2, -1, -1):
         given = told.select(F.col("child").alias("node"), F.pmod("bucket", F.lit(levels[level][1])).alias("bucket"), "hashes", "counts")
-        told = sent[level].groupBy(*keys).cogroup(given.groupBy(*keys)).applyInArrow(_answer(level > 0), SENT)
+        told = sent[level].drop("counts").groupBy(*keys).cogroup(given.groupBy(*keys)).applyInArrow(_answer(level > 0), SENT)
     return told.select(F.col("child").alias("block"), "bucket", "counts"), top, levels[0][1]
 
 
