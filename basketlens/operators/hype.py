@@ -152,9 +152,17 @@ def around_days(tallies: DataFrame, populations: DataFrame, cfg: EngineConfig) -
 
 def spikes(items: DataFrame, baskets: DataFrame, cfg: EngineConfig, days: Days | None = None) -> DataFrame:
     """Every window a configuration leapt in behind a finish, before suppression."""
+    return spikes_from_tallies(*days, cfg) if days else _spikes(around_with_population(items, baskets, cfg), cfg)
+
+
+def spikes_from_tallies(tallies: DataFrame, populations: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """The same over stored counts of days."""
+    return _spikes(around_days(*_known((tallies, populations), cfg), cfg), cfg)
+
+
+def _spikes(around: DataFrame, cfg: EngineConfig) -> DataFrame:
     to = share(F.col("now_league"), F.col("of_now_league"))
     was = share(F.col("before_league"), F.col("of_before_league"))
-    around = around_days(*_known(days, cfg), cfg) if days else around_with_population(items, baskets, cfg)
     return (
         around
         .where(F.least("of_now_league", "of_before_league") >= cfg.hype_min_lists)

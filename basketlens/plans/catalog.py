@@ -602,6 +602,12 @@ def _(r):
     return hype.accepted(found, hype.KEY, "end", r.cfg.hype_window_days)
 
 
+@reading("w6_refreshed_episodes")
+def _(r):
+    """Episodes of the refreshed standing store: folded before the refresh, and then on from the first part that it wrote."""
+    return r.refreshed_episodes.select(*hype.KEY, "end", "to_adoption")
+
+
 @reading("w7_as_of_tally")
 def _(r):
     facts = departures.read_against(novelty.history(r.items, r.cfg.epoch_start), r.cfg)

@@ -14,8 +14,8 @@ from ..operators import (
     actors, adoption, composition, departures, hype, ledger, novelty, outcome, subjects, weekly,
 )
 from ..session import fresh_path, guarded, settled
-from ..sources import ledgers, standing, star
-from ..sources.standing import Standing
+from ..sources import episodes, ledgers, standing, star
+from ..sources.standing import Refreshed, Standing
 from ..sources.store import Store, materialise, typed_items
 from ..sources.versions import Versions
 from . import derived
@@ -119,16 +119,29 @@ class StarRun:
         return settled(weekly.weekly_averages(self.items, self.binned, typed, self.cfg), "weekly")
 
     @cached_property
-    def refreshed(self) -> Standing:
-        """A standing store built from an earlier publication and refreshed to the last day."""
+    def refresh(self) -> tuple[Versions, Refreshed]:
+        """A standing store built from an earlier publication and refreshed to the last day, and what the refresh did."""
         raw = settled(star.raw_baskets(self.spark, self.sf_dir), "published")
         entries = star.item_entries(self.spark, self.sf_dir)
         today = raw.agg(F.max("date")).scalar()
         first, second = derived.two_publications(raw, today, self.cfg.unsettled_days)
         versions = Versions(self.spark, fresh_path(self.spark, "standing"))
         standing.build(versions, first, entries, self.cfg, "month")
-        standing.refresh(versions, second, entries, today, self.cfg, "month")
-        return standing.open_store(versions, self.cfg)
+        return versions, standing.refresh(versions, second, entries, today, self.cfg, "month")
+
+    @cached_property
+    def refreshed(self) -> Standing:
+        return standing.open_store(self.refresh[0], self.cfg)
+
+    @cached_property
+    def refreshed_episodes(self) -> DataFrame:
+        """Accepted leaps of the first version, folded on by what the refresh wrote."""
+        versions, done = self.refresh
+        home = Versions(self.spark, fresh_path(self.spark, "episodes"))
+        with standing.open_store(versions, self.cfg, 1) as first:
+            episodes.advance(home, first.tallies, first.populations, [], self.cfg)
+        episodes.advance(home, self.refreshed.tallies, self.refreshed.populations, done.parts, self.cfg)
+        return episodes.load(home)
 
     @property
     def last_day(self):

@@ -204,6 +204,7 @@ ORACLES: dict[str, str] = {
     "w4_first_appearance": query("SELECT segment, item, appeared_on, actor FROM c_fringe"),
     "w5_origin_finish": query("SELECT segment, item, qty_a, qty_b, e AS \"end\", origin_actor, origin_date, origin_placement FROM c_spk"),
     "w6_episodes": query("SELECT segment, item, qty_a, qty_b, e AS \"end\", to_adoption FROM c_acc JOIN c_spk USING (segment, item, qty_a, qty_b, e)", "to_adoption"),
+    "w6_refreshed_episodes": query("SELECT segment, item, qty_a, qty_b, e AS \"end\", to_adoption FROM n_acc JOIN n_spk USING (segment, item, qty_a, qty_b, e)", "to_adoption"),
     "w7_as_of_tally": query("""SELECT against, stratum, item, date, count(*) FILTER (own) AS plays, min(plays_before) AS plays_before
       FROM c_seeni JOIN c_spine USING (against, stratum, item, date) GROUP BY 1, 2, 3, 4"""),
     "w8_debuts": query("SELECT * FROM c_debut"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import worlds
 from basketlens.config import DECKLISTS
 from basketlens.operators import adoption, hype, ledger
-from basketlens.sources import ledgers, standing
+from basketlens.sources import episodes, ledgers, standing
 from basketlens.sources.store import build as whole
 from basketlens.sources.versions import Conflict, Versions
 
@@ -173,6 +173,61 @@ def test_a_new_best_total_changes_the_weight_of_settled_lists(spark, tmp_path):
         assert DAYS[9].isoformat() not in now.pinned.parts("items")
 
 
+# ---- Episodes -----------------------------------------------------------------------
+
+
+def counts(spark, days, change=0):
+    """Counts of days from a fixed rule: three cards whose share of 40 league lists swings at their own pace."""
+    first = date.fromisoformat(CFG.epoch_start)
+    tallies, populations = [], []
+    for n in range(days):
+        day = first + timedelta(days=n)
+        populations.append((True, "plain", day, 40, 4, 2.0))
+        for card, pace in (("Kite", 2), ("Oak", 3), ("Elm", 5)):
+            high = (n // 7) % pace == 1 or (change and card == "Elm" and n // 7 == change)
+            tallies.append(("plain", card, 1, 0, day, 30 if high else 0, 1, 1.0, hype.PLACE_STEP + (day - date(1970, 1, 1)).days))
+    return (
+        spark.createDataFrame(tallies, "segment string, item string, qty_a int, qty_b int, date date, league bigint, challenge bigint, weight double, best bigint"),
+        spark.createDataFrame(populations, "member boolean, segment string, date date, league bigint, challenge bigint, weight double"),
+    )
+
+
+def folded(days):
+    leaps = hype.spikes_from_tallies(*days, CFG).select(*episodes.LEAP)
+    return hype.accepted(leaps, hype.KEY, "end", CFG.hype_window_days)
+
+
+def test_episodes_fold_on_from_any_day_to_those_of_the_whole_history(spark, tmp_path):
+    first = date.fromisoformat(CFG.epoch_start)
+    home = Versions(spark, str(tmp_path / "steps"))
+    for n, reach in enumerate((1, 33, 40, 41, 90, 120)):
+        days = counts(spark, reach)
+        assert episodes.advance(home, *days, [(first + timedelta(days=reach - 1)).isoformat()], CFG) == n + 1
+        assert told(episodes.load(home)) == told(folded(days))
+    assert episodes.load(home).count() > 6
+    # A day in the past reads otherwise: months before it keep their files, those from it on are folded anew.
+    days = counts(spark, 120, change=10)
+    week = [(first + timedelta(days=70 + k)).isoformat() for k in range(7)]
+    before = home.open().parts("episodes")
+    episodes.advance(home, *days, week, CFG)
+    assert told(episodes.load(home)) == told(folded(days)) != told(folded(counts(spark, 120)))
+    after = home.open().parts("episodes")
+    assert {m for m in before if after.get(m) == before[m]} == {m for m in before if m < week[0][:7]} != set()
+    # The last days are withdrawn.
+    days = counts(spark, 100, change=10)
+    episodes.advance(home, *days, [(first + timedelta(days=100)).isoformat()], CFG)
+    assert told(episodes.load(home)) == told(folded(days))
+
+
+def test_no_days_make_no_episodes(spark, tmp_path):
+    home = Versions(spark, str(tmp_path))
+    none = tuple(frame.where("false") for frame in counts(spark, 1))
+    assert episodes.advance(home, *none, [], CFG) == 1 and episodes.load(home).count() == 0
+    days = counts(spark, 60)
+    episodes.advance(home, *days, [], CFG)
+    assert told(episodes.load(home)) == told(folded(days))
+
+
 # ---- The ledger ---------------------------------------------------------------------
 
 
