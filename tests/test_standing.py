@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import worlds
 from basketlens.config import DECKLISTS
-from basketlens.operators import adoption, hype, ledger
-from basketlens.sources import episodes, ledgers, standing
+from basketlens.operators import adoption, hype, ledger, scope
+from basketlens.sources import episodes, ledgers, standing, star
 from basketlens.sources.store import build as whole
 from basketlens.sources.versions import Conflict, Versions
 
@@ -173,6 +173,37 @@ def test_a_new_best_total_changes_the_weight_of_settled_lists(spark, tmp_path):
         assert DAYS[9].isoformat() not in now.pinned.parts("items")
 
 
+def test_an_open_day_that_takes_the_id_of_a_settled_list_is_written(spark, tmp_path):
+    """What a list weighed before goes with its row and isn't looked up by its id."""
+    shape = "list_id bigint, actor string, event string, event_id string, event_class string, date date, placement int, points int, record string"
+    rows = [(1, "x", "e", "one", "league", DAYS[0], None, None, None), (1, "y", "e", "two", "league", DAYS[9], None, None, None)]
+    published = spark.createDataFrame(rows, shape)
+    items = spark.createDataFrame([(1, "a", 1, card, "SPELL") for card in CFG.signature], "list_id bigint, board string, qty int, name string, type string")
+    versions = Versions(spark, str(tmp_path))
+    standing.build(versions, published.where("actor = 'x'"), items, CFG)
+    done = standing.refresh(versions, published, items, DAYS[9].isoformat(), CFG)
+    assert done.parts == [DAYS[9].isoformat()]
+    with standing.open_store(versions, CFG) as now:
+        assert told(now.baskets.select("actor", "date")) == told(published.select("actor", "date"))
+
+
+def test_no_table_of_lists_or_parts_is_sent_to_all_tasks(spark, tmp_path):
+    """Small files of many rows, as compressed ones are: a size check alone would broadcast them."""
+    listed = spark.range(3).select(F.col("id").alias("list_id"), *[F.lit(1).alias(c) for c in scope.LIST_COLUMNS[1:]])
+    listed.write.parquet(str(tmp_path / "listed"))
+    spark.range(3).select(F.col("id").alias("list_id"), F.lit("Kite").alias("item")).write.parquet(str(tmp_path / "held"))
+    spark.range(3).selectExpr("id AS l_orderkey", "id AS l_partkey", "'F' AS l_linestatus").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(3).selectExpr("id AS p_partkey", "'T' AS p_type", "'B' AS p_brand").write.parquet(str(tmp_path / "part.parquet"))
+    attached = scope.attach(spark.read.parquet(str(tmp_path / "held")), spark.read.parquet(str(tmp_path / "listed")))
+    for frame, rows in ((attached, 3), (star.item_entries(spark, str(tmp_path)), 6)):
+        assert frame.count() == rows
+        assert "SortMergeJoin" in plan(frame) and "Broadcast" not in plan(frame)
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
 # ---- Episodes -----------------------------------------------------------------------
 
 
