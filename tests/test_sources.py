@@ -1,6 +1,8 @@
 import json
 from dataclasses import replace
 from datetime import date
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from worlds import finals, land, league
 
 from basketlens.config import DECKLISTS as CFG
 from basketlens.operators import composition, ingest, weekly
+from basketlens.plans import derived
 from basketlens.sources import captures, matchlogs, payload, snapshots
 from basketlens.streaming import arrivals
 
@@ -214,3 +217,25 @@ def test_a_log_landed_in_pieces_reads_as_one(spark, tmp_path, turns):
     assert (read["7"].players, read["7"].winner, read["7"].game_wins) == (["mo", "ned"], "ned", {"mo": 1, "ned": 2})
     assert read["7"].cards == {"mo": ["Ash", "Elm"], "ned": ["Élan vital"]}
     assert read["8"].players == ["mo"] and read["8"].winner is None
+
+
+# ---- Landed payloads ------------------------------------------------------------------
+
+
+def test_landed_payloads_are_packed_and_read_back_without_their_cards(spark, monkeypatch):
+    """Payload texts repeat themselves: what lies on disk and what tells copies apart is a small part of them."""
+    deck = lambda who: {"loginid": who, "player": who, "main_deck": [{"qty": "1", "card_attributes": {"card_name": "Kite", "card_type": "SPELL"}}] * 200,
+                        "sideboard_deck": [], "wins": {"wins": "5", "losses": "0"}}
+    said = {f"modern-league-2026-06-01{n}": json.dumps({"site_name": f"modern-league-2026-06-01{n}", "name": "A league", "publish_date": "2026-06-01", "decklists": [deck(f"a{n}")]}) for n in range(30)}
+    rows = [(feed, "P" if n % 3 == 0 else "F", text) for feed in ("one", "two") for n, text in enumerate(said.values())]
+    monkeypatch.setattr(derived, "documents", lambda run: spark.createDataFrame(rows, "feed string, fill string, value string").coalesce(1))
+    run = SimpleNamespace(spark=spark)
+    run.landing = derived.land_payloads(run)
+    stored = sum(p.stat().st_size for p in Path(run.landing).glob("feed=*/part-*"))
+    assert stored < sum(len(text) for _, _, text in rows) / 10
+    assert payload.quarantine(spark, run.landing, lines=True).count() == 10
+    read = derived.payloads(run)
+    assert "main_deck" not in read.schema["decklists"].simpleString()
+    whole = payload.first_copies(payload.scan(spark, run.landing, lines=True))
+    assert sorted(payload.baskets(read).collect()) == sorted(payload.baskets(whole).collect())
+    assert {(r.event_id, r.actor, r.record) for r in payload.baskets(read).collect()} == {(name, f"a{n}", "5-0") for n, name in enumerate(said)}
