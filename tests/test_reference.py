@@ -85,3 +85,17 @@ def test_subjects_speak_stay_silent_or_are_unknown(spark):
     assert set(raised) == {"non-fallaji", "fallaji"}
     row = raised["non-fallaji"]
     assert (row.subject, row.state, row.caveat) == ("W", "established", subjects.HYPE_CAVEAT)
+
+
+def test_baskets_are_not_laid_out_by_item_to_find_what_they_lack(spark):
+    """A basket's gaps are read in its own row: no join of all baskets with all common items, and no window over them."""
+    shape = "segment string, stratum string, item string, qty_a int, qty_b int, fresh_lists long, fresh_population long, fresh_adoption double, fresh_tilt double, delta double"
+    read = spark.createDataFrame([("non-fallaji", "challenge-class", item, 1, 0, n, 10, n / 10, 0.0, 0.0) for item, n in (("B", 9), ("A", 9), ("C", 5), ("D", 1), (None, 4))], shape)
+    rows = [("x", 1, "A", 1, 0), ("x", 1, "C", 0, 0), ("x", 1, None, 1, 0), ("y", 1, "A", 1, 1), ("y", 1, "B", 1, 0), ("y", 1, "C", 2, 0), (None, 1, "A", 1, 0)]
+    asked = spark.createDataFrame([(*row, None, None) for row in rows], "owner string, version int, item string, qty_a int, qty_b int, override string, note string")
+    found = reference.unplayed(asked, read, CFG, floor=0.3, limit=2)
+    assert {(r.owner, r.rank, r["item"], r.dropped, r.found) for r in found.collect()} == {
+        ("x", 1, "B", 1, 3), ("x", 2, "C", 0, 3), ("y", 1, None, 0, 1), (None, 1, "A", 2, 4), (None, 2, "B", 0, 4),
+    }
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in plan and "Window" not in plan
