@@ -239,3 +239,12 @@ def test_landed_payloads_are_packed_and_read_back_without_their_cards(spark, mon
     whole = payload.first_copies(payload.scan(spark, run.landing, lines=True))
     assert sorted(payload.baskets(read).collect()) == sorted(payload.baskets(whole).collect())
     assert {(r.event_id, r.actor, r.record) for r in payload.baskets(read).collect()} == {(name, f"a{n}", "5-0") for n, name in enumerate(said)}
+
+
+def test_many_logs_land_in_few_files(spark, tmp_path):
+    logs = spark.range(300).selectExpr("hex(id) AS match_id", "0L AS part", "'@Pmo rolled a 2.' AS value").selectExpr("lower(match_id) AS match_id", "part", "value")
+    nameless = spark.createDataFrame([(None, 0, "x"), ("7", None, "x")], "match_id string, part long, value string")
+    matchlogs.land(logs.union(nameless), str(tmp_path / "logs"))
+    assert len([p for p in (tmp_path / "logs").rglob("part-*") if p.is_file()]) <= 16
+    read = matchlogs.scan(spark, str(tmp_path / "logs"), "UTF-8")
+    assert read.count() == 300 == read.select("match_id").distinct().count()
