@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from worlds import finals, land, league
 
 from basketlens.config import DECKLISTS as CFG
-from basketlens.operators import composition, ingest, weekly
+from basketlens.operators import composition, ingest, scope, weekly
 from basketlens.plans import derived
 from basketlens.sources import captures, matchlogs, payload, snapshots
+from basketlens.sources import store as stores
 from basketlens.streaming import arrivals
 
 
@@ -248,3 +249,19 @@ def test_many_logs_land_in_few_files(spark, tmp_path):
     assert len([p for p in (tmp_path / "logs").rglob("part-*") if p.is_file()]) <= 16
     read = matchlogs.scan(spark, str(tmp_path / "logs"), "UTF-8")
     assert read.count() == 300 == read.select("match_id").distinct().count()
+
+
+def test_the_store_moves_a_row_a_list(spark, tmp_path):
+    """The two tables come out of one with a list's items in its row, equal to items joined to their lists."""
+    lists = spark.createDataFrame([(1, "x", "e", "one", "league", date(2026, 6, 1), None, 3, None), (1, "y", "e", "one", "league", date(2026, 7, 1), None, 6, None),
+                                   (2, "x", "e", "two", "league", None, None, None, None), (None, "z", "e", "two", "league", date(2026, 6, 1), None, None, None)],
+                                  "list_id bigint, actor string, event string, event_id string, event_class string, date date, placement int, points int, record string")
+    entries = spark.createDataFrame([(n, "a", 2, card, "LAND") for n in (1, 3, None) for card in (*CFG.signature, "Kite", "Kite", None)], "list_id bigint, board string, qty int, name string, type string")
+    none = spark.createDataFrame([], "captured_on date, window_days int, cohort string, share double, deck_count int")
+    made = stores.build(lists, entries, none, CFG, str(tmp_path))
+    counted = stores.count_items(entries, CFG)
+    listed = scope.classify(lists, counted, CFG)
+    rows = lambda frame: sorted(map(str, frame.select(*sorted(frame.columns)).collect()))
+    assert rows(made.baskets) == rows(listed)
+    assert rows(made.items) == rows(scope.attach(counted.drop("typed_a"), listed))
+    assert spark.read.parquet(str(tmp_path / "lists")).count() == 4
