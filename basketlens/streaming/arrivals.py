@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import settled
 from ..sources import payload
 
 
@@ -45,7 +46,9 @@ def land(lists: DataFrame, sink: str, state: str, grain: str = "day", unsettled_
     stored = T.StructType([*lists.schema.fields, T.StructField("late", T.BooleanType())])
     part = F.date_format("event_ts", {"day": "yyyy-MM-dd", "month": "yyyy-MM"}[grain])
 
-    def add(arrived: DataFrame, number: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
+        # Three readers below: the batch's texts are read and parsed for one of them.
+        arrived = settled(batch, "arrived")
         once = arrived.dropDuplicates(LANDED).withColumn("part", F.coalesce(part, F.lit("undated")))
         # As many rows as the batch has days.
         days = [row.part for row in once.select("part").distinct().collect()]

@@ -11,6 +11,7 @@ from worlds import finals, land, league
 from basketlens.config import DECKLISTS as CFG
 from basketlens.operators import composition, ingest, scope, weekly
 from basketlens.plans import derived
+from basketlens.session import settled
 from basketlens.sources import captures, matchlogs, payload, snapshots
 from basketlens.sources import store as stores
 from basketlens.streaming import arrivals
@@ -242,6 +243,21 @@ def test_landed_payloads_are_packed_and_read_back_without_their_cards(spark, mon
     assert {(r.event_id, r.actor, r.record) for r in payload.baskets(read).collect()} == {(name, f"a{n}", "5-0") for n, name in enumerate(said)}
 
 
+def test_streamed_payloads_land_packed_and_each_is_parsed_once(spark, tmp_path, monkeypatch):
+    card = {"qty": "1", "card_attributes": {"card_name": "Kite", "card_type": "SPELL"}}
+    text = lambda n: json.dumps({"site_name": f"modern-league-2026-06-01{n}", "name": "A league", "publish_date": "2026-06-01",
+                                 "decklists": [{"loginid": f"a{n}", "player": f"a{n}", "main_deck": [card] * 200, "sideboard_deck": [], "wins": None}]})
+    said = [text(n) for n in range(30)]
+    monkeypatch.setattr(derived, "documents", lambda run: spark.createDataFrame([(t,) for t in said * 2], "value string").coalesce(1))
+    monkeypatch.setattr(derived, "fresh_path", lambda spark, name: str(tmp_path / name))
+    kept = []
+    monkeypatch.setattr(arrivals, "settled", lambda frame, name: kept.append(name) or settled(frame, name))
+    found = derived.streamed_arrivals(SimpleNamespace(spark=spark, cfg=CFG))
+    assert {tuple(r) for r in found.collect()} == {(f"modern-league-2026-06-01{n}", "league", f"a{n}", date(2026, 6, 1)) for n in range(30)}
+    assert kept == ["arrived"]
+    assert sum(p.stat().st_size for p in (tmp_path / "arrivals/landing").glob("part-*")) < sum(map(len, said)) / 10
+
+
 def test_many_logs_land_in_few_files(spark, tmp_path):
     logs = spark.range(300).selectExpr("hex(id) AS match_id", "0L AS part", "'@Pmo rolled a 2.' AS value").selectExpr("lower(match_id) AS match_id", "part", "value")
     nameless = spark.createDataFrame([(None, 0, "x"), ("7", None, "x")], "match_id string, part long, value string")
