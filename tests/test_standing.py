@@ -200,6 +200,21 @@ def test_no_table_of_lists_or_parts_is_sent_to_all_tasks(spark, tmp_path):
         assert "SortMergeJoin" in plan(frame) and "Broadcast" not in plan(frame)
 
 
+def test_a_first_version_sends_no_ids_of_lists_to_all_tasks(spark, tmp_path, monkeypatch):
+    spark.range(6).select(F.col("id").alias("list_id")).write.parquet(str(tmp_path / "lists"))
+    rows = [(k, "a", 1, name, "T") for k in range(0, 12, 2) for name in ("Kite", "Owl")]
+    spark.createDataFrame(rows, "list_id long, board string, qty int, name string, type string").write.parquet(str(tmp_path / "entries"))
+    seen = []
+    monkeypatch.setattr(standing, "settled", lambda frame, name: seen.append(frame) or frame.localCheckpoint())
+    monkeypatch.setattr(standing, "labelled", lambda *_: pytest.fail("counted by now"))
+    monkeypatch.setattr(standing, "finish_weights", lambda _: pytest.fail("counted by now"))
+    with pytest.raises(pytest.fail.Exception, match="counted by now"):
+        standing.build(Versions(spark, str(tmp_path / "standing")), spark.read.parquet(str(tmp_path / "lists")), spark.read.parquet(str(tmp_path / "entries")), CFG)
+    (counted,) = seen
+    assert sorted((r.list_id, r["item"]) for r in counted.collect()) == [(k, name) for k in (0, 2, 4) for name in ("Kite", "Owl")]
+    assert "LeftSemi" in plan(counted) and "Broadcast" not in plan(counted)
+
+
 def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
