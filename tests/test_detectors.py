@@ -4,6 +4,7 @@ All days are of 2026. Kite, Owl and the other items are held beside the cohort's
 """
 
 import random
+import re
 from datetime import date, timedelta
 from math import comb
 
@@ -242,3 +243,14 @@ def test_lineage_takes_the_first_later_episode_of_the_same_segment(spark):
     ]
     traced = ledger.lineage(spark.createDataFrame(rows, ledger.LEDGER_SCHEMA)).collect()
     assert [(r.actor, str(r.spiked_on), r.resolved) for r in traced] == [("b", "None", None), ("a", "2026-06-21", "established")]
+
+
+def test_follow_through_sends_no_departures_or_actors_to_all_tasks(spark, tmp_path):
+    made = store(spark, tmp_path, [*OPENING, *league("2026-06-24", ("rita", "Nova 1"), ("x", "")), *league("2026-06-30", ("sam", "Nova 1"), ("y", ""))])
+    found = departures.departures(made.items, made.baskets, CFG)
+    found.write.parquet(str(tmp_path / "found"))
+    flags = departures.breakthroughs(made.items, made.baskets, CFG, spark.read.parquet(str(tmp_path / "found")))
+    assert [r.followers for r in flags.collect()] == [2]
+    said = re.sub(r"#\d+L?", "", flags._jdf.queryExecution().executedPlan().toString())
+    for keys in ("[item, date], [item, date]", "[actor], [actor]", "[list_id], [list_id]"):
+        assert f"SortMergeJoin {keys}" in said and f"BroadcastHashJoin {keys}" not in said, keys

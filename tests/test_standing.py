@@ -215,6 +215,23 @@ def test_a_first_version_sends_no_ids_of_lists_to_all_tasks(spark, tmp_path, mon
     assert "LeftSemi" in plan(counted) and "Broadcast" not in plan(counted)
 
 
+def test_a_run_compared_with_the_ledger_sends_no_flags_to_all_tasks(spark, tmp_path, monkeypatch):
+    """Nor does lineage: departures and their items grow with the history."""
+    flag = {"kind": "breakthrough", "segment": "s", "actor": "a", "event": "e", "date": date(2026, 5, 29), "novel": [{"item": "i", "qty_a": 1, "qty_b": 0}], "missing": []}
+    spark.createDataFrame([flag], ledger.LEDGER_SCHEMA).write.parquet(str(tmp_path / "found"))
+    found = spark.read.schema(ledger.LEDGER_SCHEMA).parquet(str(tmp_path / "found"))
+    versions = Versions(spark, str(tmp_path / "ledger"))
+    ledgers.record(versions, found, "2026-06-01")
+    kinds, joined = [], type(found).join
+    monkeypatch.setattr(type(found), "join", lambda one, two, *how: kinds.append(joined(one, two, *how)) or kinds[-1])
+    ledgers.record(versions, found, "2026-06-02")
+    assert [r.actor for r in ledger.lineage(ledgers.load(versions)[0]).collect()] == ["a"]
+    assert len(kinds) == 3
+    for frame in kinds:
+        frame.collect()
+        assert "SortMergeJoin" in plan(frame) and "BroadcastHashJoin" not in plan(frame)
+
+
 def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
