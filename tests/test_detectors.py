@@ -196,6 +196,21 @@ def test_conversion_counts_an_actor_once(spark, tmp_path):
     assert read.league_share == pytest.approx(1 / 6) and read.uncapped == pytest.approx(3 / 8) and read.cap_effect == "collapses"
 
 
+def test_arms_count_an_actor_once_and_move_no_more_rows_than_tallies(spark):
+    """Against each arm's own counts, and dealt by item and actor, never by arm and actor."""
+    rng = random.Random(3)
+    rows = [
+        (n, "s", rng.choice(("league", "challenge")), rng.choice((None, "ann", "ben", "cid")), rng.choice((None, 3, 40)), rng.choice(("Jay", "Owl")), rng.randrange(3), rng.randrange(3))
+        for n in range(80)
+    ]
+    items = spark.createDataFrame(rows, "list_id long, segment string, stratum string, actor string, placement int, item string, qty_a int, qty_b int")
+    facts = items.groupBy("segment", "item", "qty_a", "qty_b", "actor").agg(*outcome._tallies(CFG))
+    got = outcome._of_actors(outcome._armed(facts), outcome.ARM)
+    want = outcome._by_actor(outcome.list_arms(items), outcome.ARM, CFG).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "keys=[segment, item, arm, actor]" not in re.sub(r"#\d+L?", "", got._jdf.queryExecution().executedPlan().toString())
+
+
 def counted(a, b, c, d):
     """The exact test by its definition, over every table of these margins."""
     row, col, n = a + b, a + c, a + b + c + d
