@@ -5,8 +5,10 @@ from pathlib import Path
 
 import pytest
 from oracle_check import compare, duck
+from pyspark.sql.functions import spark_partition_id
 
 from basketlens.operators.departures import standing_intervals
+from basketlens.sources import star
 from basketlens.sources.star import in_ranges, ranked_in_event
 
 SMALL = "/root/testdata/sf0.001"
@@ -38,6 +40,15 @@ def test_one_events_ranges_are_even_whatever_its_prices(spark, price):
     assert [n for n, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(got, key=lambda n: (-price(n), n))
 
 
+def test_tasks_that_gather_lists_grow_with_the_lines(spark, tmp_path, monkeypatch):
+    spark.range(4000).selectExpr("id % 900 AS l_orderkey", "id % 5 AS l_partkey", "'F' AS l_linestatus").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(5).selectExpr("id AS p_partkey", "'T' AS p_type", "'B' AS p_brand").write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(star, "LINES_A_TASK", 100)
+    rows = star.item_entries(spark, str(tmp_path), dealt=True).withColumn("task", spark_partition_id()).collect()
+    assert len(rows) == 8000 and len({(r.list_id, r.task) for r in rows}) == 900
+    assert len({r.task for r in rows}) > 30, "a task has some 100 lines, however well they pack"
+
+
 def test_intervals_are_counted_without_pairing_them(spark):
     from datetime import date, timedelta
 
