@@ -1,8 +1,9 @@
 """Language model scores: a gated recurrent network with class-factored output, in numpy inside Spark tasks.
 
 Data flow. Documents are packed, in the order they are read, into blocks of about
-BLOCK_BYTES of text, written once. The hashes of a block's distinct words with their
-training counts climb a tree: some FAN blocks share a node, some FAN nodes the node
+BLOCK_BYTES of text, split once and written as the hashes of the block's words and a
+number for each token. The hashes of a block's distinct words with their training
+counts climb a tree: some FAN blocks share a node, some FAN nodes the node
 above, and each node adds its children up in buckets of the hash space, whose number
 grows with the text below it. Global counts come down the same tree, so each block
 gets those of just its own words. So no task and no broadcast ever holds the whole
@@ -32,6 +33,7 @@ further columns are ignored.
 """
 
 import heapq
+import itertools
 import math
 
 import numpy as np
@@ -53,7 +55,7 @@ FAN = 64
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 END = b"\n"  # no word holds white space
 
-BLOCKS = "doc_ids array<long>, held array<boolean>, texts array<binary>, n_bytes long"
+BLOCKS = "doc_ids array<long>, held array<boolean>, sizes array<long>, hashes binary, counts binary, numbers binary, n_bytes long"
 SENT = "child long, bucket long, hashes binary, counts binary"
 SUMS = "node long, bucket long, hashes binary, counts binary"
 TOTALS = f"{SENT}, tokens long, types long, tops binary, bins binary"
@@ -86,33 +88,64 @@ def tokens(texts: list[bytes]) -> tuple[Index, np.ndarray, np.ndarray]:
     return index, np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array([len(p) for p in parts], np.int64)
 
 
-def _block(batches):
-    ids, held, texts, size = [], [], [], 0
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers compressed, bytes of the same place side by side."""
+    kind = numbers.dtype
+    places = np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), kind.itemsize).T)
+    return kind.str.encode() + len(numbers).to_bytes(8, "little") + pa.compress(places.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    kind, n = np.dtype(blob[:3].decode()), int.from_bytes(blob[3:11], "little")
+    places = np.frombuffer(pa.decompress(blob[11:], decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(places.reshape(kind.itemsize, n).T).view(kind).ravel()
+
+
+def _row(ids: list, held: list, texts: list[bytes], size: int) -> pa.RecordBatch:
+    """A block. Its words come by falling count, then by rising hash of which the steps are kept, so that both they and the tokens' numbers pack well."""
+    index, flat, sizes = tokens(texts)
+    hashes = index.hashes()
+    order = np.argsort(hashes)
+    order = order[np.argsort(-np.bincount(flat, minlength=len(index))[order], kind="stable")]
+    rank = np.empty(len(order), np.uint16 if len(order) <= 1 << 16 else np.uint32)
+    rank[order] = np.arange(len(order))
+    flat = rank[flat]
+    counts = np.bincount(flat[np.repeat(~np.array(held, bool), sizes)], minlength=len(order))
+    steps = np.diff(hashes[order], prepend=np.uint64(0))  # modulo 2 ** 64
+    lists = ((ids, pa.int64()), (held, pa.bool_()), (sizes, pa.int64()))
+    blobs = (_packed(steps), _blob(counts), _packed(flat))
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array([x], pa.list_(kind)) for x, kind in lists), *(pa.array([x], pa.binary()) for x in blobs), pa.array([size], pa.int64())],
+        names=[x.split()[0] for x in BLOCKS.split(", ")],
+    )
 
-    def row():
-        return pa.RecordBatch.from_arrays(
-            [pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([texts], pa.list_(pa.binary())), pa.array([size], pa.int64())],
-            names=["doc_ids", "held", "texts", "n_bytes"],
-        )
 
+def _hashes(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(blob), dtype=np.uint64)
+
+
+def _block(batches):
+    ids, held, texts, size = [], [], [], 0
     for batch in batches:
         for one, out, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             if texts and size + len(text) > BLOCK_BYTES:
-                yield row()
+                yield _row(ids, held, texts, size)
                 ids, held, texts, size = [], [], [], 0
             ids.append(one)
             held.append(out)
             texts.append(text)
             size += len(text)
     if texts:
-        yield row()
+        yield _row(ids, held, texts, size)
 
 
 def _by_bucket(hashes: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     """Positions of a block's words by bucket, in a fixed order, so that answers need no keys."""
-    to = hashes % np.uint64(buckets)
-    order = np.lexsort((hashes, to))
-    return [(int(to[part[0]]), part) for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(part)]
+    order = np.argsort(hashes)
+    to = (hashes % np.uint64(buckets)).astype(np.min_scalar_type(buckets - 1))
+    order = order[np.argsort(to[order], kind="stable")]
+    to = to[order].astype(np.int64)
+    return [(int(to[low]), order[low:high]) for low, high in itertools.pairwise([0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(order)]) if low < high]
 
 
 def _blob(counts: np.ndarray) -> bytes:
@@ -135,12 +168,9 @@ def _send(buckets: int):
 
     def send(batches):
         for batch in batches:
-            for block, held, texts in zip(*(batch.column(k) for k in range(3)), strict=True):
-                index, flat, sizes = tokens(texts.as_py())
-                train = np.repeat(~np.array(held.as_py(), bool), sizes)
-                counts = np.bincount(flat[train], minlength=len(index))
-                hashes = index.hashes()
-                yield _sent([(block.as_py(), to, hashes[at].tobytes(), _blob(counts[at])) for to, at in _by_bucket(hashes, buckets)])
+            for block, hashes, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                hashes, counts = _hashes(hashes), _counts(counts)
+                yield _sent([(block, to, hashes[at].tobytes(), _blob(counts[at])) for to, at in _by_bucket(hashes, buckets)])
 
     return send
 
@@ -239,11 +269,11 @@ def tree(blocks: int, size: int) -> list[tuple[int, int]]:
 
 
 def counted(blocks: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Of `blocks` (block, held, texts, n_bytes): the answers to blocks (block, bucket, counts), the top's table with the corpus totals, a block's buckets."""
+    """Of `blocks` (block, hashes, counts, n_bytes): the answers to blocks (block, bucket, counts), the top's table with the corpus totals, a block's buckets."""
     n, size = blocks.agg(F.count(F.lit(1)), F.sum("n_bytes")).first()
     levels = tree(n, size or 0)
     keys = ["node", "bucket"]
-    sent = [blocks.select("block", "held", "texts").mapInArrow(_send(levels[0][1]), SENT).withColumn("node", F.pmod(F.xxhash64("child"), F.lit(levels[0][0])))]
+    sent = [blocks.select("block", "hashes", "counts").mapInArrow(_send(levels[0][1]), SENT).withColumn("node", F.pmod(F.xxhash64("child"), F.lit(levels[0][0])))]
     for nodes, buckets in levels[1:]:
         sent[-1] = kept(sent[-1], "lm-sent")  # read on the way up and on the way down
         sums = sent[-1].groupBy(*keys).applyInArrow(_merge, SUMS)
@@ -269,6 +299,7 @@ class Words:
         self.heads = int(self.of_word.max(initial=-1)) + 1
         bounds = np.searchsorted(self.of_word, np.arange(self.heads + 1)).tolist()
         self.spans = bounds[:-1], bounds[1:]  # where each class of top words begins and ends
+        self.first, self.width = np.array(bounds[:-1], np.int64), np.diff(bounds)
         sizes = np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
         left_types = types - np.bincount(sizes, minlength=BINS)
         left_mass = mass - np.bincount(sizes, counts, BINS).astype(np.int64)
@@ -350,27 +381,26 @@ class Network:
         h = HIDDEN
         half = np.repeat(np.array([0.5, 0.5, 1], np.float32), h)[:, None]  # a logistic gate is half a hyperbolic tangent of half its input
         inner = self.p["inner"].T * half
-        gates = self.p["gates"].take(given, axis=0).transpose(0, 2, 1) * half
-        gates = np.ascontiguousarray(gates)
+        gates = np.ascontiguousarray((self.p["gates"] * half.T).take(given, axis=0).transpose(0, 2, 1))
         count, lanes = given.shape
-        before, out = (np.empty((count, h, lanes), gates.dtype) for _ in range(2))
-        u = np.empty(gates.shape, gates.dtype)
-        spare = np.empty((h, lanes), gates.dtype)
-        for t in range(count):
-            np.multiply(state, fresh[t], out=before[t])
-            np.matmul(inner, before[t], out=u[t])
-            rz, n = gates[t, : 2 * h], gates[t, 2 * h :]
-            rz += u[t, : 2 * h]
+        # Without a trace, steps share the memory of what only backpropagation reads.
+        before, u = (np.empty((1 if trace is None else count, cells, lanes), gates.dtype) for cells in (h, 3 * h))
+        out, spare = np.empty((count, h, lanes), gates.dtype), np.empty((h, lanes), gates.dtype)
+        for t, (rz, r, z, n, new) in enumerate(zip(gates[:, : 2 * h], gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :], out, strict=True)):
+            old, add = (before[0], u[0]) if trace is None else (before[t], u[t])
+            np.multiply(state, fresh[t], out=old)
+            np.matmul(inner, old, out=add)
+            rz += add[: 2 * h]
             np.tanh(rz, out=rz)
             rz *= 0.5
             rz += 0.5
-            np.multiply(rz[:h], u[t, 2 * h :], out=spare)
+            np.multiply(r, add[2 * h :], out=spare)
             n += spare
             np.tanh(n, out=n)
-            state = out[t]
-            np.subtract(before[t], n, out=state)
-            state *= rz[h:]
-            state += n
+            np.subtract(old, n, out=new)
+            new *= z
+            new += n
+            state = new
         if trace is not None:
             trace += [before, gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :], u[:, 2 * h :]]
         return out
@@ -398,22 +428,26 @@ class Network:
             grads["class_bias"] += found[h]
             back = powers @ classes[:h].T
         ends = np.searchsorted(group, np.arange(self.words.heads + 1))
-        for low, high, first, last in zip(ends[:-1].tolist(), ends[1:].tolist(), *self.words.spans, strict=True):
+        top = group[: ends[-1]]
+        own = (lines[: ends[-1]] - ends.take(top)) * self.words.width.take(top) + word[: ends[-1]] - self.words.first.take(top)  # in the class's logits
+        logit, sums = np.zeros(len(top), states.dtype), np.ones(len(top), states.dtype)
+        furthest = np.maximum.reduceat(further, self.words.first).tolist() if self.words.heads else []
+        for low, high, first, last, most in zip(ends[:-1].tolist(), ends[1:].tolist(), *self.words.spans, furthest, strict=True):
             if low == high or last - first < 2:
                 continue
             weights, inner = members[:, first:last], cells[low:high]
             logits = inner @ weights
-            powers, total = exponentials(logits, further[first:last].max(), ones)
-            picked = lines[: high - low] * (last - first) + (word[low:high] - first)
-            score[low:high] += logits.ravel().take(picked)
-            totals[low:high] *= total
+            powers, total = exponentials(logits, most, ones)
+            logit[low:high], sums[low:high] = logits.ravel().take(own[low:high]), total
             if grads is not None:
                 powers /= total[:, None]
-                powers.ravel()[picked] -= 1
+                powers.ravel()[own[low:high]] -= 1
                 found = inner.T @ powers
                 grads["members"][:, first:last] = found[:h]
                 grads["member_bias"][first:last] = found[h]
                 back[low:high] += powers @ weights[:h].T
+        score[: len(top)] += logit
+        totals[: len(top)] *= sums
         score -= np.log(totals)
         scores = np.empty_like(score)
         scores[order] = score
@@ -434,15 +468,16 @@ class Network:
         down = np.zeros_like(back[0])
         d_n = np.empty(back.shape, back.dtype)
         d_u = np.empty((len(back), 3 * h, back.shape[2]), back.dtype)
-        for t in range(len(back) - 1, -1, -1):
-            down += back[t]
-            np.multiply(down, to_n[t], out=d_n[t])
-            np.multiply(d_n[t], to_r[t], out=d_u[t, :h])
-            np.multiply(down, to_z[t], out=d_u[t, h : 2 * h])
-            np.multiply(d_n[t], r[t], out=d_u[t, 2 * h :])
-            down *= z[t]
-            down += inner @ d_u[t]
-            down *= fresh[t]
+        steps = (back, d_n, to_n, to_r, to_z, r, z, d_u, d_u[:, :h], d_u[:, h : 2 * h], d_u[:, 2 * h :], fresh)
+        for go, go_n, by_n, by_r, by_z, reset, keep, go_u, go_r, go_z, go_i, unbroken in zip(*(x[::-1] for x in steps), strict=True):
+            down += go
+            np.multiply(down, by_n, out=go_n)
+            np.multiply(go_n, by_r, out=go_r)
+            np.multiply(down, by_z, out=go_z)
+            np.multiply(go_n, reset, out=go_i)
+            down *= keep
+            down += inner @ go_u
+            down *= unbroken
         grads["inner"] += np.matmul(before, d_u.transpose(0, 2, 1)).sum(axis=0)
         d_u[:, 2 * h :] = d_n  # of the input from here on: the reset gate doesn't weigh it
         # Each word's rows side by side, so that they are added up in one pass.
@@ -489,35 +524,47 @@ def lanes(sizes: np.ndarray, most: int) -> list[list[int]]:
     return sorted(out, key=lambda texts: -sum(int(sizes[i]) for i in texts))
 
 
-def windows(sizes: np.ndarray, chosen: np.ndarray, most: int):
-    """Token positions of the chosen texts in lanes: (steps, lanes) of positions and of text starts, window by window.
+def windows(sizes: np.ndarray, chosen: np.ndarray, most: int, widened: bool = False):
+    """Token positions of the chosen texts in lanes: (steps, lanes) of positions and whether all are tokens, window by window.
 
-    Lanes end one after another, so later windows have fewer of them; -1 fills the end of a lane.
+    Lanes end one after another, so later windows have fewer of them, and more steps if widened; -1 fills the end of a lane.
     """
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    dealt = lanes(sizes[chosen], most)
-    tracks = [np.concatenate([np.arange(starts[chosen[i]], starts[chosen[i]] + sizes[chosen[i]]) for i in texts]) for texts in dealt if texts]
-    if not tracks:
+    dealt = [texts for texts in lanes(sizes[chosen], most) if texts]
+    if not dealt:
         return
-    is_start = np.zeros(int(sizes.sum()) + 1, bool)
-    is_start[starts] = True
-    for low in range(0, len(tracks[0]), WINDOW):
-        live = [t[low : low + WINDOW] for t in tracks if len(t) > low]
-        at = np.full((max(map(len, live)), len(live)), -1, np.int64)
-        for k, t in enumerate(live):
-            at[: len(t), k] = t
-        yield at, is_start[at] & (at >= 0)
+    texts = chosen[np.concatenate(dealt)]
+    ends = np.cumsum(sizes[texts])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    track = np.arange(ends[-1]) + np.repeat(starts[texts] - (ends - sizes[texts]), sizes[texts])  # all lanes' positions, lane after lane
+    until = ends[np.cumsum([len(texts) for texts in dealt]) - 1]
+    first = np.concatenate([[0], until[:-1]])
+    length = until - first
+    low = 0
+    while low < length[0]:
+        live = int(np.count_nonzero(length > low))
+        steps = min(WINDOW * (most // live if widened else 1), int(length[0]) - low)
+        step = np.arange(low, low + steps)[:, None]
+        whole = bool(length[live - 1] >= low + steps)
+        if whole:
+            at = track.take(first[:live] + step)
+        else:
+            at = np.where(step < length[:live], track.take(np.minimum(first[:live] + step, len(track) - 1)), -1)
+        yield at, whole
+        low += steps
 
 
 def run(network: Network, number, sizes, chosen, adam: Adam | None = None, stride: int = 1):
     """Log-probabilities (natural) of the tokens of the chosen texts; with adam, trains on every stride-th window instead."""
     out, group = np.zeros(len(number)), network.words.class_of[number]
     end = number[-1] if len(number) else 0  # the input at a text's start is the end token
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    # The step after a lane's end, position -1, reads the last value.
+    previous, unbroken = np.append(np.roll(number, 1), end).astype(np.int32), np.ones(len(number) + 1, np.float32)
+    previous[starts], unbroken[starts] = end, 0
+    unbroken[-1] = 1
     state, nth = None, 0
-    for at, begins in windows(sizes, chosen, LANES if adam is None else TRAIN_LANES):
-        real = at >= 0
-        given = np.where(begins | (at <= 0), end, number[at - 1])
-        fresh = np.where(begins, 0, 1).astype(np.float32)
+    for at, whole in windows(sizes, chosen, LANES if adam is None else TRAIN_LANES, adam is None):
+        given, fresh = previous.take(at), unbroken.take(at)
         state = np.zeros((HIDDEN, at.shape[1]), np.float32) if state is None else state[:, : at.shape[1]]
         learn = adam is not None and nth % stride == 0
         nth += 1
@@ -525,16 +572,19 @@ def run(network: Network, number, sizes, chosen, adam: Adam | None = None, strid
         states = network.steps(given, fresh, state, trace)
         state = states[-1]
         if adam is None or learn:
-            used = real.ravel()
-            flat, picks = states.transpose(0, 2, 1).reshape(-1, HIDDEN)[used], at[real]
+            flat, picks = states.transpose(0, 2, 1).reshape(-1, HIDDEN), at.ravel()
+            if not whole:
+                used = picks >= 0
+                flat, picks = flat[used], picks[used]
             grads = {k: np.zeros_like(v) for k, v in network.p.items()} if learn else None
-            score, back = network.output(flat, number[picks], group[picks], grads)
+            score, back = network.output(flat, number.take(picks), group.take(picks), grads)
             out[picks] = score
             if learn:
-                full = np.zeros((real.size, HIDDEN), back.dtype)
-                full[used] = back
-                full = np.ascontiguousarray(full.reshape(*real.shape, HIDDEN).transpose(0, 2, 1))
-                network.backward(given, fresh, trace, full, grads)
+                if not whole:
+                    full = np.zeros((at.size, HIDDEN), back.dtype)
+                    full[used] = back
+                    back = full
+                network.backward(given, fresh, trace, np.ascontiguousarray(back.reshape(*at.shape, HIDDEN).transpose(0, 2, 1)), grads)
                 for grad in grads.values():
                     grad /= max(1, len(picks)) ** 0.5
                 adam.move(grads, len(picks) / (WINDOW * TRAIN_LANES))
@@ -546,9 +596,9 @@ def _number(vocabulary: Words, buckets: int):
 
     def number(batches):
         for batch in batches:
-            for block, ids, held, texts, answers in zip(*(batch.column(k) for k in range(5)), strict=True):
-                index, flat, sizes = tokens(texts.as_py())
-                hashes, counts = index.hashes(), np.zeros(len(index), np.int64)
+            for block, ids, held, sizes, hashes, flat, answers in zip(*(batch.column(k) for k in range(7)), strict=True):
+                hashes, flat, sizes = _hashes(hashes.as_py()), _unpacked(flat.as_py()), np.array(sizes.as_py(), np.int64)
+                counts = np.zeros(len(hashes), np.int64)
                 told = {a["bucket"]: a["counts"] for a in answers.as_py()}
                 for to, at in _by_bucket(hashes, buckets):
                     counts[at] = _counts(told[to])
@@ -650,8 +700,8 @@ def scored(docs: DataFrame, held: Column | None = None, stride: int = STRIDE) ->
     n, v = (x or 0 for x in top.agg(F.sum("tokens"), F.sum("types")).first())
     vocabulary = Words(*_frequent(top), n, v)
     answers = told.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts")).alias("answers"))
-    # Texts meet their counts once; training and scoring then read two bytes a token.
-    read = blocks.join(answers, "block").select("block", "doc_ids", "held", "texts", "answers")
+    # Tokens meet their counts once; training and scoring then read two bytes a token.
+    read = blocks.join(answers, "block").select("block", "doc_ids", "held", "sizes", "hashes", "numbers", "answers")
     numbered = kept(read.mapInArrow(_number(vocabulary, buckets), NUMBERED), "lm-numbers")
     weights = Network(vocabulary).flat()
     for k in range(ROUNDS):

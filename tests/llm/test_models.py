@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from basketlens.llm import language_model, quality
@@ -149,6 +150,55 @@ def test_every_training_token_gives_a_gradient_as_op3_runs():
     assert kept.learnt == pytest.approx(sizes.sum())
 
 
+@pytest.mark.parametrize("distinct", [300, 70_000])
+def test_texts_are_split_once(monkeypatch, distinct):
+    rng = random.Random(6)
+    texts = [" ".join(f"W{rng.randrange(distinct)}" for _ in range(rng.randrange(90))) for _ in range(40)] + [" ".join(f"w{k}" for k in range(distinct)), ""]
+    held = [k % 5 == 2 for k in range(len(texts))]
+    split = [[*t.lower().split(), "end"] for t in texts]
+    want = Counter(w for words, out in zip(split, held, strict=True) if not out for w in words)
+    given = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(held), pa.array([t.encode() for t in texts], pa.binary())], names=["doc_id", "held", "text"])
+    (block,) = language_model._block([given])
+    monkeypatch.setattr(language_model, "words", None)  # to split a text again is an error
+    number = pa.array([7], pa.int64())
+    (sent,) = language_model._send(4)([pa.RecordBatch.from_arrays([number, block["hashes"], block["counts"]], names=["block", "hashes", "counts"])])
+    sent = sent.to_pylist()
+    assert sorted(n for row in sent for n in language_model._counts(row["counts"]).tolist() if n) == sorted(want.values())
+    assert {(row["child"], row["bucket"]) for row in sent} == {(7, k) for k in range(4)}
+    vocabulary_of, _ = vocabulary()
+    answers = pa.array([[{"bucket": row["bucket"], "counts": row["counts"]} for row in reversed(sent)]])
+    read = pa.RecordBatch.from_arrays([number, *(block[c] for c in ("doc_ids", "held", "sizes", "hashes", "numbers")), answers], names=["block", "doc_ids", "held", "sizes", "hashes", "numbers", "answers"])
+    (row,) = (x for batch in language_model._number(vocabulary_of, 4)([read]) for x in batch.to_pylist())
+    assert (row["block"], row["doc_ids"], row["held"]) == (7, list(range(len(texts))), held)
+    assert row["sizes"] == [len(words) for words in split]
+    assert row["known"] == [sum(w in want for w in words) for words in split]
+    whole = vocabulary_of.n + vocabulary_of.v + 1
+    assert row["base"] == pytest.approx([sum(math.log10((want[w] + 1) / whole) for w in words) for words in split])
+
+
+def test_scoring_goes_on_in_longer_windows_when_lanes_end():
+    words, _ = vocabulary()
+    rng = np.random.default_rng(7)
+    sizes = np.array([2000, *[20] * 400, 700])
+    number = rng.integers(0, words.size, sizes.sum()).astype(np.int32)
+    number[np.cumsum(sizes) - 1] = 0
+
+    class Counted(language_model.Network):
+        calls, most = 0, 0
+
+        def steps(self, given, *rest):
+            self.calls, self.most = self.calls + 1, max(self.most, given.size)
+            return super().steps(given, *rest)
+
+    network = Counted(words)
+    found = language_model.run(network, number, sizes, np.arange(len(sizes)))
+    assert network.calls < 10 and network.most <= language_model.WINDOW * language_model.LANES
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    for k in (0, 5, 401):
+        alone = language_model.run(network, number[at[k] : at[k + 1]], sizes[k : k + 1], np.arange(1))
+        assert np.allclose(alone, found[at[k] : at[k + 1]], atol=1e-4)
+
+
 def test_the_model_learns_as_op3_runs(spark):
     found = language_model.scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").collect()
     assert sum(r.score for r in found) > 0.9 * sum(r.base_score for r in found)
