@@ -38,6 +38,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,29 +64,21 @@ NUMBERED = "block long, doc_ids array<long>, held array<boolean>, sizes array<lo
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-class Index(dict):
-    """Numbers of words in order of appearance."""
+def tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct tokens of some texts, all tokens as numbers of these, one text after another, and each text's number of tokens.
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        return number
-
-    def hashes(self) -> np.ndarray:
-        return np.fromiter((xxhash.xxh64_intdigest(w) for w in self), np.uint64, len(self))
-
-
-def words(text: bytes) -> list[bytes]:
-    """Runs without space, tab, line feed, vertical tab, form feed or return, then one end."""
-    return [*text.translate(FOLD).split(), END]
-
-
-def tokens(texts: list[bytes]) -> tuple[Index, np.ndarray, np.ndarray]:
-    """The words of some texts as numbers, one text after another, and each text's number of tokens."""
-    index, parts = Index(), []
-    for text in texts:
-        found = words(text)
-        parts.append(np.fromiter(map(index.__getitem__, found), np.int32, len(found)))
-    return index, np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array([len(p) for p in parts], np.int64)
+    Words are runs without space, tab, line feed, vertical tab, form feed or return; one end follows each text's words.
+    """
+    pieces = pc.ascii_split_whitespace(pa.array([text.translate(FOLD) for text in texts], pa.large_binary()).view(pa.large_string()))
+    found = pieces.flatten()
+    real = pc.binary_length(found).to_numpy() > 0  # white space at a text's edge leaves an empty piece
+    words = found.filter(pa.array(real)).dictionary_encode()
+    sizes = np.add.reduceat(real, pieces.offsets.to_numpy()[:-1], dtype=np.int64) + 1
+    flat = np.full(int(sizes.sum()), len(words.dictionary), np.int32)
+    inside = np.ones(len(flat), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    flat[inside] = words.indices.to_numpy()
+    return [*words.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False), END], flat, sizes
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -103,10 +96,10 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 def _row(ids: list, held: list, texts: list[bytes], size: int) -> pa.RecordBatch:
     """A block. Its words come by falling count, then by rising hash of which the steps are kept, so that both they and the tokens' numbers pack well."""
-    index, flat, sizes = tokens(texts)
-    hashes = index.hashes()
+    names, flat, sizes = tokens(texts)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
     order = np.argsort(hashes)
-    order = order[np.argsort(-np.bincount(flat, minlength=len(index))[order], kind="stable")]
+    order = order[np.argsort(-np.bincount(flat)[order], kind="stable")]
     rank = np.empty(len(order), np.uint16 if len(order) <= 1 << 16 else np.uint32)
     rank[order] = np.arange(len(order))
     flat = rank[flat]

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -159,7 +160,7 @@ def test_texts_are_split_once(monkeypatch, distinct):
     want = Counter(w for words, out in zip(split, held, strict=True) if not out for w in words)
     given = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(held), pa.array([t.encode() for t in texts], pa.binary())], names=["doc_id", "held", "text"])
     (block,) = language_model._block([given])
-    monkeypatch.setattr(language_model, "words", None)  # to split a text again is an error
+    monkeypatch.setattr(language_model, "tokens", None)  # to split a text again is an error
     number = pa.array([7], pa.int64())
     (sent,) = language_model._send(4)([pa.RecordBatch.from_arrays([number, block["hashes"], block["counts"]], names=["block", "hashes", "counts"])])
     sent = sent.to_pylist()
@@ -176,6 +177,17 @@ def test_texts_are_split_once(monkeypatch, distinct):
     assert row["base"] == pytest.approx([sum(math.log10((want[w] + 1) / whole) for w in words) for words in split])
 
 
+def test_only_six_bytes_part_words():
+    rng = random.Random(8)
+    texts = [bytes(range(256)), b"", b" ", b"\n\n", b"A\x00 a\x00", b"\xc3\x89 \xc3\xa9", b"\x1cA\x1f \x85a\xa0"]
+    texts += [bytes(rng.choice(b" \t\n\x0b\x0c\r\x1c\x1f\x85\xa0aAzZ@[\x00\xff") for _ in range(rng.randrange(40))) for _ in range(300)]
+    for part in (texts, texts[1:2], texts[:1]):
+        names, flat, sizes = language_model.tokens(part)
+        want = [[*re.findall(rb"[^\x20\x09-\x0D]+", t.translate(language_model.FOLD)), b"\n"] for t in part]
+        assert [names[k] for k in flat] == [w for words in want for w in words] and len(set(names)) == len(names)
+        assert sizes.tolist() == [len(words) for words in want]
+
+
 def test_scoring_goes_on_in_longer_windows_when_lanes_end():
     words, _ = vocabulary()
     rng = np.random.default_rng(7)
