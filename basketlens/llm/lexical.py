@@ -12,10 +12,11 @@ opened. Single documents have their exact score.
 
 Steps: (1) one scan counts documents, words and document frequencies, added up
 inside tasks before the shuffle; (2) a second scan builds the blocks where the
-documents lie, at most CELLS cells or DOCS documents each, and writes them;
-(3) items get their words' weights by joins and are dealt into tiles; (4) tiles
-meet blocks, every block its own key, and only the k best of each leave a task;
-(5) partial lists are merged in a tree.
+documents lie, at most CELLS cells or DOCS documents each, and deals them out,
+each packed to one value that only its search opens; (3) items get their words'
+weights by joins and are dealt into tiles; (4) tiles meet blocks, every block its
+own key, and only the k best of each leave a task; (5) partial lists are merged in
+a tree.
 
     impact = (1000000000 * tf) div (1000 * tf + 8 * m),  m = 10 + (90 * n * N) div L
     weight = floor(1000 * ln((2 * N + 2) / (2 * df + 1)))
@@ -39,6 +40,10 @@ from pyspark.sql import functions as F
 from .work import kept
 
 CELLS, DOCS, TILE, FRONT, FAN = 1 << 19, 8192, 256, 64, 16
+#: Tasks that write the frequencies, at least: on a local disk an executor starts processes for each file (chmod).
+WRITERS = 64
+#: Keys that one row of a tile is repeated for at a time.
+SPAN = 64
 FLUSH = 300_000
 #: Letters A to Z become lower-case; ASCII characters that are no letter or digit part terms, all others belong to them.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
@@ -92,14 +97,14 @@ class Tree:
         masks[::2], masks[1::2] = packed & 15, packed >> 4
         self.masks, self.height = masks[: stored["nodes"]], stored["height"]
         drops = np.frombuffer(stored["drops"], np.dtype(stored["kind"]))
-        size = np.bitwise_count(self.masks).astype(np.int64)
+        size = np.bitwise_count(self.masks)
         # Nodes are stored level by level, so a node's quarters begin behind all quarters of the nodes before it.
-        self.first = np.cumsum(size) - size + 1
-        self.most = np.empty(len(drops), np.int64)
+        self.first = np.cumsum(size, dtype=np.int32) - size + 1
+        self.most = np.empty(len(drops), np.int32)
         self.most[0] = stored["top"]
         start, end = 0, 1
         for _ in range(self.height):
-            below = self.first[start], self.first[end - 1] + size[end - 1]
+            below = int(self.first[start]), int(self.first[end - 1]) + int(size[end - 1])
             self.most[below[0] : below[1]] = np.repeat(self.most[start:end], size[start:end]) - drops[below[0] : below[1]]
             start, end = below
 
@@ -153,33 +158,35 @@ def search_tree(tree: Tree, rows: np.ndarray, weights: np.ndarray, k: int) -> tu
 
 # ---- Counting and indexing --------------------------------------------------------
 
-COUNTED = "term binary, df long, words long"
+COUNTED = "term binary, df long, words long, blocks long"
 
 
 def _count(batches):
-    """Document frequencies of a task's words, and one row without a word for its documents and all their words."""
+    """Document frequencies of a task's words, and one row without a word for its documents, all their words and about how many blocks they make."""
     seen: Counter = Counter()
-    docs = words = 0
+    docs = words = cells = 0
     for batch in batches:
         for text in batch.column(0):
             terms = terms_of(text.as_py())
             if terms:
-                docs, words = docs + 1, words + len(terms)
-                seen.update(set(terms))
+                own = set(terms)
+                docs, words, cells = docs + 1, words + len(terms), cells + len(own)
+                seen.update(own)
         if len(seen) > FLUSH:
-            yield _counted(seen, 0, 0)
+            yield _counted(seen, 0, 0, 0)
             seen = Counter()
-    yield _counted(seen, docs, words)
+    yield _counted(seen, docs, words, max(cells // CELLS, docs // DOCS) + 1 if docs else 0)
 
 
-def _counted(seen: Counter, docs: int, words: int):
+def _counted(seen: Counter, docs: int, words: int, blocks: int):
+    rest = [None] * len(seen)
     return pa.RecordBatch.from_arrays(
-        [pa.array([None, *seen], pa.binary()), pa.array([docs, *seen.values()], pa.int64()), pa.array([words] + [None] * len(seen), pa.int64())],
-        names=["term", "df", "words"],
+        [pa.array([None, *seen], pa.binary()), *(pa.array(part, pa.int64()) for part in ([docs, *seen.values()], [words, *rest], [blocks, *rest]))],
+        names=["term", "df", "words", "blocks"],
     )
 
 
-BLOCK = "ids binary, vocabulary binary, height int, top long, nodes long, masks binary, kind string, drops binary"
+BLOCK = "packed binary"
 
 
 def _indexer(total_docs: int, total_words: int):
@@ -196,7 +203,7 @@ def _indexer(total_docs: int, total_words: int):
         impacts = (1_000_000_000 * tf) // (1000 * tf + 8 * m)
         stored = build_tree(place[rows], np.repeat(np.arange(len(docs)), sizes), impacts)
         stored |= {"ids": np.array([doc[0] for doc in docs], np.int64).tobytes(), "vocabulary": b" ".join([words[n] for n in often])}
-        return pa.RecordBatch.from_pylist([stored], schema=_BLOCK)
+        return pa.RecordBatch.from_arrays([pa.array([packed(stored)], pa.binary())], names=["packed"])
 
     def index(batches):
         held, number, cells = [], {}, 0
@@ -224,17 +231,41 @@ _BLOCK = pa.schema([
 ])
 
 
+def packed(stored: dict) -> bytes:
+    """A block as one compressed value, a quarter of its size: so it is sent and sorted."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _BLOCK, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as out:
+        out.write_batch(pa.RecordBatch.from_pylist([stored], schema=_BLOCK))
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(blob: bytes) -> dict:
+    return pa.ipc.open_stream(blob, options=pa.ipc.IpcReadOptions(use_threads=False)).read_next_batch().to_pylist()[0]
+
+
+def _few(frame: DataFrame) -> int:
+    """Tasks enough to be shared by all cores, however large the tables are."""
+    return max(WRITERS, 4 * frame.sparkSession.sparkContext.defaultParallelism)
+
+
 class Index:
-    """Blocks of documents, document frequencies, and the two totals. `blocks` has a number per block."""
+    """Blocks of documents, document frequencies, and the totals.
+
+    `blocks` has a number per block; a search builds them and sends them on, so they
+    are written once, by its shuffle. `docs` has to come in the same order if a task
+    runs again, as it does from files. `size` is about how many blocks there are: it
+    says how they are dealt out, and results don't hang on it.
+    """
 
     def __init__(self, docs: DataFrame):
         bytes_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
         counted = bytes_of.select("text").mapInArrow(_count, COUNTED)
-        self.frequencies = kept(counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")), "lexical-df")
+        summed = counted.groupBy("term").agg(*(F.sum(name).alias(name) for name in ("df", "words", "blocks")))
+        self.frequencies = kept(summed.coalesce(_few(docs)), "lexical-df")
         total = self.frequencies.filter("term IS NULL").first()
-        self.docs, self.words = (total.df, total.words) if total else (0, 0)
+        self.docs, self.words, self.size = (total.df, total.words, total.blocks) if total else (0, 0, 0)
         blocks = bytes_of.mapInArrow(_indexer(self.docs, self.words), BLOCK)
-        self.blocks = kept(blocks.withColumn("block", F.monotonically_increasing_id()), "lexical-blocks")
+        self.blocks = blocks.withColumn("block", F.monotonically_increasing_id())
 
 
 # ---- Search -----------------------------------------------------------------------
@@ -258,8 +289,10 @@ def _searcher(k: int):
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
-                ids, tree = np.frombuffer(row["ids"], np.int64), Tree(row)
-                number = {term: n for n, term in enumerate(row["vocabulary"].split(b" "))}
+                stored = unpacked(row["packed"])
+                ids, tree = np.frombuffer(stored["ids"], np.int64), Tree(stored)
+                asked = {word["term"] for item in row["items"] for word in item["words"]}
+                number = {term: n for n, term in enumerate(stored["vocabulary"].split(b" ")) if term in asked}
                 out = [[], [], []]
                 for item in row["items"]:
                     here = [(number[word["term"]], word["weight"]) for word in item["words"] if word["term"] in number]
@@ -290,19 +323,21 @@ def weighted_items(index: Index, items: DataFrame) -> DataFrame:
 
 def top_k(index: Index, items: DataFrame, k: int = 10) -> DataFrame:
     """item_id, rank, doc_id, score: the k best documents of each item. `items` has item_id and text."""
-    blocks = index.blocks.count()
     asked = kept(weighted_items(index, items), "lexical-items")
     tiles = -(-asked.count() // TILE)
     dealt = asked.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(max(1, tiles))).alias("tile")).agg(
         F.collect_list(F.struct("item_id", "words")).alias("items")
     )
     # Blocks are numbered by task and place, a hash makes dense keys of that: each tile goes to each key once.
-    spread = max(1, blocks)
+    spread = max(1, index.size)
     key = F.pmod(F.xxhash64("block"), F.lit(spread)).alias("key")
-    meets = dealt.select("items", F.explode(F.expr(f"sequence(0L, {spread - 1}L)")).alias("key"))
+    # A tile is repeated for a few spans of keys first and those are dealt out, so no task repeats it for all blocks.
+    spans = dealt.select("tile", "items", F.explode(F.expr(f"sequence(0L, {spread - 1}L, {SPAN}L)")).alias("low"))
+    spans = spans.repartition(min(max(1, tiles) * -(-spread // SPAN), _few(items)), "tile", "low")
+    meets = spans.select("items", F.explode(F.expr(f"sequence(low, least(low + {SPAN - 1}L, {spread - 1}L))")).alias("key"))
     # Tiles repeated for all keys are never sent to all tasks.
     found = index.blocks.select("*", key).join(meets.hint("merge"), "key").drop("key").mapInArrow(_searcher(k), FOUND)
-    return merged(found, blocks, k)
+    return merged(found, spread, k)
 
 
 def merged(found: DataFrame, blocks: int, k: int) -> DataFrame:

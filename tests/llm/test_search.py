@@ -80,6 +80,26 @@ def test_tree_search_equals_all_columns(seed, height, width, k, most):
     assert columns.tolist() == want and scores.tolist() == whole[want].tolist()
 
 
+def test_lexical_blocks_travel_packed_and_few_files_are_written(rows, spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    data = [(k, " ".join(f"w{n}" for n in rng.zipf(1.3, 200) % 20_000), 0, "") for k in range(400)]
+    written, kept = [], lexical.kept
+    monkeypatch.setattr(lexical, "kept", lambda frame, name, *a, **b: written.append(name) or kept(frame, name, *a, **b))
+    before = {name: spark.conf.get(name) for name in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "150")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        index = lexical.Index(rows(data, DOCS, 2))
+        assert len(index.frequencies.inputFiles()) <= 64
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(row.df for row in index.frequencies.collect() if row.term) == (cells := sum(len(set(words(row[1]))) for row in data))
+    blocks = index.blocks.collect()
+    assert sum(len(value) for row in blocks for value in row if isinstance(value, (bytes, bytearray, str))) < 8 * cells
+    assert len(blocks) == 2 and written == ["lexical-df"]
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, q int, leaf string"
 
 
